@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii
+from . import bpe, langid, pii, quality, shards, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +21,30 @@ def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_documents(spark, sf_dir))
 
 
+def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digest(_documents(spark, sf_dir))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(_documents(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_histogram_shards": op2_histogram_shards,
         "op3_bpe_chunks": op3_bpe_chunks,
         "op5_pii_spans": op5_pii_spans,
+        "op6_url_filter": op6_url_filter,
+        "op7_quality_votes": op7_quality_votes,
+        "op9_language_id": op9_language_id,
     }
 
 
