@@ -29,7 +29,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     windows are sorted by hash with their places, neighbours of equal hash are repeats, and the
     places that these cover are counted."""
     body = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(body, BLANKS), lambda w: w != "")
+    words = F.array_remove(F.split(body, BLANKS), "")
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     counted = docs.withColumns({"_words": words, "_lines": lines})
     n = F.size("_words")
