@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, pii, quality, shards, urls
+from . import bpe, decontaminate, langid, neardup, pii, quality, shards, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_documents(spark, sf_dir))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join(_documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(_documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii_spans": op5_pii_spans,
         "op6_url_filter": op6_url_filter,
         "op7_quality_votes": op7_quality_votes,
+        "op8_ngram_join": op8_ngram_join,
         "op9_language_id": op9_language_id,
     }
 
