@@ -12,10 +12,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, pii
+from veilframe.llm import bpe, decontaminate, langid, neardup, pii
 from veilframe.llm.scratch import shared_dir
 
 
+def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language the models reject: no letters, or text like no language."""
+    return langid.keep_known(docs)
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each class of near copies."""
+    return neardup.keep_one(docs)
+
+
+def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents contaminated by the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def _pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data in the text and counts its characters anew; every document stays."""
     columns = docs.columns
@@ -28,6 +43,9 @@ def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language", _language),
+    ("near-duplicates", _near_duplicates),
+    ("benchmark", _benchmark),
     ("pii", _pii),
     ("bpe", _encode),
 ]
