@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, neardup, pii, quality, shards, substrings, urls
+from . import bpe, decontaminate, langid, maxent, neardup, pii, quality, shards, substrings, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_documents(spark, sf_dir))
 
 
+def op1_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.digest(_documents(spark, sf_dir))
+
+
 def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(_documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_maxent_score": op1_maxent_score,
         "op2_histogram_shards": op2_histogram_shards,
         "op3_bpe_chunks": op3_bpe_chunks,
         "op4_decontaminate": op4_decontaminate,

@@ -138,6 +138,35 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+class Directory:
+    """Finds 64-bit keys whose bits are well mixed: sorted, with the places of their top bits."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.order = np.argsort(keys)
+        self.keys, self.shift = keys[self.order], np.uint64(64 - bits)
+        self.begin = np.searchsorted(self.keys >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The index of each key among those given at first, -1 where it isn't."""
+        if not len(self.keys):
+            return np.full(len(h), -1)
+        at = np.minimum(self.begin[(h >> self.shift).astype(np.int64)], len(self.keys) - 1)
+        got = self.keys[at]
+        out = np.where(got == h, self.order[at], -1)
+        todo = np.flatnonzero(got < h)  # later entries of the same cell
+        at = at[todo] + 1
+        while len(todo):
+            inside = at < len(self.keys)
+            todo, at = todo[inside], at[inside]
+            got = self.keys[at]
+            hit = got == h[todo]
+            out[todo[hit]] = self.order[at[hit]]
+            more = got < h[todo]
+            todo, at = todo[more], at[more] + 1
+        return out
+
+
 def gather(pool_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes start, start+1, ... of each span, end to end."""
     total = int(lengths.sum())
