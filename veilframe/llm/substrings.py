@@ -210,7 +210,7 @@ def _hot_windows(w: Windows, hot: np.ndarray, automata: list[tuple[np.ndarray, A
     some = _among(hot, w.seed[new])[np.cumsum(new) - 1]
     found: list[tuple[int, int]] = []
     starts = np.flatnonzero(some & ~(np.concatenate([[False], some[:-1]]) & np.concatenate([[False], w.at[1:] == w.at[:-1] + 1])))
-    ends = np.append(starts[1:], 0)
+    ends = np.append(starts[1:], 0)[: len(starts)]
     after = np.flatnonzero(~some)
     for s, nxt in zip(starts.tolist(), ends.tolist(), strict=True):
         stop = after[np.searchsorted(after, s)] if len(after) and after[-1] > s else len(some)
