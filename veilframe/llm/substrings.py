@@ -24,6 +24,7 @@ must be unique for a defined result.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,59 +46,66 @@ LEAST_HOT = 16  # occurrences of a hot seed at least
 
 
 class Automaton:
-    """Suffix automaton of a sequence of words: states with transitions in one dictionary."""
+    """Suffix automaton of a sequence of words. Most states have one way on: its letter and target
+    stand in flat arrays, and only branching states have a dictionary."""
 
     def __init__(self, words: list[int]):
-        self.next: dict[tuple[int, int], int] = {}
-        self.link, self.length, self.end = [-1], [0], [-1]
         out: list[dict[int, int]] = [{}]
+        link, length, end = [-1], [0], [-1]
         last = 0
         for at, c in enumerate(words):
             cur = len(out)
             out.append({})
-            self.length.append(self.length[last] + 1)
-            self.link.append(0)
-            self.end.append(at)
+            link.append(0)
+            length.append(length[last] + 1)
+            end.append(at)
             p = last
             while p >= 0 and c not in out[p]:
                 out[p][c] = cur
-                p = self.link[p]
+                p = link[p]
             if p >= 0:
                 q = out[p][c]
-                if self.length[p] + 1 == self.length[q]:
-                    self.link[cur] = q
+                if length[p] + 1 == length[q]:
+                    link[cur] = q
                 else:
                     clone = len(out)
                     out.append(dict(out[q]))
-                    self.length.append(self.length[p] + 1)
-                    self.link.append(self.link[q])
-                    self.end.append(self.end[q])
+                    link.append(link[q])
+                    length.append(length[p] + 1)
+                    end.append(end[q])
                     while p >= 0 and out[p].get(c) == q:
                         out[p][c] = clone
-                        p = self.link[p]
-                    self.link[q] = self.link[cur] = clone
+                        p = link[p]
+                    link[q] = link[cur] = clone
             last = cur
-        self.out = out
+        self.link, self.length, self.end = array("i", link), array("i", length), array("i", end)
+        self.letter = array("i", [next(iter(t)) if len(t) == 1 else -1 for t in out])
+        self.target = array("i", [next(iter(t.values())) if len(t) == 1 else 0 for t in out])
+        self.more = {k: t for k, t in enumerate(out) if len(t) > 1}
 
     def windows(self, words: list[int], size: int) -> Iterator[tuple[int, int]]:
         """(start, reference end) of each run of `size` words of `words` that the reference has:
-        matching statistics, cut to the size so that the state's first end is the run's own."""
-        out, link, length, end = self.out, self.link, self.length, self.end
+        matching statistics, cut to the size so that the state's first end is the run's own. Words
+        that the reference doesn't have are negative."""
+        letter, target, more, link, length = self.letter, self.target, self.more, self.link, self.length
         state = long = 0
         for at, c in enumerate(words):
-            while state and c not in out[state]:
+            if c < 0:
+                state = long = 0
+                continue
+            while True:
+                to = target[state] if letter[state] == c else more[state].get(c, 0) if state in more else 0
+                if to or not state:
+                    break
                 state = link[state]
                 long = length[state]
-            if c in out[state]:
-                state = out[state][c]
-                long += 1
-            else:
-                long = 0
+            state = to
+            long = long + 1 if to else 0
             if long >= size:
                 while length[link[state]] >= size:
                     state = link[state]
                     long = length[state]
-                yield at - size + 1, end[state]
+                yield at - size + 1, self.end[state]
 
 
 class Windows:
@@ -128,7 +136,7 @@ class Windows:
 def _seed_counts(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in vec.slices(batch.column(0), 4 * vec.SLICE_BYTES):
+            for part in vec.slices(batch.column(0)):
                 w = Windows(part)
                 seed, n = np.unique(w.seed[w.new_seed()], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n.astype(np.int32))], names=["seed", "n"])

@@ -97,7 +97,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 4 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
         for k, step in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
             p = np.full(size, step, np.uint64)
             p[0] = 1
