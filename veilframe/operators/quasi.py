@@ -67,16 +67,16 @@ def validate(text: Column, items: Column) -> Column:
 
 def dedup(qis: Column, by_method: str | None = None) -> Column:
     """One QI for each (type, normalized value): the most confident, or the first of the preferred
-    method, ties to the first; in order of first appearance."""
-    keyed = F.transform(qis, lambda q, i: F.struct(F.concat_ws("\x1f", q["qi_type"], q["normalized_value"]).alias("key"), i.alias("i"), q.alias("q")))
-    rank = (lambda s: s["q"]["confidence"]) if by_method is None else (lambda s: (s["q"]["method"] == by_method).cast("int"))
-    keys = F.array_distinct(F.transform(keyed, lambda s: s["key"]))
+    method, ties to the first; in order of first appearance. One fold over the array, which stands
+    once in the expression."""
+    rank = (lambda q: q["confidence"]) if by_method is None else (lambda q: (q["method"] == by_method).cast("int"))
+    same = lambda a, q: (a["qi_type"] == q["qi_type"]) & (a["normalized_value"] == q["normalized_value"])
 
-    def best(key: Column) -> Column:
-        mine = F.filter(keyed, lambda s: s["key"] == key)
-        return F.reduce(F.slice(mine, 2, F.size(mine)), F.get(mine, 0), lambda a, s: F.when(rank(s) > rank(a), s).otherwise(a))["q"]
+    def step(kept: Column, q: Column) -> Column:
+        better = F.transform(kept, lambda a: F.when(same(a, q) & (rank(q) > rank(a)), q).otherwise(a))
+        return F.when(F.exists(kept, lambda a: same(a, q)), better).otherwise(F.concat(kept, F.array(q)))
 
-    return F.transform(keys, best)
+    return F.aggregate(qis, F.array().cast(f"array<{QI}>"), step)
 
 
 # ---- patterns
@@ -91,7 +91,7 @@ def _found(text: Column, pattern: str, kind: str, confidence: float, method: str
     def made(m: Column, i: Column) -> Column:
         value = F.get(group, i)
         # the group is looked for from the end: it closes the match or nearly so
-        inside = F.length(m) - F.length(F.substring_index(m, value, -1)) - F.length(value)
+        inside = F.length(m) - F.length(F.call_function("substring_index", m, value, F.lit(-1))) - F.length(value)
         start = upto(between, i + 1) + upto(whole, i) + inside
         return _qi(kind, value, value if norm is None else norm(value), confidence, start, start + F.length(value), method)
 
