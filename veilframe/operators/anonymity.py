@@ -13,7 +13,8 @@ from .population import look_up
 def with_frequencies(df: DataFrame, population: DataFrame, id: str, qis: str = "qis", out: str = "qis") -> DataFrame:
     """Adds to each QI of the array its frequency. QIs leave their rows narrow, without the text,
     meet the population table and come back as arrays."""
-    narrow = df.select(id, F.posexplode(qis).alias("_pos", "_q")).select(id, "_pos", "_q.*")
+    # outer: a plain explode would have the optimizer test the array's size at the scan, extracting anew
+    narrow = df.select(id, F.posexplode_outer(qis).alias("_pos", "_q")).where("_pos is not null").select(id, "_pos", "_q.*")
     found = look_up(narrow, population)
     one = F.struct("_pos", "qi_type", "raw_value", "normalized_value", "confidence", "start_pos", "end_pos", "method", "probability", "population_count", "source")
     arrays = found.groupBy(id).agg(F.array_sort(F.collect_list(one)).alias("_qis"))

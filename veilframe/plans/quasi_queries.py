@@ -31,7 +31,7 @@ def _values(rows: list[tuple], names: str) -> str:
 
 
 def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, schema).coalesce(1)
 
 
 def ages_table(spark: SparkSession) -> DataFrame:
@@ -213,8 +213,8 @@ def _pick(values: list[str]) -> str:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = anonymity.with_frequencies(_extracted(spark, sf_dir), full_population(spark), "id")
-    return anonymity.score(found)
+    people = full_population(spark).cache()  # some 200 rows, joined twice
+    return anonymity.score(anonymity.with_frequencies(_extracted(spark, sf_dir), people, "id"))
 
 
 def q_score(spark: SparkSession, sf_dir: str) -> DataFrame:
