@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .scratch import stored
+from .scratch import frequent, stored
 
 KNOWN = 1 << 18  # words whose counts are broadcast
 MODELLED = 4096  # of them in classes of their own
@@ -142,9 +142,10 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()
+    top = frequent(counts, KNOWN).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     word, rare, n = (top.column(c).to_numpy() for c in ("word", "rare", "n"))
-    edge = (int(n[MODELLED - 1]), int(word[MODELLED - 1])) if len(word) >= MODELLED else (0, 0)
+    last = min(MODELLED, len(word)) - 1
+    edge = (int(n[last]), int(word[last])) if last >= 0 else (1 << 62, 0)
     other = counts.where((F.col("n") < edge[0]) | (F.col("n") == edge[0]) & (F.col("word") > edge[1]))
     totals = {r[0]: (r[1], r[2]) for r in other.groupBy("rare").agg(F.sum("n"), F.count("*")).collect()}
     return Vocabulary(word.view(np.uint64), rare, n, totals, int(total[0]), int(total[1]))

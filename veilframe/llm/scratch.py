@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +26,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def frequent(counted: DataFrame, bound: int, n: str = "n") -> DataFrame:
+    """The rows with the largest counts `n`, at most `bound` of them: all whose count reaches the
+    least one that keeps the bound. It is found from the number of rows of each count (large counts
+    to three digits), so no task sorts the table; rows of the first count beyond the bound stay out."""
+    c = F.col(n)
+    digits = F.pow(F.lit(10.0), F.floor(F.log10(c.cast("double"))) - 2).cast("long")
+    rounded = F.when(c < 1000, c).otherwise(F.floor(c / digits) * digits).cast("long")
+    left, least = 0, 1 << 62
+    for r in counted.groupBy(rounded.alias("n")).count().orderBy(F.desc("n")).collect():
+        left += r["count"]
+        if left > bound:
+            break
+        least = r["n"]
+    return counted.where(c >= least)
