@@ -28,7 +28,7 @@ from .scratch import stored
 WINDOW = 13
 SHINGLE = 3
 NOT_WORDS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-SMALL_ROWS = 1_000_000  # tables of so many narrow rows (some 50 MB) are broadcast, larger ones shuffled
+SMALL_ROWS = 500_000  # tables of so many rows of a few numbers each (some 20 MB) are broadcast, larger ones shuffled
 _LAST = -7046029254386353131  # stands after a document's shingles, so that each document has a row
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -97,10 +97,10 @@ def held_windows(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     start = F.col("at") - F.col("offset")
     bounds = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
     candidates = found.join(_small(prefix), "token").where(bounds).select("id", "row", "window", start.alias("start")).distinct()
-    listed = candidates.join(_small(windows), "window").groupBy("id", "row").agg(F.collect_list(F.struct("start", F.size("words").alias("length"), "window", "words")).alias("c"))
+    listed = candidates.join(windows, "window").groupBy("id", "row").agg(F.collect_list(F.struct("start", F.size("words").alias("length"), "window", "words")).alias("c"))
     listed = stored(listed, "candidates")
     rows = docs.join(_small(listed.select("id").distinct()), "id", "left_semi").withColumn("row", F.xxhash64("text"))
-    rows = rows.join(_small(listed), ["id", "row"]).select("id", "row", "c", words_of(F.col("text")).alias("w")).dropDuplicates(["id", "row"])
+    rows = rows.join(listed, ["id", "row"]).select("id", "row", "c", words_of(F.col("text")).alias("w")).dropDuplicates(["id", "row"])
     same = F.filter("c", lambda x: F.slice(F.col("w"), x["start"] + 1, x["length"]) == x["words"])
     held = rows.select("id", "row", F.transform(same, lambda x: F.struct(x["start"], x["length"], x["window"])).alias("spans")).where(F.size("spans") > 0)
     return found.where(F.col("token") == _LAST).select("id", "row", "n_words"), stored(held, "held"), placed.select("window", "item").distinct()

@@ -35,7 +35,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 HASHES = 240  # at most
 BLOCK = 256  # texts of a cluster in one block
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 500_000  # rows of a few numbers each, some 20 MB, are broadcast
 
 
 def plan(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
