@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .scratch import stored
+from .scratch import frequent, stored
 
 WINDOW = 20
 SEED = 10
@@ -183,7 +183,8 @@ def _passages(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["words", "n"])
 
     parts = docs.select("text").mapInArrow(work, "words binary, n long")
-    return parts.groupBy("words").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "words").limit(HOT_PASSAGES)
+    counted = stored(parts.groupBy("words").agg(F.sum("n").alias("n")).where("n > 1"), "passages")
+    return frequent(counted, HOT_PASSAGES)
 
 
 def build_automata(passages: DataFrame, shard_words: int = SHARD_WORDS) -> list[tuple[np.ndarray, Automaton]]:
@@ -281,8 +282,8 @@ def removed(docs: DataFrame, id: str = "doc_id", text: str = "text", out: str =
         raise ValueError("ids span too wide a range to order with word places in 64 bits; number the documents first")
     seeds = stored(_seed_counts(docs), "seeds")
     bitmap = _bitmap(seeds)
-    hot = np.sort(seeds.where(F.col("n") >= LEAST_HOT).orderBy(F.desc("n"), "seed").limit(HOT_SEEDS).toArrow().column("seed").to_numpy().view(np.uint64))
-    automata = build_automata(stored(_passages(docs, hot), "passages")) if len(hot) else []
+    hot = np.sort(frequent(seeds.where(F.col("n") >= LEAST_HOT), HOT_SEEDS).toArrow().column("seed").to_numpy().view(np.uint64))
+    automata = build_automata(_passages(docs, hot)) if len(hot) else []
     places = stored(_places(docs, hot, bitmap, automata, shift, base), "places")
     first = places.where("ref is not null").groupBy("ref").agg(F.min("place").alias("place")).toArrow()  # windows of the reference
     order = np.argsort(first.column("ref").to_numpy())
