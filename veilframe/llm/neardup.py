@@ -150,6 +150,11 @@ def _compare(threshold: float):
     return work
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """For broadcast where it has few rows, else as it is."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(id, class_id, n_links) of each row: class_id is the least id that links lead to, n_links
     counts the rows whose n-gram sets have at least the threshold's Jaccard similarity."""
@@ -161,9 +166,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: flo
     members = clusters.join(sizes, "root").withColumn("blocks", blocks)
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     narrow = members.select("node", "root", "times", "block", "blocks")
-    if narrow.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        narrow = F.broadcast(narrow)
-    texts = docs.select(F.col(id).cast("long").alias("node"), F.col(text).alias("text")).join(narrow, "node")
+    texts = docs.select(F.col(id).cast("long").alias("node"), F.col(text).alias("text")).join(_small(narrow), "node")
     # each pair of blocks is a task: block i goes to (i, j) and (j, i)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = texts.select("*", other.alias("other")).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
@@ -180,5 +183,5 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: flo
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that stand for their class: those with its least id."""
-    classes = stored(join(docs, id, text), "classes")
-    return docs.join(classes.where(F.col("class_id") != F.col(id)).select(id), id, "left_anti")
+    others = stored(join(docs, id, text).where(F.col("class_id") != F.col(id)).select(id), "others")
+    return docs.join(_small(others), id, "left_anti")
