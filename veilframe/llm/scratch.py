@@ -19,12 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of fewer rows than Spark's default, which holds some 30 MB of texts several
+    times over in each task; a session's own choice stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: cuts the lineage, survives lost
     executors, and gives the planner the true size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

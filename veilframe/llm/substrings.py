@@ -289,7 +289,7 @@ def removed(docs: DataFrame, id: str = "doc_id", text: str = "text", out: str =
     order = np.argsort(first.column("ref").to_numpy())
     refs, least = first.column("ref").to_numpy()[order], first.column("place").to_numpy()[order]
     cold = places.where("hash is not null").select("hash", "place")
-    firsts = cold.groupBy("hash").agg(F.min("place").alias("least"), F.count("*").alias("n")).where("n > 1")
+    firsts = cold.groupBy("hash").agg(F.min("place").alias("least"))
     again = cold.join(firsts, "hash").where("place > least")
     starts = again.select((F.shiftright("place", shift) + base).alias("id"), F.col("place").bitwiseAND(F.lit((1 << shift) - 1)).cast("int").alias("s")).groupBy("id").agg(F.collect_list("s").alias("starts"))
     return _cut(docs.join(starts, "id", "left"), id, out, hot, automata, refs, least, shift, base)
