@@ -13,16 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import bpe, decontaminate, langid, neardup, pii
-from veilframe.llm.scratch import shared_dir
+from veilframe.llm.scratch import shared_dir, small_batches
 
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language the models reject: no letters, or text like no language."""
+    small_batches(spark)
     return langid.keep_known(docs)
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each class of near copies."""
+    small_batches(spark)
     return neardup.keep_one(docs)
 
 
@@ -33,12 +35,14 @@ def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data in the text and counts its characters anew; every document stays."""
+    small_batches(spark)
     columns = docs.columns
     return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(columns)
 
 
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the token ids of each text."""
+    small_batches(spark)
     return bpe.encode(docs)
 
 
