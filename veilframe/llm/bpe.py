@@ -26,8 +26,8 @@ from . import vec
 
 WINDOW = 8  # bytes of the rolling hash
 CUT_BITS = 8  # a cut after every 256th byte on average
-MAX_PARTS = 1_000_000  # parts of words and chunks that a worker remembers before it starts afresh
-MAX_CHUNKS = 30_000
+MAX_PARTS = 400_000  # parts of words and chunks that a worker remembers before it starts afresh
+MAX_CHUNKS = 10_000
 _ROLL = np.random.default_rng(7).integers(0, 1 << 62, 256, dtype=np.uint64)
 
 _BLANK, _LETTER, _DIGIT, _PUNCT, _OTHER = range(5)
