@@ -331,6 +331,23 @@ def test_op9(spark, empty):
     assert kept.columns == docs.columns and kept.count() >= 0.98 * docs.count()
 
 
+@pytest.mark.parametrize("cells", [4000])
+def test_op9_no_ngram_is_cut(spark, monkeypatch, cells):
+    """A small broadcast gives what a whole one gives, and a rare language stays."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rare = [(800_000 + k, f"zażółć gęślą jaźń {k} źdźbło żółw śnieg ćma łąka", "pl") for k in range(6)]
+    docs = docs.union(spark.createDataFrame(rare, docs.schema)).union(spark.createDataFrame([(810_000, None, "en"), (810_001, "1 2", None)], docs.schema))
+    whole, kept = by_id(langid.digest(docs)), by_id(langid.keep_known(docs))
+    monkeypatch.setattr(langid, "MAX_CELLS", cells, raising=False)
+    monkeypatch.setattr(langid, "MAX_NGRAMS", cells // 5, raising=False)
+    got = by_id(langid.digest(docs))
+    assert set(got) == set(whole) and got[800_000]["lang_pred"] == "pl"
+    for i, r in got.items():
+        assert (r["lang_pred"], r["rejected"], r["held_out"]) == (whole[i]["lang_pred"], whole[i]["rejected"], whole[i]["held_out"])
+        assert r["score"] == pytest.approx(whole[i]["score"], abs=1e-3)
+    assert set(by_id(langid.keep_known(docs))) == set(kept)
+
+
 def test_op9_probabilities_sum_to_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs)

@@ -2,8 +2,10 @@
 
 Texts are lower-cased, every run of non-letters becomes one blank, and the model predicts each
 character from the three before it. Counts of 4-grams come from all training texts; lower orders
-use continuation counts derived from them. Probabilities stand in arrays sorted by the n-gram's
-key, one row per n-gram with a column per language. The language with the lowest cross-entropy
+use continuation counts derived from them, all of them: none is cut. Probabilities stand in arrays
+sorted by the n-gram's key, one row per n-gram with a column per language. Where these would be too
+large to broadcast, the tables of all orders stay in Spark: the probabilities of the most frequent
+4-grams are broadcast, and those of all others join the texts that have them. The language with the lowest cross-entropy
 per character is chosen. A part of the training texts is held back from the counts to calibrate
 two things: the sharpness of `score`, and the cross-entropy beyond which a text is rejected.
 
@@ -21,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import vec
+from . import tail, vec
 from .scratch import frequent, stored
 
 ORDER = 4
-MAX_NGRAMS = 1 << 20  # in all: the most frequent stay, a bound on the model's size
+MAX_CELLS = 1 << 22  # probabilities (4-grams times languages) that are broadcast; the others are joined
 CALIBRATION_ROWS = 20_000  # at most, of the held-back training texts
 DISCOUNT = 0.75
 REJECT_SPREAD = 8.0  # standard deviations above a language's mean cross-entropy at least
@@ -120,6 +122,7 @@ class Model:
     floor: float = 0.0
     sharpness: float = 20.0
     limit: list[float] = field(default_factory=list)
+    tables: Tables | None = None  # where the model is too large for the arrays above
 
     def __post_init__(self) -> None:
         self._index: vec.Directory | None = None
@@ -175,7 +178,10 @@ class Model:
         if not self.langs:
             n = part.rows
             return np.full(n, "und", object), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
-        x, count = self.entropies(part)
+        return self.decide(*self.entropies(part))
+
+    def decide(self, x: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As judge(), from the entropies and letters."""
         best = x.argmin(1)
         low = x[np.arange(len(x)), best]
         score = 1 / np.exp(-self.sharpness * (x - low[:, None])).sum(1)
@@ -233,6 +239,101 @@ def _one(keys: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]
     return out
 
 
+@dataclass
+class Tables:
+    """The same probabilities as build() gives, of counts of any size, as tables: log p of the
+    n-grams of each order, the log-weights of the contexts of orders 2 to 4, and the n-grams of
+    order 4 whose probabilities are broadcast."""
+
+    logp: list[DataFrame]  # (gram, p), p an array with a place per language
+    backoff: list[DataFrame]  # (context, w)
+    floor: float
+    langs: list[str]
+    hot: tail.Hot | None = None
+
+    def resolve(self, keys: DataFrame) -> DataFrame:
+        """(key, v) of any 4-grams: log p under each language; unseen n-grams back off."""
+        rows = keys.withColumn("v", F.array(*[F.lit(self.floor)] * len(self.langs)))
+        for order in range(1, ORDER + 1):
+            gram = _suffix(F.col("key"), order)
+            rows = rows.withColumn("gram", gram).join(self.logp[order - 1], "gram", "left")
+            if order > 1:
+                rows = rows.withColumn("context", F.shiftrightunsigned("gram", 16)).join(self.backoff[order - 2], "context", "left")
+                rows = rows.withColumn("v", F.when(F.col("w").isNull(), F.col("v")).otherwise(F.zip_with("v", "w", lambda a, b: a + b)))
+            rows = rows.select("key", F.coalesce("p", "v").alias("v"))
+        return rows
+
+
+def _suffix(gram: Column, order: int) -> Column:
+    return gram if order == ORDER else gram.bitwiseAND(F.lit((1 << 16 * order) - 1))
+
+
+def tabled(counted: DataFrame, langs: list[str]) -> Tables:
+    """Interpolated Kneser-Ney of the 4-gram counts (lang, gram, n) in Spark, as build() has it."""
+    orders = [counted]
+    for order in range(ORDER - 1, 0, -1):
+        low = orders[0].groupBy("lang", _suffix(F.col("gram"), order).alias("gram")).agg(F.count("*").alias("n"))
+        orders.insert(0, stored(low, f"grams-{order}"))
+    floor = -float(np.log(orders[0].select("gram").distinct().count() + 1))
+    by_lang = lambda value: F.array(*(F.coalesce(F.sum(F.when(F.col("lang") == x, value)), F.lit(0)) for x in langs))
+    logp, backoff = [], []
+    for order, table in enumerate(orders, 1):
+        own = table.groupBy("gram").agg(by_lang(F.col("n")).alias("own")).withColumn("context", F.shiftrightunsigned("gram", 16))
+        seen = table.groupBy(F.shiftrightunsigned("gram", 16).alias("context")).agg(by_lang(F.col("n")).alias("total"), by_lang(F.lit(1)).alias("kinds"))
+        lam = F.zip_with("total", "kinds", lambda t, k: F.when(t > 0, DISCOUNT * k / t).otherwise(1.0))
+        seen = seen.select("context", "total", lam.alias("lam"))
+        rows = own.join(seen, "context")
+        if order == 1:
+            rows = rows.withColumn("low", F.array(*[F.lit(floor)] * len(langs)))
+        else:
+            rows = rows.withColumn("rest", _suffix(F.col("gram"), order - 1)).join(logp[-1].select(F.col("gram").alias("rest"), F.col("p").alias("low")), "rest")
+            backoff.append(stored(seen.select("context", F.transform("lam", lambda x: F.log(x)).alias("w")), f"backoff-{order}"))
+        p = F.transform(F.arrays_zip("own", "total", "lam", "low"), lambda x: F.log(F.greatest(x["own"] - DISCOUNT, F.lit(0.0)) / F.greatest(x["total"], F.lit(1)) + x["lam"] * F.exp(x["low"])))
+        logp.append(stored(rows.select("gram", p.alias("p")), f"logp-{order}"))
+    tables = Tables(logp, backoff, floor, langs)
+    often = frequent(counted.groupBy("gram").agg(F.sum("n").alias("n")), MAX_CELLS // len(langs)).select("gram")
+    tables.hot = tail.hot(often.join(logp[-1], "gram").select(F.col("gram").alias("key"), F.col("p").alias("v")), len(langs))
+    return tables
+
+
+def _keys(part: vec.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    chars, first, count = letters(part)
+    return *grams(chars, first), count
+
+
+def measured(docs: DataFrame, model: Model, keep: list[str], text: str) -> DataFrame:
+    """(keep, letters, x): each row's letters and its cross-entropy under each language."""
+    if model.tables:
+        rows = tail.summed(docs, keep, text, _keys, model.tables.hot, model.tables.resolve, SLICE_BYTES)
+        return rows.select(*keep, "letters", F.transform("sums", lambda s: -s / F.greatest("size", F.lit(1))).alias("x"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in vec.slices(batch.column(len(keep)), SLICE_BYTES):
+                x, count = shared.value.entropies(part)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(part.lo, part.rows) for c in batch.columns[: len(keep)]), pa.array(count.astype(np.int64)), lists], names=[*keep, "letters", "x"])
+
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(work, f"{fields}letters long, x array<double>")
+
+
+def _judged(docs: DataFrame, model: Model, keep: list[str], text: str) -> DataFrame:
+    """(keep, lang_pred, score, entropy, rejected) of each row, for a model in tables."""
+    plain = Model(model.langs, sharpness=model.sharpness, limit=model.limit)
+    names = [*keep, "lang_pred", "score", "entropy", "rejected"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count, x = batch.column(len(keep)).to_numpy(), batch.column(len(keep) + 1).flatten().to_numpy().reshape(-1, len(plain.langs))
+            lang, score, low, rejected = plain.decide(x, count)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(low, mask=np.isnan(low)), pa.array(rejected)], names=names)
+
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return measured(docs, model, keep, text).mapInArrow(work, f"{fields}lang_pred string, score double, entropy double, rejected boolean")
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", fold: Column | None = None) -> Model:
     """Fits and calibrates the model on rows with text and language. Where `fold` is 0 modulo 16
     the row is held back from the counts for calibration."""
@@ -240,7 +341,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", fold: Column
     fold = F.pmod(F.xxhash64(text), F.lit(1 << 20)) if fold is None else fold
     docs = docs.withColumn("_fold", fold)
     counted = stored(count_grams(docs.where(F.col("_fold") % 16 != 0), text, lang), "grams")
-    got = frequent(counted, MAX_NGRAMS).toArrow()
+    langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
+    if counted.count() * len(langs) > MAX_CELLS:
+        model = Model(langs, tables=tabled(counted, langs))
+        _calibrate(model, docs.where(F.col("_fold") % 16 == 0), text, lang)
+        return model
+    got = counted.toArrow()
     names = np.array(got.column("lang").to_pylist(), object)
     gram, n = got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
     counts = {}
@@ -254,24 +360,24 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", fold: Column
     return model
 
 
-def _calibrate(model: Model, held: DataFrame, text: str, lang: str) -> None:
-    names = [f"x{k}" for k in range(len(model.langs))]
+def _noise_entropy(docs: DataFrame, model: Model) -> float:
+    """The least cross-entropy of random letters of the model's alphabet."""
+    alphabet = model.keys[0] if not model.tables else np.sort(model.tables.logp[0].select("gram").toArrow().column("gram").to_numpy())
+    alphabet = alphabet[alphabet != _BLANK].astype(np.uint32)
+    noise = np.random.default_rng(5).choice(alphabet, 4000).astype("<u4").tobytes().decode("utf-32-le", "replace")
+    if model.tables:
+        return min(measured(docs.sparkSession.createDataFrame([(noise,)], "noise string"), model, [], "noise").first()["x"])
+    noise = noise.encode()
+    return float(model.entropies(vec.Slice(0, 1, np.frombuffer(noise, np.uint8), np.array([0, len(noise)]), np.ones(1, bool)))[0].min())
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in vec.slices(batch.column(0), SLICE_BYTES):
-                x, count = model.entropies(part)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(part.lo, part.rows), pa.array(count.astype(np.int64)), *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=["lang", "letters", *names])
 
-    schema = "lang string, letters long, " + ", ".join(f"{x} double" for x in names)
-    rows = held.select(text, lang).mapInArrow(work, schema).where(f"letters >= {MIN_LETTERS}").limit(CALIBRATION_ROWS).toArrow()
-    true = rows.column("lang").to_pylist()
-    x = np.stack([rows.column(c).to_numpy() for c in names], 1) if len(true) else np.zeros((0, len(names)))
+def _calibrate(model: Model, held: DataFrame, text: str, lang: str) -> None:
+    rows = measured(held, model, [lang], text).where(f"letters >= {MIN_LETTERS}").limit(CALIBRATION_ROWS).toArrow()
+    true = rows.column(lang).to_pylist()
+    x = np.array(rows.column("x").to_pylist()).reshape(len(true), len(model.langs))
     which = np.array([model.langs.index(t) if t in model.langs else -1 for t in true])
     # random letters of the model's alphabet: a text is rejected if it lies nearer to them than to its language
-    alphabet = model.keys[0][model.keys[0] != _BLANK].astype(np.uint32)
-    noise = np.random.default_rng(5).choice(alphabet, 4000).astype("<u4").tobytes().decode("utf-32-le", "replace").encode()
-    noise = model.entropies(vec.Slice(0, 1, np.frombuffer(noise, np.uint8), np.array([0, len(noise)]), np.ones(1, bool)))[0].min()
+    noise = _noise_entropy(held, model)
     for k in range(len(model.langs)):
         own = x[which == k, k]
         model.limit.append(float(max(own.mean() + REJECT_SPREAD * own.std(), (own.mean() + noise) / 2)) if len(own) >= 30 else float("inf"))
@@ -288,8 +394,10 @@ def _calibrate(model: Model, held: DataFrame, text: str, lang: str) -> None:
 
 def predict(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, lang_pred, score, entropy, rejected) of each row."""
+    if model.tables:
+        return _judged(docs, model, [id], text)
     names = [id, "lang_pred", "score", "entropy", "rejected"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_NGRAMS rows
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_CELLS probabilities an order
     kind = docs.schema[id].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,9 +425,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of `docs` whose text the model doesn't reject, told by the text itself: no join."""
+    """The rows of `docs` whose text the model doesn't reject, told by the text itself: no join
+    unless the model is too large to broadcast."""
     model = train(docs.where(~held_out(id)), text, lang, fold=F.floor(_crc(id) / 3))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_NGRAMS rows
+    if model.tables:
+        one, two = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+        bad = _judged(docs.select(one.alias("_one"), two.alias("_two"), text), model, ["_one", "_two"], text).where("rejected").select("_one", "_two").distinct()
+        bad = stored(bad, "rejected")
+        return docs.join(bad, (one == bad["_one"]) & (two == bad["_two"]), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_CELLS probabilities an order
     where = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
