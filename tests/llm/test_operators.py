@@ -232,6 +232,18 @@ def test_op6_learns_what_rules_block(spark):
     assert np.mean(right) >= 0.95
 
 
+def test_op6_no_ngram_is_cut(spark, monkeypatch):
+    """A small broadcast gives what a whole one gives."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").limit(150).collect()
+    pages = spark.createDataFrame([tuple(r) for r in pages] + [(10_000 + k, u) for k, u in enumerate(URLS)], "page_id long, url string")
+    whole = {r["page_id"]: r for r in urls.judge(pages).collect()}
+    monkeypatch.setattr(urls, "MAX_NGRAMS", 200)
+    got = {r["page_id"]: r for r in urls.judge(pages).collect()}
+    assert set(got) == set(whole) and any(r["llr"] for r in whole.values())
+    for i, r in got.items():
+        assert r["verdict"] == whole[i]["verdict"] and r["llr"] == (whole[i]["llr"] if r["llr"] is None else pytest.approx(whole[i]["llr"]))
+
+
 def test_op7(docs, rows, empty):
     got = by_id(quality.digest(docs))
     for i, t in rows:

@@ -3,6 +3,9 @@
 Host and path rules accept or block a URL; the most specific one wins. URLs under no rule are
 judged by two variable-order Markov models with Witten-Bell smoothing, one of accepted and one of
 blocked URLs, as the difference of log-likelihoods per character against a calibrated threshold.
+No n-gram is cut: counts, context totals and numbers of followers are those of all training URLs.
+Where the models would be too large to broadcast they stay in tables; the log-ratios of the most
+frequent n-grams are broadcast, and those of all others join the URLs that have them.
 
 A null URL, or one without ://, has an empty host and path, so no rule fits it, and the models
 judge its text (null: empty). An empty text scores 0. If one of the classes has no URL to learn
@@ -18,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import vec
+from . import tail, vec
 from .scratch import frequent, stored
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 ORDER = 6
-MAX_NGRAMS = 1 << 20  # per class: the most frequent stay, a bound on the model's size
+MAX_NGRAMS = 1 << 19  # of the full order that are broadcast; the others are joined
 CALIBRATION_ROWS = 20_000  # at most, of the held-back labelled URLs
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,54 +49,66 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return rule, verdict
 
 
-def _contexts(part: vec.Slice) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For each order 0 to ORDER the keys of contexts and of contexts with the next byte, for all
-    bytes of all rows; a context doesn't reach over the row's start. And each row's bounds."""
-    data, offsets = vec.LOWER[part.data], part.offsets
-    depth = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    sums = vec.prefix_hash(data)
-    at = np.arange(len(data))
-    contexts, grams = [], []
-    for k in range(ORDER + 1):
-        start = at - np.minimum(depth, k)
-        short = (np.minimum(depth, k) < k).astype(np.uint64)  # a shorter context at the start counts as its own
-        contexts.append(vec.span_hash(sums, start, at) + short)
-        grams.append(vec.span_hash(sums, start, at + 1) + short)
-    return contexts, grams, offsets
+def _keys(part: vec.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte the n-gram of the full order that it ends: the number of bytes before it (at
+    most ORDER, none beyond the row's start), then their values and its own, lowest. Each row's first."""
+    data, offsets = vec.LOWER[part.data].astype(np.uint64), part.offsets
+    depth = np.minimum(np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets)), ORDER)
+    key = data | depth.astype(np.uint64) << np.uint64(56)
+    for k in range(1, ORDER + 1):
+        key[k:] |= np.where(depth[k:] >= k, data[:-k] << np.uint64(8 * k), np.uint64(0))
+    return key, offsets, np.zeros(part.rows, np.int64)
+
+
+def _suffix(key: np.ndarray, order: int) -> np.ndarray:
+    """The n-grams of a lower order with the same end."""
+    depth = np.minimum(key >> np.uint64(56), np.uint64(order))
+    return depth << np.uint64(56) | key & ((np.uint64(1) << np.uint64(8) * (depth + np.uint64(1))) - np.uint64(1))
+
+
+def _context(gram: np.ndarray) -> np.ndarray:
+    """What stands before the last byte."""
+    return gram >> np.uint64(56) << np.uint64(56) | (gram & np.uint64((1 << 56) - 1)) >> np.uint64(8)
+
+
+def _suffix_of(key: str, order: int) -> Column:
+    """As _suffix(), of a column."""
+    depth = f"least(shiftrightunsigned({key}, 56), {order}L)"
+    return F.expr(f"shiftleft({depth}, 56) | ({key} & (shiftleft(1L, cast(8 * ({depth} + 1) as int)) - 1))")
+
+
+def _context_of(gram: str) -> Column:
+    return F.expr(f"shiftleft(shiftrightunsigned({gram}, 56), 56) | shiftright({gram} & {(1 << 56) - 1}L, 8)")
 
 
 def count_ngrams(urls: DataFrame, url: str, label: str) -> DataFrame:
-    """(label, k, context, gram, n) over all rows."""
+    """(label, gram, n) over all rows, for the full order: the lower ones' counts follow from it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = np.array(batch.column(1).to_pylist(), object)
             for part in vec.slices(batch.column(0)):
-                contexts, grams, offsets = _contexts(part)
+                key, offsets, _ = _keys(part)
                 which = np.repeat(names[part.lo : part.hi], np.diff(offsets))
                 for name in sorted(set(names[part.lo : part.hi])):
-                    mine = which == name
-                    for k in range(ORDER + 1):
-                        gram, first, n = np.unique(grams[k][mine], return_index=True, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(np.full(len(gram), k, np.int32)), pa.array(contexts[k][mine][first].view(np.int64)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["label", "k", "context", "gram", "n"])
+                    gram, n = np.unique(key[which == name], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["label", "gram", "n"])
 
-    parts = urls.select(url, label).mapInArrow(work, "label string, k int, context long, gram long, n long")
-    return parts.groupBy("label", "k", "context", "gram").agg(F.sum("n").alias("n"))
+    parts = urls.select(url, label).mapInArrow(work, "label string, gram long, n long")
+    return parts.groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
 class Markov:
     """One class: n-gram counts, and the total and number of followers of each context, by order,
     in arrays sorted by key."""
 
-    def __init__(self, table: pa.Table):
-        k, context, gram, n = (table.column(c).to_numpy() for c in ("k", "context", "gram", "n"))
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
         self.grams, self.contexts = [], []
         for order in range(ORDER + 1):
-            mine = k == order
-            g, c, m = gram[mine].view(np.uint64), context[mine].view(np.uint64), n[mine]
-            at = np.argsort(g)
-            self.grams.append((g[at], m[at].astype(np.float64)))
-            names, inverse = np.unique(c, return_inverse=True)
+            g, inverse = np.unique(_suffix(gram, order), return_inverse=True)
+            m = np.bincount(inverse, n, len(g))
+            self.grams.append((g, m))
+            names, inverse = np.unique(_context(g), return_inverse=True)
             self.contexts.append((names, np.bincount(inverse, m, len(names)), np.bincount(inverse, minlength=len(names)).astype(np.float64)))
 
     @staticmethod
@@ -104,31 +119,61 @@ class Markov:
         hit = keys[at] == key
         return [np.where(hit, v[at], 0.0) for v in values]
 
-    def logp(self, contexts: list[np.ndarray], grams: list[np.ndarray]) -> np.ndarray:
+    def logp(self, key: np.ndarray) -> np.ndarray:
         """Witten-Bell: each order's share, and for the rest the order below; 1/256 at the bottom."""
-        p = np.full(len(grams[0]), 1 / 256)
+        p = np.full(len(key), 1 / 256)
         for k in range(ORDER + 1):
+            gram = _suffix(key, k)
             names, total, kinds = self.contexts[k]
-            total, kinds = self._get(names, contexts[k], total, kinds)
-            (n,) = self._get(self.grams[k][0], grams[k], self.grams[k][1])
+            total, kinds = self._get(names, _context(gram), total, kinds)
+            (n,) = self._get(self.grams[k][0], gram, self.grams[k][1])
             p = np.where(total > 0, (n + kinds * p) / np.maximum(total + kinds, 1), p)
         return np.log(p)
 
 
+class Tables:
+    """Both classes' counts as tables by order, for any size: (gram, allow, block), and (context)
+    with the totals and numbers of followers. The log-ratios of the most frequent n-grams in `hot`."""
+
+    def __init__(self, counts: DataFrame):
+        self.grams, self.contexts = [], []
+        of = lambda name: F.sum(F.when(F.col("label") == name, F.col("n")).otherwise(0)).alias(name)
+        for order in range(ORDER + 1):
+            grams = stored(counts.groupBy(_suffix_of("gram", order).alias("gram")).agg(of("allow"), of("block")), f"url-grams-{order}")
+            sums = [x for c in ("allow", "block") for x in (F.sum(c).alias(f"{c}_total"), F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds"))]
+            self.grams.append(grams)
+            self.contexts.append(stored(grams.groupBy(_context_of("gram").alias("context")).agg(*sums), f"url-contexts-{order}"))
+        often = frequent(self.grams[ORDER].select("gram", (F.col("allow") + F.col("block")).alias("n")), MAX_NGRAMS)
+        self.hot = tail.hot(self.resolve(often.select(F.col("gram").alias("key"))), 1)
+
+    def resolve(self, keys: DataFrame) -> DataFrame:
+        """(key, v) of any n-grams: v has log P under `allow` less that under `block`, as logp() has them."""
+        rows = keys.withColumns({"p_allow": F.lit(1 / 256), "p_block": F.lit(1 / 256)})
+        for order in range(ORDER + 1):
+            rows = rows.withColumn("gram", _suffix_of("key", order)).join(self.grams[order], "gram", "left")
+            rows = rows.withColumn("context", _context_of("gram")).join(self.contexts[order], "context", "left")
+            p = {c: F.when(F.col(f"{c}_total") > 0, (F.coalesce(c, F.lit(0)) + F.col(f"{c}_kinds") * F.col(f"p_{c}")) / (F.col(f"{c}_total") + F.col(f"{c}_kinds"))).otherwise(F.col(f"p_{c}")) for c in ("allow", "block")}
+            rows = rows.select("key", *(p[c].alias(f"p_{c}") for c in p))
+        return rows.select("key", F.array(F.log("p_allow") - F.log("p_block")).alias("v"))
+
+
 class Ratio:
     """log-likelihood of `allow` less that of `block`, per character."""
 
-    def __init__(self, allow: Markov, block: Markov, threshold: float = 0.0):
-        self.allow, self.block, self.threshold = allow, block, threshold
+    def __init__(self, allow: Markov | None, block: Markov | None, tables: Tables | None = None):
+        self.allow, self.block, self.tables, self.threshold = allow, block, tables, 0.0
 
     def scores(self, part: vec.Slice) -> np.ndarray:
-        contexts, grams, offsets = _contexts(part)
-        gap = self.allow.logp(contexts, grams) - self.block.logp(contexts, grams)
+        key, offsets, _ = _keys(part)
+        gap = self.allow.logp(key) - self.block.logp(key)
         return vec.row_sums(gap, offsets) / np.maximum(np.diff(offsets), 1)
 
 
 def _scored(urls: DataFrame, model: Ratio, keep: list[str], url: str = "url") -> DataFrame:
-    shared = urls.sparkSession.sparkContext.broadcast(model)  # at most MAX_NGRAMS rows a class and order
+    if model.tables:
+        sums = tail.summed(urls, keep, url, _keys, model.tables.hot, model.tables.resolve)
+        return sums.select(*keep, (F.col("sums")[0] / F.greatest("size", F.lit(1))).alias("llr"))
+    shared = urls.sparkSession.sparkContext.broadcast(model)  # at most MAX_NGRAMS rows an order
     fields = ", ".join(f"`{c}` {urls.schema[c].dataType.simpleString()}" for c in keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +190,14 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", id: str =
     class alike. None if a class is missing."""
     labelled = labelled.withColumn("_fold", vec.crc_mod(id, 5))
     counts = stored(count_ngrams(labelled.where("_fold > 0"), url, label), "url-ngrams")
-    markov = {}
-    for name in ("allow", "block"):
-        mine = frequent(counts.where(F.col("label") == name), MAX_NGRAMS).toArrow()
-        if not len(mine):
-            return None
-        markov[name] = Markov(mine)
-    model = Ratio(markov["allow"], markov["block"])
+    if counts.select("label").distinct().count() < 2:
+        return None
+    if counts.count() > MAX_NGRAMS:
+        model = Ratio(None, None, Tables(counts))
+    else:
+        got = counts.toArrow()
+        names, gram, n = np.array(got.column("label").to_pylist(), object), got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
+        model = Ratio(*(Markov(gram[names == name], n[names == name]) for name in ("allow", "block")))
     held = _scored(labelled.where("_fold = 0"), model, [label], url).limit(CALIBRATION_ROWS).toArrow()
     llr, good = held.column("llr").to_numpy(), np.array(held.column(label).to_pylist(), object) == "allow"
     if good.any() and not good.all():
