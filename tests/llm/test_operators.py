@@ -244,6 +244,19 @@ def test_op6_no_ngram_is_cut(spark, monkeypatch):
         assert r["verdict"] == whole[i]["verdict"] and r["llr"] == (whole[i]["llr"] if r["llr"] is None else pytest.approx(whole[i]["llr"]))
 
 
+def test_op6_threshold_without_a_held_back_class(spark):
+    """All blocked URLs are among those that the models learn from."""
+    allowed = [(k, f"http://news{k % 50}.com/article/{k}") for k in range(200)]
+    blocked = [(k, f"http://casino{k % 50}.net/fr/spin-win/{k}") for k in range(1000, 1200) if zlib.crc32(str(k).encode()) % 5]
+    rows = spark.createDataFrame([(i, u, "allow") for i, u in allowed] + [(i, u, "block") for i, u in blocked], "page_id long, url string, label string")
+    assert urls.train(rows).threshold != 0
+
+
+def test_op6_cut():
+    bins = [-20, -10, -5, 0, 30]
+    assert urls.cut(bins, np.array([0, 0, 1, 9, 90]), np.array([500, 400, 90, 9, 1])) == pytest.approx(-0.002)
+
+
 def test_op7(docs, rows, empty):
     got = by_id(quality.digest(docs))
     for i, t in rows:
@@ -360,6 +373,17 @@ def test_op9_no_ngram_is_cut(spark, monkeypatch, cells):
     assert set(by_id(langid.keep_known(docs))) == set(kept)
 
 
+def test_op9_limits(spark):
+    """A quantile of all held-back texts; languages with few of them have one too."""
+    many, few = [(k, 100) for k in range(1300, 1400)] + [(9000, 5)], [(1700, 3)]
+    assert langid.limits([many, few, []], 5.0) == pytest.approx([1.4, 1.701, 1.4])
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    assert len(model.limit) == len(model.langs) and all(map(math.isfinite, model.limit))
+    noise = "".join(np.random.default_rng(1).choice(list("qxzjkwvyñç"), 2000))
+    assert langid.predict(spark.createDataFrame([(1, noise)], "doc_id long, text string"), model).first()["rejected"]
+
+
 def test_op9_probabilities_sum_to_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs)

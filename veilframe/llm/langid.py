@@ -7,7 +7,8 @@ sorted by the n-gram's key, one row per n-gram with a column per language. Where
 large to broadcast, the tables of all orders stay in Spark: the probabilities of the most frequent
 4-grams are broadcast, and those of all others join the texts that have them. The language with the lowest cross-entropy
 per character is chosen. A part of the training texts is held back from the counts to calibrate
-two things: the sharpness of `score`, and the cross-entropy beyond which a text is rejected.
+two things: the sharpness of `score`, and the cross-entropy beyond which a text is rejected. Both
+come from sums and histograms over all held-back texts.
 
 A text that is null or has no letter gets `und`, score 0 and is rejected. Ties go to the language
 that sorts first. With no training rows at all every text gets `und`.
@@ -28,9 +29,11 @@ from .scratch import frequent, stored
 
 ORDER = 4
 MAX_CELLS = 1 << 22  # probabilities (4-grams times languages) that are broadcast; the others are joined
-CALIBRATION_ROWS = 20_000  # at most, of the held-back training texts
 DISCOUNT = 0.75
-REJECT_SPREAD = 8.0  # standard deviations above a language's mean cross-entropy at least
+KEEP = 0.999  # share of a language's held-back texts that its limit lets through
+ENOUGH = 1000  # held-back texts for a limit of its own
+SHARPNESS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0)
+BINS = 1000  # of the histograms of cross-entropies, for each nat
 MIN_LETTERS = 40  # shorter texts are never rejected for their cross-entropy
 SLICE_BYTES = 1 << 20  # a slice takes some 60 times its bytes as arrays
 _BLANK = 0x20
@@ -372,24 +375,36 @@ def _noise_entropy(docs: DataFrame, model: Model) -> float:
 
 
 def _calibrate(model: Model, held: DataFrame, text: str, lang: str) -> None:
-    rows = measured(held, model, [lang], text).where(f"letters >= {MIN_LETTERS}").limit(CALIBRATION_ROWS).toArrow()
-    true = rows.column(lang).to_pylist()
-    x = np.array(rows.column("x").to_pylist()).reshape(len(true), len(model.langs))
-    which = np.array([model.langs.index(t) if t in model.langs else -1 for t in true])
-    # random letters of the model's alphabet: a text is rejected if it lies nearer to them than to its language
-    noise = _noise_entropy(held, model)
-    for k in range(len(model.langs)):
-        own = x[which == k, k]
-        model.limit.append(float(max(own.mean() + REJECT_SPREAD * own.std(), (own.mean() + noise) / 2)) if len(own) >= 30 else float("inf"))
-    ok = which >= 0
-    if ok.sum() >= 30 and len(model.langs) > 1:
-        best = None
-        for sharp in (1.0, 2.0, 5.0, 10.0, 20.0, 50.0):
-            z = -sharp * (x[ok] - x[ok].min(1, keepdims=True))
-            loss = -np.mean(z[np.arange(len(z)), which[ok]] - np.log(np.exp(z).sum(1)))
-            if best is None or loss < best[0]:
-                best = (loss, sharp)
-        model.sharpness = best[1]
+    langs = F.array(*(F.lit(x) for x in model.langs))
+    rows = measured(held, model, [lang], text).where(f"letters >= {MIN_LETTERS}")
+    rows = rows.select(F.array_position(langs, F.col(lang)).cast("int").alias("k"), "x", F.array_min("x").alias("low")).where("k > 0")
+    rows = rows.withColumn("own", F.get("x", F.col("k") - 1))
+    loss = [F.sum(sharp * (F.col("own") - F.col("low")) + F.log(F.aggregate(F.transform("x", lambda v, s=sharp: F.exp(-s * (v - F.col("low")))), F.lit(0.0), lambda a, v: a + v))) for sharp in SHARPNESS]
+    bins = rows.groupBy("k", F.floor(F.col("own") * BINS).alias("bin")).agg(F.count("*").alias("n"), *(x.alias(f"loss{i}") for i, x in enumerate(loss))).collect()
+    per = [sorted((r["bin"], r["n"]) for r in bins if r["k"] == k) for k in range(1, len(model.langs) + 1)]
+    model.limit = limits(per, _noise_entropy(held, model))
+    if sum(r["n"] for r in bins) >= 30 and len(model.langs) > 1:
+        model.sharpness = SHARPNESS[int(np.argmin([sum(r[f"loss{i}"] for r in bins) for i in range(len(SHARPNESS))]))]
+
+
+def _quantile(bins: list[tuple[int, int]], share: float) -> float:
+    """The upper edge of the bin with it."""
+    upto = np.cumsum([n for _, n in bins])
+    return (bins[int(np.searchsorted(upto, share * upto[-1]))][0] + 1) / BINS
+
+
+def limits(per: list[list[tuple[int, int]]], noise: float) -> list[float]:
+    """Each language's limit from its histogram (bin, n): the quantile KEEP of its own texts if it
+    has ENOUGH of them, else that of all languages' texts, or its own largest. Where all together
+    aren't enough, a text that lies nearer to its language than to random letters stays too."""
+    count: dict[int, int] = {}
+    for b, n in (x for own in per for x in own):
+        count[b] = count.get(b, 0) + n
+    every = sorted(count.items())
+    pooled = _quantile(every, KEEP) if every else noise
+    if every and sum(count.values()) < ENOUGH:
+        pooled = max(pooled, (_quantile(every, 0.5) + noise) / 2)
+    return [_quantile(own, KEEP) if sum(n for _, n in own) >= ENOUGH else max(pooled, _quantile(own, 1.0) if own else 0.0) for own in per]
 
 
 def predict(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:

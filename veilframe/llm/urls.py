@@ -28,7 +28,7 @@ from .scratch import frequent, stored
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 ORDER = 6
 MAX_NGRAMS = 1 << 19  # of the full order that are broadcast; the others are joined
-CALIBRATION_ROWS = 20_000  # at most, of the held-back labelled URLs
+BINS = 1000  # of the histograms of log-ratios, for each unit
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -187,7 +187,7 @@ def _scored(urls: DataFrame, model: Ratio, keep: list[str], url: str = "url") ->
 
 def train(labelled: DataFrame, url: str = "url", label: str = "label", id: str = "page_id") -> Ratio | None:
     """Fits on 4 of 5 labelled URLs, the threshold on the rest: the one that errs least on either
-    class alike. None if a class is missing."""
+    class alike. Where the rest lacks a class, on all labelled URLs. None if a class is missing."""
     labelled = labelled.withColumn("_fold", vec.crc_mod(id, 5))
     counts = stored(count_ngrams(labelled.where("_fold > 0"), url, label), "url-ngrams")
     if counts.select("label").distinct().count() < 2:
@@ -198,18 +198,23 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", id: str =
         got = counts.toArrow()
         names, gram, n = np.array(got.column("label").to_pylist(), object), got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
         model = Ratio(*(Markov(gram[names == name], n[names == name]) for name in ("allow", "block")))
-    held = _scored(labelled.where("_fold = 0"), model, [label], url).limit(CALIBRATION_ROWS).toArrow()
-    llr, good = held.column("llr").to_numpy(), np.array(held.column(label).to_pylist(), object) == "allow"
-    if good.any() and not good.all():
-        order = np.argsort(llr, kind="stable")
-        llr, good = llr[order], good[order]
-        lost = np.concatenate([[0], np.cumsum(good)]) / good.sum()  # accepted URLs below the cut
-        let = 1 - np.concatenate([[0], np.cumsum(~good)]) / (~good).sum()
-        k = int(np.argmin(lost + let))
-        model.threshold = float(llr[0] - 1e-9 if k == 0 else llr[-1] + 1e-9 if k == len(llr) else (llr[k - 1] + llr[k]) / 2)
+    for some in (labelled.where("_fold = 0"), labelled):
+        got = _scored(some, model, [label], url).groupBy(F.floor(F.col("llr") * BINS).alias("bin")).agg(F.sum((F.col(label) == "allow").cast("long")).alias("good"), F.count("*").alias("n")).orderBy("bin").collect()
+        good, every = np.array([r["good"] for r in got]), np.array([r["n"] for r in got])
+        if 0 < good.sum() < every.sum():
+            model.threshold = cut([r["bin"] for r in got], good, every - good)
+            break
     return model
 
 
+def cut(bins: list[int], good: np.ndarray, bad: np.ndarray) -> float:
+    """The log-ratio between two bins that errs least, in the middle of the gap there."""
+    lost = np.concatenate([[0], np.cumsum(good)]) / good.sum()  # accepted URLs below the cut
+    let = 1 - np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
+    k = int(np.argmin(lost + let))
+    return (bins[0] / BINS - 1e-9) if k == 0 else (bins[-1] + 1) / BINS if k == len(bins) else (bins[k - 1] + 1 + bins[k]) / 2 / BINS
+
+
 def judge(pages: DataFrame, id: str = "page_id", url: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, llr); llr is null where a rule decides."""
     host, path = host_and_path(F.col(url))
