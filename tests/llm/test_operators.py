@@ -165,6 +165,14 @@ def test_op4_repeated_rows(spark):
     assert got == [(1, 0), (3, 1), (3, 1)]
 
 
+def test_op4_null_ids(spark):
+    df = spark.createDataFrame([(None, "x one y"), (None, "other"), (1, "x one y"), (2, "y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "one")], "item_id long, text string")
+    got = {(r["doc_id"], r["n_words"], r["n_hit"], r["contaminated"]) for r in decontaminate.digest(df, bench).collect()}
+    assert got == {(None, 3, 1, True), (None, 1, 0, False), (1, 3, 1, True), (2, 1, 0, False)}
+    assert {tuple(r) for r in decontaminate.clean(df, bench.withColumn("item_id", F.lit(5))).collect()} == {(None, "other"), (2, "y")}
+
+
 def _luhn(x):
     return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(x))) % 10 == 0
 

@@ -14,7 +14,7 @@ how often the documents have them, rarest first. The steps:
 4. Candidates meet their documents' words again, and a window counts if all words are equal.
 
 Rows of documents are told apart by id and text, so repeated rows each get the same answer.
-Null and empty texts have no words; they hold no window and aren't contaminated. Items without
+A null id is an id like any other. Null and empty texts have no words; they hold no window and aren't contaminated. Items without
 words have no window. An empty benchmark leaves every document clean.
 """
 
@@ -49,6 +49,15 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
+def _meet(left: DataFrame, right: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """As join(), but a null meets a null; the columns are those of `left`."""
+    right = right.withColumnsRenamed({c: f"_{c}" for c in columns})
+    same = F.lit(True)
+    for c in columns:
+        same = same & left[c].eqNullSafe(right[f"_{c}"])
+    return left.join(right, same, how).drop(*(f"_{c}" for c in columns))
+
+
 def windows_of(benchmark: DataFrame, id: str, text: str) -> DataFrame:
     """(item, start, words) of each window; start is its place in the item."""
     items = benchmark.select(F.col(id).alias("item"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
@@ -99,8 +108,8 @@ def held_windows(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     candidates = found.join(_small(prefix), "token").where(bounds).select("id", "row", "window", start.alias("start")).distinct()
     listed = candidates.join(windows, "window").groupBy("id", "row").agg(F.collect_list(F.struct("start", F.size("words").alias("length"), "window", "words")).alias("c"))
     listed = stored(listed, "candidates")
-    rows = docs.join(_small(listed.select("id").distinct()), "id", "left_semi").withColumn("row", F.xxhash64("text"))
-    rows = rows.join(listed, ["id", "row"]).select("id", "row", "c", words_of(F.col("text")).alias("w")).dropDuplicates(["id", "row"])
+    rows = _meet(docs, _small(listed.select("id").distinct()), ["id"], "left_semi").withColumn("row", F.xxhash64("text"))
+    rows = _meet(rows, listed, ["id", "row"], "inner").select("id", "row", "c", words_of(F.col("text")).alias("w")).dropDuplicates(["id", "row"])
     same = F.filter("c", lambda x: F.slice(F.col("w"), x["start"] + 1, x["length"]) == x["words"])
     held = rows.select("id", "row", F.transform(same, lambda x: F.struct(x["start"], x["length"], x["window"])).alias("spans")).where(F.size("spans") > 0)
     return found.where(F.col("token") == _LAST).select("id", "row", "n_words"), stored(held, "held"), placed.select("window", "item").distinct()
@@ -114,7 +123,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     hit = held.select("id", "row", F.size(F.array_distinct(covered)).alias("n_hit"))
     names = held.select("id", "row", F.explode("spans.window").alias("window")).distinct().join(_small(items), "window")
     names = names.groupBy("id", "row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    out = every.join(hit.join(names, ["id", "row"]), ["id", "row"], "left")
+    out = _meet(every, _meet(hit, names, ["id", "row"], "inner"), ["id", "row"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     out = out.select("id", "row", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed("id", id)
@@ -128,7 +137,8 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that aren't contaminated."""
     bad = judge(docs, benchmark, id, text).where("contaminated").select(id, "row").distinct()
-    return docs.withColumn("row", F.xxhash64(text)).join(_small(bad), [id, "row"], "left_anti").select(*docs.columns)
+    bad = _small(bad.select(F.col(id).alias("_id"), F.col("row").alias("_row")))
+    return docs.join(bad, docs[id].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text]) == bad["_row"]), "left_anti")
 
 
 #: DuckDB SQL of `digest`.
