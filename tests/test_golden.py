@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import spans as S
 from veilframe.functions import text as X
-from veilframe.operators import anonymity, contextual, evaluate, explicit, policy, population, quasi, sweep
-from veilframe.sources import blocks, results
+from veilframe.operators import anonymity, assess, contextual, evaluate, explicit, features, policy, population, quasi, sweep
+from veilframe.sources import blocks, literal, results, shared
 from veilframe.streaming import resume
 
 
@@ -175,3 +175,117 @@ def test_stream_resumes(spark, tmp_path):
     df.where("id = 1").selectExpr("3L AS id", "v").write.mode("append").parquet(str(tmp_path / "in"))
     resume.run_available(resume.read_files(spark, str(tmp_path / "in"), df.schema), lambda x: x, str(tmp_path / "out"), str(tmp_path / "cp"), "id")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_pattern_spans_are_of_the_whole_match(spark):
+    text = "He is 034 years old, works as a glass blower, DOB: 3/7/1985, zip 10003, OH 10007"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    got = quasi.extract(df).select(F.explode("qis").alias("q")).select("q.*").collect()
+    found = {(q["qi_type"], q["normalized_value"]): q for q in got}
+    age = found[("age", "34")]
+    assert (age["raw_value"], age["start_pos"], age["end_pos"], age["method"]) == ("034 years old", 6, 19, "ner")
+    job = found[("occupation", "glass blower")]
+    assert (job["raw_value"], job["start_pos"], job["end_pos"]) == ("works as a glass blower", 21, 44)
+    born = found[("date_of_birth", "3/7/1985")]
+    assert (born["raw_value"], text[born["start_pos"] : born["end_pos"]]) == ("DOB: 3/7/1985", "DOB: 3/7/1985")
+    near, after = found[("zip_code", "10003")], found[("zip_code", "10007")]
+    assert near["raw_value"] == "10003" and text[near["start_pos"] : near["end_pos"]] == "10003"
+    assert after["raw_value"] == "OH 10007" and text[after["start_pos"] : after["end_pos"]] == "10007"
+    assert len(got) == len(found)
+
+
+def test_births_count_in_the_expected_k(spark):
+    """40 years at the day: one in 365.25 of the age's people, by hand."""
+    table = literal.table(spark, [("age", "40", 0.02, 4_000_000, "bands"), ("gender", "male", 0.5, 160_000_000, "sexes")], population.SCHEMA)
+    qi = "array<struct<qi_type:string,raw_value:string,normalized_value:string,confidence:double,start_pos:int,end_pos:int,method:string>>"
+    rows = [(1, "DOB 3/7/1985 male", [("date_of_birth", "DOB 3/7/1985", "3/7/1985", 0.95, 0, 12, "pattern"), ("gender", "male", "male", 0.95, 13, 17, "ner")]), (2, "male", [("gender", "male", "male", 0.95, 0, 4, "ner")]), (3, "", [])]
+    df = spark.createDataFrame(rows, f"id long, text string, qis {qi}")
+    got = {r["id"]: r for r in anonymity.score(anonymity.with_frequencies(df, table, "id", today=F.lit("2026-01-01").cast("date")), people=1_000_000.0).collect()}
+    assert got[1]["expected_k"] == pytest.approx(1_000_000 * 0.02 / 365.25 * 0.5)
+    assert got[1]["qis"][0]["population_count"] == 10951 and got[1]["qis"][0]["source"] == "bands, by day of birth"
+    assert got[2]["expected_k"] == 500_000 and got[3]["expected_k"] == 1_000_000
+
+
+def test_replies_that_break_a_row(spark):
+    text = "a nurse in Texas"
+    good = '{"type":"occupation","raw_value":"NURSE","confidence":"0.7"}'
+    replies = {"good": f"[{good}]", "not an object": f'[{good},"x"]', "odd confidence": f'[{good},{{"type":"location","raw_value":"Texas","confidence":null}}]', "odd value": f'[{good},{{"type":"location","raw_value":"Texas","normalized_value":7}}]', "unknown type": f'[{good},{{"type":"planet","raw_value":7,"confidence":[]}}]', "absent value": f'[{good},{{"type":"location","raw_value":"Mars","normalized_value":7}}]'}
+    df = spark.createDataFrame([(k, text, f'{{"quasi_identifiers":{v}}}') for k, v in replies.items()], "k string, text string, reply string")
+    got = {r["k"]: r["q"] for r in df.select("k", quasi.validate(F.col("text"), quasi.parse_reply(F.col("reply"))).alias("q")).collect()}
+    assert {k for k, v in got.items() if v} == {"good", "unknown type", "absent value"}
+    q = got["good"][0]
+    assert (q["raw_value"], q["normalized_value"], q["confidence"], q["start_pos"], q["end_pos"]) == ("NURSE", "nurse", 0.7, 2, 7)
+
+
+@pytest.mark.parametrize(("value", "want"), [('{"score":{"value":["low",{"x":{"prob":0.8}}]}}', 0.8), ("-0.5", -0.5), ("[-0.5]", 0.0), ('{"a":{"b":{"c":0.3}}}', 0.3), ('{"confidence":[[],{}]}', 0.0)])
+def test_nested_confidence(spark, value, want):
+    assert one(spark, contextual.confidence(F.try_parse_json(F.lit(value)))) == pytest.approx(want)
+
+
+def test_reasons(spark):
+    df = spark.createDataFrame([(0.015, 0.0, 0.0, []), (0.0, 0.0, 0.45, ["A", "B"])], "e_score double, q_score double, c_score double, factors array<string>")
+    got = [r["reasons"] for r in policy.decide(df).orderBy("c_score").collect()]
+    assert got[0] == ["No significant sensitivity indicators detected", "Scores: E=0.01, Q=0.00, C=0.00"]  # rounded as the binary number
+    assert got[1] == ["High contextual sensitivity: C-Score 0.45", "Factors: A, B"]
+
+
+def test_runs_are_kept_apart(spark, tmp_path):
+    path, df = str(tmp_path / "runs"), spark.createDataFrame([("a", 0.5)], "sample_hash string, e_score double")
+    results.save_run(df, path, "0123", 0.3)
+    results.save_run(df, path, "0124", 0.3)
+    assert results.load_run(spark, path, "0123", 0.3).count() == 1
+    assert results.load_run(spark, path, "0123", 0.4).count() == 0
+    assert results.load_run(spark, path, "0123", 0.3, "1.0").count() == 0
+    results.clear_run(spark, path, "0123", 0.3, "20260101_000000")
+    assert results.load_run(spark, path, "0123", 0.3).count() == 0 and results.load_run(spark, path, "0124", 0.3).count() == 1
+    assert results.load_run(spark, f"{path}.20260101_000000.backup", "0123", 0.3).count() == 1
+
+
+def test_suite_sink(spark, tmp_path):
+    reply = '{"factors":[{"name":"NARRATIVE_UNIQUENESS","detected":true,"confidence":0.8}]}'
+    df = contextual.judge(spark.createDataFrame([("one", "t", reply), ("two", "u", None)], "name string, text string, reply string"))
+    results.write_suite(df, str(tmp_path / "out"))
+    got = {r["name"]: r for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert got["one"]["overall_risk"] == "LOW" and len(got["one"]["detections"]) == 7 and got["one"]["error"] is None
+    assert got["two"]["error"] == "no reply" and got["two"]["detections"] == [] and got["two"]["risk_score"] is None
+
+
+def test_pluggable_recognizer(spark):
+    """A pandas UDF in place of the dictionaries."""
+    import pandas as pd
+
+    @F.pandas_udf(quasi.NONE)
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"qi_type": "location", "raw_value": t[:2], "normalized_value": "here", "confidence": 0.7, "start_pos": 0, "end_pos": 2, "method": "ner"}] if t else [])
+
+    df = spark.createDataFrame([("xy nurse",), ("",)], "text string")
+    got = quasi.extract(df, recognizer=found).select(F.transform("qis", lambda q: q["normalized_value"])).collect()
+    assert [sorted(r[0]) for r in got] == [["here", "nurse"], []]
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "id long, text string")
+    table = literal.table(spark, [("age", "40", 0.02, 4_000_000, "bands")], population.SCHEMA)
+    reply = lambda t: F.lit('{"factors":[]}')
+    rows = assess.assess(df, table, reply, "id")
+    assert policy.decide(rows).count() == 0
+    assert evaluate.correlations(rows, features.CORRELATED, "deemed_sensitive").count() == 34
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_own", {})
+
+    class Cluster:
+        applicationId, master = "x", "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Cluster()
+
+        class conf:
+            get = staticmethod(lambda key, other: other)
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session())

@@ -4,56 +4,231 @@ from __future__ import annotations
 
 # Sensitivity weight of each explicit entity type, and of any other type.
 ENTITY_WEIGHTS = {
-    "US_SSN": 1.0, "US_PASSPORT": 1.0, "US_DRIVER_LICENSE": 1.0, "IN_PASSPORT": 1.0,
-    "US_ITIN": 0.95, "US_BANK_NUMBER": 0.95, "CREDIT_CARD": 0.95, "IBAN_CODE": 0.95, "AU_TFN": 0.95, "IN_AADHAAR": 0.95,
-    "CRYPTO": 0.90, "PERSON": 0.90, "MEDICAL_LICENSE": 0.90, "UK_NHS": 0.90, "SG_NRIC_FIN": 0.90, "AU_MEDICARE": 0.90, "IN_PAN": 0.90,
-    "EMAIL_ADDRESS": 0.85, "AU_ABN": 0.85, "AU_ACN": 0.85, "IN_VOTER": 0.85,
-    "PHONE_NUMBER": 0.80, "IP_ADDRESS": 0.75, "IN_VEHICLE_REGISTRATION": 0.70, "LOCATION": 0.60,
-    "NRP": 0.50, "DATE_TIME": 0.50, "ORGANIZATION": 0.50, "URL": 0.40,
-}
+    "US_SSN": 1.0,
+    "US_PASSPORT": 1.0,
+    "US_DRIVER_LICENSE": 1.0,
+    "US_ITIN": 0.95,
+    "US_BANK_NUMBER": 0.95,
+    "CREDIT_CARD": 0.95,
+    "IBAN_CODE": 0.95,
+    "CRYPTO": 0.90,
+    "PERSON": 0.90,
+    "EMAIL_ADDRESS": 0.85,
+    "PHONE_NUMBER": 0.80,
+    "IP_ADDRESS": 0.75,
+    "LOCATION": 0.60,
+    "NRP": 0.50,
+    "DATE_TIME": 0.50,
+    "ORGANIZATION": 0.50,
+    "URL": 0.40,
+    "MEDICAL_LICENSE": 0.90,
+    "UK_NHS": 0.90,
+    "SG_NRIC_FIN": 0.90,
+    "AU_ABN": 0.85,
+    "AU_ACN": 0.85,
+    "AU_TFN": 0.95,
+    "AU_MEDICARE": 0.90,
+    "IN_PAN": 0.90,
+    "IN_AADHAAR": 0.95,
+    "IN_VEHICLE_REGISTRATION": 0.70,
+    "IN_VOTER": 0.85,
+    "IN_PASSPORT": 1.0,
+}
 DEFAULT_WEIGHT = 0.5
 
 # Quasi-identifier types.
 QI_TYPES = ("age", "date_of_birth", "gender", "location", "zip_code", "disease", "occupation", "ethnicity")
 
-# Entity type sets that together raise the risk.
-RISKY_SETS = (("PERSON", "LOCATION"), ("PERSON", "DATE_TIME"), ("PERSON", "ORGANIZATION"), ("LOCATION", "DATE_TIME"), ("PERSON", "LOCATION", "DATE_TIME"), ("PERSON", "PHONE_NUMBER"), ("PERSON", "EMAIL_ADDRESS"))
-NARRATIVE_TYPES = ("PERSON", "LOCATION", "DATE_TIME", "ORGANIZATION")
-DIRECT_TYPES = ("US_SSN", "US_PASSPORT", "US_DRIVER_LICENSE", "CREDIT_CARD", "US_BANK_NUMBER", "IBAN_CODE", "US_ITIN", "MEDICAL_LICENSE")
+# Entity type sets that together raise the risk, types of narratives, direct identifiers.
+RISKY_SETS = (
+    ("PERSON", "LOCATION"),
+    ("PERSON", "DATE_TIME"),
+    ("PERSON", "ORGANIZATION"),
+    ("LOCATION", "DATE_TIME"),
+    ("PERSON", "LOCATION", "DATE_TIME"),
+    ("PERSON", "PHONE_NUMBER"),
+    ("PERSON", "EMAIL_ADDRESS"),
+)
+NARRATIVE_TYPES = ("PERSON", "LOCATION", "ORGANIZATION", "DATE_TIME")
+DIRECT_TYPES = ("US_SSN", "US_PASSPORT", "US_DRIVER_LICENSE", "CREDIT_CARD", "US_BANK_NUMBER", "IBAN_CODE", "EMAIL_ADDRESS", "PHONE_NUMBER")
 
 # Contextual factors and their weights; any other factor weighs OTHER_FACTOR.
 FACTOR_WEIGHTS = {
-    "INFERENTIAL_DISCLOSURE": 0.20, "NARRATIVE_UNIQUENESS": 0.18, "SOCIAL_STIGMA_RISK": 0.14, "SMALL_COMMUNITY_RISK": 0.14,
-    "EMPLOYMENT_SENSITIVITY": 0.12, "MENTAL_HEALTH_INDICATORS": 0.12, "TEMPORAL_CORRELATION_RISK": 0.10,
-}
+    "INFERENTIAL_DISCLOSURE": 0.20,
+    "NARRATIVE_UNIQUENESS": 0.18,
+    "EMPLOYMENT_SENSITIVITY": 0.12,
+    "MENTAL_HEALTH_INDICATORS": 0.12,
+    "SOCIAL_STIGMA_RISK": 0.14,
+    "SMALL_COMMUNITY_RISK": 0.14,
+    "TEMPORAL_CORRELATION_RISK": 0.10,
+}
 OTHER_FACTOR = 0.1
 
 # What words stand for as confidences; other words are 0.
-CONFIDENCE_WORDS = {"low": 0.25, "medium": 0.5, "med": 0.5, "moderate": 0.5, "high": 0.75, "critical": 0.9, "yes": 1.0, "true": 1.0, "no": 0.0, "false": 0.0}
+CONFIDENCE_WORDS = {
+    "low": 0.25,
+    "medium": 0.5,
+    "med": 0.5,
+    "moderate": 0.5,
+    "high": 0.75,
+    "critical": 0.9,
+    "yes": 1.0,
+    "true": 1.0,
+    "no": 0.0,
+    "false": 0.0,
+}
 CONFIDENCE_KEYS = ("confidence", "score", "value", "probability", "prob", "high", "medium", "low")
 
-# US states as abbreviation, name, FIPS code.
-STATES = """
-al alabama 01; ak alaska 02; az arizona 04; ar arkansas 05; ca california 06; co colorado 08; ct connecticut 09; de delaware 10;
-dc district of columbia 11; fl florida 12; ga georgia 13; hi hawaii 15; id idaho 16; il illinois 17; in indiana 18; ia iowa 19;
-ks kansas 20; ky kentucky 21; la louisiana 22; me maine 23; md maryland 24; ma massachusetts 25; mi michigan 26; mn minnesota 27;
-ms mississippi 28; mo missouri 29; mt montana 30; ne nebraska 31; nv nevada 32; nh new hampshire 33; nj new jersey 34;
-nm new mexico 35; ny new york 36; nc north carolina 37; nd north dakota 38; oh ohio 39; ok oklahoma 40; or oregon 41;
-pa pennsylvania 42; ri rhode island 44; sc south carolina 45; sd south dakota 46; tn tennessee 47; tx texas 48; ut utah 49;
-vt vermont 50; va virginia 51; wa washington 53; wv west virginia 54; wi wisconsin 55; wy wyoming 56
-"""
-STATE_ROWS = tuple((part.split()[0], " ".join(part.split()[1:-1]), part.split()[-1]) for part in STATES.split(";"))
+# FIPS codes of the US states, and their abbreviations.
+STATE_FIPS = {
+    "alabama": "01",
+    "alaska": "02",
+    "arizona": "04",
+    "arkansas": "05",
+    "california": "06",
+    "colorado": "08",
+    "connecticut": "09",
+    "delaware": "10",
+    "district of columbia": "11",
+    "florida": "12",
+    "georgia": "13",
+    "hawaii": "15",
+    "idaho": "16",
+    "illinois": "17",
+    "indiana": "18",
+    "iowa": "19",
+    "kansas": "20",
+    "kentucky": "21",
+    "louisiana": "22",
+    "maine": "23",
+    "maryland": "24",
+    "massachusetts": "25",
+    "michigan": "26",
+    "minnesota": "27",
+    "mississippi": "28",
+    "missouri": "29",
+    "montana": "30",
+    "nebraska": "31",
+    "nevada": "32",
+    "new hampshire": "33",
+    "new jersey": "34",
+    "new mexico": "35",
+    "new york": "36",
+    "north carolina": "37",
+    "north dakota": "38",
+    "ohio": "39",
+    "oklahoma": "40",
+    "oregon": "41",
+    "pennsylvania": "42",
+    "rhode island": "44",
+    "south carolina": "45",
+    "south dakota": "46",
+    "tennessee": "47",
+    "texas": "48",
+    "utah": "49",
+    "vermont": "50",
+    "virginia": "51",
+    "washington": "53",
+    "west virginia": "54",
+    "wisconsin": "55",
+    "wyoming": "56",
+}
+STATE_NAMES = {
+    "al": "alabama",
+    "ak": "alaska",
+    "az": "arizona",
+    "ar": "arkansas",
+    "ca": "california",
+    "co": "colorado",
+    "ct": "connecticut",
+    "de": "delaware",
+    "dc": "district of columbia",
+    "fl": "florida",
+    "ga": "georgia",
+    "hi": "hawaii",
+    "id": "idaho",
+    "il": "illinois",
+    "in": "indiana",
+    "ia": "iowa",
+    "ks": "kansas",
+    "ky": "kentucky",
+    "la": "louisiana",
+    "me": "maine",
+    "md": "maryland",
+    "ma": "massachusetts",
+    "mi": "michigan",
+    "mn": "minnesota",
+    "ms": "mississippi",
+    "mo": "missouri",
+    "mt": "montana",
+    "ne": "nebraska",
+    "nv": "nevada",
+    "nh": "new hampshire",
+    "nj": "new jersey",
+    "nm": "new mexico",
+    "ny": "new york",
+    "nc": "north carolina",
+    "nd": "north dakota",
+    "oh": "ohio",
+    "ok": "oklahoma",
+    "or": "oregon",
+    "pa": "pennsylvania",
+    "ri": "rhode island",
+    "sc": "south carolina",
+    "sd": "south dakota",
+    "tn": "tennessee",
+    "tx": "texas",
+    "ut": "utah",
+    "vt": "vermont",
+    "va": "virginia",
+    "wa": "washington",
+    "wv": "west virginia",
+    "wi": "wisconsin",
+    "wy": "wyoming",
+}
+#: (abbreviation, name, FIPS code) of each state.
+STATE_ROWS = tuple((short, name, STATE_FIPS[name]) for short, name in STATE_NAMES.items())
 
 # Census age bands, both ends inclusive.
-AGE_BANDS = ((0, 4), (5, 9), (10, 14), (15, 17), (18, 19), (20, 20), (21, 21), (22, 24), (25, 29), (30, 34), (35, 39), (40, 44), (45, 49), (50, 54), (55, 59), (60, 61), (62, 64), (65, 66), (67, 69), (70, 74), (75, 79), (80, 84), (85, 120))
+AGE_BANDS = (
+    (0, 4), (5, 9), (10, 14), (15, 17),
+    (18, 19), (20, 20), (21, 21), (22, 24),
+    (25, 29), (30, 34), (35, 39), (40, 44),
+    (45, 49), (50, 54), (55, 59), (60, 61),
+    (62, 64), (65, 66), (67, 69), (70, 74),
+    (75, 79), (80, 84), (85, 120),
+)
 
 # Prevalence classes of rare diseases, in the order in which they are tried.
-PREVALENCE = ((">1 / 1000", 1 / 500), ("1-5 / 10 000", 3e-4), ("1-9 / 10 000", 5e-4), ("6-9 / 10 000", 7.5e-4), ("1-9 / 100 000", 5e-5), ("1-9 / 1 000 000", 5e-6), ("<1 / 1 000 000", 5e-7))
+PREVALENCE = (
+    (">1 / 1000", 1 / 500),
+    ("1-5 / 10 000", 3e-4),
+    ("1-9 / 10 000", 5e-4),
+    ("6-9 / 10 000", 7.5e-4),
+    ("1-9 / 100 000", 5e-5),
+    ("1-9 / 1 000 000", 5e-6),
+    ("<1 / 1 000 000", 5e-7),
+)
 
 # Occupations, genders and stop words of the pattern extractor.
-OCCUPATIONS = "doctor physician nurse cardiologist neurologist surgeon lawyer attorney teacher professor engineer developer programmer firefighter police_officer pilot chef accountant dentist pharmacist therapist scientist researcher manager consultant analyst mechanic electrician plumber".split()
+OCCUPATIONS = (
+    "doctor", "physician", "nurse", "cardiologist", "neurologist", "surgeon",
+    "lawyer", "attorney", "teacher", "professor", "engineer", "developer",
+    "programmer", "firefighter", "police officer", "pilot", "chef", "accountant",
+    "dentist", "pharmacist", "therapist", "scientist", "researcher", "manager",
+    "consultant", "analyst", "mechanic", "electrician", "plumber",
+)
 GENDERS = {"male": "male", "m": "male", "man": "male", "boy": "male", "female": "female", "f": "female", "woman": "female", "girl": "female"}
-STOP_WORDS = "a also an and are as at be been being but by can could did do does for from had has have he her him his i if in is it its may me might my no not of on or our shall she should so than that the then they this to very was we were when where which while who whom whose will with would you your".split()
+STOP_WORDS = (
+    "and", "or", "but", "the", "a", "an", "in", "on", "at", "to",
+    "for", "is", "are", "was", "were", "be", "been", "being", "have",
+    "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "with", "from", "that",
+    "this", "which", "who", "whom", "whose", "where", "when", "while",
+    "if", "then", "than", "so", "very", "not", "no", "he", "she", "it",
+    "they", "we", "you", "i", "me", "him", "her", "his", "my", "your",
+    "our", "its", "also", "of", "by", "as",
+)
 
 # Patterns of the pattern extractor (case-insensitive but for ZIP2).
 AGE_PATTERNS = (
@@ -62,6 +237,8 @@ AGE_PATTERNS = (
     r"\b(\d{1,3})\s*(?:year|yr)[\s-]*old\b",
     r"\b([1-9][0-9]?)\s*[MFmf]\b",
 )
+#: Number and years old, number and y.o., or age and number, as token rules have them.
+AGE_RULES = r"(?i)\b([0-9]+\s+years?\s+old\b|[0-9]+\s+\w*y\.?o\w*|age\s*[^\w\s]?\s*[0-9]+\b)"
 DOB_PATTERNS = (
     r"\b(?:DOB|D\.O\.B\.|Date of Birth|Birth\s*Date|Born)[:\s]*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b",
     r"\b(?:DOB|D\.O\.B\.|Date of Birth|Birth\s*Date|Born)[:\s]*(\d{4}[/-]\d{1,2}[/-]\d{1,2})\b",

@@ -56,10 +56,12 @@ def context(text: Column, span: Column, width: int = 50) -> Column:
 
 def splice(text: Column, spans: Column, token: str | None = None) -> Column:
     """Replaces spans from the last to the first, each by its original offsets in the text as it
-    stands then: overlapping spans cut into their neighbours' tokens."""
-    back = F.reverse(by_start(spans))
+    stands then: overlapping spans cut into their neighbours' tokens. Spans that start together go
+    in the order of the array."""
+    keyed = F.transform(spans, lambda s, i: F.struct((-s["start"]).alias("a"), i.alias("i"), s.alias("s")))
     mark = (lambda s: F.concat(F.lit("["), s["entity_type"], F.lit("]"))) if token is None else (lambda s: F.lit(token))
-    return F.aggregate(back, text, lambda a, s: F.concat(F.substring(a, F.lit(1), s["start"]), mark(s), F.substring(a, s["end"] + 1, F.length(a))))
+    cut = lambda a, s: F.concat(F.substring(a, F.lit(1), s["start"]), mark(s), F.substring(a, s["end"] + 1, F.length(a)))
+    return F.aggregate(F.array_sort(keyed), text, lambda a, k: cut(a, k["s"]))
 
 
 def disjoint(spans: Column) -> Column:

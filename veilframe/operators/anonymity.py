@@ -10,12 +10,12 @@ from ..functions.constants import K_DEFAULT, POPULATION, RARE_BELOW
 from .population import look_up
 
 
-def with_frequencies(df: DataFrame, population: DataFrame, id: str, qis: str = "qis", out: str = "qis") -> DataFrame:
+def with_frequencies(df: DataFrame, population: DataFrame, id: str, qis: str = "qis", out: str = "qis", today: Column | None = None) -> DataFrame:
     """Adds to each QI of the array its frequency. QIs leave their rows narrow, without the text,
-    meet the population table and come back as arrays."""
+    meet the population table and come back as arrays. `id` must tell the rows apart."""
     # outer: a plain explode would have the optimizer test the array's size at the scan, extracting anew
     narrow = df.select(id, F.posexplode_outer(qis).alias("_pos", "_q")).where("_pos is not null").select(id, "_pos", "_q.*")
-    found = look_up(narrow, population)
+    found = look_up(narrow, population, today)
     one = F.struct("_pos", "qi_type", "raw_value", "normalized_value", "confidence", "start_pos", "end_pos", "method", "probability", "population_count", "source")
     arrays = found.groupBy(id).agg(F.array_sort(F.collect_list(one)).alias("_qis"))
     kind = arrays.schema["_qis"].dataType.simpleString()
@@ -47,21 +47,32 @@ def level(q: Column) -> Column:
 
 
 def explain(df: DataFrame, qis: str = "qis", k: int = K_DEFAULT) -> DataFrame:
-    """Adds a sentence for each QI and one on the expected k."""
-    line = lambda q: F.concat(q["qi_type"], F.lit(" '"), q["normalized_value"], F.lit("': "), F.when(q["probability"].isNull(), "unknown frequency").otherwise(F.concat(F.lit("p = "), F.format_string("%.2e", q["probability"]))))
-    e = F.col("expected_k")
-    end = F.when(e < 1, "likely unique").when(e < k, f"fewer than k = {k} people expected").otherwise(f"at least k = {k} people expected")
-    return df.withColumn("explanation", F.array_join(F.concat(F.transform(qis, line), F.array(F.concat(F.format_string("E[k] = %.4f: ", e), end))), "; "))
+    """Adds the explanation: a line for each QI and one on the expected k."""
+    tell = lambda q: F.when(q["probability"].isNull(), "(frequency unknown)").otherwise(F.format_string("(P ≈ %.2e, ~%,d people) [%s]", q["probability"], q["population_count"], q["source"]))
+    line = lambda q: F.concat(F.lit("  - "), q["qi_type"], F.lit(": '"), q["normalized_value"], F.lit("' ["), q["method"], F.lit("] "), tell(q))
+    e, n = F.col("expected_k"), F.size(qis)
+    verdict = F.when(e < 1, "🚨 E[k] < 1: Likely UNIQUELY IDENTIFYING").when(e < k, f"⚠️ E[k] < {k}: HIGH re-identification risk").otherwise(f"✓ E[k] ≥ {k}: Acceptable k-anonymity")
+    head = F.format_string("Detected %d quasi-identifier(s):", n)
+    size = F.concat(F.lit("\nExpected equivalence class size E[k]: "), F.replace(F.format_number(e, 4), F.lit(","), F.lit("")))
+    full = F.array_join(F.concat(F.array(head), F.transform(qis, line), F.array(size, verdict)), "\n")
+    none = F.format_string("Detected %d QI(s) but could not lookup frequencies.", n)
+    known = F.exists(qis, lambda q: q["probability"].isNotNull())
+    return df.withColumn("explanation", F.when(n == 0, "No quasi-identifiers detected.").when(~known, none).otherwise(full))
 
 
-def report(df: DataFrame, qis: str = "qis") -> DataFrame:
-    """(q_score, expected_k rounded to 4, risk_level, qi_count, items) as a struct column `report`."""
+def report(df: DataFrame, qis: str = "qis", k: int = K_DEFAULT) -> DataFrame:
+    """A struct column `report`: the scores rounded to 4 digits, level, QIs with places and
+    frequencies, explanation and masked text."""
     item = lambda q: F.struct(
-        q["qi_type"].alias("type"), q["raw_value"].alias("raw"), q["normalized_value"].alias("normalized"), F.round(q["confidence"], 4).alias("confidence"),
+        q["qi_type"].alias("type"), q["raw_value"].alias("raw_value"), q["normalized_value"].alias("normalized_value"), q["confidence"].alias("confidence"), q["method"].alias("detection_method"),
         F.struct(q["start_pos"].alias("start"), q["end_pos"].alias("end")).alias("position"),
         F.when(q["probability"].isNotNull(), F.struct(q["probability"].alias("probability"), q["population_count"].alias("population_count"), q["source"].alias("source"))).alias("frequency"),
     )
-    body = F.struct(F.round("q_score", 4).alias("q_score"), F.round("expected_k", 4).alias("expected_k"), level(F.col("q_score")).alias("risk_level"), F.size(qis).alias("qi_count"), F.transform(qis, item).alias("items"))
+    df = explain(df, qis, k)
+    body = F.struct(
+        F.round("q_score", 4).alias("q_score"), F.round("expected_k", 4).alias("expected_k"), level(F.col("q_score")).alias("risk_level"), F.lit(k).alias("k_threshold"),
+        F.transform(qis, item).alias("detected_quasi_identifiers"), F.col("explanation"), F.col("q_masked").alias("masked_text"),
+    )
     return df.withColumn("report", body)
 
 

@@ -27,24 +27,47 @@ def _scalar(v: Column) -> Column:
     return F.when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), 1.0).otherwise(0.0)).otherwise(_word(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("0"))))
 
 
-def confidence(v: Column) -> Column:
-    """A number from a variant: numbers, booleans, numeric strings and words as they are; an object
-    by the first of its known keys, or else the largest positive value; a list by its largest
-    positive value; 0 otherwise. One level of nesting."""
-    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-    entries = F.try_variant_get(v, "$", "map<string,variant>")
-    largest = lambda values: F.coalesce(F.array_max(F.filter(F.transform(values, _scalar), lambda x: x > 0)), F.lit(0.0))
-    by_key = F.when(F.lit(False), 0.0)
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+
+
+def _inner(v: Column) -> Column:
+    """An object with known keys is what its first known key holds."""
+    out = F.when(~F.startswith(_kind(v), F.lit("OBJECT")), v)
     for key in CONFIDENCE_KEYS:
-        by_key = by_key.when(F.map_contains_key(entries, key), _scalar(F.try_element_at(entries, F.lit(key))))
+        held = F.try_variant_get(v, f"$.{key}", "variant")
+        out = out.when(held.isNotNull(), held)
+    return out.otherwise(v)
+
+
+def _members(v: Column) -> Column:
+    """What stands for a value at the next level: members of a list or of an object without known
+    keys, what a known key holds, or the value itself."""
+    x = _inner(v)
     return (
-        F.when(v.isNull() | kind.isin("VOID", "NULL"), 0.0)
-        .when(kind.startswith("OBJECT"), by_key.otherwise(largest(F.map_values(entries))))
-        .when(kind.startswith("ARRAY"), largest(F.try_variant_get(v, "$", "array<variant>")))
-        .otherwise(_scalar(v))
+        F.when(F.startswith(_kind(x), F.lit("ARRAY")), F.try_variant_get(x, "$", "array<variant>"))
+        .when(F.startswith(_kind(x), F.lit("OBJECT")), F.map_values(F.try_variant_get(x, "$", "map<string,variant>")))
+        .otherwise(F.array(x))
     )
 
 
+def confidence(v: Column, levels: int = 12) -> Column:
+    """A number from a variant: numbers, booleans, numeric strings and words as they are; an object
+    by the first of its known keys, or else by the largest positive value of its members; a list by
+    its largest positive member; 0 otherwise. Nesting is followed for `levels` levels; deeper
+    members count 0."""
+    steps = F.sequence(F.lit(1), F.lit(levels))
+    alone = F.aggregate(steps, v, lambda a, _: _inner(a))
+    nested = F.aggregate(steps, F.array(alone), lambda a, _: F.flatten(F.transform(a, _members)))
+    whole = F.transform(nested, lambda x: F.when(_compound(x), 0.0).otherwise(_scalar(x)))
+    largest = F.coalesce(F.array_max(F.filter(whole, lambda x: x > 0)), F.lit(0.0))
+    return F.when(v.isNull() | _kind(alone).isin("VOID", "NULL"), 0.0).when(_compound(alone), largest).otherwise(_scalar(alone))
+
+
+def _compound(v: Column) -> Column:
+    return F.startswith(_kind(v), F.lit("OBJECT")) | F.startswith(_kind(v), F.lit("ARRAY"))
+
+
 def truthy(v: Column) -> Column:
     """As a dynamic language takes it: any non-empty string is true, even "false"."""
     kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import literal
+
 
 def _d(c: str) -> Column:
     return F.col(c).cast("double")
@@ -22,10 +24,10 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_if(F.col(label)).alias("n_sensitive"), F.count_if(~F.col(label)).alias("n_not_sensitive"))
 
 
-def _corr(x: Column, y: Column) -> Column:
-    """Pearson's r; 0 for fewer than two rows or no variance."""
+def _corr(x: Column, y: Column, none: float = 0.0) -> Column:
+    """Pearson's r; `none` for fewer than two rows or no variance."""
     spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when((F.count(x) >= 2) & (spread > 1e-15), F.try_divide(F.covar_pop(x, y), spread)).otherwise(0.0)
+    return F.when((F.count(x) >= 2) & (spread > 1e-15), F.try_divide(F.covar_pop(x, y), spread)).otherwise(F.lit(none))
 
 
 def correlations(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -48,9 +50,9 @@ def best_predictors(corrs: DataFrame, above: float = 0.3) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(a, b, corr) of all pairs, in one pass."""
+    """(a, b, corr) of all pairs, in one pass; NaN where a feature has no variance."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    row = df.agg(*(_corr(_d(a), _d(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
+    row = df.agg(*(_corr(_d(a), _d(b), float("nan")).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
     cells = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"{i}").alias("corr")) for i, (a, b) in enumerate(pairs) for x, y in {(a, b), (b, a)}]
     return row.select(F.inline(F.array(*cells)))
 
@@ -113,7 +115,7 @@ def pr_curve(df: DataFrame, score: str, label: str) -> DataFrame:
 def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
     """(label, predicted, n, share of its label), all four cells."""
     counts = df.groupBy(F.col(label).alias("y"), F.col(predicted).alias("pred")).agg(F.count("*").alias("n"))
-    cells = df.sparkSession.createDataFrame([(y, p) for y in (False, True) for p in (False, True)], "y boolean, pred boolean")
+    cells = literal.table(df.sparkSession, [(y, p) for y in (False, True) for p in (False, True)], "y boolean, pred boolean")
     full = cells.join(counts, ["y", "pred"], "left").na.fill(0, ["n"])
     return full.withColumn("share", F.coalesce(F.try_divide(F.col("n"), F.sum("n").over(W.partitionBy("y"))), F.lit(0.0)))
 

@@ -28,21 +28,21 @@ def entity_features(df: DataFrame, entities: str = "entities", qis: str = "qis")
     """Counts, memberships and combinations of the types of entities (arrays of structs)."""
     e_types = F.transform(entities, lambda e: e["entity_type"])
     q_types = F.transform(qis, lambda q: q["qi_type"])
-    df = df.withColumns({"_e": e_types, "_q": q_types, "_types": F.array_sort(F.array_union(F.array_distinct(e_types), q_types))})
+    df = df.withColumns({"_e": e_types, "_kinds": F.array_sort(F.array_distinct(e_types)), "_all": F.array_sort(F.array_union(F.array_distinct(e_types), q_types))})
     among = lambda names: F.size(F.filter("_e", lambda t: t.isin(*names)))
-    has = lambda name: F.array_contains("_types", name)
-    total = F.size("_e") + F.size("_q")
+    has = lambda name: F.array_contains("_kinds", name)
+    total = F.size(entities) + F.size(qis)
     return df.withColumns(
         {
-            "e_score_entity_count": F.size("_e"), "q_score_qi_count": F.size("_q"), "total_entity_count": total, "unique_entity_type_count": F.size("_types"),
+            "e_score_entity_count": F.size(entities), "q_score_qi_count": F.size(qis), "total_entity_count": total, "unique_entity_type_count": F.size("_all"),
             "entity_density": 100 * X.ratio(total, F.col("word_count")),
-            "has_person": has("PERSON"), "has_location": has("LOCATION") | has("location"), "has_datetime": has("DATE_TIME"), "has_organization": has("ORGANIZATION"),
-            "has_direct_identifier": F.arrays_overlap("_types", F.array(*map(F.lit, DIRECT_TYPES))),
+            "has_person": has("PERSON"), "has_location": has("LOCATION"), "has_datetime": has("DATE_TIME"), "has_organization": has("ORGANIZATION"),
+            "has_direct_identifier": F.arrays_overlap("_kinds", F.array(*map(F.lit, DIRECT_TYPES))),
             "narrative_entity_count": among(NARRATIVE_TYPES), "direct_identifier_count": among(DIRECT_TYPES),
-            "high_risk_combo_count": X.risky_sets(F.col("_types")), "has_high_risk_combo": X.risky_sets(F.col("_types")) > 0,
-            "entity_type_combo_signature": F.array_join("_types", "|"),
+            "high_risk_combo_count": X.risky_sets(F.col("_kinds")), "has_high_risk_combo": X.risky_sets(F.col("_kinds")) > 0,
+            "entity_type_combo_signature": F.array_join("_all", "|"),
         }
-    ).drop("_e", "_q", "_types")
+    ).drop("_e", "_kinds", "_all")
 
 
 def score_features(df: DataFrame, e: str = "e_score", q: str = "q_score") -> DataFrame:
@@ -58,8 +58,13 @@ def confidence_features(df: DataFrame, entities: str = "entities", qis: str = "q
     return df.withColumns(named)
 
 
+#: Features drawn against the contextual score, and those of the correlation matrix.
+SCATTERED = ("total_entity_count", "entity_density", "mask_ratio", "unique_entity_type_count", "narrative_entity_count", "e_q_score_sum")
+MATRIX = (*SCATTERED, "e_score", "q_score", "combined_mean_confidence", "c_score")
+
+
 def coverage_features(df: DataFrame, text: str = "text", e_masked: str = "e_masked", q_masked: str = "q_masked") -> DataFrame:
-    return df.withColumns({"e_score_coverage": X.coverage(F.col(text), F.col(e_masked)), "q_score_coverage": X.coverage(F.col(text), F.col(q_masked))})
+    return df.withColumns({"e_score_coverage": X.coverage(F.col(text), F.col(e_masked)), "q_score_coverage": X.coverage(F.col(e_masked), F.col(q_masked))})
 
 
 def weighted(e: Column, q: Column, c: Column) -> Column:

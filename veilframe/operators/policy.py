@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import literal
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -29,6 +31,24 @@ TIERS = ("restricted", "confidential", "unrestricted")
 ACTIONS = {"restricted": ("block", "local"), "confidential": ("reversible", "tee"), "unrestricted": ("none", "cloud")}
 
 
+# The texts of the reasons.
+REASONS = {
+    "direct": "Direct identifier detected (SSN, passport, etc.)",
+    "combined": "Combined score %s >= %s",
+    "context": "High contextual sensitivity: C-Score %s",
+    "factors": "Factors: %s",
+    "explicit": "High explicit PII: E-Score %s",
+    "rare": "Rare quasi-identifier detected (disease or occupation)",
+    "quasi": "High re-identification risk: Q-Score %s",
+    "combo": "High-risk entity combination (PERSON+LOCATION+DATETIME)",
+    "combo_score": "Combined score %s with risk factors",
+    "some_context": "Moderate contextual sensitivity: C-Score %s",
+    "some_explicit": "Moderate PII with quasi-identifiers present",
+    "none": "No significant sensitivity indicators detected",
+    "scores": "Scores: E=%s, Q=%s, C=%s",
+}
+
+
 def with_defaults(df: DataFrame) -> DataFrame:
     """Adds missing input columns and fills their nulls."""
     values = {c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in INPUT.items()}
@@ -36,21 +56,22 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns(values | {"factors": factors})
 
 
-def _rules(p: Policy) -> list[tuple[str, str, Column, Column]]:
-    """(rule, tier, condition, reason), first match wins."""
+def _rules(p: Policy) -> list[tuple[str, str, Column, list]]:
+    """(rule, tier, condition, reasons), first match wins; a null reason is left out."""
     e, q, c = F.col("e_score"), F.col("q_score"), F.col("c_score")
     combined = e + q + c
-    two = lambda x: F.format_string("%.2f", x)
+    two = lambda x: F.format_number(x, 2)
     return [
-        ("R1", "restricted", F.lit(p.direct_restricts) & F.col("has_direct"), F.lit("direct identifier present")),
-        ("R2", "restricted", combined >= p.combined_restricted, F.concat(F.lit("combined score "), two(combined), F.lit(f" >= {p.combined_restricted}"))),
-        ("R3", "restricted", c >= p.c_restricted, F.concat(F.lit("contextual score "), two(c), F.lit(f" >= {p.c_restricted}"))),
-        ("R4a", "confidential", e >= p.e_confidential, F.concat(F.lit("explicit score "), two(e), F.lit(f" >= {p.e_confidential}"))),
-        ("R4b", "confidential", F.col("rare_disease") | F.col("rare_occupation"), F.lit("rare disease or occupation")),
-        ("R4c", "confidential", q >= p.q_confidential, F.concat(F.lit("quasi-identifier score "), two(q), F.lit(f" >= {p.q_confidential}"))),
-        ("R5", "confidential", F.lit(p.combo_confidential) & F.col("has_combo") & (combined >= p.combo_combined), F.lit("risky combination of entities")),
-        ("R6", "confidential", c >= p.c_confidential, F.concat(F.lit("contextual score "), two(c), F.lit(f" >= {p.c_confidential}"))),
-        ("R7", "confidential", (e >= p.e_with_q) & (q > 0), F.lit("explicit score with quasi-identifiers")),
+        ("R1", "restricted", F.lit(p.direct_restricts) & F.col("has_direct"), [REASONS["direct"]]),
+        ("R2", "restricted", combined >= p.combined_restricted, [F.format_string(REASONS["combined"], two(combined), F.lit(str(p.combined_restricted)))]),
+        ("R3", "restricted", c >= p.c_restricted, [F.format_string(REASONS["context"], two(c)), F.when(F.size("factors") > 0, F.format_string(REASONS["factors"], F.array_join("factors", ", ")))]),
+        ("R4a", "confidential", e >= p.e_confidential, [F.format_string(REASONS["explicit"], two(e))]),
+        ("R4b", "confidential", F.col("rare_disease") | F.col("rare_occupation"), [REASONS["rare"]]),
+        ("R4c", "confidential", q >= p.q_confidential, [F.format_string(REASONS["quasi"], two(q))]),
+        ("R5", "confidential", F.lit(p.combo_confidential) & F.col("has_combo") & (combined >= p.combo_combined), [REASONS["combo"], F.format_string(REASONS["combo_score"], two(combined))]),
+        ("R6", "confidential", c >= p.c_confidential, [F.format_string(REASONS["some_context"], two(c))]),
+        ("R7", "confidential", (e >= p.e_with_q) & (q > 0), [REASONS["some_explicit"]]),
+        ("default", "unrestricted", F.lit(True), [REASONS["none"], F.format_string(REASONS["scores"], two(e), two(q), two(c))]),
     ]
 
 
@@ -59,11 +80,10 @@ def decide(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
     masked_text (null but for confidential rows) and reasons."""
     df = with_defaults(df)
     rules = _rules(policy)
-    pick = lambda k, last: _chain([(r[2], r[k]) for r in rules], last)
-    tier = pick(1, F.lit("unrestricted"))
-    df = df.withColumns({"combined": F.col("e_score") + F.col("q_score") + F.col("c_score"), "rule": pick(0, F.lit("default")), "tier": tier, "_reason": pick(3, F.lit("no rule applies"))})
+    texts = lambda reasons: F.array_compact(F.array(*(r if isinstance(r, Column) else F.lit(r) for r in reasons)))
+    pick = lambda of: _chain([(r[2], of(r)) for r in rules[:-1]], of(rules[-1]))
+    df = df.withColumns({"combined": F.col("e_score") + F.col("q_score") + F.col("c_score"), "rule": pick(lambda r: F.lit(r[0])), "tier": pick(lambda r: F.lit(r[1])), "reasons": pick(lambda r: texts(r[3]))})
     guarded = F.col("tier") == "confidential"
-    more = F.when((F.col("rule") == "R3") & (F.size("factors") > 0), F.concat(F.lit("factors: "), F.array_join("factors", ", "))).when(F.col("rule") == "R5", F.concat(F.lit("combined score "), F.format_string("%.2f", "combined")))
     return df.withColumns(
         {
             "transformation": _chain([(F.col("tier") == t, F.lit(a[0])) for t, a in ACTIONS.items()], F.lit(None).cast("string")),
@@ -71,9 +91,22 @@ def decide(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
             "needs_reconstruction": guarded,
             "needs_attestation": guarded,
             "masked_text": F.when(guarded, F.coalesce(F.nullif("q_masked", F.lit("")), F.col("e_masked"))),
-            "reasons": F.array_compact(F.array(F.col("_reason"), more)),
         }
-    ).drop("_reason")
+    )
+
+
+def evaluate(e_score: Column, q_score: Column, c_score: Column, has_direct: Column | None = None, has_combo: Column | None = None, factors: Column | None = None, masked: Column | None = None) -> dict[str, Column]:
+    """Columns for `decide` from plain scores, with no rare quasi-identifier: use df.withColumns."""
+    none = F.array().cast("array<string>")
+    flag = lambda c: F.lit(False) if c is None else c
+    text = F.lit("") if masked is None else masked
+    return {"e_score": e_score, "q_score": q_score, "c_score": c_score, "has_direct": flag(has_direct), "has_combo": flag(has_combo), "rare_disease": F.lit(False), "rare_occupation": F.lit(False), "factors": none if factors is None else factors, "e_masked": text, "q_masked": text}
+
+
+def projection(decided: DataFrame, *keep: str) -> DataFrame:
+    """The decisions as they are written out: scores nested, reasons as an array."""
+    scores = F.struct("e_score", "q_score", "c_score", F.col("combined").alias("combined"))
+    return decided.select(*keep, "tier", "transformation", "routing", "reasons", scores.alias("scores"), F.col("needs_reconstruction").alias("requires_reconstruction"), F.col("needs_attestation").alias("requires_attestation"))
 
 
 def _chain(pairs: list[tuple[Column, object]], last: Column) -> Column:
@@ -87,15 +120,21 @@ def tiers(decided: DataFrame) -> DataFrame:
     """Count and percentage of each tier, those without rows too."""
     spark = decided.sparkSession
     counts = decided.groupBy("tier").count()
-    every = spark.createDataFrame([(k, t) for k, t in enumerate(TIERS)], "ord int, tier string")
+    every = literal.table(spark, enumerate(TIERS), "ord int, tier string")
     n = F.coalesce("count", F.lit(0))
     total = decided.agg(F.count("*").alias("total"))
     return every.join(counts, "tier", "left").crossJoin(F.broadcast(total)).select("ord", "tier", n.cast("long").alias("n"), F.coalesce(F.try_divide(100.0 * n, "total"), F.lit(0.0)).alias("pct"))
 
 
+def routings(decided: DataFrame) -> DataFrame:
+    """Count and percentage of each routing that occurs."""
+    total = decided.agg(F.count("*").alias("total"))
+    return decided.groupBy("routing").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("routing", "n", (100.0 * F.col("n") / F.col("total")).alias("pct"))
+
+
 def crosstab(decided: DataFrame, expected: str = "expected_critical") -> DataFrame:
     """Rows of each expectation by tier, zero-filled."""
-    both = decided.sparkSession.createDataFrame([(True,), (False,)], f"{expected} boolean")
+    both = literal.table(decided.sparkSession, [(True,), (False,)], f"{expected} boolean")
     counts = decided.groupBy(expected).pivot("tier", list(TIERS)).count()
     return both.join(counts, expected, "left").na.fill(0)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import AGE_BANDS, DOB_FORMATS, EMPLOYED, NATION, PREVALENCE, STATE_ROWS
+from ..sources import literal
 
 SCHEMA = "qi_type string, value string, probability double, population_count long, source string"
 
@@ -46,14 +47,12 @@ def birth_age(value: Column, today: Column) -> Column:
 
 def births(df: DataFrame, value: str, ages_table: DataFrame, today: Column) -> DataFrame:
     """Adds probability and population_count of a date of birth: a day's share of its age's."""
-    keyed = df.withColumn("_age", birth_age(F.col(value), today).cast("string"))
-    table = ages_table.select(F.col("value").alias("_age"), F.col("probability").alias("_p"), F.col("population_count").alias("_n"))
-    out = keyed.join(table, "_age", "left")
-    return out.withColumns({"probability": F.col("_p") / 365.25, "population_count": F.floor(F.col("_n") / 365.25).cast("long")}).drop("_age", "_p", "_n")
+    keyed = df.select("*", F.lit("date_of_birth").alias("_kind"), F.col(value).alias("_value"))
+    return look_up(keyed, ages_table, today, "_kind", "_value", "_value").drop("_kind", "_value", "source")
 
 
 def states(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(STATE_ROWS), "abbrev string, name string, fips string")
+    return literal.table(spark, STATE_ROWS, "abbrev string, name string, fips string")
 
 
 def locations(people: DataFrame, spark: SparkSession, total: float) -> DataFrame:
@@ -87,10 +86,10 @@ def prevalence_class(label: Column) -> Column:
 
 def rare(codes: DataFrame, epidemiology: DataFrame) -> DataFrame:
     """Diseases by name (value, code) and code (code, items: array of (type, class)): the first item
-    of point prevalence with a known class, or else the first known class."""
-    known = F.filter("items", lambda i: prevalence_class(i["class"]).isNotNull())
-    point = F.filter(known, lambda i: F.contains(F.lower(i["type"]), F.lit("point")) | F.contains(F.lower(i["type"]), F.lit("prevalence")))
-    label = F.coalesce(F.get(point, 0)["class"], F.get(known, 0)["class"])
+    of point prevalence, or of any prevalence, with a known class, or else the class of the first
+    item."""
+    fits = F.filter("items", lambda i: (F.contains(F.lower(i["type"]), F.lit("point")) | F.contains(F.lower(i["type"]), F.lit("prevalence"))) & prevalence_class(i["class"]).isNotNull())
+    label = F.coalesce(F.get(fits, 0)["class"], F.get("items", 0)["class"])
     rows = codes.join(epidemiology, "code").select("value", prevalence_class(label).alias("p")).where("p is not null")
     return _rows(rows, "disease", F.col("value"), F.col("p"), F.floor(F.col("p") * NATION), "rare diseases")
 
@@ -105,10 +104,21 @@ def occupations(codes: DataFrame, employment: DataFrame, total: float = EMPLOYED
     return _rows(codes.join(employment, "soc"), "occupation", F.col("value"), F.col("people") / total, F.col("people"), "employment")
 
 
-def look_up(df: DataFrame, population: DataFrame, kind: str = "qi_type", norm: str = "normalized_value", raw: str = "raw_value") -> DataFrame:
+def look_up(df: DataFrame, population: DataFrame, today: Column | None = None, kind: str = "qi_type", norm: str = "normalized_value", raw: str = "raw_value") -> DataFrame:
     """Adds probability, population_count and source by (type, normalized value), or else by (type,
-    raw value in lower case); null where neither is known."""
-    table = lambda n: population.select(F.col("qi_type").alias(kind), F.col("value").alias(f"_v{n}"), F.col("probability").alias(f"_p{n}"), F.col("population_count").alias(f"_n{n}"), F.col("source").alias(f"_s{n}"))
-    out = df.withColumns({"_v1": F.col(norm), "_v2": F.lower(raw)}).join(table(1), [kind, "_v1"], "left").join(table(2), [kind, "_v2"], "left")
+    raw value in lower case); null where neither is known. A date of birth is looked up as the age
+    that it gives at `today` (now, if not given), of whose people a day has one in 365.25."""
+    born = F.col(kind) == "date_of_birth"
+    age = lambda c: birth_age(c, F.current_date() if today is None else today).cast("string")
+    keyed = df.withColumns({"_t": F.when(born, "age").otherwise(F.col(kind)), "_v1": F.when(born, age(F.col(norm))).otherwise(F.col(norm)), "_v2": F.when(born, age(F.col(raw))).otherwise(F.lower(raw))})
+    table = lambda n: population.select(F.col("qi_type").alias("_t"), F.col("value").alias(f"_v{n}"), F.col("probability").alias(f"_p{n}"), F.col("population_count").alias(f"_n{n}"), F.col("source").alias(f"_s{n}"))
+    out = keyed.join(table(1), ["_t", "_v1"], "left").join(table(2), ["_t", "_v2"], "left")
     hit = F.col("_p1").isNotNull()
-    return out.withColumns({c: F.when(hit, F.col(f"_{k}1")).otherwise(F.col(f"_{k}2")) for c, k in (("probability", "p"), ("population_count", "n"), ("source", "s"))}).drop("_v1", "_v2", "_p1", "_p2", "_n1", "_n2", "_s1", "_s2")
+    p, n, s = (F.when(hit, F.col(f"_{k}1")).otherwise(F.col(f"_{k}2")) for k in "pns")
+    return out.withColumns(
+        {
+            "probability": F.when(born, p / 365.25).otherwise(p),
+            "population_count": F.when(born, F.floor(n / 365.25).cast("long")).otherwise(n),
+            "source": F.when(born, F.concat(s, F.lit(", by day of birth"))).otherwise(s),
+        }
+    ).drop("_t", "_v1", "_v2", "_p1", "_p2", "_n1", "_n2", "_s1", "_s2")

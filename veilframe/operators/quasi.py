@@ -9,16 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import AGE_PATTERNS, DOB_PATTERNS, GENDERS, OCCUPATION_CONTEXT, OCCUPATIONS, QI_TYPES, STATE_ROWS, STOP_WORDS, ZIP_CONTEXT, ZIP_STATE
+from ..functions.constants import AGE_PATTERNS, AGE_RULES, DOB_PATTERNS, GENDERS, OCCUPATION_CONTEXT, OCCUPATIONS, QI_TYPES, STATE_ROWS, STOP_WORDS, ZIP_CONTEXT, ZIP_STATE
 
 QI = "struct<qi_type:string,raw_value:string,normalized_value:string,confidence:double,start_pos:int,end_pos:int,method:string>"
-ITEMS = "array<struct<type:string,raw_value:string,normalized_value:string,confidence:string>>"
-REPLY = f"struct<quasi_identifiers:{ITEMS}>"
+NONE = "array<" + QI + ">"
 
 
-def _qi(kind: str, raw: Column, norm: Column, confidence: float | Column, start: Column, end: Column, method: str) -> Column:
-    conf = F.lit(confidence) if isinstance(confidence, float) else confidence
-    return F.struct(F.lit(kind).alias("qi_type"), raw.alias("raw_value"), norm.alias("normalized_value"), conf.alias("confidence"), start.cast("int").alias("start_pos"), end.cast("int").alias("end_pos"), F.lit(method).alias("method"))
+def _none() -> Column:
+    return F.array().cast(NONE)
+
+
+def _qi(kind: str | Column, raw: Column, norm: Column, confidence: float | Column, start: Column, end: Column, method: str) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(
+        lit(kind).alias("qi_type"), raw.alias("raw_value"), norm.alias("normalized_value"), lit(confidence).alias("confidence"),
+        start.cast("int").alias("start_pos"), end.cast("int").alias("end_pos"), F.lit(method).alias("method"),
+    )
 
 
 # ---- model replies
@@ -36,8 +42,12 @@ def braces(reply: Column) -> Column:
 
 
 def parse_reply(reply: Column) -> Column:
-    """The items of a reply; what can't be parsed has none."""
-    return F.coalesce(F.from_json(braces(reply), REPLY)["quasi_identifiers"], F.array().cast(ITEMS))
+    """The items of a reply as variants; what can't be parsed has none."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(braces(reply)), "$.quasi_identifiers", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def field(item: Column, name: str, kind: str = "string") -> Column:
+    return F.try_variant_get(item, f"$.{name}", kind)
 
 
 def find_span(text: Column, raw: Column) -> tuple[Column, Column]:
@@ -48,21 +58,32 @@ def find_span(text: Column, raw: Column) -> tuple[Column, Column]:
 
 
 def validate(text: Column, items: Column) -> Column:
-    """QIs of parsed items: known types whose value stands in the text. One confidence that isn't a
-    number empties the row, as one failure does in a reply."""
-    number = lambda i: F.coalesce(i["confidence"], F.lit("0.5")).try_cast("double")
-    bad = F.exists(items, lambda i: number(i).isNull())
-    stands = lambda i: i["type"].isin(*QI_TYPES) & (F.length(F.trim(i["raw_value"])) > 0) & F.contains(F.lower(text), F.lower(i["raw_value"]))
+    """QIs of parsed items: known types whose value stands in the text. An item that isn't an object
+    empties the row, and so does an item of a known type whose value or normalized value isn't a
+    string or whose confidence isn't a number."""
+    shape = lambda i, name: F.coalesce(F.schema_of_variant(field(i, name, "variant")), F.lit("absent"))
+    nested = lambda kind: F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+    known = lambda i: F.coalesce(field(i, "type").isin(*QI_TYPES), F.lit(False))
+    stood = lambda raw: (F.length(raw) > 0) & F.contains(F.lower(text), F.lower(raw))
+
+    def number(i: Column) -> Column:
+        kind = shape(i, "confidence")
+        return F.when(kind == "absent", 0.5).when(kind == "BOOLEAN", field(i, "confidence", "boolean").cast("int").cast("double")).otherwise(field(i, "confidence").try_cast("double"))
+
+    def odd(i: Column) -> Column:
+        norm = ~shape(i, "normalized_value").isin("absent", "STRING") & F.coalesce(stood(field(i, "raw_value")), F.lit(False))
+        return number(i).isNull() | ~shape(i, "raw_value").isin("absent", "STRING") | norm
+
+    bad = F.exists(items, lambda i: ~F.startswith(F.coalesce(F.schema_of_variant(i), F.lit("VOID")), F.lit("OBJECT")) | nested(shape(i, "type")) | (known(i) & odd(i)))
+    plain = F.transform(F.filter(items, known), lambda i: F.struct(field(i, "type").alias("type"), F.coalesce(field(i, "raw_value"), F.lit("")).alias("raw"), field(i, "normalized_value").alias("norm"), number(i).alias("confidence")))
+    stands = F.filter(plain, lambda i: stood(i["raw"]))
 
     def made(i: Column) -> Column:
-        raw = i["raw_value"]
-        start, end = find_span(text, raw)
-        norm = F.trim(F.lower(F.coalesce(i["normalized_value"], raw)))
-        q = _qi("", raw, norm, F.least(F.greatest(number(i), F.lit(0.0)), F.lit(1.0)), start, end, "model")
-        return q.withField("qi_type", i["type"])
+        start, end = find_span(text, i["raw"])
+        norm = F.trim(F.lower(F.coalesce(i["norm"], i["raw"])))
+        return _qi(i["type"], i["raw"], norm, F.least(F.greatest(i["confidence"], F.lit(0.0)), F.lit(1.0)), start, end, "model")
 
-    none = F.array().cast(f"array<{QI}>")
-    return F.when(bad, none).otherwise(F.transform(F.filter(items, stands), made))
+    return F.when(bad, _none()).otherwise(F.transform(stands, made))
 
 
 def dedup(qis: Column, by_method: str | None = None) -> Column:
@@ -76,37 +97,61 @@ def dedup(qis: Column, by_method: str | None = None) -> Column:
         better = F.transform(kept, lambda a: F.when(same(a, q) & (rank(q) > rank(a)), q).otherwise(a))
         return F.when(F.exists(kept, lambda a: same(a, q)), better).otherwise(F.concat(kept, F.array(q)))
 
-    return F.aggregate(qis, F.array().cast(f"array<{QI}>"), step)
+    return F.aggregate(qis, _none(), step)
 
 
 # ---- patterns
 
+_MATCH, _PART = "\ufdd0", "\ufdd1"  # code points that no text may hold
+
 
-def _found(text: Column, pattern: str, kind: str, confidence: float, method: str, norm=None) -> Column:
-    """QIs of a pattern's first group; places are those of the whole match."""
-    whole, group = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    between = F.split(text, pattern, -1)
-    upto = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
+def _found(text: Column, pattern: str, kind: str, confidence: float, method: str, norm=None, span: str = "match") -> Column:
+    """QIs of a pattern, normalized from its first group. The pattern runs over the text once: marks
+    go round each match, and the pieces between marks give the places. `span` is "match", or "group"
+    for the place of the first group, which must be the first of its kind in the match; with
+    "group in match" the raw value is the whole match all the same."""
+    clean = F.translate(text, _MATCH + _PART, "\ufffd\ufffd")
+    marked = F.regexp_replace(clean, F.lit(pattern), F.lit(f"{_MATCH}$0{_PART}$1{_PART}"))
+    pieces = F.transform(F.split(marked, _MATCH), lambda x: F.split(x, _PART))
+    start = F.struct(F.lit(0).alias("at"), _none().alias("found"))
 
-    def made(m: Column, i: Column) -> Column:
-        value = F.get(group, i)
-        # the group is looked for from the end: it closes the match or nearly so
-        inside = F.length(m) - F.length(F.call_function("substring_index", m, value, F.lit(-1))) - F.length(value)
-        start = upto(between, i + 1) + upto(whole, i) + inside
-        return _qi(kind, value, value if norm is None else norm(value), confidence, start, start + F.length(value), method)
+    def step(a: Column, piece: Column) -> Column:
+        whole, group, rest = (F.get(piece, F.lit(k)) for k in range(3))
+        begin = a["at"] if span == "match" else a["at"] + F.instr(whole, group) - 1
+        end = begin + F.length(whole if span == "match" else group)
+        one = _qi(kind, group if span == "group" else whole, group if norm is None else norm(group), confidence, begin, end, method)
+        return (
+            F.when(F.size(piece) < 3, F.struct((a["at"] + F.length(whole)).alias("at"), a["found"].alias("found")))
+            .otherwise(F.struct((a["at"] + F.length(whole) + F.length(rest)).alias("at"), F.concat(a["found"], F.array(one)).alias("found")))
+        )
 
-    return F.transform(whole, made)
+    return F.coalesce(F.aggregate(pieces, start, step, lambda a: a["found"]), _none())
 
 
 def trim_capture(value: Column) -> Column:
-    """Without stop words and punctuation at the end; empty if nothing else is there."""
+    """Without stop words and punctuation at the end, words one blank apart; empty if nothing else
+    is there."""
     stops = "|".join(STOP_WORDS)
-    return F.trim(F.regexp_replace(F.regexp_replace(value, f"(?i)(^|\\s+)((?:{stops})[.,;:]*\\s*)+$", ""), "[.,;:]+$", ""))
+    one = F.trim(F.regexp_replace(value, r"\s+", " "))
+    return F.regexp_replace(F.trim(F.regexp_replace(one, f"(?i)(^|\\s+)((?:{stops})[.,;:]*\\s*)+$", "")), "[.,;:]+$", "")
+
+
+def _years(value: Column) -> Column:
+    """An age without leading zeros."""
+    return F.coalesce(value.try_cast("int").cast("string"), value)
+
+
+def _lived(qis: Column) -> Column:
+    return F.filter(qis, lambda q: q["normalized_value"].try_cast("int").between(0, 120))
 
 
 def ages(text: Column) -> Column:
-    parts = [_found(text, f"(?i){p}", "age", 0.9, "pattern") for p in AGE_PATTERNS]
-    return F.filter(F.concat(*parts), lambda q: q["normalized_value"].cast("int").between(0, 120))
+    return _lived(F.concat(*(_found(text, f"(?i){p}", "age", 0.9, "pattern", _years) for p in AGE_PATTERNS)))
+
+
+def told_ages(text: Column) -> Column:
+    """Ages by the token rules of a named-entity recognizer."""
+    return _lived(_found(text, AGE_RULES, "age", 0.9, "ner", lambda v: _years(F.regexp_extract(v, "[0-9]+", 0))))
 
 
 def births(text: Column) -> Column:
@@ -115,22 +160,29 @@ def births(text: Column) -> Column:
 
 def zips(text: Column) -> Column:
     """ZIPs in context, then those after a state that the context didn't give."""
-    near = _found(text, f"(?i){ZIP_CONTEXT}", "zip_code", 0.95, "pattern")
-    seen = F.transform(near, lambda q: q["raw_value"])
-    return F.concat(near, F.filter(_found(text, ZIP_STATE, "zip_code", 0.9, "pattern"), lambda q: ~F.array_contains(seen, q["raw_value"])))
+    near = _found(text, f"(?i){ZIP_CONTEXT}", "zip_code", 0.95, "pattern", span="group")
+    seen = F.transform(near, lambda q: q["normalized_value"])
+    return F.concat(near, F.filter(_found(text, ZIP_STATE, "zip_code", 0.9, "pattern", span="group in match"), lambda q: ~F.array_contains(seen, q["normalized_value"])))
 
 
 def genders(text: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in GENDERS.items() for x in pair])
-    return _found(text, r"(?i)\b(male|female|man|woman|boy|girl)\b", "gender", 0.95, "rule", lambda v: F.try_element_at(table, F.lower(v)))
+    return _found(text, r"(?i)\b(male|female|man|woman|boy|girl)\b", "gender", 0.95, "ner", lambda v: F.try_element_at(table, F.lower(v)))
 
 
-def occupations(text: Column) -> Column:
-    """Occupations named as such, then what stands where an occupation is told."""
-    words = "|".join(o.replace("_", " ") for o in OCCUPATIONS)
-    named = _found(text, f"(?i)\\b({words})\\b", "occupation", 0.85, "phrase", F.lower)
+def named_occupations(text: Column) -> Column:
+    return _found(text, f"(?i)\\b({'|'.join(OCCUPATIONS)})\\b", "occupation", 0.85, "phrase", F.lower)
+
+
+def told_occupations(text: Column) -> Column:
+    """What stands where an occupation is told."""
     told = F.concat(*(_found(text, f"(?i){p}", "occupation", 0.8, "pattern", lambda v: F.lower(trim_capture(v))) for p in OCCUPATION_CONTEXT))
-    return F.concat(named, F.filter(told, lambda q: F.length(q["normalized_value"]) >= 3))
+    bare = F.transform(told, lambda q: q.withField("raw_value", F.trim(q["raw_value"])))
+    return F.filter(bare, lambda q: F.length(q["normalized_value"]) >= 3)
+
+
+def occupations(text: Column) -> Column:
+    return F.concat(named_occupations(text), told_occupations(text))
 
 
 def states(text: Column) -> Column:
@@ -144,28 +196,40 @@ def states(text: Column) -> Column:
     )
 
 
-def terms(text: Column, kind: str, words: list[str], confidence: float = 0.9) -> Column:
-    """Entries of a dictionary, such as diseases or peoples."""
-    return _found(text, "(?i)\\b(" + "|".join(words) + ")\\b", kind, confidence, "ner", F.lower)
+def terms(text: Column, kind: str, words: list[str], confidence: float = 0.9, method: str = "ner") -> Column:
+    """Entries of a dictionary, such as diseases, places or peoples."""
+    return _found(text, "(?i)\\b(" + "|".join(words) + ")\\b", kind, confidence, method, F.lower)
 
 
-def extract(df: DataFrame, text: str = "text", diseases: list[str] | None = None, peoples: list[str] | None = None, out: str = "qis") -> DataFrame:
-    """All pattern extractors in order, deduplicated with dictionary finds first."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    parts = [states(t), genders(t), ages(t), occupations(t), births(t), zips(t)]
-    if diseases:
-        parts.insert(1, terms(t, "disease", diseases))
+def recognized(text: Column, places: list[str] | None = None, peoples: list[str] | None = None) -> Column:
+    """What a general named-entity recognizer would give, in the order of the text: states, other
+    places, peoples, genders, ages."""
+    parts = [states(text), genders(text), told_ages(text)]
+    if places:
+        parts.append(terms(text, "location", places, 0.7))
     if peoples:
-        parts.insert(1, terms(t, "ethnicity", peoples, 0.7))
+        parts.append(terms(text, "ethnicity", peoples, 0.7))
+    keyed = F.transform(F.concat(*parts), lambda q: F.struct(q["start_pos"].alias("a"), q["end_pos"].alias("b"), q["qi_type"].alias("c"), q.alias("q")))
+    return F.transform(F.array_sort(keyed), lambda k: k["q"])
+
+
+def extract(df: DataFrame, text: str = "text", diseases: list[str] | None = None, peoples: list[str] | None = None, places: list[str] | None = None, out: str = "qis", recognizer=None) -> DataFrame:
+    """All extractors in order, deduplicated with what a recognizer found first. `recognizer` is a
+    function of the text column that stands in for `recognized`, such as a pandas UDF."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    general = recognizer(t) if recognizer else recognized(t, places, peoples)
+    sick = [terms(t, "disease", diseases, method="dictionary")] if diseases else []
+    parts = [general, *sick, named_occupations(t), told_occupations(t), ages(t), births(t), zips(t)]
     return df.withColumn("_all", F.concat(*parts)).withColumn(out, dedup(F.col("_all"), "ner")).drop("_all")
 
 
 def from_replies(df: DataFrame, replies: DataFrame, text: str = "text", out: str = "qis") -> DataFrame:
     """QIs of recorded replies (text_hash, reply), found by the SHA-256 of the text; a text without
-    a reply has none."""
-    keyed = df.withColumn("_h", F.sha2(F.col(text), 256)).join(replies.select(F.col("text_hash").alias("_h"), "reply"), "_h", "left")
-    found = keyed.withColumn("_items", parse_reply(F.col("reply")))
-    return found.withColumn(out, dedup(validate(F.col(text), F.col("_items")))).drop("_h", "reply", "_items")
+    a reply has none. Of several replies to one text the greatest counts."""
+    told = replies.groupBy(F.col("text_hash").alias("_h")).agg(F.max("reply").alias("_reply"))
+    keyed = df.withColumn("_h", F.sha2(F.col(text), 256)).join(told, "_h", "left")
+    found = keyed.withColumn("_items", parse_reply(F.col("_reply")))
+    return found.withColumn(out, dedup(validate(F.col(text), F.col("_items")))).drop("_h", "_reply", "_items")
 
 
 def to_json(qis: Column) -> Column:
@@ -173,4 +237,4 @@ def to_json(qis: Column) -> Column:
 
 
 def from_json(value: Column) -> Column:
-    return F.from_json(value, f"array<{QI}>")
+    return F.from_json(value, NONE)

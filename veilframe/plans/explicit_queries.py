@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 from ..functions import text as X
 from ..functions.constants import RECOGNIZERS
-from ..operators import contextual, explicit
+from ..operators import contextual, explicit, features, quasi
 from ..sources import blocks
 from . import rendered as R
 
 DOC_KINDS = ("EMAIL_ADDRESS", "PHONE_NUMBER", "IP_ADDRESS", "CREDIT_CARD")
+TURN_RECOGNIZERS = {"PERSON": (r" [A-Z][a-z]+", 0.85, "", False), "DATE_TIME": (r"[0-9]+", 0.6, "", False)}
 DOC_RECOGNIZERS = {k: RECOGNIZERS[k] for k in DOC_KINDS}
-_WEIGHTS = {"EMAIL_ADDRESS": 0.85, "PHONE_NUMBER": 0.8, "IP_ADDRESS": 0.75, "CREDIT_CARD": 0.95, "URL": 0.4, "US_SSN": 1.0}
+_WEIGHTS = {"EMAIL_ADDRESS": 0.85, "PHONE_NUMBER": 0.8, "IP_ADDRESS": 0.75, "CREDIT_CARD": 0.95, "URL": 0.4, "US_SSN": 1.0, "PERSON": 0.9, "ORGANIZATION": 0.5, "DATE_TIME": 0.5, "LOCATION": 0.6}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,11 +26,11 @@ def _luhn_sql(x: str) -> str:
     return f"list_sum(list_transform(range(1, length({x}) + 1), lambda k: CASE WHEN k % 2 = length({x}) % 2 THEN CAST(substr({x}, k, 1) AS INT) ELSE CASE WHEN 2 * CAST(substr({x}, k, 1) AS INT) > 9 THEN 2 * CAST(substr({x}, k, 1) AS INT) - 9 ELSE 2 * CAST(substr({x}, k, 1) AS INT) END END)) % 10 = 0"
 
 
-def entity_cte(table: str, id: str, text: str, kinds: tuple[str, ...]) -> str:
+def entity_cte(table: str, id: str, text: str, kinds: tuple[str, ...], recognizers: dict = RECOGNIZERS) -> str:
     """ent: (id, entity_type, start, end, text, confidence, weight, weighted_score)."""
     parts = []
     for kind in kinds:
-        pattern, confidence, _, luhn = RECOGNIZERS[kind]
+        pattern, confidence, _, luhn = recognizers[kind]
         p = pattern.replace("'", "''").replace('\\"', '"')
         parts.append(
             f"SELECT {id}, '{kind}' AS entity_type, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS a, m[i] AS x, CAST({confidence} AS DOUBLE) AS c, CAST({_WEIGHTS[kind]} AS DOUBLE) AS w "
@@ -80,7 +81,23 @@ def e_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_kind(read(spark, sf_dir, "conversations"), "conv_id", "text", DOC_KINDS)
+    """Turns hold no entities of the known kinds, so conversations get a recognizer of their own:
+    words that begin with a capital, inside a sentence."""
+    found = explicit.entities(read(spark, sf_dir, "conversations"), "text", TURN_RECOGNIZERS)
+    scored = explicit.summary(found).groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum("e_count").alias("n"), F.round(F.max("e_score"), 6).alias("max_e_score"))
+    return scored
+
+
+def e_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognizers under the threshold of 0.7 drop out."""
+    docs = explicit.entities(read(spark, sf_dir, "documents"), recognizers=DOC_RECOGNIZERS, threshold=0.7)
+    return docs.select(F.explode_outer("entities").alias("e")).where("e is not null").groupBy("e.entity_type").agg(F.count("*").alias("n"), F.min("e.confidence").alias("least"))
+
+
+def e_score_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything of the public function on raw pages, in merged mode."""
+    pages = explicit.score_explicit(read(spark, sf_dir, "pages"), "html", mode="merged")
+    return pages.select("page_id", "e_count", F.round("e_score", 6).alias("e_score"), F.array_join("e_types", "|").alias("types"), (F.length("e_masked") - F.length("html")).cast("long").alias("grown"))
 
 
 def luhn_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +106,13 @@ def luhn_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = explicit.report(explicit.mask(explicit.summary(_docs(spark, sf_dir))))
-    return docs.where("e_count > 0").select("doc_id", F.get_json_object("report", "$.entity_count").cast("long").alias("entity_count"), F.get_json_object("report", "$.text_length").cast("long").alias("text_length"))
+    """The JSON reports read again: length, score, count, the entities' digest and the masked text's."""
+    kinds = {k: RECOGNIZERS[k] for k in ("EMAIL_ADDRESS", "PHONE_NUMBER", "IP_ADDRESS")}
+    docs = explicit.report(explicit.mask(explicit.summary(explicit.entities(read(spark, sf_dir, "documents"), recognizers=kinds))))
+    body = F.from_json("report", "text_length long, e_score double, entity_count long, entities array<struct<entity_type:string,start:int,end:int,text:string,confidence:double,weight:double,weighted_score:double>>, masked_text string")
+    told = docs.where("e_count > 0").select("doc_id", body.alias("r"))
+    parts = F.array_sort(F.transform("r.entities", lambda e: F.concat_ws(":", e["start"].cast("string"), e["end"].cast("string"), e["entity_type"], e["text"])))
+    return told.select("doc_id", "r.text_length", "r.e_score", "r.entity_count", F.md5(F.array_join(parts, ",")).alias("entities_md5"), F.md5("r.masked_text").alias("masked_md5"))
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,10 +138,11 @@ def features_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = explicit.summary(_docs(spark, sf_dir))
-    kinds = F.transform("entities", lambda e: e["entity_type"])
-    density = 100 * X.ratio(F.size(kinds), X.word_count(F.col("text")))
-    return s.select("doc_id", F.array_join("e_types", "|").alias("signature"), F.size("e_types").cast("long").alias("n_types"), F.round(density, 6).alias("density"), F.array_contains("e_types", "CREDIT_CARD").alias("has_direct"), X.risky_sets(F.col("e_types")).cast("long").alias("combos"))
+    """The library's entity features on documents, whose quasi-identifiers aren't looked for."""
+    docs = _docs(spark, sf_dir).withColumns({"word_count": X.word_count(F.col("text")), "qis": F.array().cast(quasi.NONE)})
+    s = features.entity_features(docs)
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    return s.select("doc_id", F.col("entity_type_combo_signature").alias("signature"), long("unique_entity_type_count", "n_types"), F.round("entity_density", 6).alias("density"), F.col("has_direct_identifier").alias("has_direct"), long("direct_identifier_count", "n_direct"), long("high_risk_combo_count", "combos"))
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,9 +182,25 @@ REGISTRY = {
     "e_score_by_lang": (e_score_by_lang, f"WITH {SCORE_CTE} SELECT lang, count(*) AS n, round(avg(coalesce(e_score, 0)), 6) AS mean_e_score, round(max(coalesce(e_score, 0)), 6) AS max_e_score FROM documents LEFT JOIN es USING (doc_id) GROUP BY lang"),
     "e_mask": (e_mask, f"SELECT doc_id, md5(m) AS masked_md5, CAST(length(m) AS BIGINT) AS masked_length FROM (SELECT doc_id, text, {_MASK_SQL} AS m FROM documents) WHERE m <> text"),
     "e_html": (e_html, f"WITH {entity_cte('pages', 'page_id', 'html', ('URL', 'EMAIL_ADDRESS', 'IP_ADDRESS'))} SELECT entity_type, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM ent GROUP BY entity_type"),
-    "e_conversations": (e_conversations, f"WITH {entity_cte('conversations', 'conv_id', 'text', DOC_KINDS)} SELECT entity_type, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM ent GROUP BY entity_type"),
+    "e_conversations": (
+        e_conversations,
+        f"""WITH {entity_cte('conv', 'k', 'text', ('PERSON', 'DATE_TIME'), TURN_RECOGNIZERS).replace('ent AS (', 'conv AS (SELECT *, row_number() OVER () AS k FROM conversations), ent AS (', 1)},
+s AS (SELECT k, count(*) AS n, least(0.6 * max(weighted_score) + 0.4 * avg(weighted_score), 1) AS e FROM ent GROUP BY k) SELECT conv_id, count(*) AS turns, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, round(max(coalesce(e, 0)), 6) AS max_e_score FROM conv LEFT JOIN s USING (k) GROUP BY conv_id""",
+    ),
+    "e_threshold": (e_threshold, f"WITH {DOC_CTE} SELECT entity_type, count(*) AS n, min(confidence) AS least FROM ent WHERE confidence >= 0.7 GROUP BY entity_type"),
+    "e_score_explicit": (
+        e_score_explicit,
+        f"""WITH RECURSIVE {entity_cte('pages', 'page_id', 'html', tuple(RECOGNIZERS))}, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY start, "end", entity_type) AS i FROM ent),
+kept AS (SELECT page_id, 0 AS i, 0 AS upto, CAST(0 AS BIGINT) AS grown FROM pages UNION ALL SELECT k.page_id, o.i, CASE WHEN o.start >= k.upto THEN o."end" ELSE k.upto END, k.grown + CASE WHEN o.start >= k.upto THEN length(o.entity_type) + 2 - (o."end" - o.start) ELSE 0 END FROM kept k JOIN o ON o.page_id = k.page_id AND o.i = k.i + 1),
+s AS (SELECT page_id, count(*) AS n, least(0.6 * max(weighted_score) + 0.4 * avg(weighted_score), 1) AS e, array_to_string(list_sort(list(DISTINCT entity_type)), '|') AS types FROM ent GROUP BY page_id)
+SELECT p.page_id, CAST(coalesce(n, 0) AS BIGINT) AS e_count, round(coalesce(e, 0), 6) AS e_score, coalesce(types, '') AS types, grown FROM pages p LEFT JOIN s USING (page_id) JOIN (SELECT page_id, arg_max(grown, i) AS grown FROM kept GROUP BY page_id) USING (page_id)""",
+    ),
     "luhn_cards": (luhn_cards, f"SELECT doc_id, x AS digits, {_luhn_sql('x')} AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{{16}}')) AS x FROM documents)"),
-    "e_report": (e_report, f"WITH {SCORE_CTE} SELECT doc_id, e_count AS entity_count, CAST(length(text) AS BIGINT) AS text_length FROM documents JOIN es USING (doc_id)"),
+    "e_report": (
+        e_report,
+        f"""WITH {entity_cte('documents', 'doc_id', 'text', ('EMAIL_ADDRESS', 'PHONE_NUMBER', 'IP_ADDRESS'))}, es AS (SELECT doc_id, count(*) AS n, least(0.6 * max(weighted_score) + 0.4 * avg(weighted_score), 1) AS e, md5(array_to_string(list_sort(list(concat_ws(':', start, "end", entity_type, text))), ',')) AS entities_md5 FROM ent GROUP BY doc_id)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS text_length, round(e, 4) AS e_score, n AS entity_count, entities_md5, md5({_MASK_SQL}) AS masked_md5 FROM documents JOIN es USING (doc_id)""",
+    ),
     "block_parse_strict": (block_parse_strict, _strict_sql("SELECT * FROM s")),
     "block_parse_loose": (
         block_parse_loose,
@@ -176,7 +215,7 @@ SELECT o_orderkey, block, CASE WHEN name <> '' THEN name ELSE 'Sample_' || row_n
     "features_entity": (
         features_entity,
         f"""WITH {SCORE_CTE} SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(kinds)), '|'), '') AS signature, CAST(coalesce(len(list_distinct(kinds)), 0) AS BIGINT) AS n_types,
-round(100 * CAST(coalesce(e_count, 0) AS DOUBLE) / greatest({_WORDS_SQL.format(t='text')}, 1), 6) AS density, coalesce(list_contains(kinds, 'CREDIT_CARD'), false) AS has_direct, CAST(0 AS BIGINT) AS combos FROM documents LEFT JOIN es USING (doc_id)""",
+round(100 * CAST(coalesce(e_count, 0) AS DOUBLE) / greatest({_WORDS_SQL.format(t='text')}, 1), 6) AS density, coalesce(len(list_intersect(kinds, ['CREDIT_CARD', 'EMAIL_ADDRESS', 'PHONE_NUMBER'])) > 0, false) AS has_direct, CAST(coalesce(len(list_filter(kinds, lambda x: x IN ('CREDIT_CARD', 'EMAIL_ADDRESS', 'PHONE_NUMBER'))), 0) AS BIGINT) AS n_direct, CAST(0 AS BIGINT) AS combos FROM documents LEFT JOIN es USING (doc_id)""",
     ),
     "coverage": (
         coverage,

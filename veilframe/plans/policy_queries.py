@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import K_GRID
+from ..functions.constants import DIRECT_TYPES, K_GRID
 from ..operators import evaluate, explicit, policy, sweep
 from ..sources import results
+from ..sources.shared import new_path
 from ..streaming import resume
 from .explicit_queries import DOC_RECOGNIZERS, SCORE_CTE, read
 
@@ -22,19 +21,19 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     id, as no model is at hand; a document is critical if it is toxic."""
     docs = explicit.summary(explicit.entities(read(spark, sf_dir, "documents"), recognizers=DOC_RECOGNIZERS))
     docs = docs.select(
-        "doc_id", "e_score", F.col("e_count").cast("double").alias("e_count"), F.array_contains("e_types", "CREDIT_CARD").alias("has_direct"),
+        "doc_id", "e_score", F.col("e_count").cast("double").alias("e_count"), F.arrays_overlap("e_types", F.array(*map(F.lit, DIRECT_TYPES))).alias("has_direct"),
         F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") * 37 % 100) / 100).otherwise(0.0).alias("q_score"), ((F.col("doc_id") * 53 % 100) / 200).alias("c_score"),
-        (F.col("doc_id") % 5 == 0).alias("has_combo"), (F.length("text") > 2000).alias("long_text"), F.length("text").cast("double").alias("words"),
+        (F.col("doc_id") % 5 == 0).alias("has_combo"), (F.col("doc_id") % 13 == 0).alias("rare_disease"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("A"), F.lit("B"))).alias("factors"), (F.length("text") > 2000).alias("long_text"), F.length("text").cast("double").alias("words"),
     )
     labels = read(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("expected_critical"))
     return docs.join(labels, "doc_id")
 
 
-SCORED = SCORE_CTE + """, sc AS (SELECT doc_id, least(coalesce(e_score, 0), 1.0) AS e_score, CAST(coalesce(e_count, 0) AS DOUBLE) AS e_count, coalesce(list_contains(kinds, 'CREDIT_CARD'), false) AS has_direct,
-CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id * 37 % 100 AS DOUBLE) / 100 ELSE 0 END AS q_score, CAST(doc_id * 53 % 100 AS DOUBLE) / 200 AS c_score, doc_id % 5 = 0 AS has_combo, length(text) > 2000 AS long_text, CAST(length(text) AS DOUBLE) AS words, toxic = 1 AS y
+SCORED = SCORE_CTE + """, sc AS (SELECT doc_id, least(coalesce(e_score, 0), 1.0) AS e_score, CAST(coalesce(e_count, 0) AS DOUBLE) AS e_count, coalesce(len(list_intersect(kinds, ['CREDIT_CARD', 'EMAIL_ADDRESS', 'PHONE_NUMBER'])) > 0, false) AS has_direct,
+CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id * 37 % 100 AS DOUBLE) / 100 ELSE 0 END AS q_score, CAST(doc_id * 53 % 100 AS DOUBLE) / 200 AS c_score, doc_id % 5 = 0 AS has_combo, doc_id % 13 = 0 AS rare, doc_id % 2 = 0 AS told, length(text) > 2000 AS long_text, CAST(length(text) AS DOUBLE) AS words, toxic = 1 AS y
 FROM documents JOIN labels USING (doc_id) LEFT JOIN es USING (doc_id)),
 pol AS (SELECT *, e_score + q_score + c_score AS combined FROM sc),
-dec AS (SELECT *, CASE WHEN has_direct THEN 'R1' WHEN combined >= 1.2 THEN 'R2' WHEN c_score >= 0.3 THEN 'R3' WHEN e_score >= 0.5 THEN 'R4a' WHEN q_score >= 0.5 THEN 'R4c' WHEN has_combo AND combined >= 0.6 THEN 'R5' WHEN c_score >= 0.12 THEN 'R6' WHEN e_score >= 0.3 AND q_score > 0 THEN 'R7' ELSE 'default' END AS rule FROM pol),
+dec AS (SELECT *, CASE WHEN has_direct THEN 'R1' WHEN combined >= 1.2 THEN 'R2' WHEN c_score >= 0.3 THEN 'R3' WHEN e_score >= 0.5 THEN 'R4a' WHEN rare THEN 'R4b' WHEN q_score >= 0.5 THEN 'R4c' WHEN has_combo AND combined >= 0.6 THEN 'R5' WHEN c_score >= 0.12 THEN 'R6' WHEN e_score >= 0.3 AND q_score > 0 THEN 'R7' ELSE 'default' END AS rule FROM pol),
 tier AS (SELECT *, CASE WHEN rule IN ('R1', 'R2', 'R3') THEN 'restricted' WHEN rule = 'default' THEN 'unrestricted' ELSE 'confidential' END AS tier FROM dec)"""
 
 
@@ -48,13 +47,24 @@ def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir).groupBy("rule").agg(F.count("*").alias("n"), F.sum(F.size("reasons")).alias("n_reasons"))
+    return policy.projection(_decided(spark, sf_dir), "doc_id").select("doc_id", F.array_join("reasons", "; ").alias("reasons"), F.round("scores.combined", 6).alias("combined"), "requires_reconstruction")
 
 
 def policy_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.tiers(_decided(spark, sf_dir)).withColumn("pct", F.round("pct", 6))
 
 
+def policy_routings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.routings(_decided(spark, sf_dir)).withColumn("pct", F.round("pct", 6))
+
+
+def policy_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the three scores alone, with the rules on direct identifiers and combinations off."""
+    s = scored(spark, sf_dir)
+    given = s.select("doc_id", *(c.alias(n) for n, c in policy.evaluate(F.col("e_score"), F.col("q_score"), F.col("c_score"), has_direct=F.col("has_direct")).items()))
+    return policy.decide(given, policy.Policy(direct_restricts=False, combo_confidential=False)).select("doc_id", "tier")
+
+
 def policy_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.crosstab(_decided(spark, sf_dir))
 
@@ -238,15 +248,16 @@ def ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows with some columns missing or null become the policy's input."""
     docs = explicit.summary(explicit.entities(read(spark, sf_dir, "documents"), recognizers=DOC_RECOGNIZERS))
-    rows = docs.select(F.md5("text").alias("sample_hash"), "e_score", F.col("e_types").alias("e_score_entity_types"))
-    return results.classification(rows).groupBy("has_direct").agg(F.count("*").alias("n"), F.round(F.sum("e_score"), 6).alias("e_score"), F.sum("c_score").alias("c_score"))
+    rows = docs.select(F.md5("text").alias("sample_hash"), "e_score", F.col("e_types").alias("e_score_entity_types"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") / 1000).alias("c_score_risk_score"), (F.col("doc_id") % 10 == 0).alias("has_direct_identifier"))
+    return results.classification(rows).groupBy("has_direct", "has_combo").agg(F.count("*").alias("n"), F.round(F.sum("e_score"), 6).alias("e_score"), F.round(F.sum("c_score"), 6).alias("c_score"))
 
 
 def _streamed(spark: SparkSession, sf_dir: str, work, key: str | None) -> DataFrame:
     """Runs the events through a stream to a table in the shared folder, twice: the second run finds
     nothing new."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/veilframe'}/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     for _ in range(2):  # a stream reads a folder, or a pattern that may match one file
         resume.run_available(resume.read_files(spark, f"{sf_dir}/event[s].parquet", schema), work, f"{base}/out", f"{base}/state", key)
@@ -262,22 +273,38 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch form of the windowed count; tests hold the stream against it."""
-    return resume.windowed(read(spark, sf_dir, "events"), "ts", F.col("value") > 50)
+    """Running counts by day, kept by a stream in complete mode over two runs and read from its table."""
+    base = new_path(spark, "windows")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for _ in range(2):
+        source = resume.read_files(spark, f"{sf_dir}/event[s].parquet", events.schema)
+        resume.run_complete(resume.windowed(source, "ts", F.col("value") > 50), f"{base}/out", f"{base}/state")
+    return resume.latest(spark, f"{base}/out")
+
+
+NAN = "'NaN'::DOUBLE"
 
 
-def _corr_sql(a: str, b: str) -> str:
-    return f"coalesce(CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 1e-15 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END, 0)"
+def corr_sql(a: str, b: str, none: str = "0") -> str:
+    return f"coalesce(CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 1e-15 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END, {none})"
 
 
 _Y = "CAST(y AS DOUBLE)"
-_CORR = "co AS (" + " UNION ALL ".join(f"SELECT {k} AS ord, '{f}' AS feature, round({_corr_sql(f, _Y)}, 6) AS corr FROM sc" for k, f in enumerate(FEATURES)) + ")"
-_CELLS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round({_corr_sql(a, b)}, 6) AS corr FROM sc" for a in FEATURES for b in FEATURES)
+_CORR = "co AS (" + " UNION ALL ".join(f"SELECT {k} AS ord, '{f}' AS feature, round({corr_sql(f, _Y)}, 6) AS corr FROM sc" for k, f in enumerate(FEATURES)) + ")"
+_CELLS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round({corr_sql(a, b, NAN)}, 6) AS corr FROM sc" for a in FEATURES for b in FEATURES)
 _TS = "tm AS (SELECT i, CAST(i AS DOUBLE) / 49 AS t, count(*) FILTER (y AND c_score >= CAST(i AS DOUBLE) / 49) AS tp, count(*) FILTER (NOT y AND c_score >= CAST(i AS DOUBLE) / 49) AS fp, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM sc, range(50) r(i) GROUP BY i), mt AS (SELECT i, t, CASE WHEN p > 0 THEN tp / CAST(p AS DOUBLE) ELSE 0 END AS recall, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 1 END AS precision, CASE WHEN n > 0 THEN fp / CAST(n AS DOUBLE) ELSE 0 END AS fpr FROM tm), mf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM mt)"
 
 REGISTRY = {
     "policy_decisions": (policy_decisions, f"WITH {SCORED} SELECT doc_id, round(combined, 6) AS combined, rule, tier, CASE tier WHEN 'restricted' THEN 'block' WHEN 'confidential' THEN 'reversible' ELSE 'none' END AS transformation, CASE tier WHEN 'restricted' THEN 'local' WHEN 'confidential' THEN 'tee' ELSE 'cloud' END AS routing, tier = 'confidential' AS needs_attestation FROM tier"),
-    "policy_reasons": (policy_reasons, f"WITH {SCORED} SELECT rule, count(*) AS n, CAST(sum(CASE WHEN rule = 'R5' THEN 2 ELSE 1 END) AS BIGINT) AS n_reasons FROM tier GROUP BY rule"),
+    "policy_reasons": (
+        policy_reasons,
+        f"""WITH {SCORED} SELECT doc_id, CASE rule WHEN 'R1' THEN 'Direct identifier detected (SSN, passport, etc.)' WHEN 'R2' THEN printf('Combined score %.2f >= 1.2', combined)
+WHEN 'R3' THEN printf('High contextual sensitivity: C-Score %.2f', c_score) || CASE WHEN told THEN '; Factors: A, B' ELSE '' END WHEN 'R4a' THEN printf('High explicit PII: E-Score %.2f', e_score) WHEN 'R4b' THEN 'Rare quasi-identifier detected (disease or occupation)'
+WHEN 'R4c' THEN printf('High re-identification risk: Q-Score %.2f', q_score) WHEN 'R5' THEN 'High-risk entity combination (PERSON+LOCATION+DATETIME); ' || printf('Combined score %.2f with risk factors', combined) WHEN 'R6' THEN printf('Moderate contextual sensitivity: C-Score %.2f', c_score)
+WHEN 'R7' THEN 'Moderate PII with quasi-identifiers present' ELSE 'No significant sensitivity indicators detected; ' || printf('Scores: E=%.2f, Q=%.2f, C=%.2f', e_score, q_score, c_score) END AS reasons, round(combined, 6) AS combined, tier = 'confidential' AS requires_reconstruction FROM tier""",
+    ),
+    "policy_routings": (policy_routings, f"WITH {SCORED} SELECT CASE tier WHEN 'restricted' THEN 'local' WHEN 'confidential' THEN 'tee' ELSE 'cloud' END AS routing, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM tier), 6) AS pct FROM tier GROUP BY 1"),
+    "policy_plain": (policy_plain, f"WITH {SCORED}, r AS (SELECT doc_id, e_score AS e, q_score AS q, c_score AS c, has_direct AND doc_id % 2 = 0 AS d FROM sc) SELECT doc_id, CASE WHEN e + q + c >= 1.2 OR c >= 0.3 THEN 'restricted' WHEN e >= 0.5 OR q >= 0.5 OR c >= 0.12 OR (e >= 0.3 AND q > 0) THEN 'confidential' ELSE 'unrestricted' END AS tier FROM r"),
     "policy_tiers": (policy_tiers, f"WITH {SCORED}, o AS (SELECT * FROM (VALUES (0, 'restricted'), (1, 'confidential'), (2, 'unrestricted')) t(ord, tier)) SELECT ord, o.tier, count(x.doc_id) AS n, round(100.0 * count(x.doc_id) / (SELECT count(*) FROM tier), 6) AS pct FROM o LEFT JOIN tier x ON x.tier = o.tier GROUP BY ord, o.tier"),
     "policy_crosstab": (policy_crosstab, f"WITH {SCORED} SELECT y AS expected_critical, count(*) FILTER (tier = 'restricted') AS restricted, count(*) FILTER (tier = 'confidential') AS confidential, count(*) FILTER (tier = 'unrestricted') AS unrestricted FROM tier GROUP BY y"),
     "policy_rates": (policy_rates, f"WITH {SCORED} SELECT round(count(*) FILTER (y AND tier <> 'unrestricted') / CAST(count(*) FILTER (y) AS DOUBLE), 6) AS protected_rate, round(count(*) FILTER (y AND tier = 'unrestricted') / CAST(count(*) FILTER (y) AS DOUBLE), 6) AS leak_rate, round(count(*) FILTER (NOT y AND tier = 'unrestricted') / CAST(count(*) FILTER (NOT y) AS DOUBLE), 6) AS efficiency FROM tier"),
@@ -309,7 +336,7 @@ REGISTRY = {
     "resume_reuse": (resume_reuse, "SELECT doc_id FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 4 = 0)"),
     "resume_upsert": (resume_upsert, "SELECT user_id AS sample_hash, event_id AS processed_at, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 3 <> 0 THEN 1 ELSE 0 END DESC, event_id DESC) AS r FROM events) WHERE r = 1"),
     "ttl_cache": (ttl_cache, "SELECT user_id AS cache_key, count(*) AS n, count(CASE WHEN event_id % 5 > 0 THEN event_type END) AS n_known FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1"),
-    "classification": (classification, f"WITH {SCORE_CTE} SELECT coalesce(list_contains(kinds, 'CREDIT_CARD'), false) AS has_direct, count(*) AS n, round(sum(coalesce(e_score, 0)), 6) AS e_score, CAST(0 AS DOUBLE) AS c_score FROM documents LEFT JOIN es USING (doc_id) GROUP BY 1"),
+    "classification": (classification, f"WITH {SCORE_CTE} SELECT coalesce(len(list_intersect(kinds, ['CREDIT_CARD', 'EMAIL_ADDRESS', 'PHONE_NUMBER'])) > 0, false) OR doc_id % 10 = 0 AS has_direct, false AS has_combo, count(*) AS n, round(sum(coalesce(e_score, 0)), 6) AS e_score, round(sum(CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id AS DOUBLE) / 1000 ELSE 0 END), 6) AS c_score FROM documents LEFT JOIN es USING (doc_id) GROUP BY 1, 2"),
     "stream_resume": (stream_resume, "SELECT event_id, user_id FROM events WHERE value > 50"),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT user_id FROM events"),
     "stream_windowed": (stream_windowed, "SELECT date_trunc('day', ts) AS window_start, count(*) AS n, count(*) FILTER (value > 50) AS n_flagged FROM events GROUP BY 1"),

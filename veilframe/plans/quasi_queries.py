@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import anonymity, contextual, population, quasi
+from ..sources import literal
 from . import rendered as R
 
 DISEASES = ["asthma", "diabetes", "marfan syndrome", "influenza"]
+PEOPLES, PLACES = ["irish", "french"], ["paris", "london"]
 TODAY = "2026-01-01"
 
 # Snapshots for the queries: (lo, hi, people) a band and sex, people by state, and so on, all made up.
@@ -21,7 +23,7 @@ TOPICS = [("Asthma among adults", "crude prevalence", "US", 2019, 8.9), ("Asthma
 CODES = [("marfan syndrome", 558), ("asthma", 559), ("influenza", 560)]
 EPIDEMIOLOGY = [(558, [("Cases", "Unknown"), ("Point prevalence", "1-9 / 100 000"), ("Point prevalence", "1-5 / 10 000")]), (559, [("Incidence", "1-9 / 1 000 000")]), (560, [("Incidence", "not given")])]
 SOC = [("nurse", "29-1141"), ("teacher", "25-2031"), ("police officer", "33-3051"), ("pilot", "53-2011")]
-EMPLOYMENT = [("29-1141", 3_000_000), ("25-2031", 1_000_000), ("53-2011", 90_000)]
+EMPLOYMENT = [("29-1141", 2_900_000), ("25-2031", 1_010_000), ("53-2011", 91_000)]
 GENDER_PEOPLE = [("male", 164_000_000), ("female", 168_000_000)]
 
 
@@ -31,7 +33,13 @@ def _values(rows: list[tuple], names: str) -> str:
 
 
 def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema).coalesce(1)
+    return literal.table(spark, rows, schema)
+
+
+def _epidemiology(spark: SparkSession) -> DataFrame:
+    flat = _frame(spark, [(code, *item) for code, items in EPIDEMIOLOGY for item in [(k, *i) for k, i in enumerate(items)]], "code int, k int, type string, class string")
+    items = F.array_sort(F.collect_list(F.struct("k", "type", "class")))
+    return flat.groupBy("code").agg(F.transform(items, lambda i: F.struct(i["type"].alias("type"), i["class"].alias("class"))).alias("items"))
 
 
 def ages_table(spark: SparkSession) -> DataFrame:
@@ -40,7 +48,7 @@ def ages_table(spark: SparkSession) -> DataFrame:
 
 def full_population(spark: SparkSession) -> DataFrame:
     survey = population.surveyed(_frame(spark, [(d,) for d in DISEASES], "value string"), _frame(spark, TOPICS, "topic string, kind string, place string, year int, figure double"))
-    rare = population.rare(_frame(spark, CODES, "value string, code int"), _frame(spark, EPIDEMIOLOGY, "code int, items array<struct<type:string,class:string>>"))
+    rare = population.rare(_frame(spark, CODES, "value string, code int"), _epidemiology(spark))
     parts = [
         population.locations(_frame(spark, STATE_PEOPLE, "fips string, people long"), spark, TOTAL),
         population.simple(_frame(spark, ZIP_PEOPLE, "value string, people long"), "zip_code", TOTAL, "ZIP areas"),
@@ -56,48 +64,81 @@ def full_population(spark: SparkSession) -> DataFrame:
 
 # ---- pattern extractors
 
+_FIELDS = ("qi_type", "raw_value", "normalized_value", "confidence", "start_pos", "end_pos", "method")
+
+
+def _rows_of(df: DataFrame, qis: Column) -> DataFrame:
+    # outer: a plain explode would have the optimizer repeat the extraction in a filter on its size
+    return df.select("id", F.explode_outer(qis).alias("q")).where("q is not null").select("id", *(f"q.{c}" for c in _FIELDS))
+
 
 def _pattern(name: str, kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = R.narrative(spark, sf_dir).select("id", F.explode(quasi.dedup(getattr(quasi, name)(F.col("text")), "ner")).alias("q"))
-        return rows.select("id", "q.qi_type", "q.normalized_value", "q.confidence")
+        return _rows_of(R.narrative(spark, sf_dir), quasi.dedup(getattr(quasi, name)(F.col("text")), "ner"))
 
     query.__name__ = f"qi_{kind}"
     return query
 
 
-def _extracts(patterns: list[tuple[str, float]], kind: str, value: str = "v", where: str = "TRUE") -> str:
-    parts = " UNION ALL ".join(f"SELECT id, {k} AS ord, unnest(regexp_extract_all(text, '{p}', 1)) AS v, CAST({c} AS DOUBLE) AS c FROM narr" for k, (p, c) in enumerate(patterns))
-    return f"SELECT id, '{kind}' AS qi_type, {value} AS normalized_value, arg_min(c, ord) AS confidence FROM ({parts}) WHERE {where} GROUP BY id, {value}"
+def _found(order: int, pattern: str, kind: str, confidence: float, method: str = "pattern", norm: str = "v", raw: str = "w", group: bool = False, where: str = "TRUE") -> str:
+    """Rows of a pattern with their places: what stands between matches tells where they are."""
+    p = pattern.replace("'", "''")
+    size = "lambda x: length(x)"
+    before = f"CAST(list_sum(list_transform(s[1:i], {size})) + coalesce(list_sum(list_transform(m[1:i-1], {size})), 0) AS INT)"
+    start = "a0 + strpos(w, v) - 1" if group else "a0"
+    return f"""SELECT id, {order} AS ord, '{kind}' AS qi_type, {raw} AS raw_value, {norm} AS normalized_value, CAST({confidence} AS DOUBLE) AS confidence, CAST({start} AS INT) AS start_pos, CAST({start} + length({'v' if group else 'w'}) AS INT) AS end_pos, '{method}' AS method
+FROM (SELECT id, m[i] AS w, g[i] AS v, {before} AS a0 FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT id, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', 1) AS g, string_split_regex(text, '{p}') AS s FROM narr))) WHERE {where}"""
 
 
-def _insensitive(*patterns: str) -> list[str]:
-    return [f"(?i){p}" for p in patterns]
+def _distinct(rows: str) -> str:
+    """The first row of each value; rows of one order stand as in the text."""
+    return f"SELECT id, {', '.join(_FIELDS)} FROM (SELECT *, row_number() OVER (PARTITION BY id, qi_type, normalized_value ORDER BY ord, start_pos, end_pos, qi_type) AS r FROM ({rows})) WHERE r = 1"
 
 
 _STOPS = "|".join(K.STOP_WORDS)
-_TRIM = f"lower(trim(regexp_replace(regexp_replace(v, '(?i)(^|\\s+)((?:{_STOPS})[.,;:]*\\s*)+$', ''), '[.,;:]+$', '')))"
-_OCC = "|".join(o.replace("_", " ") for o in K.OCCUPATIONS)
+_TRIM = f"lower(regexp_replace(trim(regexp_replace(trim(regexp_replace(v, '\\s+', ' ', 'g')), '(?i)(^|\\s+)((?:{_STOPS})[.,;:]*\\s*)+$', '')), '[.,;:]+$', ''))"
+_YEARS = "CAST(CAST(regexp_extract(v, '[0-9]+') AS INT) AS VARCHAR)"
+_LIVED = "CAST(regexp_extract(v, '[0-9]+') AS INT) BETWEEN 0 AND 120"
+_OCC = "|".join(K.OCCUPATIONS)
 _STATE_CASE = "CASE lower(v) " + " ".join(f"WHEN '{a}' THEN '{n}'" for a, n, _ in K.STATE_ROWS) + " ELSE lower(v) END"
 _NAMES = "|".join(sorted((n for _, n, _ in K.STATE_ROWS), key=len, reverse=True))
 _CODES = "|".join(a.upper() for a, _, _ in K.STATE_ROWS)
-SQL = {
-    "age": _extracts([(p, 0.9) for p in _insensitive(*K.AGE_PATTERNS)], "age", where="CAST(v AS INT) BETWEEN 0 AND 120"),
-    "dob": _extracts([(p, 0.95) for p in _insensitive(*K.DOB_PATTERNS)], "date_of_birth"),
-    "zip": _extracts([(f"(?i){K.ZIP_CONTEXT}", 0.95), (K.ZIP_STATE, 0.9)], "zip_code"),
-    "gender": _extracts([(r"(?i)\b(male|female|man|woman|boy|girl)\b", 0.95)], "gender", "CASE lower(v) WHEN 'man' THEN 'male' WHEN 'boy' THEN 'male' WHEN 'woman' THEN 'female' WHEN 'girl' THEN 'female' ELSE lower(v) END"),
-    "occupation": f"SELECT id, 'occupation' AS qi_type, v AS normalized_value, arg_min(c, ord) AS confidence FROM (SELECT id, 0 AS ord, lower(unnest(regexp_extract_all(text, '(?i)\\b({_OCC})\\b', 1))) AS v, CAST(0.85 AS DOUBLE) AS c FROM narr UNION ALL SELECT id, 1, {_TRIM}, 0.8 FROM (SELECT id, unnest(regexp_extract_all(text, '(?i){K.OCCUPATION_CONTEXT[0]}', 1) || regexp_extract_all(text, '(?i){K.OCCUPATION_CONTEXT[1]}', 1)) AS v FROM narr)) WHERE length(v) >= 3 OR ord = 0 GROUP BY id, v",
-    "state": _extracts([(f"(?i)\\b({_NAMES})\\b", 0.85), (f"\\b({_CODES})\\b", 0.85)], "location", _STATE_CASE),
+_GENDER = "CASE lower(v) WHEN 'man' THEN 'male' WHEN 'boy' THEN 'male' WHEN 'woman' THEN 'female' WHEN 'girl' THEN 'female' ELSE lower(v) END"
+#: What each extractor finds; order 0 is the recognizer's, sorted by place.
+PARTS = {
+    "state": [_found(0, f"(?i)\\b({_NAMES})\\b", "location", 0.85, "ner", "lower(v)"), _found(0, f"\\b({_CODES})\\b", "location", 0.85, "ner", _STATE_CASE)],
+    "place": [_found(0, "(?i)\\b(" + "|".join(PLACES) + ")\\b", "location", 0.7, "ner", "lower(v)")],
+    "people": [_found(0, "(?i)\\b(" + "|".join(PEOPLES) + ")\\b", "ethnicity", 0.7, "ner", "lower(v)")],
+    "gender": [_found(0, r"(?i)\b(male|female|man|woman|boy|girl)\b", "gender", 0.95, "ner", _GENDER)],
+    "age_rules": [_found(0, K.AGE_RULES, "age", 0.9, "ner", _YEARS, where=_LIVED)],
+    "disease": [_found(1, "(?i)\\b(" + "|".join(DISEASES) + ")\\b", "disease", 0.9, "dictionary", "lower(v)")],
+    "occupation": [_found(2, f"(?i)\\b({_OCC})\\b", "occupation", 0.85, "phrase", "lower(v)")] + [_found(3 + k, f"(?i){p}", "occupation", 0.8, "pattern", _TRIM, "trim(w)", where=f"length({_TRIM}) >= 3") for k, p in enumerate(K.OCCUPATION_CONTEXT)],
+    "age": [_found(10 + k, f"(?i){p}", "age", 0.9, "pattern", _YEARS, where=_LIVED) for k, p in enumerate(K.AGE_PATTERNS)],
+    "dob": [_found(20 + k, f"(?i){p}", "date_of_birth", 0.95) for k, p in enumerate(K.DOB_PATTERNS)],
+    "zip": [_found(30, f"(?i){K.ZIP_CONTEXT}", "zip_code", 0.95, raw="v", group=True), _found(31, K.ZIP_STATE, "zip_code", 0.9, group=True)],
 }
-_UNION = " UNION ALL ".join(f"({q})" for q in (*SQL.values(), _extracts([("(?i)\\b(" + "|".join(DISEASES) + ")\\b", 0.9)], "disease", "lower(v)")))
+_ALL = " UNION ALL ".join(q for part in PARTS.values() for q in part)
+_UNION = _distinct(_ALL)
+_NAMED = {"age": "ages", "age_rules": "told_ages", "dob": "births", "zip": "zips", "gender": "genders", "occupation": "occupations", "state": "states"}
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quasi.extract(R.narrative(spark, sf_dir), diseases=DISEASES)
+    return quasi.extract(R.narrative(spark, sf_dir), diseases=DISEASES, peoples=PEOPLES, places=PLACES)
 
 
 def qi_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracted(spark, sf_dir).select("id", F.explode("qis").alias("q")).select("id", "q.qi_type", "q.normalized_value", "q.confidence")
+    return _rows_of(_extracted(spark, sf_dir), F.col("qis"))
+
+
+def qi_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As qi_union_dedup, through the JSON in which QIs are cached."""
+    return _rows_of(_extracted(spark, sf_dir).withColumn("qis", quasi.to_json(F.col("qis"))), quasi.from_json(F.col("qis")))
+
+
+def qi_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns stand before what a recognizer found, which is preferred all the same."""
+    t = F.col("text")
+    return _rows_of(R.narrative(spark, sf_dir), quasi.dedup(F.concat(quasi.ages(t), quasi.told_ages(t)), "ner"))
 
 
 # ---- model replies
@@ -110,12 +151,20 @@ def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qi_llm_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = R.replies(spark, sf_dir).select("id", F.explode(quasi.parse_reply(F.col("reply"))).alias("i"))
-    return items.select("id", "i.type", "i.raw_value")
+    items = R.replies(spark, sf_dir).select("id", F.explode_outer(quasi.parse_reply(F.col("reply"))).alias("i")).where("i is not null")
+    return items.select("id", quasi.field(F.col("i"), "type").alias("type"), quasi.field(F.col("i"), "raw_value").alias("raw_value"))
 
 
 def qi_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _validated(spark, sf_dir).select("id", F.explode("qis").alias("q")).select("id", "q.qi_type", "q.normalized_value", "q.confidence", "q.start_pos", "q.end_pos")
+    return _rows_of(_validated(spark, sf_dir), F.col("qis")).select("id", "qi_type", "normalized_value", "confidence", "start_pos", "end_pos")
+
+
+def qi_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests to send: one for each distinct text that has no recorded reply."""
+    rows = R.narrative(spark, sf_dir).withColumn("text_hash", F.sha2("text", 256))
+    told = rows.where("id % 4 = 0").select("text_hash")
+    asked = rows.select("text_hash", "text").dropDuplicates(["text_hash"]).join(told, "text_hash", "left_anti")
+    return asked.select("text_hash", F.md5(quasi.prompt(F.col("text"))).alias("request_md5"))
 
 
 def qi_span(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,9 +261,13 @@ def _pick(values: list[str]) -> str:
 # ---- expected k
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frequencies(spark: SparkSession, df: DataFrame) -> DataFrame:
     people = full_population(spark).cache()  # some 200 rows, joined twice
-    return anonymity.score(anonymity.with_frequencies(_extracted(spark, sf_dir), people, "id"))
+    return anonymity.with_frequencies(df, people, "id", today=F.lit(TODAY).cast("date"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anonymity.score(frequencies(spark, _extracted(spark, sf_dir)))
 
 
 def q_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,30 +275,55 @@ def q_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = anonymity.report(_scored(spark, sf_dir))
-    return r.select("id", F.col("report.risk_level").alias("risk_level"), F.col("report.qi_count").cast("long").alias("qi_count"), F.round("report.q_score", 4).alias("q_score"))
+    """The reports' scores and items, one row an item."""
+    r = anonymity.report(_scored(spark, sf_dir)).select("id", "report.risk_level", F.round("report.q_score", 4).alias("q_score"), F.explode_outer("report.detected_quasi_identifiers").alias("i"))
+    f = "i.frequency"
+    return r.select(
+        "id", "risk_level", "q_score", F.col("i.type").alias("qi_type"), F.col("i.raw_value").alias("raw_value"), F.col("i.normalized_value").alias("normalized_value"), F.col("i.detection_method").alias("method"),
+        F.col("i.position.start").alias("start_pos"), F.col("i.position.end").alias("end_pos"), F.round(f"{f}.probability", 12).alias("probability"), F.col(f"{f}.population_count").alias("population_count"), F.col(f"{f}.source").alias("source"),
+    )
 
 
 def q_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the text was masked, and the tokens that it then has."""
-    s = _scored(spark, sf_dir)
-    return s.select("id", (F.col("q_masked") != F.col("text")).alias("masked"), F.regexp_count("q_masked", F.lit("\\[[A-Z_]+\\]")).cast("long").alias("tokens"))
+    return _scored(spark, sf_dir).select("id", "q_masked")
 
 
 def q_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each explanation, sorted: QIs of equal rank may stand in any order."""
     s = anonymity.explain(_scored(spark, sf_dir))
-    return s.select("id", F.contains("explanation", F.lit("likely unique")).alias("is_unique"))
+    return s.select("id", F.array_join(F.array_sort(F.split("explanation", "\n")), "\n").alias("explanation"))
+
+
+def q_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scored(spark, sf_dir)
+    return s.select("id", anonymity.rare(F.col("qis"), "disease").alias("rare_disease"), anonymity.rare(F.col("qis"), "occupation").alias("rare_occupation"))
 
 
-_PROB = f"""{R.NARR_CTE}, {_AGE_SQL}, {_LOC}, {_DISEASE}, {_OCCS},
-qi AS ({_UNION}),
-pop AS (SELECT 'age' AS t, CAST(age AS VARCHAR) AS value, CAST(people AS DOUBLE) / {TOTAL} AS p FROM ages UNION ALL SELECT 'location', value, p FROM loc UNION ALL SELECT 'zip_code', value, CAST(people AS DOUBLE) / {TOTAL} FROM {_values(ZIP_PEOPLE, 'value, people')}
- UNION ALL SELECT 'gender', value, CAST(people AS DOUBLE) / 332000000 FROM {_values(GENDER_PEOPLE, 'value, people')} UNION ALL SELECT 'disease', value, p FROM dis UNION ALL SELECT 'occupation', value, p FROM occ),
-j AS (SELECT id, count(*) AS n_qis, {K.POPULATION} * product(p) AS ek, count(p) AS known FROM qi LEFT JOIN pop ON t = qi_type AND value = normalized_value GROUP BY id),
-k AS (SELECT narr.id, coalesce(n_qis, 0) AS n_qis, CASE WHEN coalesce(known, 0) > 0 THEN ek ELSE {K.POPULATION} END AS ek FROM narr LEFT JOIN j USING (id)),
+_BORN = "CASE WHEN regexp_matches(normalized_value, '^\\d{4}-') THEN try_strptime(normalized_value, '%Y-%m-%d') WHEN regexp_matches(normalized_value, '/\\d{4}$') THEN try_strptime(normalized_value, '%m/%d/%Y') WHEN regexp_matches(normalized_value, '-\\d{4}$') THEN try_strptime(normalized_value, '%m-%d-%Y') ELSE try_strptime(normalized_value, '%m/%d/%y') END"
+_POP = f"""{_AGE_SQL}, {_LOC}, {_DISEASE}, {_OCCS},
+pop AS (SELECT 'age' AS t, CAST(age AS VARCHAR) AS value, CAST(people AS DOUBLE) / {TOTAL} AS p, CAST(floor(people) AS BIGINT) AS n, 'age bands' AS source FROM ages UNION ALL SELECT 'location', value, p, n, 'states' FROM loc
+ UNION ALL SELECT 'zip_code', value, CAST(people AS DOUBLE) / {TOTAL}, people, 'ZIP areas' FROM {_values(ZIP_PEOPLE, 'value, people')} UNION ALL SELECT 'gender', value, CAST(people AS DOUBLE) / 332000000, people, 'sexes' FROM {_values(GENDER_PEOPLE, 'value, people')}
+ UNION ALL SELECT 'disease', value, p, n, 'survey' FROM survey UNION ALL SELECT 'disease', value, p, n, 'rare diseases' FROM dis WHERE value NOT IN (SELECT value FROM survey) UNION ALL SELECT 'occupation', value, p, n, 'employment' FROM occ)"""
+
+
+def prob_cte(union: str) -> str:
+    """From (id, QI fields) rows: q with frequencies, k with expected k, s with scores."""
+    return f"""{_POP}, qi AS ({union}),
+y AS (SELECT *, qi_type = 'date_of_birth' AS born, CASE WHEN qi_type = 'date_of_birth' THEN CAST(date_sub('year', {_BORN}, DATE '{TODAY}') AS VARCHAR) ELSE normalized_value END AS look FROM qi),
+q AS (SELECT y.*, CASE WHEN born THEN coalesce(a.p, b.p) / 365.25 ELSE coalesce(a.p, b.p) END AS p, CASE WHEN born THEN CAST(floor(coalesce(a.n, b.n) / 365.25) AS BIGINT) ELSE coalesce(a.n, b.n) END AS n, coalesce(a.source, b.source) || CASE WHEN born THEN ', by day of birth' ELSE '' END AS source
+ FROM y LEFT JOIN pop a ON a.value = look AND a.t = CASE WHEN born THEN 'age' ELSE qi_type END LEFT JOIN pop b ON b.value = lower(raw_value) AND b.t = qi_type),
+j AS (SELECT id, count(*) AS n_qis, {K.POPULATION} * product(p) AS ek, count(p) AS known FROM q GROUP BY id),
+k AS (SELECT narr.id, text, coalesce(n_qis, 0) AS n_qis, coalesce(known, 0) AS known, CASE WHEN coalesce(known, 0) > 0 THEN ek ELSE {K.POPULATION} END AS ek FROM narr LEFT JOIN j USING (id)),
 s AS (SELECT *, CASE WHEN ek < 5 THEN least(1, 1 - ek / 5) ELSE 0 END AS q FROM k)"""
 
 
+_PROB = f"{R.NARR_CTE}, {prob_cte(_UNION)}"
+#: Masks are cut in one after the other, from the last to the first.
+MASK_CTE = """st AS (SELECT id, start_pos, end_pos, qi_type, row_number() OVER (PARTITION BY id ORDER BY start_pos DESC, ord_all) AS i FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE method WHEN 'ner' THEN 0 WHEN 'dictionary' THEN 1 WHEN 'phrase' THEN 2 ELSE 3 END, CASE qi_type WHEN 'occupation' THEN 0 WHEN 'age' THEN 1 WHEN 'date_of_birth' THEN 2 ELSE 3 END, start_pos, end_pos) AS ord_all FROM q)),
+mk AS (SELECT id, text, 0 AS i FROM s UNION ALL SELECT mk.id, substr(text, 1, start_pos) || '[' || upper(qi_type) || ']' || substr(text, end_pos + 1), st.i FROM mk JOIN st ON st.id = mk.id AND st.i = mk.i + 1),
+masked AS (SELECT s.id, CASE WHEN ek < 5 THEN arg_max(mk.text, mk.i) ELSE any_value(s.text) END AS q_masked FROM s JOIN mk ON mk.id = s.id GROUP BY s.id, ek)"""
+
+
 # ---- contextual factors
 
 
@@ -272,15 +350,18 @@ _C = f"""c AS (SELECT c_custkey AS id, c_custkey % 9 <> 0 AS ok, CASE WHEN c_cus
 CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE 1 + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 5 <> 0 THEN 1 ELSE 0 END END AS n FROM customer)"""
 
 
-REGISTRY = {f"qi_{k}": (_pattern(name, k), f"WITH {R.NARR_CTE} {SQL[k]}") for k, name in (("age", "ages"), ("dob", "births"), ("zip", "zips"), ("gender", "genders"), ("occupation", "occupations"), ("state", "states"))}
+REGISTRY = {f"qi_{k}": (_pattern(name, k), f"WITH {R.NARR_CTE} {_distinct(' UNION ALL '.join(PARTS[k]))}") for k, name in _NAMED.items()}
 REGISTRY |= {
     "qi_union_dedup": (qi_union_dedup, f"WITH {R.NARR_CTE} {_UNION}"),
+    "qi_round_trip": (qi_round_trip, f"WITH {R.NARR_CTE} {_UNION}"),
+    "qi_priority": (qi_priority, f"WITH {R.NARR_CTE} {_distinct(' UNION ALL '.join(PARTS['age_rules'] + PARTS['age']))}"),
+    "qi_requests": (qi_requests, f"WITH {R.NARR_CTE} SELECT DISTINCT sha256(text) AS text_hash, md5('List the quasi-identifiers of the text as JSON: {{\"quasi_identifiers\":[{{\"type\",\"raw_value\",\"normalized_value\",\"confidence\"}}]}}. Types: {', '.join(K.QI_TYPES)}.' || chr(10) || 'Text:' || chr(10) || text) AS request_md5 FROM narr WHERE text NOT IN (SELECT text FROM narr WHERE id % 4 = 0)"),
     "qi_llm_parse": (qi_llm_parse, f"""WITH {R.REPLY_CTE}, j AS (SELECT id, unnest(json_extract(regexp_extract(reply, '(?s)\\{{.*\\}}'), '$.quasi_identifiers[*]')) AS i FROM rep WHERE reply LIKE '%{{%') SELECT id, i->>'type' AS type, i->>'raw_value' AS raw_value FROM j"""),
     "qi_validate": (
         qi_validate,
         f"""WITH {R.REPLY_CTE}, j AS (SELECT id, text, unnest(json_extract(regexp_extract(reply, '(?s)\\{{.*\\}}'), '$.quasi_identifiers[*]')) AS i FROM rep WHERE reply LIKE '%{{%'),
-v AS (SELECT id, text, i->>'type' AS qi_type, i->>'raw_value' AS raw, trim(lower(coalesce(i->>'normalized_value', i->>'raw_value'))) AS nv, TRY_CAST(i->>'confidence' AS DOUBLE) AS c FROM j),
-w AS (SELECT * FROM v WHERE id NOT IN (SELECT id FROM v WHERE c IS NULL) AND qi_type <> 'planet' AND contains(lower(text), lower(raw))),
+v AS (SELECT id, text, i->>'type' AS qi_type, i->>'raw_value' AS raw, trim(lower(coalesce(i->>'normalized_value', i->>'raw_value'))) AS nv, CASE WHEN (i->'confidence') IS NULL THEN 0.5 ELSE TRY_CAST(i->>'confidence' AS DOUBLE) END AS c, json_type(i) AS kind FROM j),
+w AS (SELECT * FROM v WHERE id NOT IN (SELECT id FROM v WHERE c IS NULL OR kind <> 'OBJECT') AND qi_type <> 'planet' AND contains(lower(text), lower(raw))),
 p AS (SELECT *, CASE WHEN strpos(text, raw) > 0 THEN strpos(text, raw) ELSE strpos(lower(text), lower(raw)) END AS pos FROM w)
 SELECT id, qi_type, nv AS normalized_value, max(least(greatest(c, 0), 1)) AS confidence, CAST(min(pos - 1) AS INT) AS start_pos, CAST(min(pos - 1 + length(raw)) AS INT) AS end_pos FROM p GROUP BY id, qi_type, nv""",
     ),
@@ -300,9 +381,17 @@ SELECT id, round(people / {TOTAL} / 365.25, 9) AS probability, CAST(floor(CAST(f
     "freq_fallback_raw": (freq_fallback_raw, _freq_sql(_LOC, _pick(["TX", "Narnia"]), "loc")),
     "k_anonymity_empirical": (k_anonymity_empirical, "WITH a AS (SELECT c_nationkey, count(*) AS x FROM customer GROUP BY 1), b AS (SELECT c_mktsegment, count(*) AS y FROM customer GROUP BY 1), g AS (SELECT c_nationkey, c_mktsegment, count(*) AS k FROM customer GROUP BY 1, 2) SELECT c_nationkey, c_mktsegment, k, round(CAST(x AS DOUBLE) * y / (SELECT count(*) FROM customer), 6) AS expected_k FROM g JOIN a USING (c_nationkey) JOIN b USING (c_mktsegment)"),
     "q_score": (q_score, f"WITH {_PROB} SELECT id, round(ek, 6) AS expected_k, round(CAST(q AS DOUBLE), 6) AS q_score, n_qis FROM s"),
-    "q_report": (q_report, f"WITH {_PROB} SELECT id, CASE WHEN q >= 0.7 THEN 'HIGH' WHEN q >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, n_qis AS qi_count, round(CAST(q AS DOUBLE), 4) AS q_score FROM s"),
-    "q_mask": (q_mask, None),
-    "q_explain": (q_explain, f"WITH {_PROB} SELECT id, ek < 1 AS is_unique FROM s"),
+    "q_report": (
+        q_report,
+        f"""WITH {_PROB} SELECT s.id, CASE WHEN s.q >= 0.7 THEN 'HIGH' WHEN s.q >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, round(CAST(s.q AS DOUBLE), 4) AS q_score, qi_type, raw_value, normalized_value, method, start_pos, end_pos, round(p, 12) AS probability, n AS population_count, source FROM s LEFT JOIN q ON q.id = s.id""",
+    ),
+    "q_mask": (q_mask, f"WITH RECURSIVE {_PROB}, {MASK_CTE} SELECT id, q_masked FROM masked"),
+    "q_explain": (
+        q_explain,
+        f"""WITH {_PROB}, ln AS (SELECT id, list(printf('  - %s: ''%s'' [%s] ', qi_type, normalized_value, method) || CASE WHEN p IS NULL THEN '(frequency unknown)' ELSE printf('(P ≈ %.2e, ~', p) || format('{{:,}}', n) || ' people) [' || source || ']' END) AS l FROM q GROUP BY id)
+SELECT s.id, CASE WHEN n_qis = 0 THEN 'No quasi-identifiers detected.' WHEN known = 0 THEN printf('Detected %d QI(s) but could not lookup frequencies.', n_qis) ELSE array_to_string(list_sort(list_concat(l, [printf('Detected %d quasi-identifier(s):', n_qis), '', printf('Expected equivalence class size E[k]: %.4f', ek), CASE WHEN ek < 1 THEN '🚨 E[k] < 1: Likely UNIQUELY IDENTIFYING' WHEN ek < 5 THEN '⚠️ E[k] < 5: HIGH re-identification risk' ELSE '✓ E[k] ≥ 5: Acceptable k-anonymity' END])), chr(10)) END AS explanation FROM s LEFT JOIN ln USING (id)""",
+    ),
+    "q_rare": (q_rare, f"WITH {_PROB} SELECT s.id, coalesce(bool_or(qi_type = 'disease' AND p < 0.001), false) AS rare_disease, coalesce(bool_or(qi_type = 'occupation' AND p < 0.001), false) AS rare_occupation FROM s LEFT JOIN q ON q.id = s.id GROUP BY s.id"),
     "c_score": (c_score, f"WITH {_C} SELECT id, round(CAST(c AS DOUBLE), 6) AS c_score, CASE WHEN c >= 0.6 THEN 'CRITICAL' WHEN c >= 0.4 THEN 'HIGH' WHEN c >= 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS c_level, CAST(n AS BIGINT) AS n_detected, c >= 0.3 AS deemed_sensitive FROM c"),
     "c_fill": (
         c_fill,

@@ -9,14 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 AGE = "(18 + c_custkey % 60)"
-NARRATIVE = f"""concat('Case ', CAST(c_custkey AS STRING), CASE c_custkey % 4 WHEN 0 THEN ': the patient is a ' WHEN 1 THEN ', aged: ' ELSE ', a ' END,
- CAST({AGE} AS STRING), ' year old ', CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'Woman' ELSE 'person' END, ', works as a ',
+#: One case in eight tells nothing, one a state, one a disease and an age.
+NARRATIVE = f"""CASE WHEN c_custkey % 8 = 0 THEN 'Nothing is known of this case.' WHEN c_custkey % 8 = 1 THEN 'A person from Texas.'
+ WHEN c_custkey % 8 = 2 THEN concat('Has Marfan syndrome, is ', CAST({AGE} AS STRING), ' years old.') ELSE
+ concat('Case ', CAST(c_custkey AS STRING), CASE c_custkey % 4 WHEN 0 THEN ': the patient is a ' WHEN 1 THEN ', aged: ' ELSE ', a ' END, CASE WHEN c_custkey % 11 = 0 THEN '0' ELSE '' END,
+ CAST({AGE} AS STRING), ' year old ', CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'Woman' ELSE 'person' END, CASE WHEN c_custkey % 7 = 0 THEN ' of Irish descent' ELSE '' END, ', works as a ',
  CASE c_custkey % 6 WHEN 0 THEN 'nurse' WHEN 1 THEN 'police officer' WHEN 2 THEN 'glass blower and' WHEN 3 THEN 'teacher' WHEN 4 THEN 'tax consultant who' ELSE 'pilot' END, ' in ',
- CASE c_custkey % 5 WHEN 0 THEN 'Texas' WHEN 1 THEN 'CA' WHEN 2 THEN 'new york' WHEN 3 THEN 'Paris' ELSE 'OH' END, '. DOB: ',
+ CASE c_custkey % 5 WHEN 0 THEN 'Texas' WHEN 1 THEN 'CA' WHEN 2 THEN 'new york' WHEN 3 THEN 'Paris' ELSE 'OH 10007' END, '. DOB: ',
  CASE c_custkey % 4 WHEN 0 THEN '3/7/1985' WHEN 1 THEN '1979-11-02' WHEN 2 THEN '3/7/85' ELSE '12-25-1960' END, '. Lives at zip ',
- CAST(10000 + c_custkey % 40 AS STRING), '. Diagnosed with ', CASE c_custkey % 4 WHEN 0 THEN 'asthma' WHEN 1 THEN 'diabetes' WHEN 2 THEN 'Marfan syndrome' ELSE 'influenza' END, '.')"""
+ CAST(10000 + c_custkey % 40 AS STRING), '. Diagnosed with ', CASE c_custkey % 4 WHEN 0 THEN 'asthma' WHEN 1 THEN 'diabetes' WHEN 2 THEN 'Marfan syndrome' ELSE 'influenza' END, '.') END"""
 
-QI_REPLY = f"""CASE WHEN c_custkey % 7 = 0 THEN 'no json here' WHEN c_custkey % 7 = 1 THEN '{{"quasi_identifiers":[{{"type":"age","raw_value":"year","confidence":"odd"}}]}}' ELSE
+#: A function of the text, as a recorded reply is found by it.
+QI_REPLY = f"""CASE WHEN c_custkey % 8 = 0 THEN '{{"quasi_identifiers":[]}}' WHEN c_custkey % 8 = 1 THEN '{{"quasi_identifiers":[{{"type":"location","raw_value":"Texas"}}]}}' WHEN c_custkey % 8 = 2 THEN '{{"quasi_identifiers":["disease"]}}' WHEN c_custkey % 7 = 0 THEN 'no json here' WHEN c_custkey % 7 = 1 THEN '{{"quasi_identifiers":[{{"type":"age","raw_value":"year","confidence":"odd"}}]}}' ELSE
  concat('Sure: {{"quasi_identifiers":[{{"type":"age","raw_value":"', CAST({AGE} AS STRING), '","normalized_value":" ', CAST({AGE} AS STRING), ' ","confidence":0.9}},',
  '{{"type":"planet","raw_value":"Mars","confidence":0.5}},{{"type":"location","raw_value":"TEXAS","normalized_value":"Texas","confidence":1.4}},',
  '{{"type":"occupation","raw_value":"works","normalized_value":"WORKS","confidence":0.25}},{{"type":"occupation","raw_value":"works","normalized_value":"works","confidence":0.5}}]}} bye') END"""
@@ -27,17 +31,24 @@ FACTOR_REPLY = """CASE WHEN c_custkey % 9 = 0 THEN 'none' ELSE
  '{"name":"NEW_FACTOR","detected":true,"confidence":{"score":"low","value":1}}],"summary":"s"}') END"""
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small table lies in one file with one row group, hence in one task: its rows are dealt to
+    all cores, as the work on each is large. A table of more splits than cores stays as it is."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS id", f"{NARRATIVE} AS text")
+    return customers(spark, sf_dir).selectExpr("c_custkey AS id", f"{NARRATIVE} AS text")
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text, reply) with the reply of the quasi-identifier model."""
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS id", f"{NARRATIVE} AS text", f"{QI_REPLY} AS reply")
+    return customers(spark, sf_dir).selectExpr("c_custkey AS id", f"{NARRATIVE} AS text", f"{QI_REPLY} AS reply")
 
 
 def factor_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS id", f"{FACTOR_REPLY} AS reply")
+    return customers(spark, sf_dir).selectExpr("c_custkey AS id", f"{FACTOR_REPLY} AS reply")
 
 
 NARR_CTE = f"narr AS (SELECT c_custkey AS id, {NARRATIVE} AS text FROM customer)"

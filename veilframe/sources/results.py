@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.constants import DIRECT_TYPES
 
@@ -36,9 +37,52 @@ def classification(results: DataFrame) -> DataFrame:
     )
 
 
+def write_suite(judged: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
+    """The test suite's sink: rows that were judged with a detection for each factor, which has no
+    place in the text, and rows without a reply with an error and no detections."""
+    suite(judged, name, text).write.mode("overwrite").json(path)
+
+
+def suite(judged: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
+    none = F.lit(None)
+    detection = lambda f: F.struct(f["name"].alias("type"), f["detected"].alias("detected"), f["confidence"].alias("confidence"), f["explanation"].alias("explanation"), none.cast("int").alias("start"), none.cast("int").alias("end"), none.cast("string").alias("text"))
+    failed = F.col("c_status") == "no reply"
+    told = F.transform("factors", detection)
+    return judged.select(
+        F.col(name).alias("name"), F.col(text).alias("text"), F.when(~failed, F.col("c_level")).alias("overall_risk"), F.when(~failed, F.col("c_score")).alias("risk_score"),
+        F.when(failed, F.col("c_status")).alias("error"), F.when(failed, F.slice(told, 1, 0)).otherwise(told).alias("detections"),
+    )
+
+
+def save_run(results: DataFrame, path: str, input_hash: str, threshold: float, now: Column | None = None, version: str = VERSION) -> None:
+    """Appends rows to the run's table. Runs are folders of it, by input, threshold and version, so
+    a run with other ones neither reads nor overwrites them, and those of before stay as backups."""
+    keyed = results.withColumns({"input_file_hash": F.lit(input_hash), "c_score_threshold": F.lit(float(threshold)), "version": F.lit(version), "last_updated": F.current_timestamp() if now is None else now})
+    keyed.write.mode("append").partitionBy("version", "input_file_hash", "c_score_threshold").parquet(path)
+
+
+def load_run(spark: SparkSession, path: str, input_hash: str, threshold: float, version: str = VERSION) -> DataFrame:
+    """Rows of the run with the same input, threshold and version; the partitions of others aren't read."""
+    found = spark.read.parquet(path).schema
+    keys = {"version": "string", "input_file_hash": "string", "c_score_threshold": "double"}  # not as inferred: a hash may be all digits
+    schema = T.StructType([T.StructField(f.name, T.DoubleType() if keys[f.name] == "double" else T.StringType()) if f.name in keys else f for f in found])
+    return of_run(spark.read.schema(schema).parquet(path), input_hash, threshold, version)
+
+
+def clear_run(spark: SparkSession, path: str, input_hash: str, threshold: float, stamp: str, version: str = VERSION) -> None:
+    """Moves a run's rows to <path>.<stamp>.backup, so that the next run starts afresh."""
+    folder = f"version={version}/input_file_hash={input_hash}/c_score_threshold={float(threshold)}"
+    jvm = spark._jvm
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}/{folder}", f"{path}.{stamp}.backup/{folder}"))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(old):
+        files.mkdirs(new.getParent())
+        files.rename(old, new)
+
+
 def of_run(results: DataFrame, input_hash: str, threshold: float, version: str = VERSION) -> DataFrame:
     """Rows of a run with the same input, threshold and version: others don't count as done."""
-    return results.where((F.col("input_file_hash") == input_hash) & (F.col("c_score_threshold") == threshold) & (F.col("version") == version))
+    return results.where((F.col("input_file_hash") == input_hash) & (F.col("c_score_threshold") == float(threshold)) & (F.col("version") == version))
 
 
 def todo(samples: DataFrame, done: DataFrame, key: str = "sample_hash") -> DataFrame:

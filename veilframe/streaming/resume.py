@@ -16,6 +16,33 @@ def run_available(source: DataFrame, work: Callable[[DataFrame], DataFrame], out
     query.awaitTermination()
 
 
+def run_complete(counts: DataFrame, out: str, checkpoint: str) -> None:
+    """Keeps the whole of an aggregate of a stream: each batch that has news writes a version of the
+    table, in its own folder, so that a batch that is run again writes the same one."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """The last version of a table of `run_complete`."""
+    every = spark.read.parquet(out)
+    last = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == last).drop("batch")
+
+
+def stop_gracefully(query, seconds: float | None = None) -> bool:
+    """Lets the batch at hand end, for at most `seconds`, and stops the stream; whether it had ended."""
+    ended = query.awaitTermination(seconds) if seconds else False
+    if not ended:
+        query.processAllAvailable()
+        query.stop()
+    return ended
+
+
 def read_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if files_per_batch:
@@ -25,5 +52,6 @@ def read_files(spark: SparkSession, path: str, schema, files_per_batch: int | No
 
 def windowed(events: DataFrame, ts: str, flag, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Counts of rows and flagged rows by window, as a stream or a batch; an extension."""
-    counted = events.withWatermark(ts, late) if events.isStreaming else events
-    return counted.groupBy(F.window(ts, width)).agg(F.count("*").alias("n"), F.count_if(flag).alias("n_flagged")).select(F.col("window.start").alias("window_start"), "n", "n_flagged")
+    zoned = events.withColumn(ts, F.col(ts).cast("timestamp")) if events.isStreaming else events  # a watermark needs a zone
+    counted = zoned.withWatermark(ts, late) if events.isStreaming else events
+    return counted.groupBy(F.window(ts, width)).agg(F.count("*").alias("n"), F.count_if(flag).alias("n_flagged")).select(F.col("window.start").cast(events.schema[ts].dataType).alias("window_start"), "n", "n_flagged")
