@@ -23,12 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import broadcast_small, stored
 
 WINDOW = 13
 SHINGLE = 3
 NOT_WORDS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-SMALL_ROWS = 500_000  # tables of so many rows of a few numbers each (some 20 MB) are broadcast, larger ones shuffled
+SMALL_ROWS = 500_000  # wanted tokens of so many (some 10 MB) are broadcast, more meet a bitmap first
+BITS = 1 << 25  # of the bitmap
 _LAST = -7046029254386353131  # stands after a document's shingles, so that each document has a row
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,10 +46,6 @@ def _hashes(words: Column, size: int) -> Column:
     return F.transform(words, lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, size))))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
-
-
 def _meet(left: DataFrame, right: DataFrame, columns: list[str], how: str) -> DataFrame:
     """As join(), but a null meets a null; the columns are those of `left`."""
     right = right.withColumnsRenamed({c: f"_{c}" for c in columns})
@@ -76,6 +73,18 @@ def _tokens(windows: DataFrame) -> DataFrame:
     return out
 
 
+def _maybe(placed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose token may be wanted, by a bitmap of fixed size: where the wanted tokens are too
+    many for a broadcast, hardly more than theirs are shuffled."""
+    bit = F.pmod(F.col("token"), F.lit(BITS))
+    cells = wanted.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(token, {BITS}) % 64 as int))")).alias("bits"))
+    every = wanted.sparkSession.range(BITS // 64).withColumnRenamed("id", "cell").join(cells, "cell", "left")
+    sorted_ = F.array_sort(F.collect_list(F.struct("cell", F.coalesce("bits", F.lit(0)).alias("bits"))))
+    one = every.agg(F.transform(sorted_, lambda x: x["bits"]).alias("_bits"))  # 4 MB
+    held = F.expr(f"shiftright(_bits[cast(shiftright(pmod(token, {BITS}), 6) as int)], cast(pmod(token, {BITS}) % 64 as int)) & 1") == 1
+    return placed.crossJoin(F.broadcast(one)).where(held).drop("_bits")
+
+
 def occurrences(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     """(id, row, n_words, at, token) of each token at each place of each document, and one row
     with token _LAST for each document. `docs` has (id, text)."""
@@ -87,7 +96,7 @@ def occurrences(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     # outer: for a plain explode the optimizer would test the array's size at the scan, computing it anew there
     placed = hashed.select("id", "row", "n_words", F.posexplode_outer("h").alias("pos", "token"))
     wanted = tokens.select("token").union(tokens.sparkSession.range(1).select(F.lit(_LAST))).distinct()
-    found = placed.join(_small(wanted), "token")
+    found = (placed if wanted.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else _maybe(placed, wanted)).join(broadcast_small(wanted, SMALL_ROWS), "token")
     lead = F.col("n_words") + 1
     return found.where((F.col("token") != _LAST) | (F.col("pos") == lead * len(sizes) - 1)).select("id", "row", "n_words", (F.col("pos") % lead).alias("at"), "token")
 
@@ -105,10 +114,10 @@ def held_windows(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     prefix = tokens.join(counts, "token", "left").groupBy("window").agg(F.min(rarity).alias("p")).select("window", "p.token", "p.length", F.col("p.at").alias("offset"))
     start = F.col("at") - F.col("offset")
     bounds = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
-    candidates = found.join(_small(prefix), "token").where(bounds).select("id", "row", "window", start.alias("start")).distinct()
+    candidates = found.join(broadcast_small(prefix), "token").where(bounds).select("id", "row", "window", start.alias("start")).distinct()
     listed = candidates.join(windows, "window").groupBy("id", "row").agg(F.collect_list(F.struct("start", F.size("words").alias("length"), "window", "words")).alias("c"))
     listed = stored(listed, "candidates")
-    rows = _meet(docs, _small(listed.select("id").distinct()), ["id"], "left_semi").withColumn("row", F.xxhash64("text"))
+    rows = _meet(docs, broadcast_small(listed.select("id").distinct()), ["id"], "left_semi").withColumn("row", F.xxhash64("text"))
     rows = _meet(rows, listed, ["id", "row"], "inner").select("id", "row", "c", words_of(F.col("text")).alias("w")).dropDuplicates(["id", "row"])
     same = F.filter("c", lambda x: F.slice(F.col("w"), x["start"] + 1, x["length"]) == x["words"])
     held = rows.select("id", "row", F.transform(same, lambda x: F.struct(x["start"], x["length"], x["window"])).alias("spans")).where(F.size("spans") > 0)
@@ -121,7 +130,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     every, held, items = held_windows(docs, benchmark, id, text, item, item_text)
     covered = F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1)))
     hit = held.select("id", "row", F.size(F.array_distinct(covered)).alias("n_hit"))
-    names = held.select("id", "row", F.explode("spans.window").alias("window")).distinct().join(_small(items), "window")
+    names = held.select("id", "row", F.explode("spans.window").alias("window")).distinct().join(broadcast_small(items), "window")
     names = names.groupBy("id", "row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     out = _meet(every, _meet(hit, names, ["id", "row"], "inner"), ["id", "row"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
@@ -135,10 +144,10 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that aren't contaminated."""
-    bad = judge(docs, benchmark, id, text).where("contaminated").select(id, "row").distinct()
-    bad = _small(bad.select(F.col(id).alias("_id"), F.col("row").alias("_row")))
-    return docs.join(bad, docs[id].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text]) == bad["_row"]), "left_anti")
+    """The rows of `docs` that aren't contaminated, with all their columns as they are."""
+    judged = judge(docs, benchmark, id, text).where("contaminated")
+    bad = broadcast_small(judged.select(F.col(id).alias("_bad_id"), F.col("row").alias("_bad_row")).distinct())
+    return docs.join(bad, docs[id].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs[text]) == bad["_bad_row"]), "left_anti")
 
 
 #: DuckDB SQL of `digest`.

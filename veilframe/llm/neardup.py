@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .components import components
-from .scratch import stored
+from .scratch import broadcast_small, stored
 
 NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 HASHES = 240  # at most
-BLOCK = 256  # texts of a cluster in one block
-SMALL_ROWS = 500_000  # rows of a few numbers each, some 20 MB, are broadcast
+BLOCK = 256  # texts of a cluster in one block, at most on average
+BLOCK_BYTES = 8 << 20  # bytes of them likewise
 
 
 def plan(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -75,8 +75,9 @@ def _minhash(grams: np.ndarray, first: np.ndarray, hashes: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id: str, text: str, bands: int, rows: int) -> DataFrame:
-    """(id, digest, words, bands): digest of the n-gram set; null where there is no word."""
-    names = ["id", "digest", "bands"]
+    """(id, digest, size, bands): digest of the n-gram set, null where there is no word, and bytes
+    of the text."""
+    names = ["id", "digest", "size", "bands"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult = np.random.default_rng(13).integers(0, 1 << 63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,9 +89,9 @@ def signatures(docs: DataFrame, id: str, text: str, bands: int, rows: int) -> Da
                 digests = [np.unique(grams[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 digests = [_digest(d) if d else None for d in digests]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.rows * bands + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.rows), pa.array(digests, pa.binary()), lists], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.rows), pa.array(digests, pa.binary()), pa.array(np.diff(part.offsets), pa.int64()), lists], names=names)
 
-    return docs.select(F.col(id).cast("long"), text).mapInArrow(work, "id long, digest binary, bands array<long>")
+    return docs.select(F.col(id).cast("long"), text).mapInArrow(work, "id long, digest binary, size long, bands array<long>")
 
 
 def _digest(data: bytes) -> bytes:
@@ -100,13 +101,13 @@ def _digest(data: bytes) -> bytes:
 
 
 def _clusters(signed: DataFrame) -> DataFrame:
-    """(node, root, times) of the texts that share a band with another; `times` counts copies."""
-    texts = signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "bands")).alias("r"), F.count("*").alias("times"))
-    texts = stored(texts.select("r.id", "r.bands", "times"), "texts")
+    """(node, root, times, size) of the texts that share a band with another; `times` counts copies."""
+    texts = signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "size", "bands")).alias("r"), F.count("*").alias("times"))
+    texts = stored(texts.select("r.id", "r.size", "r.bands", "times"), "texts")
     keys = texts.select("id", F.explode("bands").alias("band"))
     stars = keys.groupBy("band").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1")
     edges = keys.join(stars, "band").where("id > center").select(F.col("id").alias("a"), F.col("center").alias("b"))
-    return components(edges).join(texts, F.col("node") == F.col("id")).select("node", "root", "times")
+    return components(edges).join(texts, F.col("node") == F.col("id")).select("node", "root", "times", "size")
 
 
 def _compare(threshold: float):
@@ -150,23 +151,19 @@ def _compare(threshold: float):
     return work
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """For broadcast where it has few rows, else as it is."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
-
-
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(id, class_id, n_links) of each row: class_id is the least id that links lead to, n_links
     counts the rows whose n-gram sets have at least the threshold's Jaccard similarity."""
     bands, rows = plan(threshold, recall)
     signed = stored(signatures(docs, id, text, bands, rows), "signatures")
     clusters = stored(_clusters(signed), "clusters")
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = clusters.join(sizes, "root").withColumn("blocks", blocks)
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    large = sizes.select("root", blocks.alias("blocks")).where("blocks > 1")  # few: the others are one block
+    members = clusters.join(broadcast_small(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     narrow = members.select("node", "root", "times", "block", "blocks")
-    texts = docs.select(F.col(id).cast("long").alias("node"), F.col(text).alias("text")).join(_small(narrow), "node")
+    texts = docs.select(F.col(id).cast("long").alias("node"), F.col(text).alias("text")).join(broadcast_small(narrow), "node")
     # each pair of blocks is a task: block i goes to (i, j) and (j, i)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = texts.select("*", other.alias("other")).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
@@ -184,4 +181,4 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: flo
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that stand for their class: those with its least id."""
     others = stored(join(docs, id, text).where(F.col("class_id") != F.col(id)).select(id), "others")
-    return docs.join(_small(others), id, "left_anti")
+    return docs.join(broadcast_small(others), id, "left_anti")

@@ -1,22 +1,15 @@
-"""Intermediate tables in the folder that all executors share."""
+"""What the operators share: stored tables, batch sizes, choices by count."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, remove, stored
+
+__all__ = ["broadcast_small", "frequent", "new_path", "remove", "small_batches", "stored"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset, as in tests, a temporary folder
-    becomes it for this session."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='veilframe-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+SMALL_ROWS = 500_000  # rows of a few numbers each, some 20 MB, are broadcast
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -27,13 +20,9 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, rows)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: cuts the lineage, survives lost
-    executors, and gives the planner the true size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def broadcast_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """For broadcast where it has at most `rows` rows, of a few numbers each; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def frequent(counted: DataFrame, bound: int, n: str = "n") -> DataFrame:
