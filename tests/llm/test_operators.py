@@ -432,3 +432,16 @@ def test_suffix_automaton():
     for k in range(len(reference) - 4):
         first.setdefault(tuple(reference[k : k + 5]), k + 4)
     assert found == {k: first[tuple(text[k : k + 5])] for k in range(len(text) - 4) if tuple(text[k : k + 5]) in first}
+
+
+def test_op10_any_ids(spark):
+    """Null, repeated and far apart ids: a null id comes first, equal ids go by the texts' hashes."""
+    body = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, f"first {body}"), (None, f"{body} second"), (-(1 << 63), body), ((1 << 63) - 1, f"a b {body} c"), (7, f"{body} x"), (7, f"y {body}"), (7, f"y {body}"), (8, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter(tuple(r) for r in substrings.digest(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    ordered = df.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy("doc_id", "h").collect()
+    want = _substrings([(k, r["text"]) for k, r in enumerate(ordered)])
+    assert got == collections.Counter((r["doc_id"], *want[k]) for k, r in enumerate(ordered))
+    one = spark.createDataFrame([(None, body), (None, body)], "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in substrings.digest(one).collect()) == [0, 40]

@@ -25,17 +25,23 @@ def broadcast_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def frequent(counted: DataFrame, bound: int, n: str = "n") -> DataFrame:
+def frequent(counted: DataFrame, bound: int, n: str = "n", fill: str | None = None) -> DataFrame:
     """The rows with the largest counts `n`, at most `bound` of them: all whose count reaches the
     least one that keeps the bound. It is found from the number of rows of each count (large counts
-    to three digits), so no task sorts the table; rows of the first count beyond the bound stay out."""
+    to three digits), so no task sorts the table. Rows of the first count beyond the bound stay out;
+    with the name of a key column in `fill`, about as many of them as there is room for, chosen by
+    its hash, come in."""
     c = F.col(n)
     digits = F.pow(F.lit(10.0), F.floor(F.log10(c.cast("double"))) - 2).cast("long")
     rounded = F.when(c < 1000, c).otherwise(F.floor(c / digits) * digits).cast("long")
-    left, least = 0, 1 << 62
+    left, least, share = 0, 1 << 62, None
     for r in counted.groupBy(rounded.alias("n")).count().orderBy(F.desc("n")).collect():
-        left += r["count"]
-        if left > bound:
+        if left + r["count"] > bound:
+            share = (r["n"], 0.98 * (bound - left) / r["count"])
             break
+        left += r["count"]
         least = r["n"]
-    return counted.where(c >= least)
+    some = c >= least
+    if fill and share:
+        some |= (rounded == share[0]) & (F.pmod(F.xxhash64(fill), F.lit(1 << 20)) < int(share[1] * (1 << 20)))
+    return counted.where(some)

@@ -6,20 +6,24 @@ once. So the work is split by what the windows are:
 
 1. Seeds: each window picks one 10-word run inside it, the one of least hash. Equal windows pick
    equal seeds, so a window whose seed stands once in the corpus stands once. Seeds are counted
-   over all documents, and a bitmap of fixed size keeps those that stand twice or more.
+   over all documents, and a bitmap keeps those that stand twice or more: 32 bits for each of them,
+   up to 64 MB. Beyond that more windows pass it, and step 3 finds that they stand once.
 2. Reference shards: the passages that most often surround the most frequent seeds, up to a fixed
    number, are dealt into shards. A task builds the suffix automaton of each shard; all are
    broadcast. Documents stream past them for matching statistics: wherever the longest match
    reaches 20 words, the window is one of the reference's, and the least place of each such window
-   is a small table. These windows, that hot groups are made of, are never shuffled.
-3. All other windows with a repeated seed are shuffled by hash; the least place of each is found by
-   a minimum (combined before the shuffle) and the rest are joined to it. This path is exact for
-   whatever the bounds of 1 and 2 leave out.
-4. Documents meet their windows' places, and maximal spans of covered words are cut out.
-
-Windows are compared by 64-bit hashes of their words. Null texts have no words and keep none.
-A repeated row (same id, same text) is taken as one document's windows standing twice: the ids
-must be unique for a defined result.
+   is a small table. These windows, that hot groups are made of, are never shuffled one by one.
+3. Of all other windows with a repeated seed the least place is a minimum by the window's hash of
+   128 bits, combined before the shuffle. It is what stays: the least places go to their documents,
+   and the windows themselves are never brought together. This path is exact for whatever the bounds
+   of 1 and 2 leave out.
+4. Documents meet the places that stay, and maximal spans of covered words are cut out.
+
+Null texts have no words and keep none. Rows are ordered by id, a null id first; rows with equal ids
+(null or not) stand one after the other in the order of their texts' hashes, and of rows that are
+equal throughout all but one lose what they share. Where ids are unique and lie in a range that
+leaves room for word places in 62 bits, an id is its row's place in the order; else rows are
+numbered by a sort, which writes the texts once more.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ from .scratch import frequent, stored
 
 WINDOW = 20
 SEED = 10
-BITS = 27  # of the bitmap of repeated seeds: 16 MB, whatever the input's size
+SEED_BITS = 32  # of the bitmap for each repeated seed
+MAX_BITS = 29  # 2 ** 29 bits, 64 MB, at most
 HOT_SEEDS = 16_384
 HOT_PASSAGES = 8_192
 SHARD_WORDS = 131_072
@@ -113,7 +118,9 @@ class Windows:
 
     def __init__(self, part: vec.Slice):
         self.words, self.first = vec.word_hashes(part.data, part.offsets)
+        self.part = part
         count = np.maximum(np.diff(self.first) - WINDOW + 1, 0)
+        self.begin = np.concatenate([[0], np.cumsum(count)])  # each row's first window
         self.at = vec.gather(self.first[:-1], count)  # index of each window's first word
         self.row = np.repeat(np.arange(part.rows), count)
         self.start = self.at - self.first[:-1][self.row]
@@ -126,6 +133,12 @@ class Windows:
             self.seed_at[less] = self.at[less] + k
         self.seed = best
 
+    def keys(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of the windows `some`."""
+        other, _ = vec.word_hashes(self.part.data, self.part.offsets, other=True)
+        pick = lambda words: vec.window_hashes(words, WINDOW)[self.at[some]].view(np.int64) if len(some) else np.zeros(0, np.int64)
+        return pick(self.words), pick(other)
+
     def new_seed(self) -> np.ndarray:
         """Which windows are the first of a run with the same seed at the same place."""
         new = np.ones(len(self.at), bool)
@@ -146,16 +159,21 @@ def _seed_counts(docs: DataFrame) -> DataFrame:
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
-    bit = F.shiftrightunsigned("seed", 64 - BITS)
-    cells = seeds.groupBy(F.shiftright(bit, 5).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - BITS}) % 32 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << BITS - 5, np.uint32)
-    out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().astype(np.uint32)
+    """The bitmap of the seeds' top bits, as bytes. Spark makes it in blocks of 4 KB."""
+    bits = min(MAX_BITS, max(16, (SEED_BITS * seeds.count()).bit_length()))
+    bit = F.shiftrightunsigned("seed", 64 - bits) + 1  # Spark's bitmaps count from 1
+    blocks = seeds.select(F.bitmap_bucket_number(bit).alias("block"), F.bitmap_bit_position(bit).alias("at")).groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
+    out = np.zeros(max(1 << bits - 3, 4096), np.uint8)
+    got = blocks.toArrow()
+    for block, some in zip(got.column("block").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        at = (block - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(some, np.uint8)[: len(out) - at]
     return out
 
 
 def _in_bitmap(bitmap: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    bit = seed >> np.uint64(64 - BITS)
-    return (bitmap[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & 1 == 1
+    bit = seed >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)
+    return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def _among(sorted_: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -184,7 +202,7 @@ def _passages(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
     parts = docs.select("text").mapInArrow(work, "words binary, n long")
     counted = stored(parts.groupBy("words").agg(F.sum("n").alias("n")).where("n > 1"), "passages")
-    return frequent(counted, HOT_PASSAGES)
+    return frequent(counted, HOT_PASSAGES, fill="words")
 
 
 def build_automata(passages: DataFrame, shard_words: int = SHARD_WORDS) -> list[tuple[np.ndarray, Automaton]]:
@@ -238,18 +256,17 @@ def _hot_windows(w: Windows, hot: np.ndarray, automata: list[tuple[np.ndarray, A
     return out[:, 0], out[:, 1]
 
 
-def _places(docs: DataFrame, hot: np.ndarray, bitmap: np.ndarray, automata: list, shift: int, base: int) -> DataFrame:
-    """(ref, hash, place): of windows in the reference each slice's least place, with `ref`; of other
-    windows with a repeated seed every place, with `hash`."""
-    shared = docs.sparkSession.sparkContext.broadcast((hot, bitmap, automata))  # of fixed size
+def _places(docs: DataFrame, shared, shift: int, base: int) -> DataFrame:
+    """(ref, h1, h2, place): of windows in the reference each slice's least place, with `ref`; of
+    other windows with a repeated seed every place, with both hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, bitmap, automata = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            number = batch.column(0).to_numpy()
             for part in vec.slices(batch.column(1)):
                 w = Windows(part)
-                place = ((ids[part.lo : part.hi] - base) << shift)[w.row] + w.start
+                place = ((number[part.lo : part.hi] - base) << shift)[w.row] + w.start
                 at, ref = _hot_windows(w, hot, automata)
                 order = np.lexsort((place[at], ref))
                 at, ref = at[order], ref[order]
@@ -258,74 +275,99 @@ def _places(docs: DataFrame, hot: np.ndarray, bitmap: np.ndarray, automata: list
                 cold = _in_bitmap(bitmap, w.seed)
                 cold[at] = False
                 cold = np.flatnonzero(cold)
-                key = vec.window_hashes(w.words, WINDOW)[w.at[cold]].view(np.int64) if len(cold) else np.zeros(0, np.int64)
+                one, two = w.keys(cold)
                 n, m = int(lead.sum()), len(cold)
+                none = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([pa.array(ref[lead]), pa.nulls(m, pa.int64())]),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key)]),
-                        pa.array(np.concatenate([place[at[lead]], place[cold]])),
-                    ],
-                    names=["ref", "hash", "place"],
+                    [pa.concat_arrays([pa.array(ref[lead]), pa.nulls(m, pa.int64())]), pa.concat_arrays([none, pa.array(one)]), pa.concat_arrays([none, pa.array(two)]), pa.array(np.concatenate([place[at[lead]], place[cold]]))],
+                    names=["ref", "h1", "h2", "place"],
                 )
 
-    return docs.select("id", "text").mapInArrow(work, "ref long, hash long, place long")
+    return docs.select("number", "text").mapInArrow(work, "ref long, h1 long, h2 long, place long")
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows (id, text, number), the least number and the bits of a word's place: numbers are unique
+    and in order, and number and place have 62 bits together."""
+    bounds = docs.agg(F.count("*"), F.count("id"), F.min("id"), F.max("id"), F.max(F.length("text"))).first()
+    shift = max(1, ((bounds[4] or 0) // 2 + 1).bit_length())
+    if not bounds[0]:
+        return docs.withColumn("number", F.lit(0).cast("long")), 0, shift
+    wide = bounds[2] is None or (bounds[3] - bounds[2]).bit_length() + shift > 62
+    if bounds[0] == bounds[1] and not wide and not docs.groupBy("id").count().where("count > 1").limit(1).count():
+        return docs.withColumn("number", F.col("id")), bounds[2], shift
+    order = ["id", F.xxhash64("text"), F.monotonically_increasing_id()]
+    ranged = docs.repartitionByRange(*order).withColumn("_h", F.xxhash64("text")).sortWithinPartitions("id", "_h").drop("_h")
+    at = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33).cast("int")
+    before, sizes = 0, {}
+    for r in at.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row a partition
+        sizes[r["part"]] = before
+        before += r["count"]
+    begin = F.lit([sizes.get(k, 0) for k in range(max(sizes) + 1)])
+    number = F.get(begin, part) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return at.withColumn("number", number.cast("long")).drop("_at"), 0, shift
 
 
 def removed(docs: DataFrame, id: str = "doc_id", text: str = "text", out: str = "kept") -> DataFrame:
-    """(id, n_words, n_removed, kept) of each row: the words that stay, joined by one blank."""
-    docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    bounds = docs.agg(F.min("id"), F.max("id"), F.max(F.length("text"))).first()
-    base, top, longest = bounds[0] or 0, bounds[1] or 0, bounds[2] or 0
-    shift = max(1, (longest // 2 + 1).bit_length())
-    if (top - base).bit_length() + shift > 62:
-        raise ValueError("ids span too wide a range to order with word places in 64 bits; number the documents first")
+    """(id, n_words, n_removed, n_hot, kept) of each row: the words that stay, joined by one blank;
+    `n_hot` counts the removed words that a window of the automata covers."""
+    docs, base, shift = _numbered(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")))
     seeds = stored(_seed_counts(docs), "seeds")
     bitmap = _bitmap(seeds)
-    hot = np.sort(frequent(seeds.where(F.col("n") >= LEAST_HOT), HOT_SEEDS).toArrow().column("seed").to_numpy().view(np.uint64))
+    hot = np.sort(frequent(seeds.where(F.col("n") >= LEAST_HOT), HOT_SEEDS, fill="seed").toArrow().column("seed").to_numpy().view(np.uint64))
     automata = build_automata(_passages(docs, hot)) if len(hot) else []
-    places = stored(_places(docs, hot, bitmap, automata, shift, base), "places")
-    first = places.where("ref is not null").groupBy("ref").agg(F.min("place").alias("place")).toArrow()  # windows of the reference
+    shared = docs.sparkSession.sparkContext.broadcast((hot, bitmap, automata))  # of fixed size
+    least = _places(docs, shared, shift, base).groupBy("ref", "h1", "h2").agg(F.min("place").alias("place"))
+    firsts = stored(least.select("ref", "place"), "firsts")
+    first = firsts.where("ref is not null").toArrow()  # windows of the reference
     order = np.argsort(first.column("ref").to_numpy())
-    refs, least = first.column("ref").to_numpy()[order], first.column("place").to_numpy()[order]
-    cold = places.where("hash is not null").select("hash", "place")
-    firsts = cold.groupBy("hash").agg(F.min("place").alias("least"))
-    again = cold.join(firsts, "hash").where("place > least")
-    starts = again.select((F.shiftright("place", shift) + base).alias("id"), F.col("place").bitwiseAND(F.lit((1 << shift) - 1)).cast("int").alias("s")).groupBy("id").agg(F.collect_list("s").alias("starts"))
-    return _cut(docs.join(starts, "id", "left"), id, out, hot, automata, refs, least, shift, base)
+    refs, places = first.column("ref").to_numpy()[order], first.column("place").to_numpy()[order]
+    stay = firsts.where("ref is null").select((F.shiftright("place", shift) + base).alias("number"), F.col("place").bitwiseAND(F.lit((1 << shift) - 1)).cast("int").alias("s"))
+    starts = stay.groupBy("number").agg(F.collect_list("s").alias("starts"))
+    return _cut(docs.join(starts, "number", "left"), id, out, shared, refs, places, shift, base)
 
 
-def _cut(rows: DataFrame, id: str, out: str, hot: np.ndarray, automata: list, refs: np.ndarray, least: np.ndarray, shift: int, base: int) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((hot, automata, refs, least))  # of fixed size
+def _cut(rows: DataFrame, id: str, out: str, shared, refs: np.ndarray, least: np.ndarray, shift: int, base: int) -> DataFrame:
+    table = rows.sparkSession.sparkContext.broadcast((refs, least))  # of fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, automata, refs, least = shared.value
+        hot, bitmap, automata = shared.value
+        refs, least = table.value
         for batch in batches:
-            ids, starts = batch.column(0).to_numpy(), batch.column(2)
-            for part in vec.slices(batch.column(1)):
+            number, starts = batch.column(1).to_numpy(), batch.column(3)
+            for part in vec.slices(batch.column(2)):
                 w = Windows(part)
                 begin, end, first = vec.runs(~vec.SPACE[part.data], part.offsets)
                 at, ref = _hot_windows(w, hot, automata)
-                place = ((ids[part.lo : part.hi] - base) << shift)[w.row[at]] + w.start[at]
-                mine = w.at[at[least[np.searchsorted(refs, ref)] != place]] if len(at) else at
+                place = ((number[part.lo : part.hi] - base) << shift)[w.row[at]] + w.start[at]
+                warm = at[least[np.searchsorted(refs, ref)] != place] if len(at) else at
+                cold = _in_bitmap(bitmap, w.seed)
+                cold[at] = False
                 some = starts.slice(part.lo, part.rows)
                 flat = some.flatten().to_numpy(zero_copy_only=False)
                 count = np.array([0 if x is None else x for x in some.value_lengths().to_pylist()], np.int64)
-                mine = np.concatenate([mine, np.repeat(w.first[:-1], count) + flat]).astype(np.int64)
-                edge = np.zeros(len(begin) + WINDOW + 1, np.int64)
-                np.add.at(edge, mine, 1)
-                np.add.at(edge, mine + WINDOW, -1)
-                gone = np.cumsum(edge)[: len(begin)] > 0
+                cold[(np.repeat(w.begin[:-1], count) + flat).astype(np.int64)] = False  # these stay
+                by_automata = _covered(w.at[warm], len(begin))
+                gone = by_automata | _covered(w.at[cold], len(begin))
                 keep = np.flatnonzero(~gone)
                 # kept words with one blank after each, and each row's without the last blank
                 size = end[keep] - begin[keep] + 1
                 text = np.append(part.data, np.uint8(0x20))[_with_blank(begin[keep], size, len(part.data))]
                 stop = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(keep, first)]
                 texts = [text[a : max(a, b - 1)].tobytes().decode("utf-8", "replace") for a, b in zip(stop[:-1].tolist(), stop[1:].tolist(), strict=True)]
-                n = np.diff(first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.rows), pa.array(n), pa.array(vec.row_sums(gone.astype(np.int64), first)), pa.array(texts, pa.string())], names=[id, "n_words", "n_removed", out])
+                sums = lambda flags: pa.array(vec.row_sums(flags.astype(np.int64), first))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.rows), pa.array(np.diff(first)), sums(gone), sums(by_automata), pa.array(texts, pa.string())], names=[id, "n_words", "n_removed", "n_hot", out])
+
+    return rows.select("id", "number", "text", "starts").mapInArrow(work, f"`{id}` long, n_words long, n_removed long, n_hot long, `{out}` string")
+
 
-    return rows.select("id", "text", "starts").mapInArrow(work, f"`{id}` long, n_words long, n_removed long, `{out}` string")
+def _covered(starts: np.ndarray, words: int) -> np.ndarray:
+    """Which words a window that starts at one of `starts` covers."""
+    edge = np.zeros(words + WINDOW + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + WINDOW, -1)
+    return np.cumsum(edge)[:words] > 0
 
 
 def _with_blank(begin: np.ndarray, size: np.ndarray, blank: int) -> np.ndarray:
@@ -335,4 +377,4 @@ def _with_blank(begin: np.ndarray, size: np.ndarray, blank: int) -> np.ndarray:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return removed(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return removed(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_hot")

@@ -24,6 +24,7 @@ LOWER[65:91] += 32
 
 _STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _BYTES = np.random.default_rng(20240229).integers(1 << 62, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER_BYTES = np.random.default_rng(20250117).integers(1 << 62, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -105,12 +106,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash of the bytes; any substring's hash follows from two entries."""
+def prefix_hash(data: np.ndarray, other: bool = False) -> np.ndarray:
+    """Running polynomial hash of the bytes; any substring's hash follows from two entries. `other`
+    is a second hash with a table of its own."""
     power, _ = _power(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
+    np.cumsum((_OTHER_BYTES if other else _BYTES)[data] * power[: len(data)], out=sums[1:])
     return sums
 
 
@@ -120,10 +122,10 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each white-space separated word and the index of each row's first word."""
     starts, ends, first = runs(~SPACE[data], offsets)
-    return span_hash(prefix_hash(data), starts, ends), first
+    return span_hash(prefix_hash(data, other), starts, ends), first
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
