@@ -445,3 +445,15 @@ def test_op10_any_ids(spark):
     assert got == collections.Counter((r["doc_id"], *want[k]) for k, r in enumerate(ordered))
     one = spark.createDataFrame([(None, body), (None, body)], "doc_id long, text string")
     assert sorted(r["n_removed"] for r in substrings.digest(one).collect()) == [0, 40]
+
+
+def test_op1_any_layout_and_ids(spark, docs):
+    """The same scores from other partitions, and repeated or null ids scored each by itself."""
+    df = docs.select("doc_id", "text")
+    odd = df.unionByName(spark.createDataFrame([(None, "one two three"), (None, "four zz"), (100_004, "a"), (100_004, "other words xyzzy")], "doc_id long, text string"))
+    told = [sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["held_out"], r["base_score"], r["score"]) for r in maxent.digest(odd.repartition(n)).collect()) for n in (1, 6)]
+    assert [x[:4] for x in told[0]] == [x[:4] for x in told[1]] and len(told[0]) == odd.count()
+    for k in (4, 5):
+        assert [x[k] for x in told[0]] == pytest.approx([x[k] for x in told[1]], rel=1e-9)
+    same = [x for x in told[0] if x[0] == "100004"]
+    assert len(same) == 3 and same[0] == same[1] != same[2]

@@ -5,9 +5,11 @@ P(word | history) = P(class | history) * P(word | class, history).
 * Frequent words fall into classes by clustering what stands before them; each other word's class
   follows from its last two bytes.
 * P(class | history) is a softmax whose features are the previous word, the word before it (a
-  skip), and both together (a trigram), hashed to rows of a weight table. Tasks follow the gradient
-  over their own texts; their updates are averaged by row, weighted by use, round after round, and
-  the rounds together pass over all training texts once.
+  skip), and both together (a trigram), hashed to rows of a weight table. Training texts are dealt
+  into cells of some 16 MB by a hash of id and text and sorted by it, so the model doesn't depend on
+  how the table is laid out. A task follows the gradient over its cell; the cells' updates are
+  averaged by row, weighted by use, round after round, and the rounds together pass over all
+  training texts once.
 * P(word | class, history) is a softmax over the class's frequent words with the classes of the
   two words before as features, fitted by iterative scaling to counts over all training texts. In
   the classes of other words it is add-one smoothed counts, with one share for words never seen.
@@ -17,7 +19,8 @@ So the probabilities of all words and of one unknown word in each class of rare
 Counts are exact over all training texts. The weights, the frequent words and their counts are
 of fixed size and broadcast; counts of all other words meet their places by a shuffle, summed by
 document beforehand. A null or empty text is the end token alone. With no training texts all
-counts are 0 and `score` equals `base_score`. Ids must be unique.
+counts are 0 and `score` equals `base_score`. Ids are only carried along and hashed: rows with a
+repeated or null id are scored each by itself, and repeated rows get the same score.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import vec
 from .scratch import frequent, stored
@@ -42,6 +47,7 @@ ALL = CLASSES + RARE
 CONTEXTS = 64  # frequent words that stand before, for the clustering
 ROWS = 1 << 14  # of the weight table
 ROUNDS = 2
+CELL_BYTES = 16 << 20  # of training texts in a cell
 BATCH = 4096
 RATE = 0.15
 SCALING = 12  # rounds of iterative scaling
@@ -228,6 +234,13 @@ def _descend(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, used: n
             weights[own] -= (RATE / np.sqrt(squares[own] + 1e-6))[:, None] * g
 
 
+def _dealt(docs: DataFrame, k: int, cells: int) -> DataFrame:
+    """The texts of round k, a cell in each partition."""
+    h = F.xxhash64("id", "text")
+    mine = docs.select("text", h.alias("_h")).where(F.pmod("_h", F.lit(ROUNDS)) == k)
+    return mine.repartition(cells, "_h").sortWithinPartitions("_h").select("text")
+
+
 def _round(docs: DataFrame, model: Model) -> np.ndarray:
     """The weights after each task has descended over its texts: the tasks' updates of each row,
     averaged by how often they used it."""
@@ -235,6 +248,7 @@ def _round(docs: DataFrame, model: Model) -> np.ndarray:
     blocks = 64
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = TaskContext.get().partitionId()
         model = shared.value
         weights, squares, used = model.weights.copy(), np.full(ROWS, 0.1, np.float32), np.zeros(ROWS, np.int64)
         for _, _, t in _parts(batches):
@@ -244,18 +258,18 @@ def _round(docs: DataFrame, model: Model) -> np.ndarray:
         for block in range(blocks):
             rows = np.flatnonzero(used[block::blocks]) * blocks + block
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([rows.astype(np.int32).tobytes()]), pa.array([used[rows].tobytes()]), pa.array([step[rows].tobytes()])], names=["block", "rows", "used", "step"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([cell], pa.int32()), pa.array([rows.astype(np.int32).tobytes()]), pa.array([used[rows].tobytes()]), pa.array([step[rows].tobytes()])], names=["block", "cell", "rows", "used", "step"])
 
     def mean(frame: pd.DataFrame) -> pd.DataFrame:
         total, weight = np.zeros((ROWS // blocks, ALL)), np.zeros(ROWS // blocks)
-        block = int(frame["block"].iloc[0])
+        block, frame = int(frame["block"].iloc[0]), frame.sort_values("cell")  # sums in one order
         for rows, used, step in zip(frame["rows"], frame["used"], frame["step"], strict=True):
             at, n = np.frombuffer(rows, np.int32) // blocks, np.frombuffer(used, np.int64)
             total[at] += np.frombuffer(step, np.float32).reshape(-1, ALL) * n[:, None]
             weight[at] += n
         return pd.DataFrame({"block": [block], "step": [(total / np.maximum(weight, 1)[:, None]).astype(np.float32).tobytes()]})
 
-    steps = docs.select("text").mapInArrow(work, "block int, rows binary, used binary, step binary")
+    steps = docs.select("text").mapInArrow(work, "block int, cell int, rows binary, used binary, step binary")
     out = model.weights.copy()
     for r in steps.groupBy("block").applyInPandas(mean, "block int, step binary").collect():
         out[r["block"] :: blocks] += np.frombuffer(r["step"], np.float32).reshape(-1, ALL)
@@ -341,8 +355,10 @@ def train(docs: DataFrame) -> tuple[Model | None, DataFrame]:
         mine = np.flatnonzero(words.of == c)
         if len(mine):
             model.one[mine], model.two[mine], model.norm[c] = fit_words(one[mine], two[mine], contexts[c])
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    cells = max(1, -(-size // (CELL_BYTES * ROUNDS)))
     for k in range(ROUNDS):
-        model.weights = _round(docs.where(F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == k), model)
+        model.weights = _round(_dealt(docs, k, cells), model)
     return model, counts
 
 
@@ -351,18 +367,18 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
     log10 probabilities; rows where `learn` is true train the model."""
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), learn.alias("learned"))
     model, counts = train(docs.where("learned").select("id", "text"))
-    kind = docs.schema["id"].dataType.simpleString()
     base = np.log(model.words.tokens + model.words.kinds + 1) if model else 0.0
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    names = ["id", "learned", "n_tokens", "n_known", "base", "model", "word", "times"]
+    names = ["row", "id", "learned", "n_tokens", "n_known", "base", "model", "word", "times"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch, part, t in _parts(batches, 1):
-            n, ids, learned = np.diff(t.first), batch.column(0).slice(part.lo, part.rows), batch.column(2).slice(part.lo, part.rows)
+        for batch, part, t in _parts(batches, 2):
+            n = np.diff(t.first)
+            key, ids, learned = (batch.column(c).slice(part.lo, part.rows) for c in (0, 1, 3))
             if model is None:
                 zero = np.zeros(len(n))
-                yield pa.RecordBatch.from_arrays([ids, learned, pa.array(n), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([key, ids, learned, pa.array(n), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
                 continue
             at = model.words.find(t)
             known = at >= 0
@@ -380,7 +396,8 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
             pad = lambda values, kind: pa.concat_arrays([pa.array(values, kind), none(kind)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([ids, ids.take(pa.array(row[lead]))]),
+                    pa.concat_arrays([key, key.take(pa.array(row[lead]))]),
+                    pa.concat_arrays([ids, none(ids.type)]),
                     pa.concat_arrays([learned, none(pa.bool_())]),
                     pad(n, pa.int64()),
                     pad(vec.row_sums(known.astype(np.int64), t.first), pa.int64()),
@@ -392,11 +409,11 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
                 names=names,
             )
 
-    fields = f"id {kind}, learned boolean, n_tokens long, n_known long, base double, model double, word long, times long"
-    told = stored(docs.select("id", "text", "learned").mapInArrow(work, fields), "scored")
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL("learned boolean, n_tokens long, n_known long, base double, model double, word long, times long").fields])
+    told = stored(docs.select(F.monotonically_increasing_id().alias("row"), "id", "text", "learned").mapInArrow(work, schema), "scored")
     beyond = told.where("word is not null").join(counts.select("word", "n"), "word")
-    beyond = beyond.groupBy("id").agg(F.sum(F.col("times") * F.log1p(F.col("n").cast("double"))).alias("extra"), F.sum("times").alias("more"))
-    rows = told.where("word is null").join(beyond, "id", "left")
+    beyond = beyond.groupBy("row").agg(F.sum(F.col("times") * F.log1p(F.col("n").cast("double"))).alias("extra"), F.sum("times").alias("more"))
+    rows = told.where("word is null").join(beyond, "row", "left")
     extra = F.coalesce("extra", F.lit(0.0))
     return rows.select(
         F.col("id").alias(id),
@@ -410,7 +427,8 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
 
 
 def held_out(id: str = "doc_id") -> Column:
-    return vec.crc_mod(id, 7) == 2
+    """Whether a row is held out; one with a null id is not."""
+    return F.coalesce(vec.crc_mod(id, 7) == 2, F.lit(False))
 
 
 def digest(docs: DataFrame) -> DataFrame:
