@@ -1,13 +1,18 @@
 """BPE encoding by content-defined chunk reuse.
 
 A rolling hash over the last bytes of a text cuts it into chunks that depend on content alone, so
-passages which documents share fall into the same chunks. A task encodes each distinct chunk once.
-A cut may fall inside a word, and a chunk's outer words are then not what the whole text has: the
-join is repaired by encoding the words around it anew, widened to the next white space on either
-side, where the tokens of chunk and text agree whatever stands beyond, as the vocabulary's
-pre-tokeniser never reaches over white space. Encoding a chunk looks up the parts of its words in
-a table of those that the worker has met, bounded in size. Documents stay where they are: moving
-every chunk to one place would shuffle the corpus twice over, so "once" is once for each worker.
+passages which documents share fall into the same chunks. A worker encodes each distinct chunk once
+and remembers it as long as it keeps coming up: chunks that weren't met since the last generation are
+forgotten first, those of the texts at hand never. Documents stay where they are: moving every chunk
+to one place would shuffle the corpus twice over, so "once" is once for each worker.
+
+A cut may fall inside a word, and a chunk's outer words are then not what the whole text has. The
+join is repaired by encoding the text around it anew, from the word before to the word after, and
+counts as repaired when the tokens of these two agree exactly with those of their chunks. Where they
+don't agree, the text is widened to the whole row, which is then encoded as it stands.
+
+Encoding a chunk looks up the parts of its words in a table of those that the worker has met,
+bounded in size.
 
 Null and empty texts have no tokens and decode to the empty string.
 """
@@ -21,13 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import vec
 
 WINDOW = 8  # bytes of the rolling hash
 CUT_BITS = 8  # a cut after every 256th byte on average
 MAX_PARTS = 400_000  # parts of words and chunks that a worker remembers before it starts afresh
-MAX_CHUNKS = 10_000
+MAX_CHUNKS = 20_000  # chunks of a generation; a worker remembers two
+MAX_JOINS = 50_000  # joins likewise
 _ROLL = np.random.default_rng(7).integers(0, 1 << 62, 256, dtype=np.uint64)
 
 _BLANK, _LETTER, _DIGIT, _PUNCT, _OTHER = range(5)
@@ -78,6 +85,29 @@ def units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return low, first, np.minimum(np.append(first[1:], len(data)), ends[word]), odd[word]
 
 
+class Memory:
+    """What was met in this generation and the last; a full generation becomes the last one."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key: int):
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.new[key] = found  # it keeps coming up
+        return found
+
+    def put(self, key: int, value) -> None:
+        self.new[key] = value
+
+    def age(self) -> None:
+        """To be called between slices, so what a slice has met stays while it is at hand."""
+        if len(self.new) > self.size:
+            self.old, self.new = self.new, {}
+
+
 class Encoder:
     """Tokens of whole texts. Parts of words live in sorted arrays, chunks in a dictionary."""
 
@@ -96,7 +126,8 @@ class Encoder:
         self.shown_at = np.concatenate([[0], np.cumsum(self.shown_len)[:-1]])
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
-        self.chunks: dict[int, np.ndarray] = {}
+        self.chunks, self.joins = Memory(MAX_CHUNKS), Memory(MAX_JOINS)
+        self.met = self.encoded = self.widened = 0  # chunks, those encoded anew, rows encoded whole
         self.forget()
 
     def forget(self) -> None:
@@ -145,9 +176,11 @@ class Encoder:
 
     def encode(self, part: vec.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, and the index of each row's first id and the end."""
-        starts, ends, _ = vec.runs(~vec.SPACE[part.data], part.offsets)
+        starts, ends, first_word = vec.runs(~vec.SPACE[part.data], part.offsets)
         if not len(starts):
             return np.zeros(0, self.kind), np.zeros(part.rows + 1, np.int64)
+        self.chunks.age()
+        self.joins.age()
         low, ustart, uend, uwhole = units(part.data, starts, ends)
         sums = vec.prefix_hash(low)
         of_word = np.append(np.searchsorted(ustart, starts), len(ustart))
@@ -158,28 +191,57 @@ class Encoder:
         lo, hi = np.searchsorted(starts, cuts), np.searchsorted(starts, stops)
         hi = hi - ((hi > lo) & ~uncut[np.maximum(hi - 1, 0)])
         lo, hi = lo[hi > lo], hi[hi > lo]
-        joins = np.flatnonzero(~uncut)
         distinct, first, inverse = np.unique(vec.span_hash(sums, starts[lo], ends[hi - 1]), return_index=True, return_inverse=True)
-        if len(self.chunks) + len(distinct) > MAX_CHUNKS:
-            self.chunks.clear()
-        keys = distinct.tolist()
-        new = [k for k, name in enumerate(keys) if name not in self.chunks]
-        begin = np.concatenate([of_word[lo[first[new]]], of_word[joins]])
-        count = np.concatenate([of_word[hi[first[new]]], of_word[joins + 1]]) - begin
-        todo = vec.gather(begin, count)
+        inner = [self.chunks.get(key) for key in distinct.tolist()]
+        new = [k for k, found in enumerate(inner) if found is None]
+        self.met += len(lo)
+        self.encoded += len(new)
+        # joins with the words around them, in their rows
+        joins = np.flatnonzero(~uncut)
+        row = np.searchsorted(first_word, joins, "right") - 1
+        left, right = np.maximum(joins - 1, first_word[row]), np.minimum(joins + 1, first_word[row + 1] - 1)
+        jnames, jfirst, jinverse = np.unique(vec.span_hash(sums, starts[left], ends[right]) + (joins - left).astype(np.uint64), return_index=True, return_inverse=True)
+        repaired = [self.joins.get(key) for key in jnames.tolist()]
+        jnew = [k for k, found in enumerate(repaired) if found is None]
+        at = jfirst[jnew]
+        begin = np.concatenate([of_word[lo[first[new]]], of_word[left[at]], of_word[joins[at]], of_word[joins[at] + 1]])
+        end = np.concatenate([of_word[hi[first[new]]], of_word[joins[at]], of_word[joins[at] + 1], of_word[right[at] + 1]])
+        todo = vec.gather(begin, end - begin)
         ids, upto = self.part_ids(low, sums, ustart[todo], uend[todo], uwhole[todo])
-        edge = upto[np.concatenate([[0], np.cumsum(count)])].tolist()
+        edge = upto[np.concatenate([[0], np.cumsum(end - begin)])].tolist()
         fresh = [ids[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
         for k, got in zip(new, fresh, strict=False):
-            self.chunks[keys[k]] = got.copy()
+            inner[k] = got.copy()
+            self.chunks.put(int(distinct[k]), inner[k])
+        n, m = len(new), len(jnew)
+        texts = [part.text(a, b) for a, b in zip(starts[left[at]].tolist(), ends[right[at]].tolist(), strict=True)]
+        for k, anew, before, own, after in zip(jnew, self.model.encode_batch(texts, add_special_tokens=False) if m else [], fresh[n : n + m], fresh[n + m : n + 2 * m], fresh[n + 2 * m :], strict=True):
+            repaired[k] = self._agreed(anew.ids, before, own, after)
+            self.joins.put(int(jnames[k]), repaired[k])
         # the text's tokens: inner words of its chunks and the repaired joins, in order
-        inner = [self.chunks[name] for name in keys]
-        pieces = [inner[k] for k in inverse.tolist()] + fresh[len(new) :]
-        at = np.concatenate([starts[lo], starts[joins]])
-        order = np.argsort(at)
+        pieces = [inner[k] for k in inverse.tolist()] + [repaired[k] for k in jinverse.tolist()]
+        where = np.concatenate([starts[lo], starts[joins]])
+        order = np.argsort(where)
         length = np.fromiter(map(len, pieces), np.int64, len(pieces))[order]
         total = np.concatenate([[0], np.cumsum(length)])
-        return np.concatenate([pieces[k] for k in order.tolist()]), total[np.searchsorted(at[order], part.offsets)]
+        out, bounds = np.concatenate([pieces[k] for k in order.tolist()]), total[np.searchsorted(where[order], part.offsets)]
+        odd = {int(r) for r, k in zip(row.tolist(), jinverse.tolist(), strict=True) if not len(repaired[k])}
+        return self._widen(part, out, bounds, odd) if odd else (out, bounds)
+
+    def _agreed(self, anew: list[int], before: np.ndarray, own: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """The tokens of the word across the cut, if those of the words around it agree; else none."""
+        last = len(anew) - len(after)
+        if last > len(before) and anew[: len(before)] == before.tolist() and anew[last:] == after.tolist():
+            return np.array(anew[len(before) : last], self.kind)
+        return own[:0]
+
+    def _widen(self, part: vec.Slice, ids: np.ndarray, bounds: np.ndarray, rows: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes the given rows as they stand."""
+        self.widened += len(rows)
+        every = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for r in rows:
+            every[r] = np.array(self.model.encode(part.text(*part.offsets[r : r + 2].tolist()), add_special_tokens=False).ids, self.kind)
+        return np.concatenate(every), np.concatenate([[0], np.cumsum([len(x) for x in every])])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded ids: this vocabulary has no decoder, so tokens are joined by blanks."""
@@ -206,8 +268,11 @@ def _vocabulary(path: str | None) -> str:
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """Adds the column `out` (array of int) with the ids of each text; other columns stay."""
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    """Adds the column `out` (array of int) with the ids of each text; other columns stay. A column of
+    that name is an error."""
+    if out in docs.columns:
+        raise ValueError(f"the rows have a column {out!r} already")
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(vocabulary)
@@ -218,7 +283,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", o
                 rows = batch.slice(part.lo, part.rows)
                 yield pa.RecordBatch.from_arrays([*rows.columns, array], names=[*rows.schema.names, out])
 
-    return docs.mapInArrow(work, ", ".join([*fields, f"`{out}` array<int>"]))
+    return docs.mapInArrow(work, schema)
 
 
 def digest(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

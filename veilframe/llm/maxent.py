@@ -254,18 +254,18 @@ def _round(docs: DataFrame, model: Model) -> np.ndarray:
         for _, _, t in _parts(batches):
             at = model.words.find(t)
             _descend(weights, model.bias, squares, used, _features(t), model.words.classes(t, at))
-        step = (weights - model.weights).astype(np.float32)
+        step = (weights - model.weights).astype(np.float16)  # an average of many
         for block in range(blocks):
             rows = np.flatnonzero(used[block::blocks]) * blocks + block
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([cell], pa.int32()), pa.array([rows.astype(np.int32).tobytes()]), pa.array([used[rows].tobytes()]), pa.array([step[rows].tobytes()])], names=["block", "cell", "rows", "used", "step"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([cell], pa.int32()), pa.array([rows.astype(np.int32).tobytes()]), pa.array([used[rows].astype(np.int32).tobytes()]), pa.array([step[rows].tobytes()])], names=["block", "cell", "rows", "used", "step"])
 
     def mean(frame: pd.DataFrame) -> pd.DataFrame:
         total, weight = np.zeros((ROWS // blocks, ALL)), np.zeros(ROWS // blocks)
         block, frame = int(frame["block"].iloc[0]), frame.sort_values("cell")  # sums in one order
         for rows, used, step in zip(frame["rows"], frame["used"], frame["step"], strict=True):
-            at, n = np.frombuffer(rows, np.int32) // blocks, np.frombuffer(used, np.int64)
-            total[at] += np.frombuffer(step, np.float32).reshape(-1, ALL) * n[:, None]
+            at, n = np.frombuffer(rows, np.int32) // blocks, np.frombuffer(used, np.int32).astype(np.int64)
+            total[at] += np.frombuffer(step, np.float16).reshape(-1, ALL).astype(np.float64) * n[:, None]
             weight[at] += n
         return pd.DataFrame({"block": [block], "step": [(total / np.maximum(weight, 1)[:, None]).astype(np.float32).tobytes()]})
 

@@ -2,9 +2,10 @@
 
 One narrow pass over the texts: no shuffle, a batch at a time. Kinds email, ip, card and phone
 are always kept once their own check (part range, Luhn, digit count) passes; iban is kept if its
-mod-97 remainder is 1; ssn has no checksum, so only a nearby context word makes it count.
+mod-97 remainder is 1; ssn has no checksum, so only a nearby context word makes it count, and so
+for a secret: a run of 20 or more characters of letters and digits that isn't a word or a number.
 
-Null and empty texts have no spans. Spans are in code points, end exclusive, sorted by start and
+Null and empty texts have no spans; repeated rows have the same ones. Spans are in code points, end exclusive, sorted by start and
 then by kind as in KINDS. Work is linear in the length of a text: patterns are possessive or
 anchored so that no long run is scanned again from each of its characters.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
 
@@ -30,9 +31,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=-])")
 
 #: Score of a span that its check confirms, and what a context word nearby adds.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.85, "ssn": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.85, "ssn": 0.4, "secret": 0.4}
 BOOST = 0.2
 NEAR = 48
 CONTEXT = {
@@ -42,6 +44,7 @@ CONTEXT = {
     "phone": ("phone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social security", "social-security"),
+    "secret": ("token", "secret", "password", "passwd", "api_key", "apikey", "api key", "access key", "access_key", "credential"),
 }
 _CONTEXT = {k: re.compile(r"(?<![a-z])(?:" + "|".join(map(re.escape, v)) + ")", re.IGNORECASE) for k, v in CONTEXT.items()}
 KEEP = 0.5
@@ -115,6 +118,10 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
             yield "iban", m.start(), m.start() + len(got)
     for m in _SSN.finditer(text):
         yield "ssn", m.start(), m.end()
+    for m in _SECRET.finditer(text):
+        digits = len(_digits(m[0]))
+        if 3 <= digits <= len(m[0]) - 3:
+            yield "secret", m.start(), m.end()
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -167,14 +174,15 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of the base kinds and digests of the spans."""
+    """One row per document: counts of the base kinds and of all spans, digests of the spans, and
+    the spans with the scores that context gave them."""
     import hashlib
 
-    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans", "scores"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, sha, spans = [[] for _ in BASE], [], []
+            counts, sha, spans, every, scores = [[] for _ in BASE], [], [], [], []
             for text in batch.column(1):
                 found = find_spans(text.as_py())
                 base = [s for s in found if s[0] in BASE]
@@ -182,7 +190,10 @@ def digest(docs: DataFrame) -> DataFrame:
                     counts[k].append(sum(s[0] == kind for s in base))
                 sha.append(hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b, _ in base).encode()).hexdigest())
                 spans.append(",".join(f"{k}:{a}:{b}" for k, a, b, _ in found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(spans, pa.string())], names=names)
+                every.append(len(found))
+                scores.append(",".join(f"{k}:{a}:{b}:{s}" for k, a, b, s in found))
+            text = lambda values: pa.array(values, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), text(sha), text(spans), pa.array(every, pa.int64()), text(scores)], names=names)
 
     kinds = ", ".join(f"n_{k} long" for k in BASE)
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id long, {kinds}, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id long, {kinds}, base_sha256 string, spans string, n_spans long, scores string")

@@ -5,25 +5,31 @@ vote patterns, at most 3 ** rules of them, and expectation-maximisation over the
 the share of good documents and each rule's accuracy. The posterior of a pattern is then the
 quality probability of its documents. All of it is Spark expressions and one small aggregation.
 
-A text without words (null, empty, white space) has zero counts and fails the base rule.
+A text without words (null, empty, white space) has zero counts and fails the base rule. Repeated
+rows count again in the fit and get the same verdict.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import literal
+from .scratch import stored
+
 BLANKS = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
+SYMBOL_WORD = "[#*$%&|<>][^\\x20\\x09-\\x0D]*+"
+ENDED = "[.!?:;\u2026][\"')\u00bb\u201d]?[\\x20\\x09\\x0B-\\x0D]*+(?:\n|\\z)"
 ROUNDS = 50
 KEEP = 0.5
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines.
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_symbol_words (words
+    with a symbol) and n_ended_lines (lines with punctuation at the end).
 
     n_repeat_words counts words in 3-word windows that stand twice or more: where some window does,
     windows are sorted by hash with their places, neighbours of equal hash are repeats, and the
@@ -48,7 +54,9 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
             "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.coalesce(F.size(covered), F.lit(0)).cast("long"),
+            "n_repeat_words": F.when(covered.isNull(), 0).otherwise(F.size(covered)).cast("long"),
+            "n_symbol_words": F.regexp_count(body, F.lit(SYMBOL_WORD)).cast("long"),
+            "n_ended_lines": F.regexp_count(body, F.lit(ENDED)).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
         }
     ).drop("_words", "_lines", "_hashes", "_ordered")
@@ -64,6 +72,9 @@ def votes() -> dict[str, Column]:
     symbols = F.col("n_symbols") / F.greatest(F.col("n_words"), F.lit(1))
     lines = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     repeats = F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1))
+    marked = F.col("n_symbol_words") / F.greatest(F.col("n_words"), F.lit(1))
+    chars = F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))
+    ended = F.col("n_ended_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     vote = lambda good, bad: F.when(bad, 0).when(good, 1)
     return {
         "v_length": vote(words >= 50, words < 20),
@@ -71,6 +82,9 @@ def votes() -> dict[str, Column]:
         "v_symbols": vote(symbols < 0.02, symbols > 0.1),
         "v_dup_lines": vote(lines < 0.1, lines > 0.3),
         "v_repeats": vote(repeats < 0.1, repeats > 0.3),
+        "v_symbol_words": vote(marked < 0.02, marked > 0.2),
+        "v_symbol_chars": vote(chars < 0.005, chars > 0.03),
+        "v_ended_lines": vote(ended >= 0.5, ended < 0.1),
     }
 
 
@@ -107,16 +121,15 @@ def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = ROUNDS
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` without the text, with the features, the votes, `quality` (posterior) and
     `kept`."""
-    from .scratch import stored
-
     rules = votes()
     scored = stored(features(docs, text).drop(text).withColumns(rules).withColumn("base_failed", base_failed()), "quality")
     code = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     scored = scored.withColumn("_pattern", F.concat(*map(code, rules)))
     counts = scored.groupBy("_pattern").count().orderBy("_pattern").collect()
     post = fit([(tuple(None if v == "-" else int(v) for v in r["_pattern"]), r["count"]) for r in counts])
-    quality = reduce(lambda c, r: c.when(F.col("_pattern") == r[0], r[1]), (("".join("-" if v is None else str(v) for v in p), q) for p, q in post.items()), F.when(F.lit(False), 0.0))
-    return scored.withColumn("quality", quality).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP)).drop("_pattern")
+    told = [("".join("-" if v is None else str(v) for v in p), q) for p, q in post.items()] or [("", 0.0)]
+    table = F.broadcast(literal.table(docs.sparkSession, told, "_pattern string, quality double"))  # at most 3 ** rules
+    return scored.join(table, "_pattern", "left").withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP)).drop("_pattern")
 
 
 def digest(docs: DataFrame) -> DataFrame:
