@@ -7,7 +7,7 @@ P(word | history) = P(class | history) * P(word | class, history).
 * P(class | history) is a softmax whose features are the previous word, the word before it (a
   skip), and both together (a trigram), hashed to rows of a weight table. Training texts are dealt
   into cells of some 16 MB by a hash of id and text and sorted by it, so the model doesn't depend on
-  how the table is laid out. A task follows the gradient over its cell; the cells' updates are
+  how the table is laid out. A task follows the gradient over each of its cells; their updates are
   averaged by row, weighted by use, round after round, and the rounds together pass over all
   training texts once.
 * P(word | class, history) is a softmax over the class's frequent words with the classes of the
@@ -31,7 +31,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -235,10 +234,11 @@ def _descend(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, used: n
 
 
 def _dealt(docs: DataFrame, k: int, cells: int) -> DataFrame:
-    """The texts of round k, a cell in each partition."""
+    """(text, cell) of the texts of round k, sorted by cell; a partition may have several cells."""
     h = F.xxhash64("id", "text")
     mine = docs.select("text", h.alias("_h")).where(F.pmod("_h", F.lit(ROUNDS)) == k)
-    return mine.repartition(cells, "_h").sortWithinPartitions("_h").select("text")
+    cell = F.pmod(F.shiftright("_h", 8), F.lit(cells)).cast("int")
+    return mine.withColumn("cell", cell).repartition(cells, "cell").sortWithinPartitions("cell", "_h").select("text", "cell")
 
 
 def _round(docs: DataFrame, model: Model) -> np.ndarray:
@@ -247,19 +247,32 @@ def _round(docs: DataFrame, model: Model) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     blocks = 64
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell = TaskContext.get().partitionId()
-        model = shared.value
-        weights, squares, used = model.weights.copy(), np.full(ROWS, 0.1, np.float32), np.zeros(ROWS, np.int64)
-        for _, _, t in _parts(batches):
-            at = model.words.find(t)
-            _descend(weights, model.bias, squares, used, _features(t), model.words.classes(t, at))
-        step = (weights - model.weights).astype(np.float16)  # an average of many
+    def update(cell: int, weights: np.ndarray, used: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = (weights - shared.value.weights).astype(np.float16)  # an average of many
         for block in range(blocks):
             rows = np.flatnonzero(used[block::blocks]) * blocks + block
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([cell], pa.int32()), pa.array([rows.astype(np.int32).tobytes()]), pa.array([used[rows].astype(np.int32).tobytes()]), pa.array([step[rows].tobytes()])], names=["block", "cell", "rows", "used", "step"])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, cell = shared.value, None
+        for batch in batches:
+            of = batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if cell != of[a]:  # each cell descends from the model by itself
+                    if cell is not None:
+                        yield from update(cell, weights, used)
+                    cell = int(of[a])
+                    weights, squares, used = model.weights.copy(), np.full(ROWS, 0.1, np.float32), np.zeros(ROWS, np.int64)
+                for _, _, t in _parts(iter([batch.slice(a, b - a)])):
+                    at = model.words.find(t)
+                    _descend(weights, model.bias, squares, used, _features(t), model.words.classes(t, at))
+        if cell is not None:
+            yield from update(cell, weights, used)
+
     def mean(frame: pd.DataFrame) -> pd.DataFrame:
         total, weight = np.zeros((ROWS // blocks, ALL)), np.zeros(ROWS // blocks)
         block, frame = int(frame["block"].iloc[0]), frame.sort_values("cell")  # sums in one order
@@ -269,7 +282,7 @@ def _round(docs: DataFrame, model: Model) -> np.ndarray:
             weight[at] += n
         return pd.DataFrame({"block": [block], "step": [(total / np.maximum(weight, 1)[:, None]).astype(np.float32).tobytes()]})
 
-    steps = docs.select("text").mapInArrow(work, "block int, cell int, rows binary, used binary, step binary")
+    steps = docs.mapInArrow(work, "block int, cell int, rows binary, used binary, step binary")
     out = model.weights.copy()
     for r in steps.groupBy("block").applyInPandas(mean, "block int, step binary").collect():
         out[r["block"] :: blocks] += np.frombuffer(r["step"], np.float32).reshape(-1, ALL)
