@@ -33,8 +33,8 @@ from . import vec
 WINDOW = 8  # bytes of the rolling hash
 CUT_BITS = 8  # a cut after every 256th byte on average
 MAX_PARTS = 400_000  # parts of words and chunks that a worker remembers before it starts afresh
-MAX_CHUNKS = 20_000  # chunks of a generation; a worker remembers two
-MAX_JOINS = 50_000  # joins likewise
+MAX_CHUNKS = 10_000  # chunks of a generation; a worker remembers two
+MAX_JOINS = 20_000  # joins likewise
 _ROLL = np.random.default_rng(7).integers(0, 1 << 62, 256, dtype=np.uint64)
 
 _BLANK, _LETTER, _DIGIT, _PUNCT, _OTHER = range(5)
