@@ -44,10 +44,10 @@ WINDOW = 20
 SEED = 10
 SEED_BITS = 32  # of the bitmap for each repeated seed
 MAX_BITS = 29  # 2 ** 29 bits, 64 MB, at most
-HOT_SEEDS = 65_536
-HOT_PASSAGES = 32_768
+HOT_SEEDS = 16_384
+HOT_PASSAGES = 8_192
 SHARD_WORDS = 131_072
-LEAST_HOT = 8  # occurrences of a hot seed at least
+LEAST_HOT = 16  # occurrences of a hot seed at least
 
 
 class Automaton:
