@@ -11,10 +11,11 @@ join is repaired by encoding the text around it anew, from the word before to th
 counts as repaired when the tokens of these two agree exactly with those of their chunks. Where they
 don't agree, the text is widened to the whole row, which is then encoded as it stands.
 
-Encoding a chunk looks up the parts of its words in a table of those that the worker has met,
-bounded in size.
+Chunks and joins are remembered by their bytes. Encoding a chunk looks up the parts of its words in a
+table of those that the worker has met, bounded in size, by a 64-bit hash.
 
-Null and empty texts have no tokens and decode to the empty string.
+Null and empty texts have no tokens and decode to the empty string. Rows are encoded one by one, so
+repeated rows and ids give repeated results.
 """
 
 from __future__ import annotations
@@ -85,13 +86,22 @@ def units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return low, first, np.minimum(np.append(first[1:], len(data)), ends[word]), odd[word]
 
 
+def _distinct(keys: list) -> tuple[list, np.ndarray, np.ndarray]:
+    """The distinct keys, where each stands first, and which of them each key is."""
+    place: dict = {}
+    inverse = np.fromiter((place.setdefault(k, len(place)) for k in keys), np.int64, len(keys))
+    first = np.zeros(len(place), np.int64)
+    first[inverse[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return list(place), first, inverse
+
+
 class Memory:
     """What was met in this generation and the last; a full generation becomes the last one."""
 
     def __init__(self, size: int):
         self.size, self.new, self.old = size, {}, {}
 
-    def get(self, key: int):
+    def get(self, key):
         found = self.new.get(key)
         if found is None:
             found = self.old.get(key)
@@ -99,7 +109,7 @@ class Memory:
                 self.new[key] = found  # it keeps coming up
         return found
 
-    def put(self, key: int, value) -> None:
+    def put(self, key, value) -> None:
         self.new[key] = value
 
     def age(self) -> None:
@@ -151,9 +161,9 @@ class Encoder:
                 out[i] = np.array(self.model.encode(texts[i], add_special_tokens=False).ids, self.kind)
         return out
 
-    def part_ids(self, low: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def part_ids(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the given parts of words end to end and the bounds of each; each is encoded once."""
-        names = vec.span_hash(sums, starts, ends) ^ whole.astype(np.uint64)
+        names = vec.span_hash(low, starts, ends) ^ whole.astype(np.uint64)
         distinct, first, inverse = np.unique(names, return_index=True, return_inverse=True)
         if len(self.keys) + len(distinct) > MAX_PARTS:
             self.forget()
@@ -182,7 +192,7 @@ class Encoder:
         self.chunks.age()
         self.joins.age()
         low, ustart, uend, uwhole = units(part.data, starts, ends)
-        sums = vec.prefix_hash(low)
+        blob = low.tobytes()
         of_word = np.append(np.searchsorted(ustart, starts), len(ustart))
         cuts = chunk_starts(part.data, part.offsets)
         stops = np.append(cuts[1:], len(part.data))
@@ -191,8 +201,8 @@ class Encoder:
         lo, hi = np.searchsorted(starts, cuts), np.searchsorted(starts, stops)
         hi = hi - ((hi > lo) & ~uncut[np.maximum(hi - 1, 0)])
         lo, hi = lo[hi > lo], hi[hi > lo]
-        distinct, first, inverse = np.unique(vec.span_hash(sums, starts[lo], ends[hi - 1]), return_index=True, return_inverse=True)
-        inner = [self.chunks.get(key) for key in distinct.tolist()]
+        distinct, first, inverse = _distinct([blob[a:b] for a, b in zip(starts[lo].tolist(), ends[hi - 1].tolist(), strict=True)])
+        inner = [self.chunks.get(key) for key in distinct]
         new = [k for k, found in enumerate(inner) if found is None]
         self.met += len(lo)
         self.encoded += len(new)
@@ -200,24 +210,24 @@ class Encoder:
         joins = np.flatnonzero(~uncut)
         row = np.searchsorted(first_word, joins, "right") - 1
         left, right = np.maximum(joins - 1, first_word[row]), np.minimum(joins + 1, first_word[row + 1] - 1)
-        jnames, jfirst, jinverse = np.unique(vec.span_hash(sums, starts[left], ends[right]) + (joins - left).astype(np.uint64), return_index=True, return_inverse=True)
-        repaired = [self.joins.get(key) for key in jnames.tolist()]
+        jnames, jfirst, jinverse = _distinct([(blob[a:b], k) for a, b, k in zip(starts[left].tolist(), ends[right].tolist(), (joins - left).tolist(), strict=True)])
+        repaired = [self.joins.get(key) for key in jnames]
         jnew = [k for k, found in enumerate(repaired) if found is None]
         at = jfirst[jnew]
         begin = np.concatenate([of_word[lo[first[new]]], of_word[left[at]], of_word[joins[at]], of_word[joins[at] + 1]])
         end = np.concatenate([of_word[hi[first[new]]], of_word[joins[at]], of_word[joins[at] + 1], of_word[right[at] + 1]])
         todo = vec.gather(begin, end - begin)
-        ids, upto = self.part_ids(low, sums, ustart[todo], uend[todo], uwhole[todo])
+        ids, upto = self.part_ids(low, ustart[todo], uend[todo], uwhole[todo])
         edge = upto[np.concatenate([[0], np.cumsum(end - begin)])].tolist()
         fresh = [ids[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
         for k, got in zip(new, fresh, strict=False):
             inner[k] = got.copy()
-            self.chunks.put(int(distinct[k]), inner[k])
+            self.chunks.put(distinct[k], inner[k])
         n, m = len(new), len(jnew)
         texts = [part.text(a, b) for a, b in zip(starts[left[at]].tolist(), ends[right[at]].tolist(), strict=True)]
         for k, anew, before, own, after in zip(jnew, self.model.encode_batch(texts, add_special_tokens=False) if m else [], fresh[n : n + m], fresh[n + m : n + 2 * m], fresh[n + 2 * m :], strict=True):
             repaired[k] = self._agreed(anew.ids, before, own, after)
-            self.joins.put(int(jnames[k]), repaired[k])
+            self.joins.put(jnames[k], repaired[k])
         # the text's tokens: inner words of its chunks and the repaired joins, in order
         pieces = [inner[k] for k in inverse.tolist()] + [repaired[k] for k in jinverse.tolist()]
         where = np.concatenate([starts[lo], starts[joins]])

@@ -75,7 +75,7 @@ class Tokens:
 def tokens(part: vec.Slice) -> Tokens:
     data = vec.LOWER[part.data]
     starts, ends, first = vec.runs(~vec.SPACE[data], part.offsets)
-    words = vec.span_hash(vec.prefix_hash(data), starts, ends)
+    words = vec.span_hash(data, starts, ends)
     rows = np.repeat(np.arange(part.rows), np.diff(first))
     at = np.arange(len(words)) + rows
     out = np.full(len(words) + part.rows, END)

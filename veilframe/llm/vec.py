@@ -7,6 +7,7 @@ rows, which bounds a task's memory whatever the batch size; one longer text is a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +23,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_BYTES = np.random.default_rng(20240229).integers(1 << 62, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OTHER_BYTES = np.random.default_rng(20250117).integers(1 << 62, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+LONG = 512  # bytes from which a span is hashed by BLAKE2 instead of block by block
+_SEED = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 
 
 @dataclass
@@ -96,48 +96,53 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
-        for k, step in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
-            p = np.full(size, step, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
-
-
-def prefix_hash(data: np.ndarray, other: bool = False) -> np.ndarray:
-    """Running polynomial hash of the bytes; any substring's hash follows from two entries. `other`
-    is a second hash with a table of its own."""
-    power, _ = _power(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((_OTHER_BYTES if other else _BYTES)[data] * power[: len(data)], out=sums[1:])
-    return sums
-
-
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, equal for equal bytes wherever they stand."""
-    _, inverse = _power(len(sums))
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand. Each eight bytes go
+    through a bijection of their own and another of the state, so no sum of bytes can cancel out.
+    `other` is a second hash, whose collisions have nothing to do with those of the first."""
+    seed, odd = _SEED[other], _ODD[other]
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * odd + seed)
+    blocks = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    todo = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[todo], size[todo]
+    while len(todo):
+        block = blocks[at]
+        short = left < 8
+        block[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        h[todo] = mix((h[todo] ^ mix(block + seed)) * odd)
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG):
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, person=b"other" if other else b"one").digest(), "little")
+    return h
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each white-space separated word and the index of each row's first word."""
     starts, ends, first = runs(~SPACE[data], offsets)
-    return span_hash(prefix_hash(data, other), starts, ends), first
+    return span_hash(data, starts, ends, other), first
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a) * _ODD[0] + b)
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each `size` consecutive words, row boundaries left to the caller."""
+    """Hash of each `size` consecutive words, row boundaries left to the caller. Windows of two, four
+    ... words are hashed from halves, and those of `size` from the powers of two in it."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    power = _power(size + 1)[0]
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out += h[k : k + n] * power[k]
-    return mix(out)
+    out, done, wide, width = np.full(n, _SEED[0] + np.uint64(size)), 0, h, 1
+    while done < size:
+        if size & width:
+            out = _pair(out, wide[done : done + n])
+            done += width
+        if done < size:
+            wide = _pair(wide[:-width], wide[width:])
+        width *= 2
+    return out
 
 
 class Directory:
