@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, maxent, neardup, pieces, pii, quality, shards, substrings, urls
+from . import bpe, decontaminate, langid, maxent, merkle, neardup, pieces, pii, quality, shards, substrings, urls
 from .scratch import small_batches
 
 
@@ -55,6 +55,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(_documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(_documents(spark, sf_dir))
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_documents(spark, sf_dir))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_language_id": op9_language_id,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "op13_pieces": op13_pieces,
     }
 
