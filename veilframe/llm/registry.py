@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, maxent, merkle, neardup, pieces, pii, quality, shards, substrings, urls
+from . import bpe, decontaminate, langid, maxent, merkle, neardup, negatives, pieces, pii, quality, shards, substrings, urls
 from .scratch import small_batches
 
 
@@ -59,6 +59,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(_documents(spark, sf_dir))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_documents(spark, sf_dir))
 
@@ -76,9 +80,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_substring_dedup": op10_substring_dedup,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_pieces": op13_pieces,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.SQL}
+    return {"op4_decontaminate": decontaminate.SQL, "op12_hard_negatives": negatives.SQL}
