@@ -457,3 +457,85 @@ def test_op1_any_layout_and_ids(spark, docs):
         assert [x[k] for x in told[0]] == pytest.approx([x[k] for x in told[1]], rel=1e-9)
     same = [x for x in told[0] if x[0] == "100004"]
     assert len(same) == 3 and same[0][:4] == same[1][:4] != same[2][:4] and same[0][4:] == pytest.approx(same[1][4:])
+
+
+def _thue_morse(n):
+    """A word of a and b and its complement: a sum over their bytes modulo 2**64 can't tell them apart."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return word, word.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [256, 1024, 4096])
+def test_hashes_tell_regular_words_apart(spark, n):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    one, two = _thue_morse(n)
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    for other in (False, True):
+        h = vec.span_hash(data, np.array([0, n, 0]), np.array([n, 2 * n, n]), other)
+        assert h[0] != h[1] and h[0] == h[2]
+    frame = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = " ".join(f"w{k}" for k in range(12))
+    got = by_id(substrings.digest(frame(f"{words} {one} {words}", f"{words} {two} {words}")))
+    assert [got[k]["n_removed"] for k in (0, 1)] == [0, 0]
+    model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"{one} x {two}", f"{two} x {one}"]
+    assert [r["token_ids"] for r in bpe.encode(frame(*texts).coalesce(1)).orderBy("doc_id").collect()] == [model.encode(t).ids for t in texts]
+    held = next(k for k in range(50) if zlib.crc32(str(k).encode()) % 7 == 2)
+    trained = next(k for k in range(50) if zlib.crc32(str(k).encode()) % 7 != 2)
+    rows = spark.createDataFrame([(trained, f"{one} z"), (held, f"{two} z")], "doc_id long, text string")
+    assert by_id(maxent.digest(rows))[held]["n_known"] == 2  # z and the end
+    got = by_id(neardup.join(frame(f"v w x y z {one}", f"v w x y z {two}")))
+    assert [got[k]["n_links"] for k in (0, 1)] == [0, 0]
+
+
+def test_windows_of_words_are_told_apart():
+    h = vec.mix(np.arange(1, 3, dtype=np.uint64))
+    for size in (5, 16, 20):
+        seen = {vec.window_hashes(h[[k >> j & 1 for j in range(size)]], size)[0] for k in range(1 << min(size, 14))}
+        assert len(seen) == 1 << min(size, 14)
+    many = vec.mix(np.arange(40, dtype=np.uint64))
+    assert vec.window_hashes(many, 20)[7] == vec.window_hashes(many[7:27], 20)[0]
+
+
+def test_op2_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None if k % 3 else 5, "same" if k % 2 else str(k)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("x")).repartition(4)
+    got = shards.digest(df).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in got) == sorted((i or 0, len(t) + 1) for i, t in rows)
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 40
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    shards.write_shards(df, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in back.collect()) == sorted((i or 0, t) for i, t in rows)
+    bytes_ = {r["shard"]: r["b"] for r in back.groupBy("shard").agg(F.sum(F.octet_length("text") + 1).alias("b")).collect()}
+    assert sorted(bytes_) == list(range(8)) and max(bytes_.values()) - min(bytes_.values()) <= 40
+
+
+def test_op8_null_and_repeated_ids(spark):
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, "one two three four five"), (5, "one two three four five"), (5, near), (7, near + " more"), (None, near), (None, "alone"), (5, "nothing like it"), (9, None), (9, None)]
+    rows += [(3, "copy of a text here")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("id", "one", "two", "digest", "root")}).repartition(5)
+    got = collections.Counter(tuple(r) for r in neardup.join(df).collect())
+    assert got == {(5, 5, 1): 2, (5, 5, 2): 1, (7, 5, 2): 1, (None, 5, 2): 1, (None, None, 0): 1, (5, 5, 0): 1, (9, 9, 0): 2, (3, 3, 199): 200}
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())) == sorted([(5, "one two three four five"), (5, near), (0, "alone"), (5, "nothing like it"), (9, ""), (9, ""), (3, "copy of a text here")])
+
+
+@pytest.mark.parametrize("texts", [["ab", "ab", "ab"], ["a"], ["ab", None, "x"]])
+def test_op9_tiny_tables(spark, texts):
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts * 2)], "doc_id long, text string, lang string")
+    got = langid.digest(df).collect()
+    assert len(got) == len(texts) * 2 and all(r["lang_pred"] in ("en", "und") for r in got)
+    assert langid.keep_known(df).columns == df.columns
+
+
+def test_op3_a_column_of_that_name_is_replaced(spark):
+    df = spark.createDataFrame([(1, "x", "a b"), (1, "y", "a b")], "doc_id long, token_ids string, text string")
+    got = bpe.encode(df).collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "token_ids"} and got[0]["token_ids"] == got[1]["token_ids"] and len(got[0]["token_ids"]) == 2

@@ -367,6 +367,8 @@ def _noise_entropy(docs: DataFrame, model: Model) -> float:
     """The least cross-entropy of random letters of the model's alphabet."""
     alphabet = model.keys[0] if not model.tables else np.sort(model.tables.logp[0].select("gram").toArrow().column("gram").to_numpy())
     alphabet = alphabet[alphabet != _BLANK].astype(np.uint32)
+    if not len(alphabet):  # all training texts are too short for an n-gram
+        return 0.0
     noise = np.random.default_rng(5).choice(alphabet, 4000).astype("<u4").tobytes().decode("utf-32-le", "replace")
     if model.tables:
         return min(measured(docs.sparkSession.createDataFrame([(noise,)], "noise string"), model, [], "noise").first()["x"])

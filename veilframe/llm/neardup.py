@@ -12,8 +12,8 @@ target recall at the threshold. The steps:
    of links of each text and edges that span what it linked, never all pairs.
 4. Components of the spanning edges are the classes.
 
-Texts without words (null, empty, blank) link to nothing. Rows are told apart by their id, which
-must be unique and a whole number.
+Texts without words (null, empty, blank) link to nothing. A set of n-grams is known by its digest,
+so ids may be null or repeat, with equal texts or different ones; they are whole numbers.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
@@ -74,24 +74,36 @@ def _minhash(grams: np.ndarray, first: np.ndarray, hashes: int) -> np.ndarray:
     return out
 
 
+_KEY = ["id", "one", "two"]  # the id and two hashes of the text
+
+
+def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("one"), F.xxhash64(F.lit(1), text).alias("two"), F.col(text).alias("text"))
+
+
+def _same_key(a: DataFrame, b: DataFrame) -> Column:
+    return a["id"].eqNullSafe(b["id"]) & (a["one"] == b["one"]) & (a["two"] == b["two"])
+
+
 def signatures(docs: DataFrame, id: str, text: str, bands: int, rows: int) -> DataFrame:
-    """(id, digest, size, bands): digest of the n-gram set, null where there is no word, and bytes
-    of the text."""
-    names = ["id", "digest", "size", "bands"]
+    """(id, one, two, digest, size, bands): hashes of the text, digest of the n-gram set, null where
+    there is no word, and bytes of the text."""
+    names = [*_KEY, "digest", "size", "bands"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult = np.random.default_rng(13).integers(0, 1 << 63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            for part in vec.slices(batch.column(1)):
+            for part in vec.slices(batch.column(3)):
                 grams, first = ngram_hashes(part)
                 least = _minhash(grams, first, bands * rows).astype(np.uint64).reshape(part.rows, bands, rows)
                 keys = vec.mix((least * mult).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64)
                 digests = [np.unique(grams[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 digests = [_digest(d) if d else None for d in digests]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.rows * bands + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.rows), pa.array(digests, pa.binary()), pa.array(np.diff(part.offsets), pa.int64()), lists], names=names)
+                own = [c.slice(part.lo, part.rows) for c in batch.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(digests, pa.binary()), pa.array(np.diff(part.offsets), pa.int64()), lists], names=names)
 
-    return docs.select(F.col(id).cast("long"), text).mapInArrow(work, "id long, digest binary, size long, bands array<long>")
+    return _keyed(docs, id, text).mapInArrow(work, "id long, one long, two long, digest binary, size long, bands array<long>")
 
 
 def _digest(data: bytes) -> bytes:
@@ -101,13 +113,14 @@ def _digest(data: bytes) -> bytes:
 
 
 def _clusters(signed: DataFrame) -> DataFrame:
-    """(node, root, times, size) of the texts that share a band with another; `times` counts copies."""
-    texts = signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "size", "bands")).alias("r"), F.count("*").alias("times"))
-    texts = stored(texts.select("r.id", "r.size", "r.bands", "times"), "texts")
-    keys = texts.select("id", F.explode("bands").alias("band"))
-    stars = keys.groupBy("band").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1")
-    edges = keys.join(stars, "band").where("id > center").select(F.col("id").alias("a"), F.col("center").alias("b"))
-    return components(edges).join(texts, F.col("node") == F.col("id")).select("node", "root", "times", "size")
+    """(node, root, id, one, two, times, size) of the sets that share a band with another: node is the
+    digest, `times` counts copies."""
+    texts = signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct(*_KEY, "size", "bands")).alias("r"), F.count("*").alias("times"))
+    texts = stored(texts.select("digest", "r.*", "times"), "texts")
+    keys = texts.select("digest", F.explode("bands").alias("band"))
+    stars = keys.groupBy("band").agg(F.min("digest").alias("center"), F.count("*").alias("n")).where("n > 1")
+    edges = keys.join(stars, "band").where("digest > center").select(F.col("digest").alias("a"), F.col("center").alias("b"))
+    return components(edges).join(texts, F.col("node") == F.col("digest")).select("node", "root", *_KEY, "times", "size")
 
 
 def _compare(threshold: float):
@@ -142,8 +155,8 @@ def _compare(threshold: float):
         linked = np.flatnonzero(links)
         return pd.DataFrame(
             {
-                "a": np.concatenate([node[linked], [e[0] for e in edges]]).astype(np.int64),
-                "b": np.concatenate([node[linked], [e[1] for e in edges]]).astype(np.int64),
+                "a": [*node[linked], *(e[0] for e in edges)],
+                "b": [*node[linked], *(e[1] for e in edges)],
                 "links": np.concatenate([links[linked], np.zeros(len(edges))]).astype(np.int64),
             }
         )
@@ -151,9 +164,8 @@ def _compare(threshold: float):
     return work
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(id, class_id, n_links) of each row: class_id is the least id that links lead to, n_links
-    counts the rows whose n-gram sets have at least the threshold's Jaccard similarity."""
+def _told(docs: DataFrame, id: str, text: str, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and (digest, class_id, n_links) of the sets that have links."""
     bands, rows = plan(threshold, recall)
     signed = stored(signatures(docs, id, text, bands, rows), "signatures")
     clusters = stored(_clusters(signed), "clusters")
@@ -162,23 +174,53 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: flo
     large = sizes.select("root", blocks.alias("blocks")).where("blocks > 1")  # few: the others are one block
     members = clusters.join(broadcast_small(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    narrow = members.select("node", "root", "times", "block", "blocks")
-    texts = docs.select(F.col(id).cast("long").alias("node"), F.col(text).alias("text")).join(broadcast_small(narrow), "node")
+    narrow = broadcast_small(members.select("node", "root", "times", "block", "blocks", *_KEY))
+    rows_ = _keyed(docs, id, text)
+    texts = rows_.join(narrow, _same_key(rows_, narrow)).select("node", "root", "times", "block", "blocks", "text")
+    if _repeated(signed).limit(1).count():  # several rows have a set's key, hence its text
+        texts = texts.groupBy("node", "root", "times", "block", "blocks").agg(F.first("text").alias("text"))
     # each pair of blocks is a task: block i goes to (i, j) and (j, i)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = texts.select("*", other.alias("other")).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
     compared = pairs.select("root", "left", "right", "block", "node", "times", "text").groupBy("root", "left", "right")
-    found = stored(compared.applyInPandas(_compare(threshold), "a long, b long, links long"), "links")
-    links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    classes = components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("rep"), "root")
+    found = stored(compared.applyInPandas(_compare(threshold), "a binary, b binary, links long"), "links")
+    links = found.where("a = b").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
+    classes = components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("digest"), "root")
     reps = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
-    told = reps.join(links, "rep", "left").join(classes, "rep", "left").select("digest", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
-    told = told.where("n_links > 0")
-    out = signed.select("id", "digest").join(told, "digest", "left")
+    told = reps.join(links, "digest", "left").join(classes, "digest", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("times") - 1)
+    told = stored(told.where("n_links > 0").select("digest", F.coalesce("root", "digest").alias("root"), "rep", "n_links"), "told")
+    least = told.groupBy("root").agg(F.min("rep").alias("class_id"))
+    return signed, told.join(least, "root").select("digest", "root", "class_id", "n_links")
+
+
+def _repeated(signed: DataFrame) -> DataFrame:
+    """The keys of several rows with words, whose ids and texts are the same."""
+    return signed.where("digest is not null").groupBy(*_KEY).count().where("count > 1").drop("count")
+
+
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(id, class_id, n_links) of each row: class_id is the least id that links lead to, n_links
+    counts the rows whose n-gram sets have at least the threshold's Jaccard similarity."""
+    signed, told = _told(docs, id, text, threshold, recall)
+    out = signed.select("id", "digest").join(told.drop("root"), "digest", "left")
     return out.select(F.col("id").alias(id), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stand for their class: those with its least id."""
-    others = stored(join(docs, id, text).where(F.col("class_id") != F.col(id)).select(id), "others")
-    return docs.join(broadcast_small(others), id, "left_anti")
+    """One row of each class, with its least id; of several such rows, one of the least text hash."""
+    signed, told = _told(docs, id, text, THRESHOLD, RECALL)
+    rows = signed.select(*_KEY, "digest").join(told, "digest")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), *_KEY)).alias("first")).select("root", *(F.col(f"first.{k}").alias(f"first_{k}") for k in _KEY))
+    marked = rows.join(first, "root")
+    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("one") == F.col("first_one")) & (F.col("two") == F.col("first_two"))
+    others = stored(marked.where(~stays).select(*_KEY).distinct(), "others")
+    keyed = docs.withColumns({f"_{k}": c for k, c in zip(_KEY, (F.col(id).cast("long"), F.xxhash64(text), F.xxhash64(F.lit(1), text)), strict=True)})
+    same = lambda t: keyed["_id"].eqNullSafe(t["id"]) & (keyed["_one"] == t["one"]) & (keyed["_two"] == t["two"])
+    few = broadcast_small(others)
+    kept = keyed.join(few, same(few), "left_anti")
+    twice = stored(_repeated(signed), "repeated")
+    if twice.limit(1).count():
+        again = broadcast_small(twice)
+        once = kept.join(again, same(again), "left_semi").dropDuplicates([f"_{k}" for k in _KEY])
+        kept = kept.join(again, same(again), "left_anti").unionByName(once)
+    return kept.select(docs.columns)

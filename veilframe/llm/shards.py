@@ -1,12 +1,13 @@
 """Sharding by histogram sort: exact byte counts steer the splitters, then rows move once.
 
-Law `bytes`: rows are ordered by (hash of the text, id), the order is cut into ranges of nearly
+Law `bytes`: rows are ordered by (hash of the text, place), the order is cut into ranges of nearly
 equal bytes, and some adjoining ranges make a shard. No row is sampled. Each round asks for the
 exact bytes in the bins of the current probes and refines only the bins that hold a splitter,
 until the splitter is within the tolerance. A splitter goes between two texts where that keeps
-the tolerance, so equal texts stay in one shard; a larger group of equal texts is split by id.
+the tolerance, so equal texts stay in one shard; a larger group of equal texts is split by place, a
+number that each row gets once. So ids may be null or repeat.
 
-What the rounds read is (id, hash, size), written once to the shared folder; the driver sees the
+What the rounds read is (place, hash, size), written once to the shared folder; the driver sees the
 sums of a fixed number of bins. An empty table has no rows out. A null text has one byte and the
 hash of the empty text.
 """
@@ -92,7 +93,7 @@ def _narrow(rows: DataFrame, key: str, splitters: list[Splitter], slack: float,
 
 
 def splitters(rows: DataFrame, parts: int, total: int, slack: float) -> list[tuple[int, int]]:
-    """parts - 1 splitters (hash, id): a row stands before one if its (hash, id) is less."""
+    """parts - 1 splitters (hash, place): a row stands before one if its (hash, place) is less."""
     cuts = [Splitter(total * k / parts) for k in range(1, parts)]
     _narrow(rows, "hash", cuts, slack)
     ends: dict[int, tuple[int, int]] = {}
@@ -109,13 +110,13 @@ def splitters(rows: DataFrame, parts: int, total: int, slack: float) -> list[tup
                 ends[k] = (s.low + 1, _LEAST)
             else:
                 inner = Splitter(s.target, s.below)
-                _narrow(group, "id", [inner], 0, s.below)
+                _narrow(group, "place", [inner], 0, s.below)
                 rest.append((k, inner, s.low))
     if rest:
         within = F.lit(False)
         for _, s, h in rest:
-            within |= F.col("hash").between(s.low, s.high) if h is None else (F.col("hash") == h) & F.col("id").between(s.low, s.high)
-        near = sorted((r["hash"], r["id"], r["size"]) for r in rows.where(within).select("hash", "id", "size").collect())  # FEW rows for each splitter
+            within |= F.col("hash").between(s.low, s.high) if h is None else (F.col("hash") == h) & F.col("place").between(s.low, s.high)
+        near = sorted((r["hash"], r["place"], r["size"]) for r in rows.where(within).select("hash", "place", "size").collect())  # FEW rows for each splitter
         for k, s, h in rest:
             mine = [r for r in near if (s.low <= r[0] <= s.high if h is None else r[0] == h and s.low <= r[1] <= s.high)]
             edges, below = [], s.below
@@ -133,25 +134,27 @@ def splitters(rows: DataFrame, parts: int, total: int, slack: float) -> list[tup
 
 def _ranged(rows: DataFrame, ends: list[tuple[int, int]]) -> DataFrame:
     """Adds `range`, the number of splitters at or before the row."""
-    hashes, ids = np.array([h for h, _ in ends], np.int64), [i for _, i in ends]
+    hashes, places = np.array([h for h, _ in ends], np.int64), np.array([i for _, i in ends], np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, i = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            at = np.searchsorted(hashes, h, "left")
-            for k, end in enumerate(ids):
-                at += (h == hashes[k]) & (i >= end)
+            h, place = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            at, upto = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            same = np.flatnonzero(at < upto)  # rows of a text that has splitters
+            for low in np.unique(at[same]).tolist():
+                rows = same[at[same] == low]
+                at[rows] = low + np.searchsorted(places[low : upto[rows[0]]], place[rows], "right")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=[*batch.schema.names, "range"])
 
-    return rows.select("id", "hash", "size", "text_crc32").mapInArrow(work, "id long, hash long, size long, text_crc32 long, range int")
+    return rows.select("place", "hash", "size", "text_crc32", "id").mapInArrow(work, f"place long, hash long, size long, text_crc32 long, id {rows.schema['id'].dataType.simpleString()}, range int")
 
 
 def assign(docs: DataFrame, shards: int = 8, id: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
-    """(id, size, text_crc32, shard, slot) of each row; ids are whole numbers. Slots count from 0
-    in each shard, in (hash, id) order."""
+    """(id, size, text_crc32, shard, slot) of each row. Slots count from 0 in each shard, in
+    (hash, place) order."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = stored(
-        docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(body).alias("hash"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32")),
+        docs.select(F.monotonically_increasing_id().alias("place"), F.col(id).alias("id"), F.xxhash64(body).alias("hash"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32")),
         "shard-keys",
     )
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -163,7 +166,7 @@ def assign(docs: DataFrame, shards: int = 8, id: str = "doc_id", text: str = "te
         shard, upto = r[0] // each, upto if r[0] // each == shard else 0
         begin[r[0]] = upto
         upto += r[1]
-    place = F.row_number().over(W.partitionBy("range").orderBy("hash", "id")) - 1 + F.get(F.lit(begin), F.col("range"))
+    place = F.row_number().over(W.partitionBy("range").orderBy("hash", "place")) - 1 + F.get(F.lit(begin), F.col("range"))
     return ranged.select(F.col("id").alias(id), "size", "text_crc32", F.floor(F.col("range") / each).cast("int").alias("shard"), place.cast("long").alias("slot"))
 
 
@@ -171,7 +174,9 @@ def digest(docs: DataFrame) -> DataFrame:
     return assign(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, id: str = "doc_id", text: str = "text") -> None:
-    """Writes whole rows in folders shard=0, 1, ..., each sorted by slot."""
-    placed = docs.join(assign(docs, shards, id, text).select(id, "shard", "slot"), id)
+def write_shards(docs: DataFrame, path: str, shards: int = 8, text: str = "text") -> None:
+    """Writes whole rows in folders shard=0, 1, ..., each sorted by slot; columns `shard` and `slot` are
+    replaced. Rows are numbered once, so none is lost or doubled whatever its id."""
+    rows = stored(docs.drop("shard", "slot").withColumn("_place", F.monotonically_increasing_id()), "rows")
+    placed = rows.join(assign(rows, shards, "_place", text).select("_place", "shard", "slot"), "_place").drop("_place")
     placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
