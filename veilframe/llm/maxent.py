@@ -47,6 +47,8 @@ CONTEXTS = 64  # frequent words that stand before, for the clustering
 ROWS = 1 << 14  # of the weight table
 ROUNDS = 2
 CELL_BYTES = 16 << 20  # of training texts in a cell
+FAN = 64  # cells, or sums of cells, that are added in one task
+LEVELS = 3  # such additions one after another: cells of 4 TB meet by FAN, more in the last
 BATCH = 4096
 RATE = 0.15
 SCALING = 12  # rounds of iterative scaling
@@ -273,19 +275,36 @@ def _round(docs: DataFrame, model: Model) -> np.ndarray:
         if cell is not None:
             yield from update(cell, weights, used)
 
-    def mean(frame: pd.DataFrame) -> pd.DataFrame:
-        total, weight = np.zeros((ROWS // blocks, ALL)), np.zeros(ROWS // blocks)
-        block, frame = int(frame["block"].iloc[0]), frame.sort_values("cell")  # sums in one order
+    def total(frame: pd.DataFrame, sparse: bool) -> pd.DataFrame:
+        """Sums of the steps, each times its uses, and of the uses, over some cells of a block."""
+        sums, uses = np.zeros((ROWS // blocks, ALL)), np.zeros(ROWS // blocks, np.int64)
+        first, frame = frame[["block", "cell"]].iloc[0], frame.sort_values("cell")  # sums in one order
         for rows, used, step in zip(frame["rows"], frame["used"], frame["step"], strict=True):
-            at, n = np.frombuffer(rows, np.int32) // blocks, np.frombuffer(used, np.int32).astype(np.int64)
-            total[at] += np.frombuffer(step, np.float16).reshape(-1, ALL).astype(np.float64) * n[:, None]
-            weight[at] += n
-        return pd.DataFrame({"block": [block], "step": [(total / np.maximum(weight, 1)[:, None]).astype(np.float32).tobytes()]})
-
-    steps = docs.mapInArrow(work, "block int, cell int, rows binary, used binary, step binary")
+            if sparse:
+                at, n = np.frombuffer(rows, np.int32) // blocks, np.frombuffer(used, np.int32).astype(np.int64)
+                sums[at] += np.frombuffer(step, np.float16).reshape(-1, ALL).astype(np.float64) * n[:, None]
+                uses[at] += n
+            else:
+                sums += np.frombuffer(step, np.float64).reshape(-1, ALL)
+                uses += np.frombuffer(used, np.int64)
+        return pd.DataFrame({"block": [first["block"]], "cell": [first["cell"] // FAN], "rows": [b""], "used": [uses.tobytes()], "step": [sums.tobytes()]})
+
+    def add_cells(frame: pd.DataFrame) -> pd.DataFrame:
+        return total(frame, True)
+
+    def add_sums(frame: pd.DataFrame) -> pd.DataFrame:
+        return total(frame, False)
+
+    schema = "block int, cell int, rows binary, used binary, step binary"
+    steps = docs.mapInArrow(work, schema)
+    # at most FAN cells meet in a task, then FAN of their sums, and so on
+    for level in range(LEVELS):
+        whole = [] if level == LEVELS - 1 else [F.floor(F.col("cell") / FAN)]
+        steps = steps.groupBy("block", *whole).applyInPandas(add_cells if level == 0 else add_sums, schema)
     out = model.weights.copy()
-    for r in steps.groupBy("block").applyInPandas(mean, "block int, step binary").collect():
-        out[r["block"] :: blocks] += np.frombuffer(r["step"], np.float32).reshape(-1, ALL)
+    for r in steps.collect():  # `blocks` rows
+        uses = np.frombuffer(r["used"], np.int64)
+        out[r["block"] :: blocks] += (np.frombuffer(r["step"], np.float64).reshape(-1, ALL) / np.maximum(uses, 1)[:, None]).astype(np.float32)
     return out
 
 
