@@ -265,8 +265,8 @@ EMPLOYED = 160_000_000
 RECOGNIZERS = {
     "EMAIL_ADDRESS": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 1.0, "@", False),
     "PHONE_NUMBER": (r"\+[0-9] \([0-9]{3}\) [0-9]{3}-[0-9]{4}", 0.75, "+", False),
-    "IP_ADDRESS": (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0.6, ".", False),
+    "IP_ADDRESS": (r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b", 0.6, ".", False),
     "CREDIT_CARD": (r"[0-9]{16}", 0.95, "", True),
-    "US_SSN": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.85, "-", False),
+    "US_SSN": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.85, "-", False),
     "URL": (r"https?://[^\s\"'<>]+", 0.5, "://", False),
 }

@@ -12,18 +12,25 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<entity_type:string,start:int,end:int,text:string,confidence:double>>"
 
 
-def matches(text: Column, pattern: str, kind: str, confidence: float) -> Column:
-    """Spans of all matches of a pattern that never matches nothing: what lies between matches
-    gives their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    upto = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
+_MATCH, _END = "\ufdd2", "\ufdd3"  # code points that no text may hold
 
-    def span(m: Column, i: Column) -> Column:
-        start = upto(between, i + 1) + upto(found, i)
-        return F.struct(F.lit(kind).alias("entity_type"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("text"), F.lit(confidence).alias("confidence"))
 
-    return F.transform(found, span)
+def matches(text: Column, pattern: str, kind: str, confidence: float) -> Column:
+    """Spans of all matches of a pattern that never matches nothing. The pattern runs over the text
+    once: marks go round each match, and the lengths of the pieces between marks give the places."""
+    clean = F.translate(text, _MATCH + _END, "\ufffd\ufffd")
+    pieces = F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(f"{_MATCH}$0{_END}")), _MATCH)
+    parts = F.transform(pieces, lambda p: F.split(p, _END))  # the first has no match, the others one and what follows
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+
+    def step(a: Column, p: Column) -> Column:
+        match, rest = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+        end = a["at"] + F.length(match)
+        one = F.struct(F.lit(kind).alias("entity_type"), a["at"].alias("start"), end.alias("end"), match.alias("text"), F.lit(confidence).alias("confidence"))
+        found = F.when(F.size(p) > 1, F.concat(a["found"], F.array(one))).otherwise(a["found"])
+        return F.struct((end + F.coalesce(F.length(rest), F.lit(0))).alias("at"), found.alias("found"))
+
+    return F.aggregate(parts, start, step, lambda a: a["found"])
 
 
 def recognize(text: Column, recognizers: dict[str, tuple[str, float, str, bool]], threshold: float = 0.3) -> Column:

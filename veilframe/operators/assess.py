@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import K_DEFAULT, K_GRID, RECOGNIZERS, SENSITIVE_AT
+from ..functions.constants import K_DEFAULT, K_GRID, SENSITIVE_AT
+from ..functions.recognizers import STRUCTURED
 from ..sources.shared import stored
 from . import anonymity, contextual, explicit, features, quasi, sweep
 
@@ -31,7 +32,7 @@ def assess(
     reply: Callable[[Column], Column],
     id: str = "sample_hash",
     text: str = "text",
-    recognizers: dict = RECOGNIZERS,
+    recognizers=STRUCTURED,
     extract: Callable[[DataFrame, str], DataFrame] | None = None,
     today: Column | None = None,
     k: int = K_DEFAULT,
@@ -47,7 +48,7 @@ def assess(
     the array `qis` (patterns, if not given). The rows before the contextual score are written to the
     shared folder, as they are read for the distinct texts and for the result."""
     find = extract or (lambda df, of: quasi.extract(df, of))
-    rows = explicit.score_explicit(samples, text) if recognizers is RECOGNIZERS else explicit.mask(explicit.summary(explicit.entities(samples, text, recognizers)), text)
+    rows = explicit.score_explicit(samples, text, recognizers=recognizers)
     rows = anonymity.score(anonymity.with_frequencies(find(rows, "e_masked"), population, id, today=today), "e_masked", k=k)
     rows = rows.withColumns({"q_score": F.round("q_score", 4), "expected_k": F.round("expected_k", 4)})  # as reported
     swept = F.transform(F.array(*map(F.lit, grid)), lambda at: F.struct(at.alias("k"), sweep.mask_for_k(F.col("e_masked"), F.col("qis"), at).alias("m")))

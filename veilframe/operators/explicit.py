@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import text as X
-from ..functions.constants import DEFAULT_WEIGHT, ENTITY_WEIGHTS, RECOGNIZERS
+from ..functions.constants import DEFAULT_WEIGHT, ENTITY_WEIGHTS
+from ..functions.recognizers import STRUCTURED, recognize
 
 
 def weight(kind: Column, weights: dict[str, float] = ENTITY_WEIGHTS) -> Column:
@@ -15,9 +16,11 @@ def weight(kind: Column, weights: dict[str, float] = ENTITY_WEIGHTS) -> Column:
     return F.coalesce(F.try_element_at(table, kind), F.lit(DEFAULT_WEIGHT))
 
 
-def entities(df: DataFrame, text: str = "text", recognizers: dict = RECOGNIZERS, threshold: float = 0.3, out: str = "entities") -> DataFrame:
-    """Adds the array of entities: (entity_type, start, end, text, confidence, weight, weighted_score)."""
-    found = S.recognize(F.coalesce(F.col(text), F.lit("")), recognizers, threshold)
+def entities(df: DataFrame, text: str = "text", recognizers=STRUCTURED, threshold: float = 0.3, out: str = "entities") -> DataFrame:
+    """Adds the array of entities: (entity_type, start, end, text, confidence, weight, weighted_score).
+    `recognizers` is a tuple of Recognizer, or plain patterns as `spans.recognize` takes them."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    found = S.recognize(body, recognizers, threshold) if isinstance(recognizers, dict) else recognize(body, tuple(recognizers), threshold)
 
     def weighed(s: Column) -> Column:
         w = weight(s["entity_type"])
@@ -52,9 +55,9 @@ def mask(df: DataFrame, text: str = "text", found: str = "entities", out: str =
     return df.withColumn("_plain", plain).withColumn(out, S.masked(F.col(text), F.col("_plain"), mode)).drop("_plain")
 
 
-def score_explicit(df: DataFrame, text: str = "text", threshold: float = 0.3, mode: str = "exact") -> DataFrame:
+def score_explicit(df: DataFrame, text: str = "text", threshold: float = 0.3, mode: str = "exact", recognizers=STRUCTURED) -> DataFrame:
     """Entities, scores and masked text of each row, in one narrow pass."""
-    return mask(summary(entities(df, text, threshold=threshold)), text, mode=mode)
+    return mask(summary(entities(df, text, recognizers, threshold)), text, mode=mode)
 
 
 def exploded(df: DataFrame, id: str, text: str = "text", found: str = "entities", width: int = 50) -> DataFrame:

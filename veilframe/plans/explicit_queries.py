@@ -96,7 +96,7 @@ def e_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e_score_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything of the public function on raw pages, in merged mode."""
-    pages = explicit.score_explicit(read(spark, sf_dir, "pages"), "html", mode="merged")
+    pages = explicit.score_explicit(read(spark, sf_dir, "pages"), "html", mode="merged", recognizers=RECOGNIZERS)
     return pages.select("page_id", "e_count", F.round("e_score", 6).alias("e_score"), F.array_join("e_types", "|").alias("types"), (F.length("e_masked") - F.length("html")).cast("long").alias("grown"))
 
 
