@@ -12,8 +12,8 @@ target recall at the threshold. The steps:
    of links of each text and edges that span what it linked, never all pairs.
 4. Components of the spanning edges are the classes.
 
-Texts without words (null, empty, blank) link to nothing. A set of n-grams is known by its digest,
-so ids may be null or repeat, with equal texts or different ones; they are whole numbers.
+Texts without words (null, empty, blank) link to nothing. A set of n-grams has a number of its own, so
+ids may be null or repeat, with equal texts or different ones; they are whole numbers.
 """
 
 from __future__ import annotations
@@ -112,15 +112,19 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _clusters(signed: DataFrame) -> DataFrame:
-    """(node, root, id, one, two, times, size) of the sets that share a band with another: node is the
-    digest, `times` counts copies."""
-    texts = signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct(*_KEY, "size", "bands")).alias("r"), F.count("*").alias("times"))
-    texts = stored(texts.select("digest", "r.*", "times"), "texts")
-    keys = texts.select("digest", F.explode("bands").alias("band"))
-    stars = keys.groupBy("band").agg(F.min("digest").alias("center"), F.count("*").alias("n")).where("n > 1")
-    edges = keys.join(stars, "band").where("digest > center").select(F.col("digest").alias("a"), F.col("center").alias("b"))
-    return components(edges).join(texts, F.col("node") == F.col("digest")).select("node", "root", *_KEY, "times", "size")
+def _sets(signed: DataFrame) -> DataFrame:
+    """(node, digest, rep, id, one, two, size, bands, times) of the distinct sets: a number of its own,
+    the least id, the key of one of its rows; `times` counts copies."""
+    found = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min(F.struct(*_KEY, "size", "bands")).alias("r"), F.count("*").alias("times"))
+    return stored(found.select(F.monotonically_increasing_id().alias("node"), "digest", "rep", "r.*", "times"), "sets")
+
+
+def _clusters(sets: DataFrame) -> DataFrame:
+    """(node, root, id, one, two, times, size) of the sets that share a band with another."""
+    keys = sets.select("node", F.explode("bands").alias("band"))
+    stars = keys.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
+    edges = keys.join(stars, "band").where("node > center").select(F.col("node").alias("a"), F.col("center").alias("b"))
+    return components(edges).join(sets.select("node", *_KEY, "times", "size"), "node")
 
 
 def _compare(threshold: float):
@@ -155,8 +159,8 @@ def _compare(threshold: float):
         linked = np.flatnonzero(links)
         return pd.DataFrame(
             {
-                "a": [*node[linked], *(e[0] for e in edges)],
-                "b": [*node[linked], *(e[1] for e in edges)],
+                "a": np.concatenate([node[linked], [e[0] for e in edges]]).astype(np.int64),
+                "b": np.concatenate([node[linked], [e[1] for e in edges]]).astype(np.int64),
                 "links": np.concatenate([links[linked], np.zeros(len(edges))]).astype(np.int64),
             }
         )
@@ -168,7 +172,8 @@ def _told(docs: DataFrame, id: str, text: str, threshold: float, recall: float)
     """The signatures, and (digest, class_id, n_links) of the sets that have links."""
     bands, rows = plan(threshold, recall)
     signed = stored(signatures(docs, id, text, bands, rows), "signatures")
-    clusters = stored(_clusters(signed), "clusters")
+    sets = _sets(signed)
+    clusters = stored(_clusters(sets), "clusters")
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     large = sizes.select("root", blocks.alias("blocks")).where("blocks > 1")  # few: the others are one block
@@ -183,12 +188,11 @@ def _told(docs: DataFrame, id: str, text: str, threshold: float, recall: float)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = texts.select("*", other.alias("other")).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
     compared = pairs.select("root", "left", "right", "block", "node", "times", "text").groupBy("root", "left", "right")
-    found = stored(compared.applyInPandas(_compare(threshold), "a binary, b binary, links long"), "links")
-    links = found.where("a = b").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
-    classes = components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("digest"), "root")
-    reps = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
-    told = reps.join(links, "digest", "left").join(classes, "digest", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("times") - 1)
-    told = stored(told.where("n_links > 0").select("digest", F.coalesce("root", "digest").alias("root"), "rep", "n_links"), "told")
+    found = stored(compared.applyInPandas(_compare(threshold), "a long, b long, links long"), "links")
+    links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    classes = components(found.where("a <> b").select("a", "b"))
+    told = sets.select("node", "digest", "rep", "times").join(links, "node", "left").join(classes, "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("times") - 1)
+    told = stored(told.where("n_links > 0").select("digest", F.coalesce("root", "node").alias("root"), "rep", "n_links"), "told")
     least = told.groupBy("root").agg(F.min("rep").alias("class_id"))
     return signed, told.join(least, "root").select("digest", "root", "class_id", "n_links")
 
