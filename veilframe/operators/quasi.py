@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import AGE_PATTERNS, AGE_RULES, DOB_PATTERNS, GENDERS, OCCUPATION_CONTEXT, OCCUPATIONS, QI_TYPES, STATE_ROWS, STOP_WORDS, ZIP_CONTEXT, ZIP_STATE
+from . import gazetteer
 
 QI = "struct<qi_type:string,raw_value:string,normalized_value:string,confidence:double,start_pos:int,end_pos:int,method:string>"
 NONE = "array<" + QI + ">"
@@ -201,26 +202,45 @@ def terms(text: Column, kind: str, words: list[str], confidence: float = 0.9, me
     return _found(text, "(?i)\\b(" + "|".join(words) + ")\\b", kind, confidence, method, F.lower)
 
 
-def recognized(text: Column, places: list[str] | None = None, peoples: list[str] | None = None) -> Column:
+def of_dictionary(found: Column, kinds: tuple[str, ...], method: str = "ner") -> Column:
+    """QIs of a gazetteer's spans of these types, the first and longest of those that overlap."""
+    mine = gazetteer.longest(F.filter(found, lambda s: s["kind"].isin(*kinds)))
+    return F.transform(mine, lambda s: _qi(s["kind"], s["text"], s["value"], s["confidence"], s["start"], s["end"], method))
+
+
+def recognized(text: Column, places: list[str] | None = None, peoples: list[str] | None = None, found: Column | None = None) -> Column:
     """What a general named-entity recognizer would give, in the order of the text: states, other
-    places, peoples, genders, ages."""
+    places, peoples, genders, ages. `found` has a gazetteer's places and peoples."""
     parts = [states(text), genders(text), told_ages(text)]
     if places:
         parts.append(terms(text, "location", places, 0.7))
     if peoples:
         parts.append(terms(text, "ethnicity", peoples, 0.7))
+    if found is not None:
+        parts += [of_dictionary(found, ("location",)), of_dictionary(found, ("ethnicity",))]
     keyed = F.transform(F.concat(*parts), lambda q: F.struct(q["start_pos"].alias("a"), q["end_pos"].alias("b"), q["qi_type"].alias("c"), q.alias("q")))
     return F.transform(F.array_sort(keyed), lambda k: k["q"])
 
 
-def extract(df: DataFrame, text: str = "text", diseases: list[str] | None = None, peoples: list[str] | None = None, places: list[str] | None = None, out: str = "qis", recognizer=None) -> DataFrame:
+def extract(
+    df: DataFrame, text: str = "text", diseases: list[str] | None = None, peoples: list[str] | None = None, places: list[str] | None = None, out: str = "qis", recognizer=None, dictionary: DataFrame | None = None
+) -> DataFrame:
     """All extractors in order, deduplicated with what a recognizer found first. `recognizer` is a
-    function of the text column that stands in for `recognized`, such as a pandas UDF."""
+    function of the text column that stands in for `recognized`, such as a pandas UDF. `dictionary` is a
+    gazetteer's table (term, kind, value, confidence) with QI types as kinds; its occupations stand in
+    for the named ones."""
     t = F.coalesce(F.col(text), F.lit(""))
-    general = recognizer(t) if recognizer else recognized(t, places, peoples)
+    found = None
+    if dictionary is not None:
+        df = df.withColumn("_found", gazetteer.spans(t, dictionary))
+        found = F.col("_found")
+    general = recognizer(t) if recognizer else recognized(t, places, peoples, found)
     sick = [terms(t, "disease", diseases, method="dictionary")] if diseases else []
-    parts = [general, *sick, named_occupations(t), told_occupations(t), ages(t), births(t), zips(t)]
-    return df.withColumn("_all", F.concat(*parts)).withColumn(out, dedup(F.col("_all"), "ner")).drop("_all")
+    if found is not None:
+        sick.append(of_dictionary(found, ("disease",), "dictionary"))
+    named = named_occupations(t) if found is None else of_dictionary(found, ("occupation",), "phrase")
+    parts = [general, *sick, named, told_occupations(t), ages(t), births(t), zips(t)]
+    return df.withColumn("_all", F.concat(*parts)).withColumn(out, dedup(F.col("_all"), "ner")).drop("_all", "_found")
 
 
 def from_replies(df: DataFrame, replies: DataFrame, text: str = "text", out: str = "qis") -> DataFrame:
