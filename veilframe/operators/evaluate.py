@@ -1,8 +1,8 @@
 """Evaluation of scores against labels: correlations, thresholds, curves, bins.
 
 All of it is aggregation: one pass with many aggregates, or a pass over distinct scores. Where
-thresholds meet data, the data is first counted by distinct score, and the thresholds are a
-table of fixed size.
+thresholds meet data, the data is first counted between thresholds. Rows whose score is null or NaN
+don't count there.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources import literal
+from . import ordered
 
 
 def _d(c: str) -> Column:
@@ -59,7 +60,14 @@ def corr_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def _counts(df: DataFrame, score: str, label: str) -> DataFrame:
     """(s, p, n): positives and negatives of each distinct score."""
-    return df.groupBy(_d(score).alias("s")).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("n"))
+    known = df.where(F.col(score).isNotNull() & ~F.isnan(_d(score)))
+    return known.groupBy(_d(score).alias("s")).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("n"))
+
+
+def _between(counts: DataFrame, ts: Column) -> DataFrame:
+    """(b, p, n): counts of the scores that are at or over b of the ascending thresholds."""
+    at = F.size(F.filter(ts, lambda t: t <= F.col("s")))
+    return counts.groupBy(at.alias("b")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
 
 def threshold_search(df: DataFrame, score: str, label: str, points: int = 20) -> DataFrame:
@@ -67,18 +75,20 @@ def threshold_search(df: DataFrame, score: str, label: str, points: int = 20) ->
     twice the false negatives, the first of equals; 0.5 for fewer than two rows."""
     counts = _counts(df, score, label)
     ends = counts.agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum(F.col("p") + F.col("n")).alias("rows"))
-    step = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    ts = ends.select("rows", "lo", "hi", step.alias("i")).withColumn("t", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
-    met = counts.crossJoin(F.broadcast(ts)).groupBy("i", "t", "rows").agg(F.sum(F.when(F.col("s") < F.col("t"), F.col("n") - 2 * F.col("p")).otherwise(0)).alias("separation"))
-    best = met.orderBy(F.desc("separation"), "i").limit(1)
+    point = lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (points - 1)
+    ends = ends.withColumn("ts", F.when(F.col("lo").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(points - 1)), point)))
+    below = _between(counts.crossJoin(F.broadcast(ends.select("ts"))), F.col("ts"))
+    met = ends.select("rows", F.posexplode("ts").alias("i", "t")).join(F.broadcast(below), F.col("b") <= F.col("i"), "left")  # points rows, points + 1 counts
+    best = met.groupBy("i", "t", "rows").agg(F.coalesce(F.sum(F.col("n") - 2 * F.col("p")), F.lit(0)).alias("separation")).orderBy(F.desc("separation"), "i").limit(1)
     return best.select(F.when(F.col("rows") < 2, 0.5).otherwise(F.col("t")).alias("t"), "separation")
 
 
 def threshold_metrics(df: DataFrame, score: str, label: str, points: int = 50) -> DataFrame:
     """(i, t, recall, precision, fpr, f1, utility) at points from 0 to 1, predicting s >= t."""
     ts = df.sparkSession.range(points).select(F.col("id").alias("i"), (F.col("id") / (points - 1)).alias("t"))
-    hit = F.col("s") >= F.col("t")
-    met = _counts(df, score, label).crossJoin(F.broadcast(ts)).groupBy("i", "t").agg(F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("fp"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    counts = _between(_counts(df, score, label), F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i / (points - 1)))
+    hit = F.col("b") > F.col("i")
+    met = ts.join(F.broadcast(counts), F.lit(True), "left").groupBy("i", "t").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(a) for a, c in (("tp", F.when(hit, F.col("p"))), ("fp", F.when(hit, F.col("n"))), ("p", F.col("p")), ("n", F.col("n")))))  # at most points + 1 counts
     share = lambda a, b, other: F.coalesce(F.try_divide(a, b), F.lit(other))
     met = met.select("i", "t", share("tp", "p", 0.0).alias("recall"), F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(1.0)).alias("precision"), share("fp", "n", 0.0).alias("fpr"))
     return met.withColumns({"f1": F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)), "utility": 1 - F.col("fpr")})
@@ -131,7 +141,7 @@ def rates_by_class(df: DataFrame, flags: Sequence[str], label: str) -> DataFrame
 def box_stats(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """(y, feature, q1, median, q3, low, high): quartiles and the fences at 1.5 times their gap."""
     long = df.select(F.col(label).alias("y"), F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), _d(f).alias("v")) for f in features))))
-    q = long.groupBy("y", "feature").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = ordered.quantiles(long, ["y", "feature"], "v", (0.25, 0.5, 0.75))
     gap = F.col("q")[2] - F.col("q")[0]
     q = q.select("y", "feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), (F.col("q")[0] - 1.5 * gap).alias("f0"), (F.col("q")[2] + 1.5 * gap).alias("f1"))
     met = long.join(F.broadcast(q), ["y", "feature"])  # two rows a feature
@@ -155,13 +165,7 @@ def scatter(df: DataFrame, id: str, features: Sequence[str], score: str, label:
     return df.select(id, F.col(score).alias("score"), F.col(label).alias("y"), F.inline(pairs))
 
 
-def running_count(df: DataFrame, flag: Column, day: Column, order: Sequence[str]) -> DataFrame:
-    """Adds n and n_flagged, running over the whole order. Each day is numbered in its own task, and
-    a table of days has what came before; `day` must rise with the order."""
-    keyed = df.withColumns({"_f": flag.cast("int"), "_day": day})
-    days = keyed.groupBy("_day").agg(F.count("*").alias("_c"), F.sum("_f").alias("_s"))
-    lead = W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    days = days.select("_day", F.coalesce(F.sum("_c").over(lead), F.lit(0)).alias("_c0"), F.coalesce(F.sum("_s").over(lead), F.lit(0)).alias("_s0"))
-    upto = W.partitionBy("_day").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = keyed.join(days, "_day")
-    return out.withColumns({"n": F.col("_c0") + F.count("*").over(upto), "n_flagged": F.col("_s0") + F.sum("_f").over(upto)}).drop("_f", "_day", "_c0", "_s0")
+def running_count(df: DataFrame, flag: Column, order: Sequence[str]) -> DataFrame:
+    """Adds n and n_flagged, running over the whole order, which should be total."""
+    told = ordered.running(df, order, n=("sum", F.lit(1)), n_flagged=("sum", flag.cast("int")))
+    return told.withColumns({"n": F.col("n").cast("long"), "n_flagged": F.col("n_flagged").cast("long")})

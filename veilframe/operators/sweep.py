@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.constants import K_GRID, UNKNOWN_POPULATION
+from . import ordered
 
 SIGMA = 0.5
 
@@ -106,8 +107,4 @@ def optimal(table: DataFrame) -> DataFrame:
 def pareto(table: DataFrame) -> DataFrame:
     """Rows that no other beats: none has at least the gain for at most the masking with one of them
     strictly better. The table has a row a k."""
-    g = gains(table)
-    a, b = g.alias("a"), g.alias("b")
-    ge = (F.col("b.gain") >= F.col("a.gain")) & (F.col("b.masked_mean") <= F.col("a.masked_mean"))
-    strict = (F.col("b.gain") > F.col("a.gain")) | (F.col("b.masked_mean") < F.col("a.masked_mean"))
-    return a.join(b, ge & strict, "left_anti")
+    return ordered.unbeaten(gains(table), "masked_mean", "gain")

@@ -153,7 +153,7 @@ def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cumulative_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").select("event_id", "ts", "value")
-    out = evaluate.running_count(events, F.col("value") > 50, F.to_date("ts"), ["ts", "event_id"])
+    out = evaluate.running_count(events, F.col("value") > 50, ["ts", "event_id"])
     return out.select("event_id", "n", "n_flagged")
 
 
