@@ -103,6 +103,9 @@ def test_two_digit_years(spark):
     assert one(spark, population.birth_age(F.lit("3/7/85"), at)) == 40
     assert one(spark, population.birth_age(F.lit("1-1-04"), at)) == 22
     assert one(spark, population.birth_age(F.lit("2/30/1990"), at)) is None
+    born = lambda d, today: one(spark, population.birth_age(F.lit(d), F.lit(today).cast("date")))
+    assert born("3/7/69", "2025-02-28") == 55 and born("3/7/70", "2025-02-28") == 54 and born("3/7/68", "2025-02-28") == -44
+    assert born("2/29/1980", "2025-02-28") == 44 and born("2/29/1980", "2025-03-01") == 45 and born("2/28/1980", "2025-02-28") == 45
 
 
 def test_trailing_stop_words(spark):
@@ -289,3 +292,17 @@ def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         shared.shared_dir(Session())
+
+
+def test_containing_equals_nested_loops(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abAB é%_") for _ in range(n))
+    names = [word(rng.randrange(1, 6)) for _ in range(300)] + ["", None, "zzz", "É"]
+    texts = [word(rng.randrange(0, 25)) for _ in range(400)] + [None, "", "É"]
+    a = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "i int, name string")
+    b = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "j int, body string")
+    got = sorted((r["i"], r["j"]) for r in population.containing(a, b, "name", "body").collect())
+    assert got == sorted((i, j) for i, n in enumerate(names) for j, t in enumerate(texts) if n and t is not None and n.lower() in t.lower())
+    assert population.containing(a.where("false"), b, "name", "body").count() == 0

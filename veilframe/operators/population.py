@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.constants import AGE_BANDS, DOB_FORMATS, EMPLOYED, NATION, PREVALENCE, STATE_ROWS
@@ -40,9 +41,10 @@ def band_of(age: Column) -> tuple[Column, Column]:
 def birth_age(value: Column, today: Column) -> Column:
     """Whole years since a date in one of six formats, the first that parses. Two-digit years from
     69 on are of the last century."""
-    short = F.regexp_replace(F.regexp_replace(value, r"^(\d{1,2}[/-]\d{1,2}[/-])([0-6]\d)$", "$120$2"), r"^(\d{1,2}[/-]\d{1,2}[/-])(\d\d)$", "$119$2")
+    short = F.regexp_replace(F.regexp_replace(value, r"^(\d{1,2}[/-]\d{1,2}[/-])([0-5]\d|6[0-8])$", "$120$2"), r"^(\d{1,2}[/-]\d{1,2}[/-])(\d\d)$", "$119$2")
     day = F.coalesce(*(F.try_to_timestamp(short, F.lit(f)) for f in DOB_FORMATS[:4])).cast("date")
-    return F.floor(F.months_between(today, day) / 12).cast("int")
+    place = lambda d: F.month(d) * 100 + F.dayofmonth(d)
+    return (F.year(today) - F.year(day) - (place(today) < place(day)).cast("int")).cast("int")
 
 
 def births(df: DataFrame, value: str, ages_table: DataFrame, today: Column) -> DataFrame:
@@ -67,16 +69,43 @@ def simple(people: DataFrame, kind: str, total: float, source: str) -> DataFrame
     return _rows(people, kind, F.col("value"), F.col("people") / total, F.col("people"), source)
 
 
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters."""
+    some = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(some, lambda k: F.substring(text, k, F.lit(n)))))
+
+
+def containing(names: DataFrame, texts: DataFrame, name: str, text: str, n: int = 3) -> DataFrame:
+    """The pairs of rows where the text holds the name, in any case. Names are looked up in an inverted
+    index of runs of n characters (all, of a shorter name) by the one that the fewest texts have; what
+    that finds is verified. Empty names and nulls have no pairs."""
+    keyed = names.where(F.length(name) > 0).withColumn("_low", F.lower(name)).withColumn("_n", F.least(F.length("_low"), F.lit(n)))
+    own = keyed.select("_low", "_n").distinct()
+    sizes = [r[0] for r in own.select("_n").distinct().collect()]  # n at most
+    body = texts.where(F.col(text).isNotNull()).withColumn("_body", F.lower(text))
+    told = lambda k: lambda g: F.struct(F.lit(k).alias("_n"), g.alias("_gram"))
+    runs = [F.transform(_grams(F.col("_body"), k), told(k)) for k in sizes]
+    if not runs:
+        return keyed.drop("_low", "_n").join(texts, F.lit(False))
+    index = body.withColumn("_g", F.explode(F.concat(*(F.coalesce(x, F.array().cast("array<struct<_n:int,_gram:string>>")) for x in runs)))).select("*", "_g.*").drop("_g")
+    count = index.groupBy("_n", "_gram").agg(F.count("*").alias("_c"))
+    parts = F.coalesce(*(F.when(F.col("_n") == k, _grams(F.col("_low"), k)) for k in sizes))
+    each = own.select("_low", "_n", F.explode(parts).alias("_gram")).join(count, ["_n", "_gram"], "left")
+    rarest = each.groupBy("_low").agg(F.min_by(F.struct("_n", "_gram"), F.struct(F.coalesce("_c", F.lit(0)), "_gram")).alias("_r")).select("_low", "_r.*")
+    found = rarest.join(index, ["_n", "_gram"]).where(F.contains("_body", "_low")).drop("_n", "_gram", "_body")
+    return keyed.drop("_n").join(found, "_low").drop("_low")
+
+
 def surveyed(names: DataFrame, topics: DataFrame) -> DataFrame:
     """(value, probability, population_count) of diseases by survey: topics whose name holds the
-    disease, crude prevalence in the US, latest five, the first with a figure. The cross product
-    is of two small dictionaries; distinct disease names only."""
-    fits = topics.where((F.col("kind") == "crude prevalence") & (F.col("place") == "US"))
-    pairs = names.distinct().join(fits, F.contains(F.lower("topic"), F.lower("value")))
-    latest = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("year", "topic", "figure")))), 1, 5)
-    best = pairs.groupBy("value").agg(latest.alias("l")).select("value", F.get(F.filter("l", lambda x: x["figure"].isNotNull()), 0)["figure"].alias("figure"))
+    disease, of a kind of crude prevalence, in the US, latest five, the first with a figure."""
+    fits = topics.where(F.contains(F.lower("kind"), F.lit("crude prevalence")) & (F.col("place") == "US"))
+    pairs = containing(names.select("value").distinct(), fits, "value", "topic")
+    latest = W.partitionBy("value").orderBy(F.desc("year"), F.desc("topic"), F.desc("figure"))
+    five = pairs.withColumn("_at", F.row_number().over(latest)).where("_at <= 5 and figure is not null")
+    best = five.groupBy("value").agg(F.min_by("figure", "_at").alias("figure"))
     p = F.col("figure") / 100
-    return _rows(best.where("figure is not null"), "disease", F.col("value"), p, F.floor(p * NATION), "survey")
+    return _rows(best, "disease", F.col("value"), p, F.floor(p * NATION), "survey")
 
 
 def prevalence_class(label: Column) -> Column:

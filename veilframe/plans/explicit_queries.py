@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
+from ..functions import table_functions
 from ..functions import text as X
 from ..functions.constants import RECOGNIZERS
 from ..operators import contextual, explicit, features, quasi
@@ -51,6 +52,13 @@ def e_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explicit.exploded(_docs(spark, sf_dir), "doc_id").drop("context")
 
 
+def e_spans_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same spans by the table function, from SQL."""
+    table_functions.register(spark)
+    read(spark, sf_dir, "documents").createOrReplaceTempView("documents_for_spans")
+    return spark.sql(f"SELECT doc_id, s.* FROM documents_for_spans, LATERAL entity_spans(text, '{','.join(DOC_KINDS)}') s")
+
+
 def e_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explicit.exploded(_docs(spark, sf_dir), "doc_id").select("doc_id", "start", "context")
 
@@ -176,6 +184,7 @@ s AS (SELECT o_orderkey, block, CASE WHEN name <> '' THEN name WHEN length(text)
 
 
 REGISTRY = {
+    "e_spans_lateral": (e_spans_lateral, f'WITH {DOC_CTE} SELECT doc_id, entity_type, start, "end", text, confidence FROM ent'),
     "e_entities": (e_entities, f"WITH {DOC_CTE} SELECT * FROM ent"),
     "e_context": (e_context, f"WITH {DOC_CTE} SELECT e.doc_id, e.start, CASE WHEN e.start > 50 THEN '...' ELSE '' END || substr(d.text, greatest(e.start - 50, 0) + 1, least(e.\"end\" + 50, length(d.text)) - greatest(e.start - 50, 0)) || CASE WHEN e.\"end\" + 50 < length(d.text) THEN '...' ELSE '' END AS context FROM ent e JOIN documents d USING (doc_id)"),
     "e_score_docs": (e_score_docs, f"WITH {SCORE_CTE} SELECT doc_id, round(coalesce(e_score, 0), 6) AS e_score, coalesce(e_count, 0) AS e_count, round(coalesce(e_max_weight, 0), 6) AS e_max_weight, round(coalesce(e_mean, 0), 6) AS e_mean_confidence, round(coalesce(e_median, 0), 6) AS e_median_confidence FROM documents LEFT JOIN es USING (doc_id)"),

@@ -19,7 +19,7 @@ BANDS = [(lo, hi, 1_000_000 + 10_000 * k + 1000 * sex) for k, (lo, hi) in enumer
 TOTAL = sum(b[2] for b in BANDS)
 STATE_PEOPLE = [(fips, 500_000 + 7_000 * k) for k, (_, _, fips) in enumerate(K.STATE_ROWS)]
 ZIP_PEOPLE = [(str(10_000 + k), 900 + 13 * k) for k in range(0, 40, 2)]
-TOPICS = [("Asthma among adults", "crude prevalence", "US", 2019, 8.9), ("Asthma among adults", "crude prevalence", "US", 2021, None), ("asthma mortality", "crude rate", "US", 2022, 1.0), ("Diabetes prevalence", "crude prevalence", "US", 2020, 10.4), ("Diabetes prevalence", "crude prevalence", "TX", 2022, 12.0)]
+TOPICS = [("Asthma among adults", "Crude Prevalence", "US", 2019, 8.9), ("Asthma among adults", "crude prevalence", "US", 2021, None), ("asthma mortality", "crude rate", "US", 2022, 1.0), ("Diabetes prevalence", "Adjusted Crude Prevalence (%)", "US", 2020, 10.4), ("Diabetes prevalence", "crude prevalence", "TX", 2022, 12.0)]
 CODES = [("marfan syndrome", 558), ("asthma", 559), ("influenza", 560)]
 EPIDEMIOLOGY = [(558, [("Cases", "Unknown"), ("Point prevalence", "1-9 / 100 000"), ("Point prevalence", "1-5 / 10 000")]), (559, [("Incidence", "1-9 / 1 000 000")]), (560, [("Incidence", "not given")])]
 SOC = [("nurse", "29-1141"), ("teacher", "25-2031"), ("police officer", "33-3051"), ("pilot", "53-2011")]
@@ -203,8 +203,8 @@ def freq_gender(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def freq_dob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dates = F.array(*(F.lit(d) for d in ("3/7/1985", "1979-11-02", "3/7/85", "12-25-1960", "2/30/1990", "1-1-04")))
-    rows = _people(spark, sf_dir, F.get(dates, (F.col("c_custkey") % 6).cast("int")))
+    dates = F.array(*(F.lit(d) for d in ("3/7/1985", "1979-11-02", "3/7/85", "12-25-1960", "2/30/1990", "1-1-04", "7/4/69", "7-4-68", "2/29/1980")))
+    rows = _people(spark, sf_dir, F.get(dates, (F.col("c_custkey") % 9).cast("int")))
     found = population.births(rows, "value", ages_table(spark), F.lit(TODAY).cast("date"))
     return found.select("id", F.round("probability", 9).alias("probability"), "population_count")
 
@@ -218,6 +218,14 @@ def freq_disease_like_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequency(_disease(spark, sf_dir), population.surveyed(names, topics), "disease")
 
 
+def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' numbers inside orders' numbers: an inverted index of characters instead of a nested loop."""
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("A"), F.col("c_custkey").cast("string")).alias("value"))
+    texts = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("no. a"), F.col("o_orderkey").cast("string"), F.lit("-a"), F.col("o_custkey").cast("string")).alias("topic"))
+    found = population.containing(names, texts, "value", "topic")
+    return found.groupBy("value").agg(F.count("*").alias("n"), F.max("topic").alias("last"))
+
+
 def freq_disease_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequency(_disease(spark, sf_dir), full_population(spark), "disease")
 
@@ -244,7 +252,7 @@ _STATES = _values([(a, n, f) for a, n, f in K.STATE_ROWS], "abbrev, name, fips")
 _LOC = f"loc AS (SELECT unnest([abbrev, name]) AS value, CAST(people AS DOUBLE) / {TOTAL} AS p, people AS n FROM {_STATES} JOIN (SELECT * FROM {_values(STATE_PEOPLE, 'fips, people')}) USING (fips))"
 _SURVEY = f"""survey AS (SELECT value, CAST(figure AS DOUBLE) / 100 AS p, CAST(floor(CAST(figure AS DOUBLE) / 100 * {K.NATION}) AS BIGINT) AS n FROM (
 SELECT *, row_number() OVER (PARTITION BY value ORDER BY year DESC) AS r FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY year DESC) AS q FROM {_values([(d,) for d in DISEASES], 'value')} JOIN (SELECT * FROM {_values(TOPICS, 'topic, kind, place, year, figure')}) ON contains(lower(topic), value)
-WHERE kind = 'crude prevalence' AND place = 'US') WHERE q <= 5 AND figure IS NOT NULL) WHERE r = 1)"""
+WHERE lower(kind) LIKE '%crude prevalence%' AND place = 'US') WHERE q <= 5 AND figure IS NOT NULL) WHERE r = 1)"""
 _RARE = f"rare AS (SELECT * FROM {_values([('marfan syndrome', 5e-5, int(5e-5 * K.NATION)), ('asthma', 5e-6, int(5e-6 * K.NATION))], 'value, p, n')})"
 _DISEASE = f"{_SURVEY}, {_RARE}, dis AS (SELECT value, p, n FROM survey UNION ALL SELECT value, CAST(p AS DOUBLE), n FROM rare WHERE value NOT IN (SELECT value FROM survey))"
 _OCCS = f"occ AS (SELECT value, CAST(people AS DOUBLE) / {K.EMPLOYED} AS p, people AS n FROM {_values(SOC, 'value, soc')} JOIN (SELECT * FROM {_values(EMPLOYMENT, 'soc, people')}) USING (soc))"
@@ -372,10 +380,14 @@ SELECT id, qi_type, nv AS normalized_value, max(least(greatest(c, 0), 1)) AS con
     "freq_gender": (freq_gender, _freq_sql(f"g AS (SELECT value, CAST(people AS DOUBLE) / 332000000 AS p, people AS n FROM {_values(GENDER_PEOPLE, 'value, people')})", _pick(["male", "Female", "x"]), "g")),
     "freq_dob": (
         freq_dob,
-        f"""WITH {_AGE_SQL}, d AS (SELECT c_custkey AS id, ([DATE '1985-03-07', DATE '1979-11-02', DATE '1985-03-07', DATE '1960-12-25', NULL, DATE '2004-01-01'])[c_custkey % 6 + 1] AS born FROM customer)
+        f"""WITH {_AGE_SQL}, d AS (SELECT c_custkey AS id, ([DATE '1985-03-07', DATE '1979-11-02', DATE '1985-03-07', DATE '1960-12-25', NULL, DATE '2004-01-01', DATE '1969-07-04', DATE '2068-07-04', DATE '1980-02-29'])[c_custkey % 9 + 1] AS born FROM customer)
 SELECT id, round(people / {TOTAL} / 365.25, 9) AS probability, CAST(floor(CAST(floor(people) AS BIGINT) / 365.25) AS BIGINT) AS population_count FROM d LEFT JOIN ages ON age = date_sub('year', born, DATE '{TODAY}')""",
     ),
     "freq_disease_like_top1": (freq_disease_like_top1, _freq_sql(_SURVEY, _pick(DISEASES), "survey")),
+    "containment_join": (
+        containment_join,
+        "SELECT 'A' || c_custkey AS value, count(*) AS n, max(topic) AS last FROM customer JOIN (SELECT 'no. a' || o_orderkey || '-a' || o_custkey AS topic FROM orders) ON contains(topic, 'a' || c_custkey) GROUP BY 1",
+    ),
     "freq_disease_fallback": (freq_disease_fallback, _freq_sql(_DISEASE, _pick(DISEASES), "dis")),
     "freq_occ_two_hop": (freq_occ_two_hop, _freq_sql(_OCCS, _pick(["nurse", "Teacher", "pilot", "police officer", "clerk"]), "occ")),
     "freq_fallback_raw": (freq_fallback_raw, _freq_sql(_LOC, _pick(["TX", "Narnia"]), "loc")),

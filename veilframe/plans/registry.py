@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import case_queries, explicit_queries, gazetteer_queries, ordered_queries, policy_queries, quasi_queries, recognizer_queries
+from . import case_queries, explicit_queries, gazetteer_queries, ordered_queries, policy_queries, quasi_queries, recognizer_queries, run_queries
 
-_ALL = explicit_queries.REGISTRY | quasi_queries.REGISTRY | policy_queries.REGISTRY | case_queries.REGISTRY | recognizer_queries.REGISTRY | gazetteer_queries.REGISTRY | ordered_queries.REGISTRY
+_ALL = explicit_queries.REGISTRY | quasi_queries.REGISTRY | policy_queries.REGISTRY | case_queries.REGISTRY | recognizer_queries.REGISTRY | gazetteer_queries.REGISTRY | ordered_queries.REGISTRY | run_queries.REGISTRY
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -56,7 +56,8 @@ def suite(judged: DataFrame, name: str = "name", text: str = "text") -> DataFram
 
 def save_run(results: DataFrame, path: str, input_hash: str, threshold: float, now: Column | None = None, version: str = VERSION) -> None:
     """Appends rows to the run's table. Runs are folders of it, by input, threshold and version, so
-    a run with other ones neither reads nor overwrites them, and those of before stay as backups."""
+    a run with other ones neither reads nor overwrites them, and those of before stay as backups.
+    Rows that are appended twice are there twice: `commits` keeps a table whose batches may be replayed."""
     keyed = results.withColumns({"input_file_hash": F.lit(input_hash), "c_score_threshold": F.lit(float(threshold)), "version": F.lit(version), "last_updated": F.current_timestamp() if now is None else now})
     keyed.write.mode("append").partitionBy("version", "input_file_hash", "c_score_threshold").parquet(path)
 
@@ -98,9 +99,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "sample_hash", at: str = "
     """One row a key: of equal keys the latest, new rows before old ones. An aggregate, combined
     before the shuffle, so a key with many rows is no hot task."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    rest = [c for c in old.columns if c != key]
-    latest = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("_new", at)).alias("r"))
-    return latest.select(key, "r.*").select(old.columns)
+    return latest_of(both, key, ["_new", at]).select(old.columns)
+
+
+def latest_of(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """One row a key, the largest by these columns."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("r")).select(key, "r.*").select(rows.columns)
 
 
 def alive(cache: DataFrame, now: Column, seconds: int = 86_400) -> DataFrame:

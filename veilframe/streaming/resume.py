@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .state import append_available, first_seen
 
-def run_available(source: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str | None = None) -> None:
+
+def run_available(source: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str | None = None, seconds: float | None = None) -> None:
     """Processes all that `source` (a stream) has, appends to the Parquet table `out`, and stops.
-    Run again, it goes on from the checkpoint. With a key, rows whose key was seen are dropped."""
+    Run again, it goes on from the checkpoint. With a key, rows whose key was seen are dropped: in the
+    last `seconds`, or ever, if that isn't given, when the state keeps every key."""
+    if key and seconds:
+        return append_available(work(first_seen(source, key, seconds)), out, checkpoint)
     rows = source.dropDuplicates([key]) if key else source
     query = work(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -34,12 +40,16 @@ def latest(spark: SparkSession, out: str) -> DataFrame:
     return every.where(F.col("batch") == last).drop("batch")
 
 
-def stop_gracefully(query, seconds: float | None = None) -> bool:
-    """Lets the batch at hand end, for at most `seconds`, and stops the stream; whether it had ended."""
-    ended = query.awaitTermination(seconds) if seconds else False
-    if not ended:
-        query.processAllAvailable()
-        query.stop()
+def stop_gracefully(query, seconds: float | None = None, poll: float = 0.05) -> bool:
+    """Lets the batch at hand end, for at most `seconds`, and stops the stream, also while input keeps
+    coming; whether the stream had ended by itself. A batch that began meanwhile is cut off and runs
+    again at the next start."""
+    done = lambda: (query.lastProgress or {}).get("batchId", -1)
+    began, until = done(), None if seconds is None else time.monotonic() + seconds
+    while query.isActive and query.status["isTriggerActive"] and done() == began and (until is None or time.monotonic() < until):
+        time.sleep(poll)
+    ended = not query.isActive
+    query.stop()
     return ended
 
 
