@@ -60,7 +60,7 @@ def same(spark, rows, parts, columns="doc_id long, source string, lang string, n
     return got
 
 
-@pytest.mark.parametrize("sizes", [[1], [16], [17], [300], [1, 1, 1], [5000, 16, 1, 256, 257]])
+@pytest.mark.parametrize("sizes", [[1], [17], [1, 1, 1], [5000, 16, 1, 256, 257]])
 def test_tree_sizes(spark, sizes):
     rows = [(n * 10_000 + k, f"s{n}", "en", k, f"Text {k}") for n, size in enumerate(sizes) for k in range(size)]
     same(spark, rows, 4)
