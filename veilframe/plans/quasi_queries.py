@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import anonymity, contextual, population, quasi
-from ..sources import literal
+from ..sources import literal, replies
 from . import rendered as R
 
 DISEASES = ["asthma", "diabetes", "marfan syndrome", "influenza"]
@@ -46,6 +48,49 @@ def ages_table(spark: SparkSession) -> DataFrame:
     return population.ages(_frame(spark, BANDS, "lo int, hi int, people long"), TOTAL)
 
 
+def _pages() -> list[tuple[str, str, str]]:
+    """Raw pages of all services, in the shapes that they come in, with some that are of no use."""
+    told = json.dumps
+    indicator = [{"topic": t, "datavaluetype": k, "locationabbr": p, "yearend": str(y), "datavalue": "" if f is None else str(f)} for t, k, p, y, f in TOPICS]
+    shapes = [
+        lambda code: {"data": {"results": [{"ORPHAcode": code}]}},
+        lambda code: {"data": {"results": {"orphacode": str(code)}}},
+        lambda code: [{"ORPHAcode": "", "DisorderDisorderAssociation": [{"TargetDisorder": {"ORPHAcode": code}}]}],
+    ]
+    figures = [
+        lambda items: {"data": {"results": {"Prevalence": [{"PrevalenceType": a, "PrevalenceClass": b} for a, b in items]}}},
+        lambda items: {"results": [{"prevalences": [{"prevalenceType": a, "prevalenceClass": b} for a, b in items]}]},
+        lambda items: {"Prevalences": dict(zip(("PrevalenceType", "PrevalenceClass"), items[0], strict=True))},
+    ]
+    series = [{"seriesID": f"OEUN0000000000000{soc.replace('-', '')}01", "data": [{"value": f"{n:,}"}, {"value": "1"}]} for soc, n in EMPLOYMENT]
+    return (
+        [("survey", "a", told(indicator[:2])), ("survey", "b", told(indicator[2:])), ("survey", "c", "<html>busy</html>"), ("survey", "d", "{}")]
+        + [("rare-names", name, told(shapes[k % 3](code))) for k, (name, code) in enumerate(CODES)] + [("rare-names", "diabetes", told({"data": {"results": []}})), ("rare-names", "x", "[")]
+        + [("rare-figures", str(code), told(figures[k % 3](items))) for k, (code, items) in enumerate(EPIDEMIOLOGY)] + [("rare-figures", "1", "[1]")]
+        + [("occupations", name.upper() + " ", told({"Occupation": [{"Code": soc}, {"Code": "99-9999"}]})) for name, soc in SOC] + [("occupations", "clerk", told({"Occupation": []}))]
+        + [("employment", "all", told({"status": "REQUEST_SUCCEEDED", "Results": {"series": series}})), ("employment", "late", told({"status": "REQUEST_FAILED", "Results": {"series": series}}))]
+    )
+
+
+def _from_pages(spark: SparkSession) -> DataFrame:
+    """Diseases and occupations from raw pages."""
+    pages = _frame(spark, _pages(), "source string, key string, page string")
+    survey = population.surveyed(_frame(spark, [(d,) for d in DISEASES], "value string"), replies.survey(pages))
+    sick = population.diseases(survey, population.rare(replies.rare_codes(pages), replies.epidemiology(pages)))
+    return sick.unionByName(population.occupations(replies.occupation_codes(pages), replies.employment(pages)))
+
+
+def freq_disease_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As freq_disease_fallback, from raw pages."""
+    return _frequency(_disease(spark, sf_dir), _from_pages(spark), "disease")
+
+
+def freq_occ_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As freq_occ_two_hop, from raw pages."""
+    jobs = F.array(*(F.lit(j) for j in ("nurse", "Teacher", "pilot", "police officer", "clerk")))
+    return _frequency(_people(spark, sf_dir, F.get(jobs, (F.col("c_custkey") % 5).cast("int"))), _from_pages(spark), "occupation")
+
+
 def full_population(spark: SparkSession) -> DataFrame:
     survey = population.surveyed(_frame(spark, [(d,) for d in DISEASES], "value string"), _frame(spark, TOPICS, "topic string, kind string, place string, year int, figure double"))
     rare = population.rare(_frame(spark, CODES, "value string, code int"), _epidemiology(spark))
@@ -388,6 +433,8 @@ SELECT id, round(people / {TOTAL} / 365.25, 9) AS probability, CAST(floor(CAST(f
         containment_join,
         "SELECT 'A' || c_custkey AS value, count(*) AS n, max(topic) AS last FROM customer JOIN (SELECT 'no. a' || o_orderkey || '-a' || o_custkey AS topic FROM orders) ON contains(topic, 'a' || c_custkey) GROUP BY 1",
     ),
+    "freq_disease_pages": (freq_disease_pages, _freq_sql(_DISEASE, _pick(DISEASES), "dis")),
+    "freq_occ_pages": (freq_occ_pages, _freq_sql(_OCCS, _pick(["nurse", "Teacher", "pilot", "police officer", "clerk"]), "occ")),
     "freq_disease_fallback": (freq_disease_fallback, _freq_sql(_DISEASE, _pick(DISEASES), "dis")),
     "freq_occ_two_hop": (freq_occ_two_hop, _freq_sql(_OCCS, _pick(["nurse", "Teacher", "pilot", "police officer", "clerk"]), "occ")),
     "freq_fallback_raw": (freq_fallback_raw, _freq_sql(_LOC, _pick(["TX", "Narnia"]), "loc")),
