@@ -28,7 +28,7 @@ def _service(text: str) -> str | None:
     """Stands in for a model: refuses texts of some lengths."""
     if len(text) % 5 == 0:
         raise ValueError("refused")
-    return f"{len(text)}:{text[:8].upper()}"
+    return f"{len(text)}:{text[:8]}"
 
 
 def client_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,6 @@ REGISTRY = {
     ),
     "client_memo": (
         client_memo,
-        "SELECT doc_id, CASE WHEN length(text) % 5 <> 0 THEN md5(length(text) || ':' || upper(substr(text, 1, 8))) END AS reply_md5, CASE WHEN length(text) % 5 = 0 THEN 'ValueError: refused' END AS error FROM documents",
+        "SELECT doc_id, CASE WHEN length(text) % 5 <> 0 THEN md5(length(text) || ':' || substr(text, 1, 8)) END AS reply_md5, CASE WHEN length(text) % 5 = 0 THEN 'ValueError: refused' END AS error FROM documents",
     ),
 }
