@@ -306,3 +306,15 @@ def test_containing_equals_nested_loops(spark):
     got = sorted((r["i"], r["j"]) for r in population.containing(a, b, "name", "body").collect())
     assert got == sorted((i, j) for i, n in enumerate(names) for j, t in enumerate(texts) if n and t is not None and n.lower() in t.lower())
     assert population.containing(a.where("false"), b, "name", "body").count() == 0
+
+
+def test_summary_text(spark):
+    reply = '{"factors":[{"name":"SOCIAL_STIGMA_RISK","detected":true,"confidence":0.8,"explanation":"told"}],"summary":"Short."}'
+    j = contextual.judge(spark.createDataFrame([(reply,), (None,)], "reply string"))
+    texts = j.select(contextual.summary_text(F.col("c_level"), F.col("c_score"), F.col("factors"), contextual.summary_of(F.col("reply"))).alias("t")).collect()
+    lines = texts[0]["t"].split("\n")
+    assert lines[:8] == ["=" * 70, "NARRATIVE SENSITIVITY ANALYSIS", "=" * 70, "Overall Risk: LOW", "Risk Score: 0.11", "", "Factors Detected:", "-" * 40]
+    at = lines.index("  SOCIAL_STIGMA_RISK:")
+    assert lines[at + 1 : at + 3] == ["    Status: ✓ YES (confidence: 0.80)", "    Reason: told"]
+    assert lines[-5:] == ["", "-" * 40, "Summary:", "Short.", "=" * 70] and len(lines) == 13 + 14 + 1
+    assert "Overall Risk: ERROR" in texts[1]["t"]

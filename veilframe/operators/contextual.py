@@ -129,6 +129,26 @@ def judge(df: DataFrame, reply: str = "reply", at: float = 0.3) -> DataFrame:
     )
 
 
+def summary_text(level: Column, score: Column, found: Column, summary: Column) -> Column:
+    """A judgement as text: level, score, each factor's status, with a reason if it was detected, and
+    the summary. Numbers have two digits, halves go up."""
+    two = lambda c: F.format_string("%.2f", c)
+    wide, thin = F.lit("=" * 70), F.lit("-" * 40)
+
+    def lines(f: Column) -> Column:
+        status = F.when(f["detected"], "✓ YES").otherwise("✗ NO")
+        told = F.concat(F.lit("  "), f["name"], F.lit(":\n    Status: "), status, F.lit(" (confidence: "), two(f["confidence"]), F.lit(")"))
+        return F.when(f["detected"], F.concat(told, F.lit("\n    Reason: "), f["explanation"])).otherwise(told)
+
+    head = [wide, F.lit("NARRATIVE SENSITIVITY ANALYSIS"), wide, F.concat(F.lit("Overall Risk: "), level), F.concat(F.lit("Risk Score: "), two(score)), F.lit(""), F.lit("Factors Detected:"), thin]
+    return F.concat_ws("\n", *head, F.transform(found, lines), F.lit(""), thin, F.lit("Summary:"), F.coalesce(summary, F.lit("")), wide)
+
+
+def summary_of(reply: Column) -> Column:
+    """The reply's own summary; empty without one."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(braces(reply)), "$.summary", "string"), F.lit(""))
+
+
 def memoised(df: DataFrame, text: str, work, *results: str) -> DataFrame:
     """Runs `work` (a DataFrame of the distinct trimmed texts in, the same with more columns out)
     once for each distinct text and joins its results back. Texts move as 128-bit keys."""

@@ -385,6 +385,20 @@ def c_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("id", F.round("c_score", 6).alias("c_score"), "c_level", F.size("detected").cast("long").alias("n_detected"), "deemed_sensitive")
 
 
+def c_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests about all documents: one for each distinct text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.trim("text").alias("text")).where("text is not null").distinct()
+    return docs.select(F.md5("text").alias("text_md5"), F.md5(contextual.prompt(F.col("text"))).alias("request_md5"))
+
+
+def c_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a judgement says, by its lines."""
+    j = contextual.judge(R.factor_replies(spark, sf_dir))
+    lines = F.split(contextual.summary_text(F.col("c_level"), F.col("c_score"), F.col("factors"), contextual.summary_of(F.col("reply"))), "\n")
+    yes = F.size(F.filter(lines, lambda x: F.startswith(x, F.lit("    Status: ✓ YES"))))
+    return j.select("id", F.get(lines, 3).alias("risk"), F.size(lines).cast("long").alias("n_lines"), yes.cast("long").alias("n_yes"), F.get(lines, F.size(lines) - 2).alias("summary"))
+
+
 def c_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = contextual.judge(R.factor_replies(spark, sf_dir)).select(F.explode("factors").alias("f"))
     return j.groupBy("f.name").agg(F.count("*").alias("n"), F.count_if("f.detected").alias("n_detected"), F.round(F.sum("f.confidence"), 6).alias("confidence"))
@@ -452,6 +466,14 @@ SELECT s.id, CASE WHEN n_qis = 0 THEN 'No quasi-identifiers detected.' WHEN know
     ),
     "q_rare": (q_rare, f"WITH {_PROB} SELECT s.id, coalesce(bool_or(qi_type = 'disease' AND p < 0.001), false) AS rare_disease, coalesce(bool_or(qi_type = 'occupation' AND p < 0.001), false) AS rare_occupation FROM s LEFT JOIN q ON q.id = s.id GROUP BY s.id"),
     "c_score": (c_score, f"WITH {_C} SELECT id, round(CAST(c AS DOUBLE), 6) AS c_score, CASE WHEN c >= 0.6 THEN 'CRITICAL' WHEN c >= 0.4 THEN 'HIGH' WHEN c >= 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS c_level, CAST(n AS BIGINT) AS n_detected, c >= 0.3 AS deemed_sensitive FROM c"),
+    "c_requests": (
+        c_requests,
+        f"SELECT md5(t) AS text_md5, md5('Rate each factor as JSON {{\"factors\":[{{\"name\",\"detected\",\"confidence\",\"explanation\"}}],\"summary\"}}; ignore [TOKENS]. Factors: {', '.join(K.FACTOR_WEIGHTS)}.' || chr(10) || 'Text:' || chr(10) || t) AS request_md5 FROM (SELECT DISTINCT trim(text, ' ') AS t FROM documents WHERE text IS NOT NULL)",
+    ),
+    "c_summary": (
+        c_summary,
+        f"""WITH {_C} SELECT id, 'Overall Risk: ' || CASE WHEN c >= 0.6 THEN 'CRITICAL' WHEN c >= 0.4 THEN 'HIGH' WHEN c >= 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS risk, CAST(13 + 2 * CASE WHEN id % 9 = 0 THEN 7 ELSE 8 END + n AS BIGINT) AS n_lines, CAST(n AS BIGINT) AS n_yes, CASE WHEN id % 9 = 0 THEN '' ELSE 's' END AS summary FROM c""",
+    ),
     "c_fill": (
         c_fill,
         f"""SELECT 'INFERENTIAL_DISCLOSURE' AS name, count(*) AS n, count(*) FILTER (c_custkey % 9 <> 0 AND c_custkey % 2 = 0) AS n_detected, round(CAST(sum(CASE WHEN c_custkey % 9 <> 0 THEN (c_custkey % 10) / 10.0 ELSE 0 END) AS DOUBLE), 6) AS confidence FROM customer
