@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import folds
+
 SPAN = "array<struct<entity_type:string,start:int,end:int,text:string,confidence:double>>"
 
 
@@ -20,17 +22,12 @@ def matches(text: Column, pattern: str, kind: str, confidence: float) -> Column:
     once: marks go round each match, and the lengths of the pieces between marks give the places."""
     clean = F.translate(text, _MATCH + _END, "\ufffd\ufffd")
     pieces = F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(f"{_MATCH}$0{_END}")), _MATCH)
-    parts = F.transform(pieces, lambda p: F.split(p, _END))  # the first has no match, the others one and what follows
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
-
-    def step(a: Column, p: Column) -> Column:
-        match, rest = F.get(p, F.lit(0)), F.get(p, F.lit(1))
-        end = a["at"] + F.length(match)
-        one = F.struct(F.lit(kind).alias("entity_type"), a["at"].alias("start"), end.alias("end"), match.alias("text"), F.lit(confidence).alias("confidence"))
-        found = F.when(F.size(p) > 1, F.concat(a["found"], F.array(one))).otherwise(a["found"])
-        return F.struct((end + F.coalesce(F.length(rest), F.lit(0))).alias("at"), found.alias("found"))
-
-    return F.aggregate(parts, start, step, lambda a: a["found"])
+    parts = folds.each(pieces, f"p -> split(p, '{_END}')")  # the first has no match, the others one and what follows
+    end = "a.at + length(get(p, 0))"
+    one = f"named_struct('entity_type', {folds.literal(kind)}, 'start', a.at, 'end', {end}, 'text', get(p, 0), 'confidence', {float(confidence)!r}D)"
+    found = f"CASE WHEN size(p) > 1 THEN concat(a.found, array({one})) ELSE a.found END"
+    step = f"(a, p) -> named_struct('at', {end} + coalesce(length(get(p, 1)), 0), 'found', {found})"
+    return folds.fold(parts, f"named_struct('at', 0, 'found', CAST(array() AS {SPAN}))", step, "a -> a.found")
 
 
 def recognize(text: Column, recognizers: dict[str, tuple[str, float, str, bool]], threshold: float = 0.3) -> Column:
@@ -50,8 +47,8 @@ def recognize(text: Column, recognizers: dict[str, tuple[str, float, str, bool]]
 
 def by_start(spans: Column) -> Column:
     """Sorted by start; spans that start together keep the order (end, type)."""
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["entity_type"].alias("c"), s.alias("s")))
-    return F.transform(F.array_sort(keyed), lambda k: k["s"])
+    keyed = folds.each(spans, "s -> named_struct('a', s.start, 'b', s.end, 'c', s.entity_type, 's', s)")
+    return folds.each(F.array_sort(keyed), "k -> k.s")
 
 
 def context(text: Column, span: Column, width: int = 50) -> Column:
@@ -65,10 +62,10 @@ def splice(text: Column, spans: Column, token: str | None = None) -> Column:
     """Replaces spans from the last to the first, each by its original offsets in the text as it
     stands then: overlapping spans cut into their neighbours' tokens. Spans that start together go
     in the order of the array."""
-    keyed = F.transform(spans, lambda s, i: F.struct((-s["start"]).alias("a"), i.alias("i"), s.alias("s")))
-    mark = (lambda s: F.concat(F.lit("["), s["entity_type"], F.lit("]"))) if token is None else (lambda s: F.lit(token))
-    cut = lambda a, s: F.concat(F.substring(a, F.lit(1), s["start"]), mark(s), F.substring(a, s["end"] + 1, F.length(a)))
-    return F.aggregate(F.array_sort(keyed), text, lambda a, k: cut(a, k["s"]))
+    keyed = folds.each(spans, "(s, i) -> named_struct('a', -s.start, 'i', i, 's', s)")
+    mark = "concat('[', k.s.entity_type, ']')" if token is None else folds.literal(token)
+    step = f"(a, k) -> concat(substring(a, 1, k.s.start), {mark}, substring(a, k.s.end + 1, length(a)))"
+    return folds.fold(F.array_sort(keyed), text, step, "a -> a")
 
 
 def disjoint(spans: Column) -> Column:

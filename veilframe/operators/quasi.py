@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from ..functions.constants import AGE_PATTERNS, AGE_RULES, DOB_PATTERNS, GENDERS, OCCUPATION_CONTEXT, OCCUPATIONS, QI_TYPES, STATE_ROWS, STOP_WORDS, ZIP_CONTEXT, ZIP_STATE
 from . import gazetteer
 
@@ -91,14 +92,11 @@ def dedup(qis: Column, by_method: str | None = None) -> Column:
     """One QI for each (type, normalized value): the most confident, or the first of the preferred
     method, ties to the first; in order of first appearance. One fold over the array, which stands
     once in the expression."""
-    rank = (lambda q: q["confidence"]) if by_method is None else (lambda q: (q["method"] == by_method).cast("int"))
-    same = lambda a, q: (a["qi_type"] == q["qi_type"]) & (a["normalized_value"] == q["normalized_value"])
-
-    def step(kept: Column, q: Column) -> Column:
-        better = F.transform(kept, lambda a: F.when(same(a, q) & (rank(q) > rank(a)), q).otherwise(a))
-        return F.when(F.exists(kept, lambda a: same(a, q)), better).otherwise(F.concat(kept, F.array(q)))
-
-    return F.aggregate(qis, _none(), step)
+    rank = "{}.confidence" if by_method is None else f"({{}}.method = {folds.literal(by_method)})"
+    same = "(a.qi_type = q.qi_type AND a.normalized_value = q.normalized_value)"
+    better = f"transform(kept, a -> CASE WHEN {same} AND {rank.format('q')} > {rank.format('a')} THEN q ELSE a END)"
+    step = f"(kept, q) -> CASE WHEN exists(kept, a -> {same}) THEN {better} ELSE concat(kept, array(q)) END"
+    return folds.fold(qis, f"CAST(array() AS {NONE})", step, "kept -> kept")
 
 
 # ---- patterns
@@ -106,53 +104,49 @@ def dedup(qis: Column, by_method: str | None = None) -> Column:
 _MATCH, _PART = "\ufdd0", "\ufdd1"  # code points that no text may hold
 
 
-def _found(text: Column, pattern: str, kind: str, confidence: float, method: str, norm=None, span: str = "match") -> Column:
-    """QIs of a pattern, normalized from its first group. The pattern runs over the text once: marks
-    go round each match, and the pieces between marks give the places. `span` is "match", or "group"
-    for the place of the first group, which must be the first of its kind in the match; with
-    "group in match" the raw value is the whole match all the same."""
+def _found(text: Column, pattern: str, kind: str, confidence: float, method: str, norm: str = "{}", span: str = "match") -> Column:
+    """QIs of a pattern, normalized from its first group by `norm`, SQL text in which {} stands for the
+    group. The pattern runs over the text once: marks go round each match, and the pieces between marks
+    give the places. `span` is "match", or "group" for the place of the first group, which must be the
+    first of its kind in the match; with "group in match" the raw value is the whole match all the same."""
     clean = F.translate(text, _MATCH + _PART, "\ufffd\ufffd")
     marked = F.regexp_replace(clean, F.lit(pattern), F.lit(f"{_MATCH}$0{_PART}$1{_PART}"))
-    pieces = F.transform(F.split(marked, _MATCH), lambda x: F.split(x, _PART))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("found"))
+    pieces = folds.each(F.split(marked, _MATCH), f"x -> split(x, '{_PART}')")
+    whole, group, rest = ("get(p, 0)", "get(p, 1)", "get(p, 2)")
+    begin = "a.at" if span == "match" else f"a.at + instr({whole}, {group}) - 1"
+    end = f"{begin} + length({whole if span == 'match' else group})"
+    fields = {"qi_type": folds.literal(kind), "raw_value": group if span == "group" else whole, "normalized_value": norm.format(group), "confidence": f"{confidence!r}D", "start_pos": begin, "end_pos": end, "method": folds.literal(method)}
+    one = f"named_struct({', '.join(f"'{name}', {value}" for name, value in fields.items())})"
+    step = f"""(a, p) -> CASE WHEN size(p) < 3 THEN named_struct('at', a.at + length({whole}), 'found', a.found)
+        ELSE named_struct('at', a.at + length({whole}) + length({rest}), 'found', concat(a.found, array({one}))) END"""
+    return F.coalesce(folds.fold(pieces, f"named_struct('at', 0, 'found', CAST(array() AS {NONE}))", step, "a -> a.found"), _none())
 
-    def step(a: Column, piece: Column) -> Column:
-        whole, group, rest = (F.get(piece, F.lit(k)) for k in range(3))
-        begin = a["at"] if span == "match" else a["at"] + F.instr(whole, group) - 1
-        end = begin + F.length(whole if span == "match" else group)
-        one = _qi(kind, group if span == "group" else whole, group if norm is None else norm(group), confidence, begin, end, method)
-        return (
-            F.when(F.size(piece) < 3, F.struct((a["at"] + F.length(whole)).alias("at"), a["found"].alias("found")))
-            .otherwise(F.struct((a["at"] + F.length(whole) + F.length(rest)).alias("at"), F.concat(a["found"], F.array(one)).alias("found")))
-        )
 
-    return F.coalesce(F.aggregate(pieces, start, step, lambda a: a["found"]), _none())
+# What stands in the end of a told occupation and doesn't belong to it.
+_STOPS = f"(?i)(^|\\s+)((?:{'|'.join(STOP_WORDS)})[.,;:]*\\s*)+$"
+_ONE_BLANK = f"trim(regexp_replace({{}}, {folds.literal(r'\s+')}, ' '))"
+_TRIMMED = f"regexp_replace(trim(regexp_replace({_ONE_BLANK}, {folds.literal(_STOPS)}, '')), '[.,;:]+$', '')"
+_YEARS = "coalesce(CAST(try_cast({0} AS int) AS string), {0})"  # without leading zeros
 
 
 def trim_capture(value: Column) -> Column:
     """Without stop words and punctuation at the end, words one blank apart; empty if nothing else
     is there."""
-    stops = "|".join(STOP_WORDS)
     one = F.trim(F.regexp_replace(value, r"\s+", " "))
-    return F.regexp_replace(F.trim(F.regexp_replace(one, f"(?i)(^|\\s+)((?:{stops})[.,;:]*\\s*)+$", "")), "[.,;:]+$", "")
-
-
-def _years(value: Column) -> Column:
-    """An age without leading zeros."""
-    return F.coalesce(value.try_cast("int").cast("string"), value)
+    return F.regexp_replace(F.trim(F.regexp_replace(one, _STOPS, "")), "[.,;:]+$", "")
 
 
 def _lived(qis: Column) -> Column:
-    return F.filter(qis, lambda q: q["normalized_value"].try_cast("int").between(0, 120))
+    return folds.keep(qis, "q -> try_cast(q.normalized_value AS int) BETWEEN 0 AND 120")
 
 
 def ages(text: Column) -> Column:
-    return _lived(F.concat(*(_found(text, f"(?i){p}", "age", 0.9, "pattern", _years) for p in AGE_PATTERNS)))
+    return _lived(F.concat(*(_found(text, f"(?i){p}", "age", 0.9, "pattern", _YEARS) for p in AGE_PATTERNS)))
 
 
 def told_ages(text: Column) -> Column:
     """Ages by the token rules of a named-entity recognizer."""
-    return _lived(_found(text, AGE_RULES, "age", 0.9, "ner", lambda v: _years(F.regexp_extract(v, "[0-9]+", 0))))
+    return _lived(_found(text, AGE_RULES, "age", 0.9, "ner", _YEARS.replace("{0}", "regexp_extract({0}, '[0-9]+', 0)")))
 
 
 def births(text: Column) -> Column:
@@ -162,24 +156,27 @@ def births(text: Column) -> Column:
 def zips(text: Column) -> Column:
     """ZIPs in context, then those after a state that the context didn't give."""
     near = _found(text, f"(?i){ZIP_CONTEXT}", "zip_code", 0.95, "pattern", span="group")
-    seen = F.transform(near, lambda q: q["normalized_value"])
+    seen = folds.each(near, "q -> q.normalized_value")
     return F.concat(near, F.filter(_found(text, ZIP_STATE, "zip_code", 0.9, "pattern", span="group in match"), lambda q: ~F.array_contains(seen, q["normalized_value"])))
 
 
+def _by_name(table: dict[str, str]) -> str:
+    return f"try_element_at(map({', '.join(folds.literal(x) for pair in table.items() for x in pair)}), lower({{}}))"
+
+
 def genders(text: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in GENDERS.items() for x in pair])
-    return _found(text, r"(?i)\b(male|female|man|woman|boy|girl)\b", "gender", 0.95, "ner", lambda v: F.try_element_at(table, F.lower(v)))
+    return _found(text, r"(?i)\b(male|female|man|woman|boy|girl)\b", "gender", 0.95, "ner", _by_name(GENDERS))
 
 
 def named_occupations(text: Column) -> Column:
-    return _found(text, f"(?i)\\b({'|'.join(OCCUPATIONS)})\\b", "occupation", 0.85, "phrase", F.lower)
+    return _found(text, f"(?i)\\b({'|'.join(OCCUPATIONS)})\\b", "occupation", 0.85, "phrase", "lower({})")
 
 
 def told_occupations(text: Column) -> Column:
     """What stands where an occupation is told."""
-    told = F.concat(*(_found(text, f"(?i){p}", "occupation", 0.8, "pattern", lambda v: F.lower(trim_capture(v))) for p in OCCUPATION_CONTEXT))
+    told = F.concat(*(_found(text, f"(?i){p}", "occupation", 0.8, "pattern", f"lower({_TRIMMED})") for p in OCCUPATION_CONTEXT))
     bare = F.transform(told, lambda q: q.withField("raw_value", F.trim(q["raw_value"])))
-    return F.filter(bare, lambda q: F.length(q["normalized_value"]) >= 3)
+    return folds.keep(bare, "q -> length(q.normalized_value) >= 3")
 
 
 def occupations(text: Column) -> Column:
@@ -188,18 +185,18 @@ def occupations(text: Column) -> Column:
 
 def states(text: Column) -> Column:
     """Upper-case abbreviations and names of states, as names."""
-    short = F.create_map(*[F.lit(x) for a, name, _ in STATE_ROWS for x in (a, name)])
+    short = _by_name({a: name for a, name, _ in STATE_ROWS})
     names = "|".join(sorted((name for _, name, _ in STATE_ROWS), key=len, reverse=True))
     codes = "|".join(a.upper() for a, _, _ in STATE_ROWS)
     return F.concat(
-        _found(text, f"(?i)\\b({names})\\b", "location", 0.85, "ner", F.lower),
-        _found(text, f"\\b({codes})\\b", "location", 0.85, "ner", lambda v: F.try_element_at(short, F.lower(v))),
+        _found(text, f"(?i)\\b({names})\\b", "location", 0.85, "ner", "lower({})"),
+        _found(text, f"\\b({codes})\\b", "location", 0.85, "ner", short),
     )
 
 
 def terms(text: Column, kind: str, words: list[str], confidence: float = 0.9, method: str = "ner") -> Column:
     """Entries of a dictionary, such as diseases, places or peoples."""
-    return _found(text, "(?i)\\b(" + "|".join(words) + ")\\b", kind, confidence, method, F.lower)
+    return _found(text, "(?i)\\b(" + "|".join(words) + ")\\b", kind, confidence, method, "lower({})")
 
 
 def of_dictionary(found: Column, kinds: tuple[str, ...], method: str = "ner") -> Column:
@@ -218,8 +215,8 @@ def recognized(text: Column, places: list[str] | None = None, peoples: list[str]
         parts.append(terms(text, "ethnicity", peoples, 0.7))
     if found is not None:
         parts += [of_dictionary(found, ("location",)), of_dictionary(found, ("ethnicity",))]
-    keyed = F.transform(F.concat(*parts), lambda q: F.struct(q["start_pos"].alias("a"), q["end_pos"].alias("b"), q["qi_type"].alias("c"), q.alias("q")))
-    return F.transform(F.array_sort(keyed), lambda k: k["q"])
+    keyed = folds.each(F.concat(*parts), "q -> named_struct('a', q.start_pos, 'b', q.end_pos, 'c', q.qi_type, 'q', q)")
+    return folds.each(F.array_sort(keyed), "k -> k.q")
 
 
 def extract(

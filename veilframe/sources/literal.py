@@ -6,27 +6,15 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def _sql(value) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, float):
-        return f"{value!r}D"
-    if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    if isinstance(value, (list, tuple)):
-        return f"array({', '.join(map(_sql, value))})"
-    return str(value)
+from ..functions import folds
 
 
 def table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     """The rows, not none, with the names and types of the schema."""
     fields = T.StructType.fromDDL(schema).fields
-    values = ", ".join(f"({', '.join(map(_sql, r))})" for r in rows)
+    values = ", ".join(f"({', '.join(map(folds.literal, r))})" for r in rows)
     names = ", ".join(f"`{f.name}`" for f in fields)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})").select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields))
+    typed = ", ".join(f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in fields)
+    return spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({names})")
