@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import folds
 from .constants import RISKY_SETS
 
 MASK = "\\[[A-Z_]+\\]"
@@ -37,11 +38,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 def risky_sets(types: Column) -> Column:
     """How many of the risky sets the types hold."""
-    held = [F.when(F.size(F.array_except(F.array(*map(F.lit, s)), types)) == 0, 1).otherwise(0) for s in RISKY_SETS]
-    total = held[0]
-    for h in held[1:]:
-        total = total + h
-    return total
+    sets = "array(" + ", ".join(folds.literal(list(one)) for one in RISKY_SETS) + ")"
+    return F.size(F.filter(F.expr(sets), lambda one: F.size(F.array_except(one, types)) == 0))
 
 
 def sample_hash(name: Column, text: Column, critical: Column) -> Column:
@@ -57,4 +55,4 @@ def median(values: Column) -> Column:
 
 
 def mean(values: Column) -> Column:
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)).otherwise(0.0)
+    return F.when(F.size(values) > 0, folds.fold(values, "0.0D", "(a, x) -> a + x", "a -> a") / F.size(values)).otherwise(0.0)

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from ..functions.constants import K_DEFAULT, K_GRID, SENSITIVE_AT
 from ..functions.recognizers import STRUCTURED
 from ..sources.shared import stored
@@ -51,7 +52,7 @@ def assess(
     rows = explicit.score_explicit(samples, text, recognizers=recognizers)
     rows = anonymity.score(anonymity.with_frequencies(find(rows, "e_masked"), population, id, today=today), "e_masked", k=k)
     rows = rows.withColumns({"q_score": F.round("q_score", 4), "expected_k": F.round("expected_k", 4)})  # as reported
-    swept = F.transform(F.array(*map(F.lit, grid)), lambda at: F.struct(at.alias("k"), sweep.mask_for_k(F.col("e_masked"), F.col("qis"), at).alias("m")))
+    swept = F.transform(folds.constants(grid), lambda at: F.struct(at.alias("k"), sweep.mask_for_k(F.col("e_masked"), F.col("qis"), at).alias("m")))
     rows = stored(features.all_features(rows.withColumn("_swept", swept), text), "assessed")
     roles = [F.struct(F.lit("q").alias("role"), F.col("q_masked").alias("text")), F.struct(F.lit("e").alias("role"), F.col("e_masked").alias("text"))]
     by_k = F.transform("_swept", lambda s: F.struct(s["k"].cast("string").alias("role"), s["m"]["text"].alias("text")))

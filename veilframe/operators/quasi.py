@@ -18,7 +18,7 @@ NONE = "array<" + QI + ">"
 
 
 def _none() -> Column:
-    return F.array().cast(NONE)
+    return F.expr(f"CAST(array() AS {NONE})")
 
 
 def _qi(kind: str | Column, raw: Column, norm: Column, confidence: float | Column, start: Column, end: Column, method: str) -> Column:

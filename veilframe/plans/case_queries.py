@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import K_GRID, RECOGNIZERS
 from ..operators import assess, contextual, evaluate, features, policy, quasi, sweep
 from ..sources import results
+from ..sources.shared import stored
 from . import policy_queries as P
 from . import quasi_queries as Q
 from . import rendered as R
@@ -44,7 +45,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     find = lambda df, of: quasi.extract(df, of, Q.DISEASES, Q.PEOPLES, Q.PLACES)
-    people = Q.full_population(spark).cache()  # some 200 rows, joined twice
+    people = stored(Q.full_population(spark), "population")  # some 200 rows, joined twice
     return assess.assess(_cases(spark, sf_dir), people, reply, "id", recognizers=CASE_RECOGNIZERS, extract=find, today=F.lit(Q.TODAY).cast("date"), sensitive_at=0.15)
 
 

@@ -1,4 +1,5 @@
-"""Queries on runs: batches that are replayed, a client whose memo outlives the run."""
+"""Queries on runs: batches that are replayed, a client whose memo outlives the run, streams whose
+state expires."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources import client, commits
 from ..sources.shared import new_path
+from ..streaming import resume, state
 from .explicit_queries import read
 
 
@@ -40,7 +42,36 @@ def client_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.md5("reply").alias("reply_md5"), "error")
 
 
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in two runs of a stream that lets a user through once an hour: (user_id, run) with the
+    run that the user came through in."""
+    source, out, checkpoint = (new_path(spark, f"once-{x}") for x in ("in", "out", "check"))
+    events = read(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 2).cast("int").alias("run"))
+    for k in range(2):
+        events.where(F.col("run") == k).write.mode("append").parquet(source)
+        resume.run_available(resume.read_files(spark, source, events.schema), lambda rows: rows, out, checkpoint, "user_id", seconds=3600)
+    return spark.read.parquet(out).select("user_id", "run")
+
+
+def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache fed by a stream: customers are written (one in five as a known absence, one in three not
+    at all), and in the next run each order asks for its customer."""
+    source, out, checkpoint = (new_path(spark, f"cache-{x}") for x in ("in", "out", "check"))
+    name = F.when(F.col("c_custkey") % 5 > 0, F.col("c_name"))
+    puts = read(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.lit(None).cast("long").alias("request_id"), F.col("c_custkey").alias("cache_key"), name.alias("payload"), F.lit(True).alias("is_put"))
+    asks = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("cache_key"), F.lit(None).cast("string").alias("payload"), F.lit(False).alias("is_put"))
+    for rows in (puts, asks):
+        rows.write.mode("append").parquet(source)
+        state.append_available(state.cache(resume.read_files(spark, source, asks.schema), 3600), out, checkpoint)
+    return spark.read.parquet(out).select("request_id", "cache_key", "payload", "hit")
+
+
 REGISTRY = {
+    "stream_once": (stream_once, "SELECT user_id, CAST(min(event_id % 2) AS INT) AS run FROM events GROUP BY user_id"),
+    "stream_cache": (
+        stream_cache,
+        "SELECT o_orderkey AS request_id, o_custkey AS cache_key, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS payload, c_custkey IS NOT NULL AS hit FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 > 0) ON c_custkey = o_custkey",
+    ),
     "commit_upserts": (
         commit_upserts,
         "SELECT o_orderkey, round(o_totalprice + 1000 * k, 4) AS price, k::INT AS at FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 2 WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS k FROM orders)",

@@ -4,14 +4,19 @@ State stands in the RocksDB store of the stream's checkpoint, which spills to di
 so it is bounded by the keys of one time to live, not by all keys ever seen. A key whose time has run
 out leaves the state and comes through again. The time is that of the batch. Null is a key like any
 other; rows of a key within a batch are streamed, and the first of them comes through.
+
+Spark starts a worker of its own to set up such a query, which doesn't see this package unless it is
+installed; so the processors go there by value.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +25,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @contextmanager
 def expiring(spark: SparkSession) -> Iterator[None]:
     """Queries that start within have the store that state with a time to live needs, and no batches
