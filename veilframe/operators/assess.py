@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import folds
 from ..functions.constants import K_DEFAULT, K_GRID, SENSITIVE_AT
 from ..functions.recognizers import STRUCTURED
+from ..sources import blocks, commits, results
 from ..sources.shared import stored
 from . import anonymity, contextual, explicit, features, quasi, sweep
 
@@ -39,6 +40,7 @@ def assess(
     k: int = K_DEFAULT,
     grid: tuple[int, ...] = K_GRID,
     sensitive_at: float = SENSITIVE_AT,
+    more: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The wide row of each sample, told apart by `id`.
 
@@ -46,14 +48,16 @@ def assess(
     contextual score is of the text with both masked; that of the first mask alone and those of the
     masks for each k of the grid stand beside it. `reply` gives a model's reply to a text, as an
     expression or a pandas UDF, and sees each distinct text once; `extract` (df, text column) adds
-    the array `qis` (patterns, if not given). The rows before the contextual score are written to the
+    the array `qis` (patterns, if not given); `more` adds features of one's own, columns of a row that
+    has all but the contextual ones. The rows before the contextual score are written to the
     shared folder, as they are read for the distinct texts and for the result."""
     find = extract or (lambda df, of: quasi.extract(df, of))
     rows = explicit.score_explicit(samples, text, recognizers=recognizers)
     rows = anonymity.score(anonymity.with_frequencies(find(rows, "e_masked"), population, id, today=today), "e_masked", k=k)
     rows = rows.withColumns({"q_score": F.round("q_score", 4), "expected_k": F.round("expected_k", 4)})  # as reported
     swept = F.transform(folds.constants(grid), lambda at: F.struct(at.alias("k"), sweep.mask_for_k(F.col("e_masked"), F.col("qis"), at).alias("m")))
-    rows = stored(features.all_features(rows.withColumn("_swept", swept), text), "assessed")
+    rows = features.all_features(rows.withColumn("_swept", swept), text)
+    rows = stored(more(rows) if more else rows, "assessed")
     roles = [F.struct(F.lit("q").alias("role"), F.col("q_masked").alias("text")), F.struct(F.lit("e").alias("role"), F.col("e_masked").alias("text"))]
     by_k = F.transform("_swept", lambda s: F.struct(s["k"].cast("string").alias("role"), s["m"]["text"].alias("text")))
     scored = judged(rows.select(id, F.explode_outer(F.concat(F.array(*roles), by_k)).alias("_t")).select(id, "_t.*"), reply)
@@ -67,3 +71,23 @@ def assess(
         .withColumns({"has_direct": F.col("has_direct_identifier"), "has_combo": F.col("has_high_risk_combo")})
         .drop("_swept")
     )
+
+
+def run(spark: SparkSession, inputs: str, path: str, population: DataFrame, reply: Callable[[Column], Column], max_samples: int | None = None, sensitive_at: float = SENSITIVE_AT, **how) -> DataFrame:
+    """Assesses the samples of block files that this run hasn't assessed yet, and gives the result rows
+    of all its samples, one for each hash.
+
+    A run is told by the bytes of its inputs, the threshold and the version: each has a table of commits
+    below `path`, so a run that was cut off or limited (`max_samples` of each file) goes on, and one with
+    other inputs or another threshold begins anew. `how` goes to `assess`."""
+    table = f"{path}/version={results.VERSION}/inputs={blocks.input_hash(spark, inputs)}/at={float(sensitive_at)}"
+    read = lambda: commits.read(spark, table, "sample_hash", "processed_at")
+    told = blocks.hashed(blocks.parse_loose(blocks.read(spark, inputs), max_samples=max_samples))
+    first = F.min_by(F.struct("name", "text", "expected_critical"), F.struct("file", "block"))
+    samples = told.groupBy("sample_hash").agg(first.alias("s")).select("sample_hash", "s.*")
+    done = read()
+    new = samples if done is None else results.todo(samples, done)
+    if done is None or not new.isEmpty():
+        rows = results.result_rows(assess(new, population, reply, "sample_hash", sensitive_at=sensitive_at, **how))
+        commits.commit(rows, table, commits.manifest(spark, table).last.get("", -1) + 1)
+    return results.reused(samples, read())

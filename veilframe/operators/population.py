@@ -128,6 +128,15 @@ def diseases(survey: DataFrame, rare_: DataFrame) -> DataFrame:
     return survey.unionByName(rare_.join(survey.select("value"), "value", "left_anti").select(survey.columns))
 
 
+def first_known(*sources: DataFrame) -> DataFrame:
+    """Sources of one's own (qi_type, value, probability, population_count, source) as one: of those that
+    know a value the first counts, and of several rows in it the most probable. Values without a
+    probability aren't known."""
+    every = reduce(DataFrame.unionByName, (s.select("qi_type", "value", "probability", "population_count", "source", F.lit(-k).alias("_turn")) for k, s in enumerate(sources)))
+    best = F.max_by(F.struct("probability", "population_count", "source"), F.struct("_turn", "probability", "population_count", "source"))
+    return every.where("probability is not null").groupBy("qi_type", "value").agg(best.alias("b")).select("qi_type", "value", "b.*")
+
+
 def occupations(codes: DataFrame, employment: DataFrame, total: float = EMPLOYED) -> DataFrame:
     """Occupations by name (value, soc) and code (soc, people)."""
     return _rows(codes.join(employment, "soc"), "occupation", F.col("value"), F.col("people") / total, F.col("people"), "employment")

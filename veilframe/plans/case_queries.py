@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import K_GRID, RECOGNIZERS
 from ..operators import assess, contextual, evaluate, features, policy, quasi, sweep
 from ..sources import results
-from ..sources.shared import stored
+from ..sources.shared import new_path, stored
 from . import policy_queries as P
 from . import quasi_queries as Q
 from . import rendered as R
@@ -100,6 +100,23 @@ def case_optimal_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("k", *(F.round(c, 6).alias(c) for c in ("c_mean", "c_std", "masked_mean", "masked_std", "reduction", "baseline")))
 
 
+def case_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases as block files, assessed by a run that was limited at first and then went on; its result
+    rows are written as JSON and read again for the policy."""
+    inputs, runs, told = (new_path(spark, f"run-{x}") for x in ("inputs", "table", "json"))
+    head = F.concat(F.lit("# name: case "), F.col("id").cast("string"), F.lit("\n# expected_critical: "), F.col("expected_critical").cast("string"), F.lit("\n"))
+    _cases(spark, sf_dir).select(F.concat(head, F.col("text"), F.lit("\n---")).alias("value")).repartition(4).write.text(inputs)
+    find = lambda df, of: quasi.extract(df, of, Q.DISEASES, Q.PEOPLES, Q.PLACES)
+    people = stored(Q.full_population(spark), "population")
+    how = {"recognizers": CASE_RECOGNIZERS, "extract": find, "today": F.lit(Q.TODAY).cast("date"), "sensitive_at": 0.15}
+    assess.run(spark, inputs, runs, people, reply, max_samples=10, **how)
+    results.write_json(assess.run(spark, inputs, runs, people, reply, **how), told)
+    rows = results.read_json(spark, told, results.RESULT_SCHEMA, lines=True)
+    d = policy.decide(results.classification(rows)).select("sample_hash", "rule", "tier", F.array_join("reasons", "; ").alias("reasons"))
+    r = lambda c: F.round(c, 6).alias(c)
+    return rows.join(d, "sample_hash").select("sample_name", "sample_hash", "expected_critical", r("e_score"), "q_score", r("c_score_risk_score"), "c_score_factor_count", F.array_join("e_score_entity_types", "|").alias("e_types"), F.size("q_score_qi_types").cast("long").alias("n_qi"), "c_score_deemed_sensitive", F.size("c_scores_by_k").alias("n_k"), "rule", "tier", "reasons")
+
+
 def c_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suite's rows: one case in six has no reply, hence an error and no detections."""
     cases = _cases(spark, sf_dir).withColumn("reply", F.when(F.col("id") % 6 > 0, reply(F.col("text"))))
@@ -154,8 +171,19 @@ kk AS (SELECT id, k, text, 0 AS n, length(text) AS upto, 0 AS i FROM narr, (SELE
  SELECT kk.id, kk.k, CASE WHEN end_pos <= upto THEN substr(text, 1, start_pos) || '[REDACTED]' || substr(text, end_pos + 1) ELSE text END, n + CASE WHEN end_pos <= upto THEN 1 ELSE 0 END, CASE WHEN end_pos <= upto THEN start_pos ELSE upto END, so.i FROM kk JOIN so ON so.id = kk.id AND so.k = kk.k AND so.i = kk.i + 1),
 kt AS (SELECT id, k, arg_max(text, i) AS text, max(n) AS n FROM kk GROUP BY id, k)"""
 _DECIDED = """pd AS (SELECT *, e_score + q_score + c_score AS t FROM fx), pr AS (SELECT *, CASE WHEN has_direct_identifier THEN 'R1' WHEN t >= 1.2 THEN 'R2' WHEN c_score >= 0.3 THEN 'R3' WHEN e_score >= 0.5 THEN 'R4a' WHEN rd OR ro THEN 'R4b' WHEN q_score >= 0.5 THEN 'R4c' WHEN has_high_risk_combo AND t >= 0.6 THEN 'R5' WHEN c_score >= 0.12 THEN 'R6' WHEN e_score >= 0.3 AND q_score > 0 THEN 'R7' ELSE 'default' END AS rule FROM pd)"""
+_TOLD = f"nm AS (SELECT *, array_to_string(list_sort(list_filter([{_NAMES.format(t='q_masked')}], lambda x: x IS NOT NULL)), ', ') AS told FROM pr)"
+_REASONS = """CASE rule WHEN 'R1' THEN 'Direct identifier detected (SSN, passport, etc.)' WHEN 'R2' THEN printf('Combined score %.2f >= 1.2', t) WHEN 'R3' THEN printf('High contextual sensitivity: C-Score %.2f', c_score) || CASE WHEN told <> '' THEN '; Factors: ' || told ELSE '' END WHEN 'R4a' THEN printf('High explicit PII: E-Score %.2f', e_score)
+WHEN 'R4b' THEN 'Rare quasi-identifier detected (disease or occupation)' WHEN 'R4c' THEN printf('High re-identification risk: Q-Score %.2f', q_score) WHEN 'R5' THEN 'High-risk entity combination (PERSON+LOCATION+DATETIME); ' || printf('Combined score %.2f with risk factors', t) WHEN 'R6' THEN printf('Moderate contextual sensitivity: C-Score %.2f', c_score)
+WHEN 'R7' THEN 'Moderate PII with quasi-identifiers present' ELSE 'No significant sensitivity indicators detected; ' || printf('Scores: E=%.2f, Q=%.2f, C=%.2f', e_score, q_score, c_score) END"""
 
 REGISTRY = {
+    "case_run": (
+        case_run,
+        f"""WITH RECURSIVE {CASE_SQL}, {_DECIDED}, {_TOLD}
+SELECT 'case ' || id AS sample_name, substr(md5('case ' || id || '|' || text || '|' || CASE WHEN id % 5 = 0 THEN 'True' ELSE 'False' END), 1, 12) AS sample_hash, id % 5 = 0 AS expected_critical, round(e_score, 6) AS e_score, q_score, round(c_score, 6) AS c_score_risk_score,
+CAST(CASE WHEN told = '' THEN 0 ELSE len(string_split(told, ', ')) END AS BIGINT) AS c_score_factor_count, coalesce((SELECT array_to_string(list_sort(list_distinct(list(entity_type))), '|') FROM ent WHERE ent.id = nm.id), '') AS e_types, CAST(q_score_qi_count AS BIGINT) AS n_qi, c_score >= 0.15 AS c_score_deemed_sensitive, {len(K_GRID)} AS n_k, rule,
+CASE WHEN rule IN ('R1', 'R2', 'R3') THEN 'restricted' WHEN rule = 'default' THEN 'unrestricted' ELSE 'confidential' END AS tier, {_REASONS} AS reasons FROM nm""",
+    ),
     "case_features": (case_features, f"WITH RECURSIVE {CASE_SQL} SELECT id, entity_type_combo_signature, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in ALL) + " FROM fx"),
     "case_masks": (case_masks, f"WITH RECURSIVE {CASE_SQL} SELECT id, md5(e_masked) AS e_md5, md5(q_masked) AS q_md5, round(c_score, 6) AS c_score, round(c_original, 6) AS c_original, CASE WHEN c_score >= 0.6 THEN 'CRITICAL' WHEN c_score >= 0.4 THEN 'HIGH' WHEN c_score >= 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS c_level, array_to_string(list_sort(list_filter([{_NAMES.format(t='q_masked')}], lambda x: x IS NOT NULL)), '|') AS detected FROM fx"),
     "case_correlations": (case_correlations, f"WITH RECURSIVE {CASE_SQL} {_ROWS}"),
@@ -165,11 +193,9 @@ REGISTRY = {
     "case_scatter": (case_scatter, f"WITH RECURSIVE {CASE_SQL} " + " UNION ALL ".join(f"SELECT id, '{f}' AS feature, round(CAST({f} AS DOUBLE), 6) AS value, round(c_score, 6) AS score, c_score >= 0.15 AS y FROM fx" for f in features.SCATTERED)),
     "case_policy": (
         case_policy,
-        f"""WITH RECURSIVE {CASE_SQL}, {_DECIDED}, nm AS (SELECT *, array_to_string(list_sort(list_filter([{_NAMES.format(t='q_masked')}], lambda x: x IS NOT NULL)), ', ') AS told FROM pr)
+        f"""WITH RECURSIVE {CASE_SQL}, {_DECIDED}, {_TOLD}
 SELECT id, rule, CASE WHEN rule IN ('R1', 'R2', 'R3') THEN 'restricted' WHEN rule = 'default' THEN 'unrestricted' ELSE 'confidential' END AS tier, CASE WHEN rule IN ('R1', 'R2', 'R3') THEN 'local' WHEN rule = 'default' THEN 'cloud' ELSE 'tee' END AS routing,
-CASE rule WHEN 'R1' THEN 'Direct identifier detected (SSN, passport, etc.)' WHEN 'R2' THEN printf('Combined score %.2f >= 1.2', t) WHEN 'R3' THEN printf('High contextual sensitivity: C-Score %.2f', c_score) || CASE WHEN told <> '' THEN '; Factors: ' || told ELSE '' END WHEN 'R4a' THEN printf('High explicit PII: E-Score %.2f', e_score)
-WHEN 'R4b' THEN 'Rare quasi-identifier detected (disease or occupation)' WHEN 'R4c' THEN printf('High re-identification risk: Q-Score %.2f', q_score) WHEN 'R5' THEN 'High-risk entity combination (PERSON+LOCATION+DATETIME); ' || printf('Combined score %.2f with risk factors', t) WHEN 'R6' THEN printf('Moderate contextual sensitivity: C-Score %.2f', c_score)
-WHEN 'R7' THEN 'Moderate PII with quasi-identifiers present' ELSE 'No significant sensitivity indicators detected; ' || printf('Scores: E=%.2f, Q=%.2f, C=%.2f', e_score, q_score, c_score) END AS reasons,
+{_REASONS} AS reasons,
 CASE WHEN rule NOT IN ('R1', 'R2', 'R3', 'default') THEN md5(q_masked) END AS masked_md5 FROM nm""",
     ),
     "case_k_scores": (case_k_scores, f"WITH RECURSIVE {CASE_SQL}, {_KTEXT} SELECT id, CAST(k AS INT) AS k, round({_score('text')}, 6) AS c_score, CAST(n AS BIGINT) AS k_masked FROM kt"),

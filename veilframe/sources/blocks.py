@@ -21,6 +21,12 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"))
 
 
+def input_hash(spark: SparkSession, path: str) -> str:
+    """One hash of all files: of their fingerprints in order, which are a line a file."""
+    prints = fingerprint(spark, path).agg(F.md5(F.array_join(F.array_sort(F.collect_list("md5")), "")).alias("md5"))
+    return prints.first()["md5"]
+
+
 def _meta(lines: Column, key: str) -> Column:
     found = F.filter(lines, lambda x: F.lower(F.trim(F.regexp_extract(x, META, 1))) == key)
     last = F.get(found, F.size(found) - 1)

@@ -10,14 +10,89 @@ from ..functions.constants import DIRECT_TYPES
 
 VERSION = "2.0"
 
-
-def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Rows of JSON arrays or objects, a document a file."""
-    reader = spark.read.option("multiLine", True)
+# The fields of a result row in order, with their types, and the column or expression of an
+# assessed row that each comes from. Stages run for all rows at once, so a row has no time of its own.
+RESULT_FIELDS = """
+sample_name string name
+sample_hash string sample_hash
+original_text string text
+expected_critical boolean expected_critical
+e_score double e_score
+e_score_entity_count bigint e_score_entity_count
+e_score_entity_types array<string> e_types
+e_score_max_weight double e_max_weight
+e_score_mean_confidence double e_mean_confidence
+e_score_median_confidence double e_median_confidence
+e_score_masked_text string e_masked
+q_score double q_score
+q_score_expected_k double expected_k
+q_score_qi_count bigint q_score_qi_count
+q_score_qi_types array<string> qis.qi_type
+q_score_mean_confidence double q_mean_confidence
+q_score_median_confidence double q_median_confidence
+q_score_has_rare_disease boolean rare_disease
+q_score_has_rare_occupation boolean rare_occupation
+q_score_masked_text string q_masked
+c_score_risk_level string c_level
+c_score_risk_score double c_score
+c_score_factors_detected array<string> detected
+c_score_factor_count bigint size(detected)
+c_score_deemed_sensitive boolean deemed_sensitive
+text_length bigint text_length
+word_count bigint word_count
+sentence_count bigint sentence_count
+masked_text_length bigint masked_text_length
+mask_token_count bigint mask_token_count
+mask_ratio double mask_ratio
+chars_masked_ratio double chars_masked_ratio
+remaining_word_count bigint remaining_word_count
+total_entity_count bigint total_entity_count
+unique_entity_type_count bigint unique_entity_type_count
+entity_density double entity_density
+has_person boolean has_person
+has_location boolean has_location
+has_datetime boolean has_datetime
+has_organization boolean has_organization
+has_direct_identifier boolean has_direct_identifier
+narrative_entity_count bigint narrative_entity_count
+direct_identifier_count bigint direct_identifier_count
+has_high_risk_combo boolean has_high_risk_combo
+high_risk_combo_count bigint high_risk_combo_count
+entity_type_combo_signature string entity_type_combo_signature
+e_q_score_sum double e_q_score_sum
+e_q_score_product double e_q_score_product
+e_q_score_max double e_q_score_max
+score_disparity double score_disparity
+e_score_coverage double e_score_coverage
+q_score_coverage double q_score_coverage
+combined_mean_confidence double combined_mean_confidence
+combined_median_confidence double combined_median_confidence
+e_score_time double NULL
+q_score_time double NULL
+c_score_time double NULL
+processed_at string date_format(current_timestamp(),"yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+c_score_original_risk_score double c_original
+c_score_original_deemed_sensitive boolean original_sensitive
+c_scores_by_k map<string,double> c_scores_by_k
+masked_counts_by_k map<string,bigint> masked_counts_by_k
+"""
+_FIELDS = [line.split(" ") for line in RESULT_FIELDS.strip().split("\n")]
+RESULT_SCHEMA = ", ".join(f"{name} {kind}" for name, kind, _ in _FIELDS)
+
+
+def result_rows(assessed: DataFrame) -> DataFrame:
+    """The result rows of assessed samples (name, sample_hash, text, expected_critical)."""
+    return assessed.selectExpr(*(f"CAST({of} AS {kind}) AS {name}" for name, kind, of in _FIELDS))
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """Rows of JSON arrays or objects, a document a file, or of a row a line, as `write_json` has it."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
+    """A row a line, so that large files can be read in parts."""
     df.write.mode("overwrite").json(path)
 
 
