@@ -149,3 +149,27 @@ def rates(decided: DataFrame, expected: str = "expected_critical") -> DataFrame:
         share(F.count_if(F.col(expected) & open_), critical).alias("leak_rate"),
         share(F.count_if(~F.col(expected) & open_), plain).alias("efficiency"),
     )
+
+
+def summary_text(decided: DataFrame, expected: str = "expected_critical") -> DataFrame:
+    """One row with the decisions in words: rows of each tier and its routing with their shares,
+    expected against decided, and the rates. All of it comes from one aggregate of six counts."""
+    n = lambda critical, tier: F.count_if((F.col(expected) if critical else ~F.col(expected)) & (F.col("tier") == tier))
+    name = lambda critical, tier: f"{tier}_{'critical' if critical else 'plain'}"
+    counts = decided.agg(*(n(c, t).alias(name(c, t)) for c in (True, False) for t in TIERS))
+    of = lambda t: F.col(name(True, t)) + F.col(name(False, t))
+    row = lambda c: [F.col(name(c, t)) for t in TIERS]
+    total = lambda c: sum(row(c)[1:], row(c)[0])
+    everything = total(True) + total(False)
+    percent = lambda a, b: F.round(100.0 * F.coalesce(F.try_divide(a, b), F.lit(0.0)), 1)
+    safe = total(True) - F.col(name(True, "unrestricted"))
+    line = lambda form, *values: F.format_string(form, *values)
+    lines = [
+        *(line("  %-15s %-6s %6d (%5.1f%%)", F.lit(t), F.lit(ACTIONS[t][1]), of(t), percent(of(t), everything)) for t in TIERS),
+        line("  %-15s" + " %13s" * len(TIERS), F.lit("Expected"), *(F.lit(t) for t in TIERS)),
+        line("  %-15s" + " %13d" * len(TIERS), F.lit("critical"), *row(True)), line("  %-15s" + " %13d" * len(TIERS), F.lit("not critical"), *row(False)),
+        line("Critical rows protected: %d/%d (%.1f%%)", safe, total(True), percent(safe, total(True))),
+        line("Critical rows leaked: %d/%d (%.1f%%)", F.col(name(True, "unrestricted")), total(True), percent(F.col(name(True, "unrestricted")), total(True))),
+        line("Other rows unrestricted: %d/%d (%.1f%%)", F.col(name(False, "unrestricted")), total(False), percent(F.col(name(False, "unrestricted")), total(False))),
+    ]
+    return counts.select(F.concat_ws("\n", *lines).alias("summary"))

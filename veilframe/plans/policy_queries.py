@@ -73,6 +73,11 @@ def policy_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.rates(_decided(spark, sf_dir)).select(*(F.round(c, 6).alias(c) for c in ("protected_rate", "leak_rate", "efficiency")))
 
 
+def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions in words."""
+    return policy.summary_text(_decided(spark, sf_dir))
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -293,6 +298,12 @@ _Y = "CAST(y AS DOUBLE)"
 _CORR = "co AS (" + " UNION ALL ".join(f"SELECT {k} AS ord, '{f}' AS feature, round({corr_sql(f, _Y)}, 6) AS corr FROM sc" for k, f in enumerate(FEATURES)) + ")"
 _CELLS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round({corr_sql(a, b, NAN)}, 6) AS corr FROM sc" for a in FEATURES for b in FEATURES)
 _TS = "tm AS (SELECT i, CAST(i AS DOUBLE) / 49 AS t, count(*) FILTER (y AND c_score >= CAST(i AS DOUBLE) / 49) AS tp, count(*) FILTER (NOT y AND c_score >= CAST(i AS DOUBLE) / 49) AS fp, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM sc, range(50) r(i) GROUP BY i), mt AS (SELECT i, t, CASE WHEN p > 0 THEN tp / CAST(p AS DOUBLE) ELSE 0 END AS recall, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 1 END AS precision, CASE WHEN n > 0 THEN fp / CAST(n AS DOUBLE) ELSE 0 END AS fpr FROM tm), mf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM mt)"
+_COUNTS = ", ".join(f"count(*) FILTER ({'y' if c else 'NOT y'} AND tier = '{t}') AS {'c' if c else 'p'}{t[0]}" for c in (True, False) for t in policy.TIERS)
+_PERCENT = "round(coalesce(100.0::DOUBLE * ({a}) / nullif({b}, 0), 0), 1)"
+_SHARES = ", ".join(f"printf('  %-15s %-6s %6d (%5.1f%%)', '{t}', '{policy.ACTIONS[t][1]}', c{t[0]} + p{t[0]}, {_PERCENT.format(a=f'c{t[0]} + p{t[0]}', b='nc + np')})" for t in policy.TIERS)
+_RATES = ", ".join(f"printf('{head}: %d/%d (%.1f%%)', {a}, {b}, {_PERCENT.format(a=a, b=b)})" for head, a, b in (("Critical rows protected", "cr + cc", "nc"), ("Critical rows leaked", "cu", "nc"), ("Other rows unrestricted", "pu", "np")))
+_SUMMARY = f"""ct AS (SELECT {_COUNTS}, count(*) FILTER (y) AS nc, count(*) FILTER (NOT y) AS np FROM tier)
+SELECT concat_ws(chr(10), {_SHARES}, printf('  %-15s %13s %13s %13s', 'Expected', 'restricted', 'confidential', 'unrestricted'), printf('  %-15s %13d %13d %13d', 'critical', cr, cc, cu), printf('  %-15s %13d %13d %13d', 'not critical', pr, pc, pu), {_RATES}) AS summary FROM ct"""
 
 REGISTRY = {
     "policy_decisions": (policy_decisions, f"WITH {SCORED} SELECT doc_id, round(combined, 6) AS combined, rule, tier, CASE tier WHEN 'restricted' THEN 'block' WHEN 'confidential' THEN 'reversible' ELSE 'none' END AS transformation, CASE tier WHEN 'restricted' THEN 'local' WHEN 'confidential' THEN 'tee' ELSE 'cloud' END AS routing, tier = 'confidential' AS needs_attestation FROM tier"),
@@ -308,6 +319,7 @@ WHEN 'R7' THEN 'Moderate PII with quasi-identifiers present' ELSE 'No significan
     "policy_tiers": (policy_tiers, f"WITH {SCORED}, o AS (SELECT * FROM (VALUES (0, 'restricted'), (1, 'confidential'), (2, 'unrestricted')) t(ord, tier)) SELECT ord, o.tier, count(x.doc_id) AS n, round(100.0 * count(x.doc_id) / (SELECT count(*) FROM tier), 6) AS pct FROM o LEFT JOIN tier x ON x.tier = o.tier GROUP BY ord, o.tier"),
     "policy_crosstab": (policy_crosstab, f"WITH {SCORED} SELECT y AS expected_critical, count(*) FILTER (tier = 'restricted') AS restricted, count(*) FILTER (tier = 'confidential') AS confidential, count(*) FILTER (tier = 'unrestricted') AS unrestricted FROM tier GROUP BY y"),
     "policy_rates": (policy_rates, f"WITH {SCORED} SELECT round(count(*) FILTER (y AND tier <> 'unrestricted') / CAST(count(*) FILTER (y) AS DOUBLE), 6) AS protected_rate, round(count(*) FILTER (y AND tier = 'unrestricted') / CAST(count(*) FILTER (y) AS DOUBLE), 6) AS leak_rate, round(count(*) FILTER (NOT y AND tier = 'unrestricted') / CAST(count(*) FILTER (NOT y) AS DOUBLE), 6) AS efficiency FROM tier"),
+    "policy_summary": (policy_summary, f"WITH {SCORED}, {_SUMMARY}"),
     "class_counts": (class_counts, f"WITH {SCORED} SELECT count(*) AS n, count(*) FILTER (y) AS n_sensitive, count(*) FILTER (NOT y) AS n_not_sensitive FROM sc"),
     "correlations": (correlations, f"WITH {SCORED}, {_CORR} SELECT * FROM co"),
     "importance_top15": (importance_top15, f"WITH {SCORED}, {_CORR} SELECT feature, abs(corr) AS importance, CASE WHEN abs(corr) > 0.5 THEN 'STRONG' WHEN abs(corr) > 0.3 THEN 'MODERATE' ELSE 'WEAK' END AS strength FROM co ORDER BY abs(corr) DESC, ord LIMIT 15"),

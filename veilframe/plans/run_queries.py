@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import client, commits
+from ..sources import client, commits, results
 from ..sources.shared import new_path
 from ..streaming import resume, state
 from .explicit_queries import read
@@ -42,6 +42,31 @@ def client_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.md5("reply").alias("reply_md5"), "error")
 
 
+def run_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents saved by runs with several inputs and thresholds, one of them cleared: what each run and
+    the backup have then."""
+    path = new_path(spark, "runs")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("sample_hash"))
+    parts = (("a0", 0.3, "doc_id % 2 = 0"), ("a0", 0.3, "doc_id % 2 = 1"), ("a0", 0.5, "doc_id % 3 = 0"), ("12", 0.3, "doc_id % 5 = 0"))
+    for inputs, at, which in parts:
+        results.save_run(docs.where(which), path, inputs, at)
+    results.clear_run(spark, path, "a0", 0.5, "then")
+    load = lambda where, inputs, at, name: results.load_run(spark, where, inputs, at).select(F.lit(name).alias("run"), "doc_id", "sample_hash")
+    kept = load(path, "a0", 0.3, "a at 0.3").unionAll(load(path, "12", 0.3, "b at 0.3")).unionAll(load(path, "a0", 0.5, "a at 0.5"))
+    return kept.unionAll(load(f"{path}.then.backup", "a0", 0.5, "backup"))
+
+
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in four files, two to a batch of the stream: how many batches and rows come out."""
+    source, out, checkpoint = (new_path(spark, f"batches-{x}") for x in ("in", "out", "check"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey")
+    orders.repartition(4, "o_orderkey").write.parquet(source)
+    files = resume.read_files(spark, source, orders.schema, files_per_batch=2)
+    commits.run_commits(files, out, checkpoint, work=lambda batch: batch.withColumn("at", F.lit(0)))
+    n = len(commits.manifest(spark, out).folders)
+    return commits.read(spark, out, "o_orderkey", "at").agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("key_sum")).withColumn("n_batches", F.lit(n))
+
+
 def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in two runs of a stream that lets a user through once an hour: (user_id, run) with the
     run that the user came through in."""
@@ -67,6 +92,11 @@ def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "run_partitions": (
+        run_partitions,
+        "SELECT run, doc_id, md5(text) AS sample_hash FROM documents, (VALUES ('a at 0.3'), ('b at 0.3'), ('backup')) AS r(run) WHERE run = 'a at 0.3' OR (run = 'b at 0.3' AND doc_id % 5 = 0) OR (run = 'backup' AND doc_id % 3 = 0)",
+    ),
+    "stream_batches": (stream_batches, "SELECT count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum, 2 AS n_batches FROM orders"),
     "stream_once": (stream_once, "SELECT user_id, CAST(min(event_id % 2) AS INT) AS run FROM events GROUP BY user_id"),
     "stream_cache": (
         stream_cache,
