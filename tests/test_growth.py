@@ -3,6 +3,9 @@
 import random
 
 from veilframe.operators import population
+from veilframe.plans import quasi_queries
+
+SF = "/root/testdata/sf0.001"
 
 
 def _plan(df):
@@ -19,3 +22,8 @@ def test_containing_joins_names_as_a_whole(spark):
     assert sorted((r["i"], r["j"]) for r in pairs.collect()) == want
     plan = _plan(pairs)
     assert "SortMergeJoin [_low" in plan and "BroadcastHashJoin [_low" not in plan and "Contains(" not in plan
+
+
+def test_replies_are_parsed_once(spark):
+    plan = quasi_queries.c_fill(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "Filter" not in plan  # a filter on the factors would judge each reply again
