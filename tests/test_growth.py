@@ -2,7 +2,9 @@
 
 import random
 
-from veilframe.operators import population
+from pyspark.sql import functions as F
+
+from veilframe.operators import anonymity, contextual, population, quasi
 from veilframe.plans import quasi_queries
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +29,14 @@ def test_containing_joins_names_as_a_whole(spark):
 def test_replies_are_parsed_once(spark):
     plan = quasi_queries.c_fill(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" in plan and "Filter" not in plan  # a filter on the factors would judge each reply again
+
+
+def test_rows_of_the_data_are_not_broadcast(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a "), (3, None)], "id int, text string")
+    told = contextual.memoised(df, "text", lambda d: d.withColumn("n", F.length("text")), "n")
+    assert sorted((r["id"], r["n"]) for r in told.collect()) == [(1, 1), (2, 1), (3, None)]
+    qis = df.withColumn("qis", F.array(quasi._qi("zip_code", F.lit("10000"), F.lit("10000"), 0.9, F.lit(0), F.lit(5), "pattern")))
+    people = spark.createDataFrame([("zip_code", "10000", 0.5, 7, "here")], population.SCHEMA)
+    met = anonymity.with_frequencies(qis, people, "id")
+    assert [r["qis"][0]["population_count"] for r in met.collect()] == [7, 7, 7]
+    assert "SortMergeJoin [_key" in _plan(told) and "SortMergeJoin [id" in _plan(met)
