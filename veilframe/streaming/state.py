@@ -90,17 +90,21 @@ class _LastKnown(StatefulProcessor):
         self.known = handle.getValueState("known", "payload string", ttlDurationMs=self.millis)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        told = self.known.get() if self.known.exists() else None
-        asked = []
+        # each call of the state is a round trip: one a key and batch, a write's or a read's
+        told, asked = None, []
         for frame in rows:
-            puts = frame[frame["is_put"]]
-            if len(puts):  # the last write of the batch counts, and requests of the batch see it
-                told = (None if pd.isna(v := puts[self.payload].iloc[-1]) else v,)
-                self.known.update(told)
-            asked.append(frame.loc[~frame["is_put"], ["request_id", self.key]])
+            is_put = frame["is_put"].to_numpy(dtype=bool)
+            if is_put.any():  # the last write of the batch counts, and requests of the batch see it
+                last = frame[self.payload].iloc[int(is_put.nonzero()[0][-1])]
+                told = (None if pd.isna(last) else last,)
+            if not is_put.all():
+                asked.append(frame if not is_put.any() else frame[~is_put])
+        if told is not None:
+            self.known.update(told)
+        elif asked:
+            told = self.known.get()  # None if there is none
         for frame in asked:
-            if len(frame):
-                yield frame.assign(payload=None if told is None else told[0], hit=told is not None)[["request_id", self.key, "payload", "hit"]]
+            yield pd.DataFrame({"request_id": frame["request_id"], self.key: frame[self.key], "payload": None if told is None else told[0], "hit": told is not None})
 
     def close(self) -> None:
         pass
