@@ -1,6 +1,7 @@
 """Plans whose cost must grow no faster than the data."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -40,3 +41,35 @@ def test_rows_of_the_data_are_not_broadcast(spark):
     met = anonymity.with_frequencies(qis, people, "id")
     assert [r["qis"][0]["population_count"] for r in met.collect()] == [7, 7, 7]
     assert "SortMergeJoin [_key" in _plan(told) and "SortMergeJoin [id" in _plan(met)
+
+
+def test_what_an_assessment_works_out_once_a_row(spark):
+    """No comparison by lambda, no fold over a text without a match, one parse of a reply."""
+    df = spark.createDataFrame([(1, "Aged 30, a nurse in Texas ﷐ CA", '{"factors":[]}'), (2, "﷑", "{"), (3, None, None)], "id int, text string, reply string")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    found = quasi.extract(df, "text", ["asthma"], ["irish"], ["paris"])
+    assert [[(q["qi_type"], q["start_pos"]) for q in r["qis"]] for r in found.orderBy("id").collect()] == [[("location", 20), ("location", 28), ("occupation", 11), ("age", 0)], [], []]
+    told = plan(found)
+    assert not re.search(r"\barray_sort\(", told) and re.search(r"CASE WHEN [Cc]ontains\(lambda m", told)
+    judged = contextual.judge(df)
+    assert [r["c_status"] for r in judged.orderBy("id").collect()] == ["ok", "unparsed", "no reply"]
+    assert plan(judged).lower().count("parsejson") == 1
+
+
+def test_grouped_alternatives_find_what_plain_ones_do():
+    rng = random.Random(5)
+    words = ["new york", "new", "nurse", "o", "ohio", "Oh", "west virginia", "virginia"]
+    for any_case, flags in ((True, re.I), (False, 0)):
+        grouped, plain = re.compile(quasi._one_of(words, any_case)), re.compile(r"\b(" + "|".join(words) + r")\b", flags)
+        for _ in range(500):
+            text = "".join(rng.choice([*words, "NEW", " ", ", ", "x", "é"]) for _ in range(8))
+            assert [m.span() for m in grouped.finditer(text)] == [m.span() for m in plain.finditer(text)]
+    assert quasi._one_of(["a.b", "é"]) == r"(?i)\b(a.b|é)\b"
+
+
+def test_dates_are_tried_only_where_their_year_may_stand(spark):
+    days = ["3/7/1985", "1979-11-02", "12-25-1960", "1985/3/7", "3/7/85", "3-7-68", "DOB: 3/7/1985", "3/7/1985 ", "13/1/2000", "19790-1-1", "", None]
+    df = spark.createDataFrame([(d,) for d in days], "d string")
+    out = df.select(population.birth_age(F.col("d"), F.lit("2026-01-01").cast("date")).alias("a"))
+    assert [r["a"] for r in out.collect()] == [40, 46, 65, 40, 40, -43, None, None, None, None, None, None]
+    assert "CASE WHEN RLIKE(" in _plan(out)
