@@ -6,7 +6,8 @@ import re
 from pyspark.sql import functions as F
 
 from veilframe.operators import anonymity, contextual, population, quasi
-from veilframe.plans import quasi_queries
+from veilframe.plans import case_queries, quasi_queries
+from veilframe.sources.shared import new_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,3 +74,12 @@ def test_dates_are_tried_only_where_their_year_may_stand(spark):
     out = df.select(population.birth_age(F.col("d"), F.lit("2026-01-01").cast("date")).alias("a"))
     assert [r["a"] for r in out.collect()] == [40, 46, 65, 40, 40, -43, None, None, None, None, None, None]
     assert "CASE WHEN RLIKE(" in _plan(out)
+
+
+def test_a_run_reads_more_files_of_more_cases(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(case_queries, "CASES_A_FILE", 10)
+    monkeypatch.setattr(case_queries, "new_path", lambda s, what: made.append(new_path(s, what)) or made[-1])
+    rows = case_queries.case_run(spark, SF).count()
+    files = spark.read.format("binaryFile").load(made[0])
+    assert rows == spark.read.parquet(f"{SF}/customer.parquet").count() and files.count() >= rows / 10
