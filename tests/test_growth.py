@@ -83,3 +83,11 @@ def test_a_run_reads_more_files_of_more_cases(spark, monkeypatch):
     rows = case_queries.case_run(spark, SF).count()
     files = spark.read.format("binaryFile").load(made[0])
     assert rows == spark.read.parquet(f"{SF}/customer.parquet").count() and files.count() >= rows / 10
+
+
+def test_scores_that_no_one_reads_are_not_made(spark):
+    """Without the comparison no text but the last mask is judged, and what the row still has is as it was."""
+    whole, part = (case_queries._assessed(spark, SF, compared=c) for c in (True, False))
+    assert set(whole.columns) - set(part.columns) == {"c_original", "original_sensitive", "c_scores_by_k", "masked_counts_by_k"}
+    assert part.count() == whole.count() and whole.select(part.columns).exceptAll(part).isEmpty()
+    assert "Generate" not in _plan(part) and "Generate" in _plan(whole)
