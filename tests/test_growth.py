@@ -5,6 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from veilframe.functions import constants
+from veilframe.functions import text as X
 from veilframe.operators import anonymity, contextual, population, quasi
 from veilframe.plans import case_queries, quasi_queries
 from veilframe.sources.shared import new_path
@@ -91,3 +93,28 @@ def test_scores_that_no_one_reads_are_not_made(spark):
     assert set(whole.columns) - set(part.columns) == {"c_original", "original_sensitive", "c_scores_by_k", "masked_counts_by_k"}
     assert part.count() == whole.count() and whole.select(part.columns).exceptAll(part).isEmpty()
     assert "Generate" not in _plan(part) and "Generate" in _plan(whole)
+
+
+def test_patterns_behind_a_look_at_the_first_letter_find_what_they_find_alone(spark):
+    rng = random.Random(11)
+    parts = ["Aged 30", "AGE: 7", "45 years old", "9yo", "12 M", "DOB: 3/7/1985", "born 1979-11-02", "D.O.B. 1/2/85", "zip 10007", "lives at zip", "OH 10007-1234", "Works as a Nurse", "is a painter", "role: pilot", "woman", "Male", "é", "-", ", ", "ß", "\n"]
+    df = spark.createDataFrame([("".join(rng.choice([*parts, " ", "x", "1"]) for _ in range(9)),) for _ in range(400)], "t string")
+    seen = quasi.extract(df, "t")._jdf.queryExecution().analyzed().toString()
+    ahead = {p: look for look, p in re.findall(r"(\(\?i\)\(\?=\[[^]]+\]\))(.*?), \ufdd0\$0", seen)}
+    patterns = [*constants.AGE_PATTERNS, *constants.DOB_PATTERNS, *constants.OCCUPATION_CONTEXT, constants.ZIP_CONTEXT]
+    assert set(patterns) <= set(ahead)
+    same = [F.regexp_extract_all("t", F.lit(ahead[p] + p), F.lit(0)) == F.regexp_extract_all("t", F.lit("(?i)" + p), F.lit(0)) for p in patterns]
+    out = df.select(*(s.alias(f"{k}") for k, s in enumerate(same)))
+    assert all(all(r) for r in out.collect())
+
+
+def test_a_date_is_read_once(spark):
+    plan = spark.createDataFrame([("3/7/1985",)], "d string").select(population.birth_age(F.col("d"), F.current_date()))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("gettimestamp(") == 4  # a try for each format
+
+
+def test_medians_sort_natively(spark):
+    df = spark.createDataFrame([([3.0, 1.0],), ([2.0, None, 1.0],), ([1.0, None],), ([],), (None,), ([5.0, 1.0, 2.0],)], "v array<double>")
+    out = df.select(X.median(F.col("v")).alias("m"))
+    assert [r["m"] for r in out.collect()] == [2.0, 2.0, None, 0.0, 0.0, 2.0]
+    assert not re.search(r"\barray_sort\(", out._jdf.queryExecution().optimizedPlan().toString())
