@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import constants
 from veilframe.functions import text as X
-from veilframe.operators import anonymity, contextual, population, quasi
+from veilframe.operators import anonymity, contextual, evaluate, population, quasi
 from veilframe.plans import case_queries, quasi_queries
 from veilframe.sources.shared import new_path
 
@@ -118,3 +118,18 @@ def test_medians_sort_natively(spark):
     out = df.select(X.median(F.col("v")).alias("m"))
     assert [r["m"] for r in out.collect()] == [2.0, 2.0, None, 0.0, 0.0, 2.0]
     assert not re.search(r"\barray_sort\(", out._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_correlations_are_one_short_aggregate(spark):
+    rows = [(k, float(k % 7), None if k % 5 else 1.0 * k, k % 3 == 0, 2.0) for k in range(200)]
+    df = spark.createDataFrame(rows, "a int, b double, c double, y boolean, same double")
+    names = ("a", "b", "c", "same")
+    flat = df.agg(*(F.corr(F.col(n).cast("double"), F.col("y").cast("double")).alias(n) for n in ("a", "b"))).first()
+    told = evaluate.correlations(df, names, "y")
+    got = {r["feature"]: r["corr"] for r in told.collect()}
+    assert list(got) == list(names) and got["same"] == 0.0 and all(abs(got[n] - flat[n]) < 1e-12 for n in ("a", "b"))
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("covar_pop(") == 1
+    cells = {(r["a"], r["b"]): r["corr"] for r in evaluate.corr_matrix(df, names).collect()}
+    assert len(cells) == 16 and cells["a", "b"] == cells["b", "a"] and abs(cells["a", "a"] - 1) < 1e-12 and cells["same", "a"] != cells["same", "a"]
+    assert [(r["feature"], r["corr"]) for r in evaluate.correlations(df.where("a < 0"), names, "y").collect()] == [(n, 0.0) for n in names]
+    assert all(r["corr"] != r["corr"] for r in evaluate.corr_matrix(df.where("a < 0"), names).collect())
