@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import constants
 from veilframe.functions import text as X
-from veilframe.operators import anonymity, contextual, evaluate, population, quasi
-from veilframe.plans import case_queries, quasi_queries
-from veilframe.sources.shared import new_path
+from veilframe.operators import anonymity, assess, contextual, evaluate, features, population, quasi
+from veilframe.plans import case_queries, quasi_queries, rendered
+from veilframe.sources.shared import new_path, stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -133,3 +133,38 @@ def test_correlations_are_one_short_aggregate(spark):
     assert len(cells) == 16 and cells["a", "b"] == cells["b", "a"] and abs(cells["a", "a"] - 1) < 1e-12 and cells["same", "a"] != cells["same", "a"]
     assert [(r["feature"], r["corr"]) for r in evaluate.correlations(df.where("a < 0"), names, "y").collect()] == [(n, 0.0) for n in names]
     assert all(r["corr"] != r["corr"] for r in evaluate.corr_matrix(df.where("a < 0"), names).collect())
+
+
+def test_columns_that_no_one_reads_are_not_made(spark, monkeypatch):
+    """What is written holds what the query reads; the rows are those of the whole assessment."""
+    kept = []
+    monkeypatch.setattr(assess, "stored", lambda df, what: kept.append(df) or stored(df, what))
+    whole = case_queries._assessed(spark, SF)
+    scattered = case_queries.case_scatter(spark, SF)
+    want = evaluate.scatter(whole, "id", features.SCATTERED, "c_score", "deemed_sensitive").withColumns({c: F.round(c, 6) for c in ("value", "score")})
+    assert scattered.count() == want.count() and scattered.exceptAll(want.select(scattered.columns)).isEmpty()
+    assert set(kept[1].columns) == {"id", "q_masked", *features.SCATTERED}
+    assert "qis" in kept[0].columns
+
+
+def test_a_small_population_meets_the_rows_where_they_are(spark):
+    """As the join tells it: by normalized or raw value, without a figure, by age of a birth, without any."""
+    people = spark.createDataFrame([("age", "40", 0.25, 3653, "bands"), ("disease", "flu", None, 5, "none"), ("disease", "grippe", 0.5, 7, "here"), ("zip_code", "10000", 0.1, None, None), (None, "x", 0.1, 1, "n"), ("disease", None, 0.1, 1, "n")], population.SCHEMA)
+    qis = [("disease", "Grippe", "flu"), ("disease", "FLU", "flu"), ("disease", "Grippe", None), ("date_of_birth", "3/7/1985", "born"), ("date_of_birth", "odd", "odd"), ("zip_code", "10000", "10000"), ("planet", "Mars", "mars"), (None, "x", "x")]
+    rows = [(1, [(k, r, n, 0.5, 0, 1, "m") for k, r, n in qis] + [None]), (2, []), (3, None), (4, [("zip_code", "10000", "y", 0.5, 0, 1, "m")])]
+    df = spark.createDataFrame(rows, f"id int, qis {quasi.NONE}")
+    day = F.lit("2026-01-01").cast("date")
+    joined, placed = (anonymity.with_frequencies(df, people, "id", today=day, in_place=p) for p in (False, True))
+    assert [r.asDict(True) for r in placed.orderBy("id").collect()] == [r.asDict(True) for r in joined.orderBy("id").collect()]
+    assert placed.schema["qis"].dataType.simpleString() == joined.schema["qis"].dataType.simpleString()
+    assert [q["population_count"] for q in placed.where("id = 1").first()["qis"]] == [7, 5, 7, 10, None, None, None, None, None]
+    assert "Exchange hash" not in _plan(placed.drop("_x")).split("BroadcastNestedLoopJoin")[0] and "SortMergeJoin" not in _plan(placed)
+    assert population.fits(people) and not population.fits(people.union(people))
+    assert not population.fits(spark.range(population.MAPPED + 1).selectExpr("'a' AS qi_type", "CAST(id AS STRING) AS value"))
+    none = anonymity.with_frequencies(df, people.where("false"), "id", in_place=True)
+    assert none.where("exists(qis, q -> q.probability IS NOT NULL)").isEmpty() and none.count() == 4
+
+
+def test_cases_are_dealt_to_several_tasks_a_core(spark):
+    """A row group is read by one task, whatever the splits of its file."""
+    assert rendered.customers(spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
