@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import constants
 from veilframe.functions import text as X
-from veilframe.operators import anonymity, assess, contextual, evaluate, features, population, quasi
+from veilframe.operators import anonymity, assess, contextual, evaluate, features, policy, population, quasi
 from veilframe.plans import case_queries, quasi_queries, rendered
 from veilframe.sources.shared import new_path, stored
 
@@ -168,3 +168,12 @@ def test_a_small_population_meets_the_rows_where_they_are(spark):
 def test_cases_are_dealt_to_several_tasks_a_core(spark):
     """A row group is read by one task, whatever the splits of its file."""
     assert rendered.customers(spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_decision_makes_no_column_that_it_does_not_read(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(assess, "stored", lambda df, what: kept.append(df) or stored(df, what))
+    whole, decided = case_queries._assessed(spark, SF), case_queries.case_policy(spark, SF)
+    full = policy.decide(whole).select("id", "rule", "tier", "routing", F.array_join("reasons", "; ").alias("reasons"), F.md5("masked_text").alias("masked_md5"))
+    assert decided.count() == full.count() and decided.exceptAll(full).isEmpty()
+    assert "qis" in kept[0].columns and set(kept[1].columns) == {"id", *policy.INPUT} - {"c_score"}
