@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_path, remove, stored
+from ..sources.shared import new_path, remove, shuffled, stored
 
-__all__ = ["broadcast_small", "frequent", "new_path", "remove", "small_batches", "stored"]
+__all__ = ["broadcast_small", "by_rows", "frequent", "new_path", "remove", "shuffled", "small_batches", "stored"]
 
 SMALL_ROWS = 500_000  # rows of a few numbers each, some 20 MB, are broadcast
+FEW_ROWS = 20_000  # some 2 MB: as many as a query may broadcast a dozen times
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -25,6 +26,12 @@ def broadcast_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def by_rows(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """A side of a join: broadcast where it has at most `rows` rows, of a few numbers each, else sorted and
+    shuffled. The planner doesn't guess."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else shuffled(df)
+
+
 def frequent(counted: DataFrame, bound: int, n: str = "n", fill: str | None = None) -> DataFrame:
     """The rows with the largest counts `n`, at most `bound` of them: all whose count reaches the
     least one that keeps the bound. It is found from the number of rows of each count (large counts

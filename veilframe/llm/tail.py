@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .scratch import stored
+from .scratch import by_rows, shuffled, stored
 
 
 class Hot:
@@ -79,7 +79,7 @@ def summed(docs: DataFrame, keep: list[str], text: str, measure: Callable, table
     told = stored(docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text")).mapInArrow(work, schema), "summed")
     rest = told.where("_key is not null").select("_row", F.col("_key").alias("key"), "_times")
     values = stored(resolve(rest.select("key").distinct()), "values")
-    more = rest.join(values, "key").groupBy("_row").agg(F.array(*(F.sum(F.col("_times") * F.col("v")[k]) for k in range(width))).alias("_more"))
-    rows = told.where("_key is null").join(more, "_row", "left")
+    more = rest.join(by_rows(values), "key").groupBy("_row").agg(F.array(*(F.sum(F.col("_times") * F.col("v")[k]) for k in range(width))).alias("_more"))
+    rows = told.where("_key is null").join(shuffled(more), "_row", "left")
     sums = F.when(F.col("_more").isNull(), F.col("_sums")).otherwise(F.zip_with("_sums", "_more", lambda a, b: a + b))
     return rows.select(*keep, F.col("_size").alias("size"), F.col("_letters").alias("letters"), sums.alias("sums"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tail, vec
-from .scratch import frequent, stored
+from .scratch import by_rows, frequent, stored
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -141,9 +141,9 @@ class Tables:
         for order in range(ORDER + 1):
             grams = stored(counts.groupBy(_suffix_of("gram", order).alias("gram")).agg(of("allow"), of("block")), f"url-grams-{order}")
             sums = [x for c in ("allow", "block") for x in (F.sum(c).alias(f"{c}_total"), F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds"))]
-            self.grams.append(grams)
-            self.contexts.append(stored(grams.groupBy(_context_of("gram").alias("context")).agg(*sums), f"url-contexts-{order}"))
-        often = frequent(self.grams[ORDER].select("gram", (F.col("allow") + F.col("block")).alias("n")), MAX_NGRAMS)
+            self.grams.append(by_rows(grams))
+            self.contexts.append(by_rows(stored(grams.groupBy(_context_of("gram").alias("context")).agg(*sums), f"url-contexts-{order}")))
+        often = frequent(grams.select("gram", (F.col("allow") + F.col("block")).alias("n")), MAX_NGRAMS)
         self.hot = tail.hot(self.resolve(often.select(F.col("gram").alias("key"))), 1)
 
     def resolve(self, keys: DataFrame) -> DataFrame:
